@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import packing, token_counts
+from emberlog.llm import language_id, packing, pii, secrets, token_counts
 from emberlog.llm.common import documents
 
 
@@ -20,9 +20,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language_id.identify(docs, sample_per_label=2000).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _base_digest(kinds: tuple[str, ...]) -> Column:
+    return F.sha2(pii.joined(F.filter("spans", lambda s: s["kind"].isin(*kinds))).cast("binary"), 256).alias("base_sha256")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    return found.select("doc_id", *map(_count, pii.BASE_KINDS), _base_digest(pii.BASE_KINDS), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    grammar = secrets.learn(docs, "doc_id", sample_rows=20_000, examples_per_kind=400)
+    found = secrets.with_spans(docs, grammar).select("doc_id", "spans")
+    return found.select("doc_id", *map(_count, secrets.BASE_KINDS), _base_digest(secrets.BASE_KINDS), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op9_pii": op9_pii,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
