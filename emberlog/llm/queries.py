@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import language_id, packing, pii, secrets, token_counts
+from emberlog.llm import decontaminate, language_id, packing, pii, secrets, token_counts
 from emberlog.llm.common import documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find(documents(spark, sf_dir).select("doc_id", "text"), benchmark, columns=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), size=2048, end_id=1, vocabulary="word_bpe_49k.json")
 
@@ -46,6 +59,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
