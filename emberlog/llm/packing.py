@@ -89,31 +89,33 @@ def slots(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), table.T))
 
 
-def with_pieces(docs: DataFrame, text_col: str, vocabulary: str, end_id: int, size: int, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """``docs`` with ``pieces``: an array of (start, length, ids_crc32[, ids])."""
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids
+def cut_into_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Pieces (doc, doc_tokens, start, length, ids_crc32[, ids]) of rows (doc, text)."""
 
-    @arrow_udf("array<struct<start:long,length:long,ids_crc32:long" + ",ids:array<int>" * keep_ids + ">>")
-    def pieces(text: pa.Array) -> pa.Array:
+    def cut(batches):
         enc = tokens.encoder(path or tokenizer_path(vocabulary), tokens.AT_SPACE, False)
-        starts, lengths, crcs, kept, per_doc = [], [], [], [], [0]
-        for group in tokens.groups(text.to_pylist(), GROUP_CHARS):
-            flat, counts = enc.token_ids(group)
-            ends = np.cumsum(counts)
-            for a, z in zip((ends - counts).tolist(), ends.tolist()):
-                ids = np.append(flat[a:z], np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), size):
-                    own = ids[start : start + size]
-                    starts.append(start)
-                    lengths.append(len(own))
-                    crcs.append(zlib.crc32(own.tobytes()))
-                    if keep_ids:
-                        kept.append(own.astype(np.int32))
-                per_doc.append(len(starts))
-        columns = [pa.array(x, pa.int64()) for x in (starts, lengths, crcs)] + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids
-        return pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in fields]))
-
-    return docs.withColumn("pieces", pieces(text_or_empty(text_col)))
+        for batch in batches:
+            row, totals, starts, lengths, crcs, kept, at = [], [], [], [], [], [], 0
+            for group in tokens.groups(batch.column("text").to_pylist(), GROUP_CHARS):
+                flat, counts = enc.token_ids(group)
+                ends = np.cumsum(counts)
+                for a, z in zip((ends - counts).tolist(), ends.tolist()):
+                    ids = np.append(flat[a:z], np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), size):
+                        own = ids[start : start + size]
+                        row.append(at)
+                        totals.append(len(ids))
+                        starts.append(start)
+                        lengths.append(len(own))
+                        crcs.append(zlib.crc32(own.tobytes()))
+                        if keep_ids:
+                            kept.append(own.astype(np.int32))
+                    at += 1
+            columns = [batch.column("doc").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (totals, starts, lengths, crcs))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, ["doc", "doc_tokens", "start", "length", "ids_crc32", *["ids"] * keep_ids])
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.mapInArrow(cut, f"doc {kind}, doc_tokens long, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, size: int = 2048, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -122,10 +124,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A sequence's pieces lie at offsets without gaps from 0; what a sequence
     lacks to ``size`` is padding.
     """
-    # the ids column stands apart while clashing names are made impossible
-    rows = with_pieces(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", vocabulary, end_id, size, path, keep_ids)
-    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["length"])
-    pieces = materialize(rows.select("doc", total.alias("doc_tokens"), F.explode("pieces").alias("p")).select("doc", "doc_tokens", "p.*"), "pieces")
+    rows = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
+    pieces = materialize(cut_into_pieces(rows, vocabulary, end_id, size, path, keep_ids), "pieces")
 
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     place = slots(pack_histogram(counts, size))

@@ -26,19 +26,21 @@ AT_SPACE = re.compile(r"[\x20\t\n\r]+")
 class PieceEncoder:
     """Encodes texts piece by piece; ``lengths_only`` keeps token counts, not ids.
 
-    Pieces new to the memo are encoded in batches of about ``batch_chars``
-    characters. The memo numbers the pieces; their counts and ids lie in flat
+    Pieces new to the memo are encoded in rows of ``per_row`` pieces and batches of
+    as many rows. The memo numbers the pieces; their counts and ids lie in flat
     arrays. Beyond ``memo`` pieces it starts anew before the next group.
     """
 
-    def __init__(self, path: str, cut: re.Pattern, lengths_only: bool, batch_chars: int = 1 << 18, memo: int = 1_200_000):
+    def __init__(self, path: str, cut: re.Pattern, lengths_only: bool, per_row: int = 64, memo: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut, self.lengths_only = cut, lengths_only
-        self.batch_chars, self.memo = batch_chars, memo
+        self.per_row, self.memo = per_row, memo
+        special = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.mark = special[0] if special else (None, -1)
         self._reset()
 
     def _reset(self) -> None:
@@ -48,18 +50,34 @@ class PieceEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, pieces: list[str]) -> None:
-        counts, ids, start, size = [], [], 0, 0
-        for i, piece in enumerate(pieces):
-            size += len(piece)
-            if size >= self.batch_chars or i == len(pieces) - 1:
-                done = self.tokenizer.encode_batch_fast(pieces[start : i + 1], add_special_tokens=False)
-                counts.extend(map(len, done))
+        """Number the pieces and keep their counts (and ids). Pieces are encoded in
+        rows, held apart by a special token, which is taken out before anything else
+        is done to a text; pieces that hold that token's string stand alone."""
+        mark, mark_id = self.mark
+        rows: list[list[str]] = []
+        for piece in pieces:
+            alone = mark is None or mark in piece
+            if alone or not rows or len(rows[-1]) >= self.per_row or mark in rows[-1][0]:
+                rows.append([piece])
+            else:
+                rows[-1].append(piece)
+        counts, ids = [], []
+        for part in range(0, len(rows), self.per_row):
+            block = rows[part : part + self.per_row]
+            done = self.tokenizer.encode_batch_fast([r[0] if len(r) == 1 else mark.join(r) for r in block], add_special_tokens=False)
+            for r, e in zip(block, done):
+                own = np.array(e.ids, np.uint32)
+                if len(r) == 1:
+                    counts.append([len(own)])
+                else:
+                    cuts = np.flatnonzero(own == mark_id)
+                    counts.append(np.diff(cuts, prepend=-1, append=len(own)) - 1)
+                    own = own[own != mark_id] if not self.lengths_only else own
                 if not self.lengths_only:
-                    ids.append(np.fromiter(chain.from_iterable(e.ids for e in done), np.uint32))
-                start, size = i + 1, 0
+                    ids.append(own)
         first = len(self.number)
         self.number.update(zip(pieces, range(first, first + len(pieces))))
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
+        self.counts = np.concatenate([self.counts, *counts])
         if not self.lengths_only:
             self.ids = np.concatenate([self.ids, *ids])
             self.starts = np.cumsum(self.counts) - self.counts
