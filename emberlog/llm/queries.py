@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, language_id, packing, pii, secrets, token_counts
+from emberlog.llm import decontaminate, language_id, ngram_join, packing, pii, secrets, token_counts
 from emberlog.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir).select("doc_id", "text"), width=3, num=90, den=100)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), size=2048, end_id=1, vocabulary="word_bpe_49k.json")
 
@@ -60,6 +64,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
