@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, language_id, ngram_join, packing, pii, secrets, token_counts
+from emberlog.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, token_counts
 from emberlog.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), size=2048, end_id=1, vocabulary="word_bpe_49k.json")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.with_token_counts(documents(spark, sf_dir), vocabulary="byte_bpe_50k.json", limit=1024)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -50,6 +54,10 @@ def _base_digest(kinds: tuple[str, ...]) -> Column:
     return F.sha2(pii.joined(F.filter("spans", lambda s: s["kind"].isin(*kinds))).cast("binary"), 256).alias("base_sha256")
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     return found.select("doc_id", *map(_count, pii.BASE_KINDS), _base_digest(pii.BASE_KINDS), pii.joined(F.col("spans")).alias("spans"))
@@ -66,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_secret_scans": op10_secret_scans,
 }
