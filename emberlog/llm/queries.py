@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, token_counts
+from emberlog.llm import chat_quotes, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, token_counts
 from emberlog.llm.common import documents
 
 
@@ -32,6 +32,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), size=2048, end_id=1, vocabulary="word_bpe_49k.json")
 
 
+def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_quotes.link(messages).select("conv_id", "turn", "role", *chat_quotes.ADDED)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op4_chat_quotes": op4_chat_quotes,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
