@@ -93,7 +93,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, pa
     """Pieces (doc, doc_tokens, start, length, ids_crc32[, ids]) of rows (doc, text)."""
 
     def cut(batches):
-        enc = tokens.encoder(path or tokenizer_path(vocabulary), tokens.AT_SPACE, False)
+        enc = tokens.encoder(path or tokenizer_path(vocabulary), True, False)
         for batch in batches:
             row, totals, starts, lengths, crcs, kept, at = [], [], [], [], [], [], 0
             for group in tokens.groups(batch.column("text").to_pylist(), GROUP_CHARS):

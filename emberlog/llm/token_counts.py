@@ -30,7 +30,7 @@ def with_token_counts(df: DataFrame, text_col: str = "text", vocabulary: str = "
 
     @arrow_udf("long")
     def n_tokens(text: pa.Array) -> pa.Array:
-        enc = tokens.encoder(path or tokenizer_path(vocabulary), tokens.BEFORE_SINGLE_SPACE, True)
+        enc = tokens.encoder(path or tokenizer_path(vocabulary), False, True)
         counts = [enc.count_tokens(group) for group in tokens.groups(text.to_pylist(), GROUP_CHARS)]
         return pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
 

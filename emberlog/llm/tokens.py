@@ -21,38 +21,70 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: For a pre-tokeniser that drops white space: the runs between white space.
 AT_SPACE = re.compile(r"[\x20\t\n\r]+")
+#: Separators that str.split knows and the pre-tokenisers don't.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: A run of letters and the marks behind it are separate pre-tokens.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!#$%&*;:?]+)")
+
+
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 class PieceEncoder:
     """Encodes texts piece by piece; ``lengths_only`` keeps token counts, not ids.
 
-    Pieces new to the memo are encoded in rows of ``per_row`` pieces and batches of
-    as many rows. The memo numbers the pieces; their counts and ids lie in flat
-    arrays. Beyond ``memo`` pieces it starts anew before the next group.
+    ``words`` says that the pre-tokeniser drops white space and case: then pieces
+    are what stands between white space, and a word and the marks behind it are
+    encoded apart. Otherwise texts are cut before single spaces.
+
+    New pieces are encoded in rows of ``per_row`` pieces and batches of as many
+    rows. The memo numbers the pieces; their counts and ids lie in flat arrays.
+    Beyond ``memo`` pieces it starts anew before the next group.
     """
 
-    def __init__(self, path: str, cut: re.Pattern, lengths_only: bool, per_row: int = 64, memo: int = 800_000):
+    def __init__(self, path: str, words: bool, lengths_only: bool, per_row: int = 64, memo: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.lengths_only = cut, lengths_only
+        self.words, self.lengths_only = words, lengths_only
         self.per_row, self.memo = per_row, memo
-        special = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        special = sorted((t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.mark = special[0] if special else (None, -1)
+        self.added = [t.content.lower() for _, t in added]
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.counts = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Number the pieces and keep their counts (and ids). Pieces are encoded in
-        rows, held apart by a special token, which is taken out before anything else
-        is done to a text; pieces that hold that token's string stand alone."""
+    def _cut(self, text: str) -> list[str]:
+        if not self.words:
+            return BEFORE_SINGLE_SPACE.split(text)
+        if text.isascii():
+            lowered = text.lower()
+            if not any(a in lowered for a in self.added):
+                text = lowered
+        return AT_SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
+
+    def _encode_rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids. Rows of pieces are held apart by a special token, which is
+        taken out of a text before anything else is done to it; pieces that hold
+        that token's string stand alone."""
         mark, mark_id = self.mark
         rows: list[list[str]] = []
         for piece in pieces:
@@ -61,38 +93,55 @@ class PieceEncoder:
                 rows.append([piece])
             else:
                 rows[-1].append(piece)
-        counts, ids = [], []
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for part in range(0, len(rows), self.per_row):
             block = rows[part : part + self.per_row]
             done = self.tokenizer.encode_batch_fast([r[0] if len(r) == 1 else mark.join(r) for r in block], add_special_tokens=False)
             for r, e in zip(block, done):
                 own = np.array(e.ids, np.uint32)
                 if len(r) == 1:
-                    counts.append([len(own)])
+                    counts.append(np.array([len(own)]))
                 else:
                     cuts = np.flatnonzero(own == mark_id)
                     counts.append(np.diff(cuts, prepend=-1, append=len(own)) - 1)
                     own = own[own != mark_id] if not self.lengths_only else own
                 if not self.lengths_only:
                     ids.append(own)
-        first = len(self.number)
-        self.number.update(zip(pieces, range(first, first + len(pieces))))
-        self.counts = np.concatenate([self.counts, *counts])
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def _keep(self, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.counts = np.concatenate([self.counts, counts])
         if not self.lengths_only:
-            self.ids = np.concatenate([self.ids, *ids])
-            self.starts = np.cumsum(self.counts) - self.counts
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.ids = np.concatenate([self.ids, ids])
+
+    def _encode_new(self) -> None:
+        """Fill in what the pieces numbered since the last call hold."""
+        new, self.number.new = self.number.new, []
+        if not self.words:
+            self._keep(*self._encode_rows(new))
+            return
+        matched = [_WORD_AND_MARKS.fullmatch(p) for p in new]
+        parts = _Numbers()
+        pairs = [(parts[m[1]], parts[m[2]]) if m else (parts[p], -1) for p, m in zip(new, matched)]
+        counts, ids = self._encode_rows(parts.new)
+        both = np.array(pairs, np.int64).ravel()
+        both = both[both >= 0]
+        total = counts[both]
+        per_new = np.array([2 if m else 1 for m in matched])
+        first = np.cumsum(per_new) - per_new
+        self._keep(np.add.reduceat(total, first), _gather(ids, (np.cumsum(counts) - counts)[both], total) if not self.lengths_only else ids)
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces of the texts in order, and how many each text has."""
         if len(self.number) > self.memo:
             self._reset()
-        cut = [self.cut.split(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        known = self.number
-        new = {p for p in flat if p not in known}
-        if new:
-            self._encode(sorted(new))
-        return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, cut), np.int64, len(cut))
+        cut = [self._cut(t) for t in texts]
+        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))
+        if self.number.new:
+            self._encode_new()
+        return numbers, per_text
 
     def count_tokens(self, texts: list[str]) -> np.ndarray:
         numbers, per_text = self.pieces(texts)
@@ -104,10 +153,14 @@ class PieceEncoder:
         """Ids of all texts one after another, and how many each text has."""
         numbers, per_text = self.pieces(texts)
         counts = self.counts[numbers]
-        before = np.cumsum(counts) - counts
-        at = np.repeat(self.starts[numbers] - before, counts) + np.arange(counts.sum())
         total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(per_text)
-        return self.ids[at], total[ends] - total[ends - per_text]
+        return _gather(self.ids, self.starts[numbers], counts), total[ends] - total[ends - per_text]
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after another."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(starts - before, counts) + np.arange(counts.sum())]
 
 
 def groups(texts: list[str], most: int):
@@ -123,9 +176,9 @@ def groups(texts: list[str], most: int):
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, cut: re.Pattern, lengths_only: bool) -> PieceEncoder:
+def encoder(path: str, words: bool, lengths_only: bool) -> PieceEncoder:
     """One encoder for each worker process, file and kind."""
-    key = (path, cut.pattern, lengths_only)
+    key = (path, words, lengths_only)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, cut, lengths_only)
+        _ENCODERS[key] = PieceEncoder(path, words, lengths_only)
     return _ENCODERS[key]
