@@ -2,14 +2,17 @@
 
 Every round replaces links by links to smaller members, so the table never grows;
 it ends as stars around the smallest member of each component. Links stay in
-tables of the shared folder and are never collected. A member with very many
+tables of the shared folder and are never collected. A table that is counted and
+found small is left to one task. A member with very many
 links is no bottleneck: minima are pre-aggregated, and the joins can be split.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from emberlog.llm.common import drop_scratch, materialize
 
@@ -27,13 +30,52 @@ def _small_star(links: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionAll(own)
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links up to which one task finds the components with a union-find in memory.
+MAX_TOGETHER = 400_000
+
+
+def union_find(pairs) -> dict:
+    """Each member of a pair, and the smallest member of its component."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches):
+        found = union_find(p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        members = list(found)
+        for i in range(0, len(members), 10_000):
+            part = members[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([found[x] for x in part], kind)], ["member", "label"])
+
+    kind = to_arrow_type(links.schema["a"].dataType)
+    name = links.schema["a"].dataType.simpleString()
+    return links.repartition(1).mapInArrow(run, f"member {name}, label {name}")
+
+
+def components(links: DataFrame, together: int = MAX_TOGETHER) -> DataFrame:
     """(member, label) of every member of a link (a, b); the label is the smallest member.
 
+    Up to ``together`` links one task does it; more go through rounds of stars.
     Links of a member with itself and links with a null are ignored; repeated
     links count once; an empty table gives an empty result.
     """
-    now = materialize(links.select("a", "b").where("a != b").distinct(), "links")
+    now = materialize(links.select("a", "b").where("a != b"), "links")
+    if now.count() <= together:
+        return materialize(_in_one_task(now), "labels")
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()

@@ -2,8 +2,10 @@
 
 A document's set of word shingles is reduced to a prefix: the first
 ``n - ceil(t n) + 1`` shingles in one global order, in which two sets of similarity
-``t`` or more must share an element. Shingles that many documents have come last
-in the order (see :func:`frequent`), so prefixes hold rare ones.
+``t`` or more must share an element. The order puts rare shingles first: by the
+frequencies of their words, taken from a sketch of fixed size (see
+:func:`word_weights`), and last those shingles that many documents have (see
+:func:`frequent`). The order affects how many candidates there are, never a result.
 
 1. Equal sets are one node; nodes with the same prefix and size are one group.
 2. Groups that share a prefix shingle meet in a bucket. Shingles with the same
@@ -26,6 +28,9 @@ taken whole. Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +56,8 @@ def _prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Per row its id, set size and set digest (kind null); per stretch of rows also the frequent shingles and counts."""
+    """Per row its id, set size and set digest; per stretch of rows also the frequent
+    shingles and their counts; per task a sketch of its word counts."""
 
     def run(batches):
         held: dict[bytes, np.ndarray] = {}
@@ -65,14 +71,15 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             keep = count >= max(3, FREQUENT_SHARE / 2 * len(held))
             found, count = found[keep], count[keep]
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(count, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(count, pa.int64()), pa.nulls(n, pa.binary())], names)
 
-        names, kind = ["doc", "n_shingles", "node", "token", "documents"], None
+        names, kind = ["doc", "n_shingles", "node", "token", "documents", "sketch"], None
+        seen = np.zeros(1 << shingles.SLOT_BITS, np.int64)
         for batch in batches:
             ids = batch.column("doc")
             kind = ids.type
             counts, nodes = [], []
-            for own in shingles.sets(*utf8_view(batch.column("text")), width):
+            for own in shingles.sets(*utf8_view(batch.column("text")), width, seen=seen):
                 counts.append(len(own))
                 if not len(own):
                     nodes.append(None)
@@ -87,11 +94,14 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                         held.clear()
                         size = 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         yield from frequent()
+        if kind is not None:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, pa.nulls(1, pa.binary()), none, none, pa.array([zlib.compress(seen.astype("<i8").tobytes(), 1)], pa.binary())], names)
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, n_shingles long, node binary, token long, documents long")
+    return docs.mapInArrow(run, f"doc {kind}, n_shingles long, node binary, token long, documents long, sketch binary")
 
 
 def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +118,39 @@ def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[by], rank[by]
 
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int) -> DataFrame:
+def word_weights(scan: DataFrame) -> np.ndarray:
+    """A weight from 0 to 255 for each slot of the word sketch, the logarithm of its
+    share of all words. The tasks' sketches are added up 64 at a time."""
+
+    def add(batches):
+        total = np.zeros(1 << shingles.SLOT_BITS, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(blob), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["sketch"])
+
+    left = scan.where("sketch is not null").select("sketch")
+    parts = left.count()
+    while parts > 1:
+        parts = -(-parts // 64)
+        left = materialize(left.repartition(parts).mapInArrow(add, "sketch binary"), "sketch")
+    total = np.zeros(1 << shingles.SLOT_BITS, np.int64)
+    for row in left.collect():  # one row of fixed size
+        total += np.frombuffer(zlib.decompress(row["sketch"]), "<i8")
+    share = np.maximum(total, 1) / max(1, total.sum())
+    return np.clip(np.round(8 * np.log2(share * (1 << 30))), 0, 255).astype(np.uint8)
+
+
+def _prefixes(docs: DataFrame, weight: np.ndarray, common: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int) -> DataFrame:
     """Per distinct set (at least once): node, its group, the set size and the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(common)
+    held = docs.sparkSession.sparkContext.broadcast((weight, *common))
 
     def run(batches):
-        token, rank = held.value
+        weight, token, rank = held.value
         for batch in batches:
             seen: set[bytes] = set()
             nodes, groups, sizes, flat, ends = [], [], [], [], [0]
-            for own in shingles.sets(*utf8_view(batch.column("text")), width):
+            for own, own_weight in shingles.sets(*utf8_view(batch.column("text")), width, weight):
                 if not len(own) or (d := shingles.digest(own)) in seen:
                     continue
                 seen.add(d)
@@ -125,7 +158,8 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int
                 at = np.searchsorted(token, own)
                 at[at == len(token)] = 0
                 is_common = token[at] == own if len(token) else np.zeros(len(own), bool)
-                prefix = own[~is_common][:most]
+                rare = own[~is_common]
+                prefix = rare[np.argsort(own_weight[~is_common], kind="stable")[:most]]  # by weight, then hash
                 if len(prefix) < most:
                     rest, place = own[is_common], rank[at[is_common]]
                     prefix = np.concatenate([prefix, rest[np.argsort(place)][: most - len(prefix)]])
@@ -251,24 +285,24 @@ def _cells(rows: DataFrame, payload: str, judge, parts: int) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def linked(rows: DataFrame, payload: str, judge) -> DataFrame:
-    """Links (a, b) that connect the members (bucket, member, n, payload) whose pairs ``judge`` accepts.
+def linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: str, judge) -> DataFrame:
+    """Links (a, b) that connect the members (bucket, member, n) whose pairs ``judge`` accepts.
 
-    Exact up to connectivity. First round: blocks of about BLOCK members and, in
-    every block, the bucket's pivot. Second round, for buckets of several blocks:
-    members outside the bucket's largest component so far are probes, compared with
-    every member of every block.
+    ``attach`` adds the payload that the judge needs. Exact up to connectivity. First
+    round: blocks of about BLOCK members and, in every block, the bucket's pivot.
+    Second round, for buckets of several blocks: members outside the bucket's largest
+    component so far are probes, compared with every member of every block.
     """
-    spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["bucket", "block", "probe", "is_probe", "member", "main", "n"]
     rows = rows.withColumn("h", F.xxhash64("member"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("h").alias("pivot")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    sized = rows.join(sizes.select("bucket", "pivot", "blocks"), "bucket")
+    sizes = materialize(sizes, "sizes")
     own_block = F.pmod(F.col("h"), F.col("blocks").cast("long")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    first = sized.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.col("h") == F.col("pivot")), everywhere).otherwise(F.array(own_block))))
-    plain = first.withColumns({"probe": F.lit(0), "is_probe": F.lit(False), "main": F.lit(False)})
-    links = materialize(_cells(plain, payload, judge, parts), "links")
+    first = rows.join(sizes, "bucket").withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.col("h") == F.col("pivot")), everywhere).otherwise(F.array(own_block))))
+    plain = first.withColumns({"probe": F.lit(0), "is_probe": F.lit(False), "main": F.lit(False)}).select(columns)
+    links = materialize(_cells(attach(plain), payload, judge, parts), "links")
 
     many = sizes.where("blocks > 1")
     if many.isEmpty():
@@ -276,15 +310,13 @@ def linked(rows: DataFrame, payload: str, judge) -> DataFrame:
     label = components(links)
     big = rows.join(many.select("bucket", "blocks"), "bucket").join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
     big = materialize(big, "large-buckets")
-    main = big.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"))
-    big = big.join(main, "bucket").withColumn("main", F.col("label") == F.col("top"))
-    probes = big.where(~F.col("main")).groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("probes"))
-    big = big.join(probes, "bucket")
+    main = big.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    main = main.where(F.col("all") > F.col("most")).withColumn("probes", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
+    big = big.join(main.select("bucket", "top", "probes"), "bucket").withColumn("main", F.col("label") == F.col("top"))
     over_probes, over_blocks = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
     base = big.withColumns({"block": own_block, "probe": F.explode(over_probes), "is_probe": F.lit(False)})
     probing = big.where(~F.col("main")).withColumns({"block": F.explode(over_blocks), "probe": F.pmod(F.shiftright("h", 20), F.col("probes").cast("long")).cast("int"), "is_probe": F.lit(True)})
-    columns = ["bucket", "block", "probe", "is_probe", "member", "main", "n", payload]
-    more = _cells(base.select(columns).unionAll(probing.select(columns)), payload, judge, parts)
+    more = _cells(attach(base.select(columns).unionAll(probing.select(columns))), payload, judge, parts)
     return links.unionAll(more)
 
 
@@ -304,8 +336,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     scan = materialize(_scan(rows, width), "sets")
-    common = frequent(scan)
-    found = materialize(_prefixes(rows, common, width, num, den), "prefixes")
+    found = materialize(_prefixes(rows, word_weights(scan), frequent(scan), width, num, den), "prefixes")
     node_group = found.groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"))
     groups = materialize(found.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
 
@@ -322,7 +353,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     posted = posted.withColumn("band", band).join(near, ["token", "band"], "left_semi")
     # four bytes of each shingle do for a filter: a clash can only let a pair through
     short = groups.select("grp", F.transform("prefix", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
-    posted = posted.join(short, "grp").select(F.col("token").alias("bucket"), F.col("grp").alias("member"), "n", "prefix")
+    posted = materialize(posted.select(F.col("token").alias("bucket"), F.col("grp").alias("member"), "n"), "members")
+
+    def with_prefix(members: DataFrame) -> DataFrame:
+        return members.join(short, members["member"] == short["grp"]).drop("grp")
 
     def prefix_judge(cell: pa.Table):
         members = cell["member"].to_pylist()
@@ -334,14 +368,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         sets = [np.unique(values[a:z]) for a, z in zip(ends[:-1], ends[1:])]
         return _judged(cell, members, _prefixes_meet(sets, cell["n"].to_numpy(), num, den))
 
-    coarse = components(linked(posted, "prefix", prefix_judge))
+    coarse = components(linked(posted, with_prefix, "prefix", prefix_judge))
 
     # expand: the nodes of each coarse component, each with the text of one document
     placed = node_group.join(coarse.withColumnRenamed("member", "grp"), "grp", "left").select("node", "n", F.coalesce("label", "grp").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     own = scan.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     wanted = materialize(placed.join(crowded, "bucket", "left_semi").join(own, "node"), "candidates")
-    texts = rows.join(wanted.hint("shuffle_hash"), rows["doc"].eqNullSafe(wanted["doc"])).select("bucket", F.col("node").alias("member"), "n", "text")
+    members = wanted.select("bucket", F.col("node").alias("member"), "n")
+
+    def with_text(members: DataFrame) -> DataFrame:
+        of = members.join(wanted.select(F.col("node").alias("member"), F.col("doc").alias("of")), "member")
+        return rows.join(of.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of"))).drop("doc", "of")
 
     def set_judge(cell: pa.Table):
         members = cell["member"].to_pylist()
@@ -354,9 +392,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             cell, members, sets = cell.take(held), [members[i] for i in held], [sets[i] for i in held]
         return _judged(cell, members, _sets_link(sets, num, den))
 
-    labels = components(linked(texts, "text", set_judge))
+    labels = components(linked(members, with_text, "text", set_judge))
     named = own.join(labels.withColumnRenamed("member", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     component = named.join(names, "label").select("node", "component_id")
-    out = scan.where("token is null").join(component, "node", "left")
+    out = scan.where("n_shingles is not null").join(component, "node", "left")
     return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))

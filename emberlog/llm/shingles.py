@@ -43,10 +43,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held
 
 
-def _slice_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
+def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin (and the last end)."""
     n = len(data)
     if n == 0:
-        return [np.zeros(0, U)] * (len(off) - 1)
+        return np.zeros(0, U), np.zeros(len(off), np.int64)
     solid = ~_SPACE[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
@@ -58,28 +59,53 @@ def _slice_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarra
     total = np.zeros(n + 1, U)
     np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], dtype=U, out=total[1:])
     word = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start])
-    bounds = np.searchsorted(start, off)
+    return word, np.searchsorted(start, off)
+
+
+#: Slots of the word sketch; a word's slot is the top of its hash.
+SLOT_BITS = 18
+
+
+def slot(word: np.ndarray) -> np.ndarray:
+    return (word >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slice_sets(word: np.ndarray, bounds: np.ndarray, width: int, weight: np.ndarray | None):
     rolled = np.zeros(max(0, len(word) - width + 1), U)
     for k in range(width if len(rolled) else 0):
         rolled = mix(rolled * U(_BASE) + word[k : k + len(rolled)])
-    out = []
+    if weight is not None:
+        own_weight = weight[slot(word)].astype(np.uint16)
+        heavy = np.zeros(len(rolled), np.uint16)
+        for k in range(width if len(rolled) else 0):
+            heavy += own_weight[k : k + len(rolled)]
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if z - a >= width:
-            out.append(np.unique(rolled[a : z - width + 1]))
-        elif z > a:
+            if weight is None:
+                yield np.unique(rolled[a : z - width + 1])
+            else:
+                own, first = np.unique(rolled[a : z - width + 1], return_index=True)
+                yield own, heavy[a:][first]
+            continue
+        own = np.zeros(0, U)
+        if z > a:
             own = np.full(1, U(z - a))
             for w in word[a:z]:
                 own = mix(own * U(_BASE) + w)
-            out.append(own)
-        else:
-            out.append(np.zeros(0, U))
-    return out
+        yield own if weight is None else (own, np.zeros(len(own), np.uint16))
+
 
+def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | None = None, seen: np.ndarray | None = None):
+    """The set of each text, as sorted hashes; texts are the slices of ``data`` between offsets.
 
-def sets(data: np.ndarray, off: np.ndarray, width: int):
-    """The set of each text, as sorted hashes; texts are the slices of ``data`` between offsets."""
+    With ``weight`` (by slot), pairs of a set and its shingles' weights, the sums over
+    their words. ``seen`` (by slot) is increased by every word.
+    """
     for i, j in slices_by_bytes(off, SLICE_BYTES):
-        yield from _slice_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
+        word, bounds = _slice_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        if seen is not None:
+            seen += np.bincount(slot(word), minlength=len(seen))
+        yield from _slice_sets(word, bounds, width, weight)
 
 
 def digest(hashes: np.ndarray, salt: bytes = b"") -> bytes:
