@@ -99,6 +99,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         if kind is not None:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, pa.nulls(1, pa.binary()), none, none, pa.array([zlib.compress(seen.astype("<i8").tobytes(), 1)], pa.binary())], names)
+        shingles.free()
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc {kind}, n_shingles long, node binary, token long, documents long, sketch binary")
@@ -170,6 +171,7 @@ def _prefixes(docs: DataFrame, weight: np.ndarray, common: tuple[np.ndarray, np.
                 ends.append(ends[-1] + len(prefix))
             values = np.concatenate([np.zeros(0, np.uint64), *flat]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["node", "grp", "n", "prefix"])
+        shingles.free()
 
     return docs.select("text").mapInArrow(run, "node binary, grp binary, n long, prefix array<long>")
 
@@ -279,6 +281,7 @@ def _cells(rows: DataFrame, payload: str, judge, parts: int) -> DataFrame:
             a.append(x)
             b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        shingles.free()
 
     ordered = rows.select("bucket", "block", "probe", "is_probe", "member", "main", "n", payload)
     ordered = ordered.repartition(parts, "bucket", "block", "probe").sortWithinPartitions("bucket", "block", "probe")
@@ -340,20 +343,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     node_group = found.groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"))
     groups = materialize(found.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
 
-    # buckets: shingles that two groups of about the same size have, one for each posting list
+    # buckets: shingles that two groups of about the same size have, one for each posting list.
+    # A clash of the short group numbers could only make two groups share what they link to,
+    # and nodes are verified on their sets.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short_id = F.xxhash64("grp")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    entries = groups.select(F.xxhash64("grp").alias("g"), "n", F.explode("prefix").alias("token"))
+    entries = groups.select(short_id.alias("g"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition(parts, "token")
     lists = entries.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor("g").alias("x"), F.min("g").alias("lo"), F.max("g").alias("hi"))
-    lists = lists.where((F.col("m") > 1) & ((F.col("m") > 2) | (den * F.col("least") >= num * F.col("most"))))
+    lists = lists.where((F.col("m") > 1) & ((F.col("m") > 2) | (den * F.col("least").cast("long") >= num * F.col("most").cast("long"))))
     kept = lists.groupBy("m", "x", "lo", "hi").agg(F.min("token").alias("token")).select("token")
-    entries = groups.select("grp", "n", F.explode("prefix").alias("token"))
     posted = materialize(entries.join(kept, "token"), "postings")
     near = posted.groupBy("token", band.alias("band")).agg(F.count("*").alias("k"))
     near = near.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("token", "band").agg(F.sum("k").alias("k")).where("k > 1").select("token", "band")
     posted = posted.withColumn("band", band).join(near, ["token", "band"], "left_semi")
+    member = F.unhex(F.lpad(F.hex("g"), 16, "0"))
+    posted = materialize(posted.select(F.col("token").alias("bucket"), member.alias("member"), F.col("n").cast("long").alias("n")), "members")
     # four bytes of each shingle do for a filter: a clash can only let a pair through
-    short = groups.select("grp", F.transform("prefix", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
-    posted = materialize(posted.select(F.col("token").alias("bucket"), F.col("grp").alias("member"), "n"), "members")
+    short = groups.select(F.unhex(F.lpad(F.hex(short_id), 16, "0")).alias("grp"), F.transform("prefix", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"))
 
     def with_prefix(members: DataFrame) -> DataFrame:
         return members.join(short, members["member"] == short["grp"]).drop("grp")
@@ -371,15 +378,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     coarse = components(linked(posted, with_prefix, "prefix", prefix_judge))
 
     # expand: the nodes of each coarse component, each with the text of one document
-    placed = node_group.join(coarse.withColumnRenamed("member", "grp"), "grp", "left").select("node", "n", F.coalesce("label", "grp").alias("bucket"))
+    grouped = node_group.withColumn("grp", F.unhex(F.lpad(F.hex(short_id), 16, "0")))
+    placed = grouped.join(coarse.withColumnRenamed("member", "grp"), "grp", "left").select("node", "n", F.coalesce("label", "grp").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     own = scan.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     wanted = materialize(placed.join(crowded, "bucket", "left_semi").join(own, "node"), "candidates")
     members = wanted.select("bucket", F.col("node").alias("member"), "n")
 
+    # texts are looked up once; all later rounds read the few that are needed
+    texts = rows.join(wanted.select("node", F.col("doc").alias("of")).hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of"))).select("node", "text")
+    texts = materialize(texts, "texts")
+
     def with_text(members: DataFrame) -> DataFrame:
-        of = members.join(wanted.select(F.col("node").alias("member"), F.col("doc").alias("of")), "member")
-        return rows.join(of.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of"))).drop("doc", "of")
+        return members.join(texts, members["member"] == texts["node"]).drop("node")
 
     def set_judge(cell: pa.Table):
         members = cell["member"].to_pylist()

@@ -108,5 +108,10 @@ def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | Non
         yield from _slice_sets(word, bounds, width, weight)
 
 
+def free() -> None:
+    """Let go of the tables of powers, for workers that go on with other operators."""
+    _POWERS.clear()
+
+
 def digest(hashes: np.ndarray, salt: bytes = b"") -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16, key=salt).digest()
