@@ -28,7 +28,7 @@ def cache_key(kind: str, query_version: int, params: dict) -> str:
 
 
 def segment(value: str | None, most: int = 64) -> str:
-    return re.sub(r"[^\w-]", "_", value or "_")[:most]
+    return re.sub(r"[^\w-]", "_", value or "none")[:most]
 
 
 def path_for(root: str, kind: str, report_code: str | None, key: str) -> str:
