@@ -92,3 +92,10 @@ def slices_by_bytes(off: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((i, j))
         i = j
     return out
+
+
+def text_groups(arr: pa.Array, most: int):
+    """The values of a string array as lists of about ``most`` bytes together, made one at a time."""
+    _, off = utf8_view(arr)
+    for i, j in slices_by_bytes(off, most):
+        yield arr.slice(i, j - i).to_pylist()

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberlog.llm import tokens
-from emberlog.llm.common import materialize, text_or_empty, tokenizer_path
+from emberlog.llm.common import materialize, text_groups, text_or_empty, tokenizer_path
 
-GROUP_CHARS = 2 << 20
+GROUP_BYTES = 2 << 20
 #: Pieces of one length that one task numbers.
-RANKED_TOGETHER = 4000
+RANKED_TOGETHER = 500
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -96,7 +96,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, pa
         enc = tokens.encoder(path or tokenizer_path(vocabulary), True, False)
         for batch in batches:
             row, totals, starts, lengths, crcs, kept, at = [], [], [], [], [], [], 0
-            for group in tokens.groups(batch.column("text").to_pylist(), GROUP_CHARS):
+            for group in text_groups(batch.column("text"), GROUP_BYTES):
                 flat, counts = enc.token_ids(group)
                 ends = np.cumsum(counts)
                 for a, z in zip((ends - counts).tolist(), ends.tolist()):

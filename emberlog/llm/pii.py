@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from emberlog.llm.common import text_or_empty
+from emberlog.llm.common import text_groups, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Bytes of text that are decoded together.
+GROUP_BYTES = 4 << 20
 KINDS = (*BASE_KINDS, "url", "iban", "account", "ssn")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -152,7 +154,7 @@ def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     @arrow_udf("array<struct<kind:string,start:int,end:int>>")
     def found(text: pa.Array) -> pa.Array:
         per_text, kinds, starts, ends = [0], [], [], []
-        for t in text.to_pylist():
+        for t in (t for group in text_groups(text, GROUP_BYTES) for t in group):
             for kind, a, z in spans(t):
                 kinds.append(kind)
                 starts.append(a)

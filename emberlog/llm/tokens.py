@@ -52,7 +52,7 @@ class PieceEncoder:
     Beyond ``memo`` pieces it starts anew before the next group.
     """
 
-    def __init__(self, path: str, words: bool, lengths_only: bool, per_row: int = 64, memo: int = 1_500_000):
+    def __init__(self, path: str, words: bool, lengths_only: bool, per_row: int = 64, memo: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
