@@ -58,3 +58,23 @@ def profiles(spark: SparkSession, config: dict, known_types: set[str] | None = N
         if unknown:
             raise ValueError(f"unknown event types: {', '.join(unknown)}")
     return spark.createDataFrame(rows, "profile string, event_types array<string>, include_combatant_info boolean")
+
+
+def sample_profile(config: dict, name: str) -> dict:
+    """A sample profile; what it refers to has to exist."""
+    found = (config.get("sample_profiles") or {}).get(name)
+    if found is None:
+        raise KeyError(f"no sample profile {name}")
+    known = {b[0] for b in brackets(config)}
+    missing = [b for b in found.get("key_brackets") or [] if b not in known]
+    if missing or found.get("event_profile") not in (None, *(config.get("event_profiles") or {})):
+        raise ValueError(f"sample profile {name} refers to what isn't there: {', '.join(missing) or found.get('event_profile')}")
+    return found
+
+
+def overlay_yaml(matched: DataFrame) -> str:
+    """An overlay with the identities (encounter_id) of matched dungeons, as YAML; only their keys and ids."""
+    import yaml
+
+    rows = matched.where("state = 'matched'").orderBy("key").collect()  # one per configured dungeon
+    return yaml.safe_dump({"dungeons": [{"key": r["key"], "encounter_ids": [r["encounter_id"]]} for r in rows]}, sort_keys=False)
