@@ -30,7 +30,7 @@ TABLES: dict[str, str] = {
     ),
     "dungeon_runs": (
         "run_id STRING NOT NULL, report_code STRING NOT NULL, fight_id BIGINT NOT NULL, dungeon_key STRING, encounter_id BIGINT, game_zone_id BIGINT, "
-        "game_zone_name STRING, wcl_zone_id BIGINT, rel_start_ms BIGINT NOT NULL, rel_end_ms BIGINT NOT NULL, abs_start_ms BIGINT NOT NULL, "
+        "game_zone_name STRING, log_zone_id BIGINT, rel_start_ms BIGINT NOT NULL, rel_end_ms BIGINT NOT NULL, abs_start_ms BIGINT NOT NULL, "
         "abs_end_ms BIGINT NOT NULL, duration_ms BIGINT NOT NULL, keystone_level BIGINT, keystone_affixes STRING, keystone_bonus BIGINT, "
         "keystone_time_ms BIGINT, rating DOUBLE, count_reached BIGINT, count_required BIGINT, average_item_level DOUBLE, kill BIGINT, timed BIGINT, "
         "size BIGINT, npc_count_map STRING, hotfix_epoch STRING NOT NULL, key_bracket STRING, duplicate_group_id STRING, is_canonical BIGINT, "
@@ -50,7 +50,7 @@ TABLES: dict[str, str] = {
         "game_id BIGINT NOT NULL, name STRING, icon STRING, type STRING, first_seen DOUBLE NOT NULL, last_seen DOUBLE NOT NULL"
     ),
     "pulls": (
-        "pull_id STRING NOT NULL, run_id STRING NOT NULL, wcl_pull_id BIGINT NOT NULL, pull_index BIGINT NOT NULL, name STRING, encounter_id BIGINT, "
+        "pull_id STRING NOT NULL, run_id STRING NOT NULL, log_pull_id BIGINT NOT NULL, pull_index BIGINT NOT NULL, name STRING, encounter_id BIGINT, "
         "is_boss BIGINT NOT NULL, rel_start_ms BIGINT NOT NULL, rel_end_ms BIGINT NOT NULL, run_rel_start_ms BIGINT NOT NULL, "
         "run_rel_end_ms BIGINT NOT NULL, abs_start_ms BIGINT NOT NULL, abs_end_ms BIGINT NOT NULL, duration_ms BIGINT NOT NULL, kill BIGINT, x BIGINT, "
         "y BIGINT, map_ids STRING, bounding_box STRING, composition_signature STRING, npc_species_count BIGINT, npc_total_count BIGINT, "
