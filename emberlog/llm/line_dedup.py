@@ -2,10 +2,14 @@
 
 A text is a sequence of lines. A rolling hash over the hashes of ``window`` lines
 decides after which lines a chunk ends, so boundaries move with the text: lines
-put in before a shared passage do not shift the boundaries inside it. A chunk
-counts as a passage if it has ``min_lines`` lines or, being one long line, more
-than ``long_words`` words. A passage that occurs again anywhere is removed; the
-occurrence with the smallest (id, place) stays.
+put in before a shared passage do not shift the boundaries inside it. A line of
+more than ``long_words`` words, a paragraph on one line, is always a chunk of its
+own. A chunk counts as a passage if it has ``min_lines`` lines or is such a long
+line. A passage that occurs again anywhere is removed; the occurrence with the
+smallest (id, place) stays. If a document loses a passage, and each chunk that is
+left of it, single lines now, has its first occurrence in another document, these
+residues go as well: so copies of a document leave nothing behind, and every line
+that goes still stands where it came first.
 
 Equal hashes only nominate chunks. The bytes decide: nominated chunks are grouped
 by their whole text, and only equal texts count as repeated.
@@ -45,36 +49,39 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
 def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """``docs`` with ``_lines`` and ``_chunks``: (start, size, hash, passage) of each chunk, in order.
 
-    A chunk ends after a line where the rolling hash is divisible by ``every``.
+    A chunk ends after a line where the rolling hash is divisible by ``every``, and
+    on both sides of a long line.
     """
     df = _fixed(docs, _lines=F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     hashes = F.transform("_lines", lambda line: F.xxhash64(line))
     small = F.transform(hashes, lambda h: F.pmod(h, F.lit(_WINDOW_MOD)))
-    df = _fixed(df, _hash=hashes, _small=small)
+    # fewer characters can't hold so many words
+    long = F.transform("_lines", lambda line: (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")) > long_words))
+    df = _fixed(df, _hash=hashes, _small=small, _long=long)
 
     def ends(h: Column, i: Column) -> Column:
         rolled = F.lit(0).cast("long")
         for back in range(window - 1, -1, -1):
             rolled = F.pmod(rolled * _WINDOW_BASE + F.coalesce(F.get("_small", i - back), F.lit(0).cast("long")), F.lit(_WINDOW_MOD))
-        return (F.pmod(F.shiftright(rolled, 3), F.lit(every)) == 0) | (i == F.size("_small") - 1)
+        at_long = F.get("_long", i) | F.coalesce(F.get("_long", i + 1), F.lit(False))
+        return (F.pmod(F.shiftright(rolled, 3), F.lit(every)) == 0) | at_long | (i == F.size("_small") - 1)
 
     df = _fixed(df, _ends=F.filter(F.transform("_small", lambda h, i: F.when(ends(h, i), i + 1)), lambda e: e.isNotNull()))
 
     def chunk(e: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1))
         size = e - start
-        words = F.size(F.split(F.trim(F.get("_lines", start)), "[\\x20\\x09-\\x0D]+"))
-        passage = (size >= min_lines) | ((size == 1) & (words > long_words))
+        passage = (size >= min_lines) | F.get("_long", start)
         return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("_hash", start + 1, size)).alias("hash"), passage.alias("passage"))
 
-    return _fixed(df, _chunks=F.transform("_ends", chunk)).drop("_hash", "_small", "_ends")
+    return _fixed(df, _chunks=F.transform("_ends", chunk)).drop("_hash", "_small", "_long", "_ends")
 
 
-def _passages(df: DataFrame, with_text: bool) -> DataFrame:
-    """A row per passage: row key, chunk number, hash[, its text]."""
-    rows = df.select("_id", "_row", *["_lines"] * with_text, F.posexplode("_chunks").alias("k", "c")).where("c.passage")
-    text = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.size")), "\n").alias("passage")
-    return rows.select("_id", "_row", "k", F.col("c.hash").alias("hash"), *[text] * with_text)
+def _chunk_rows(df: DataFrame, with_text: bool) -> DataFrame:
+    """A row per chunk: row key, chunk number, hash, whether it is a passage[, its text]."""
+    rows = df.select("_id", "_row", *["_lines"] * with_text, F.posexplode("_chunks").alias("k", "c"))
+    text = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.size")), "\n").alias("chunk")
+    return rows.select("_id", "_row", "k", F.col("c.hash").alias("hash"), F.col("c.passage").alias("passage"), *[text] * with_text)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
@@ -83,28 +90,34 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     keyed = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
     cut = chunked(keyed, text_col, window, every, min_lines, long_words)
 
-    nominated = materialize(_passages(cut, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    nominated = materialize(_chunk_rows(cut, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
     wanted = F.broadcast(nominated) if nominated.count() <= MAX_BROADCAST else nominated
-    found = _passages(cut, True).join(wanted, "hash", "left_semi")
+    found = _chunk_rows(cut, True).join(wanted, "hash", "left_semi")
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("k").alias("k"))
-    texts = found.groupBy("hash", "passage").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    equal = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.collect_list(F.when(F.col("n") > 1, F.struct(F.sha2("passage", 256).alias("sha"), "first"))).alias("repeated")).where(F.size("repeated") > 0)
+    texts = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    equal = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.collect_list(F.when(F.col("n") > 1, F.struct(F.sha2("chunk", 256).alias("sha"), "first"))).alias("repeated")).where(F.size("repeated") > 0)
     equal = materialize(equal, "repeated")
 
     # one text for a hash is the rule; where a hash has several, the text tells them apart
     single = equal.where("texts = 1").select("hash", F.col("repeated")[0]["first"].alias("first"))
     clash = equal.where("texts > 1").select("hash", F.explode("repeated").alias("r")).select("hash", "r.sha", "r.first")
-    removed = _passages(cut, False).join(single, "hash").where(place != F.col("first")).select("_id", "_row", "k")
+    again = _chunk_rows(cut, False).join(single, "hash").select("_id", "_row", "k", "passage", "first")
     if not clash.isEmpty():
-        own = found.withColumn("sha", F.sha2("passage", 256)).join(clash, ["hash", "sha"])
-        removed = removed.unionAll(own.where(place != F.col("first")).select("_id", "_row", "k"))
-    removed = removed.groupBy("_id", "_row").agg(F.collect_set("k").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
-
-    out = cut.join(removed, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_row").eqNullSafe(F.col("_row2")), "left")
+        own = found.withColumn("sha", F.sha2("chunk", 256)).join(clash, ["hash", "sha"])
+        again = again.unionAll(own.select("_id", "_row", "k", "passage", "first"))
+    gone = F.col("passage") & (place != F.col("first"))
+    elsewhere = ~F.col("passage") & ~(F.col("first.id").eqNullSafe(F.col("_id")) & F.col("first.row").eqNullSafe(F.col("_row")))
+    removed = again.groupBy("_id", "_row").agg(F.collect_set(F.when(gone, F.col("k"))).alias("_gone"), F.collect_set(F.when(elsewhere, F.col("k"))).alias("_residue")).where(F.size("_gone") > 0)
+    removed = removed.withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
+
+    # the texts are shuffled once and as they are; only those that lose something are cut again
+    counted = cut.select(*docs.columns, "_id", "_row", F.size("_chunks").cast("long").alias("n_chunks"))
+    out = counted.join(removed, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_row").eqNullSafe(F.col("_row2")), "left")
+    affected = F.col("_gone").isNotNull()
+    out = chunked(out.withColumn("_text", F.when(affected, F.col(text_col))), "_text", window, every, min_lines, long_words)
+    nothing_own = F.size("_gone") + F.size("_residue") == F.size("_chunks")
+    out = out.withColumn("_gone", F.when(nothing_own, F.array_union("_gone", "_residue")).otherwise(F.col("_gone")))
     lines = F.flatten(F.transform(F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k)), lambda c: F.slice("_lines", c["start"] + 1, c["size"])))
-    added = {
-        text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")),
-        "n_chunks": F.size("_chunks").cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    }
-    return out.select(*[added[c].alias(c) if c == text_col else F.col(c) for c in docs.columns], added["n_chunks"].alias("n_chunks"), added["n_removed"].alias("n_removed"))
+    text = F.when(affected, F.array_join(lines, "\n")).otherwise(F.col(text_col))
+    n_removed = F.when(affected, F.size("_gone")).otherwise(0).cast("long").alias("n_removed")
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "n_chunks", n_removed)
