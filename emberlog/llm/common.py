@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +47,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session have ``rows`` rows at most. Texts are long, and
+    the JVM and Python both hold a batch whole."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files
     that outlive any executor, and later readers see one fixed set of rows."""
@@ -62,6 +75,31 @@ def drop_scratch(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def hold(owner: str, free) -> None:
+    """Register what a worker process keeps between tasks, and how to let go of it."""
+    _HELD[owner] = free
+
+
+def trim() -> None:
+    """Give freed memory back; glibc keeps it otherwise, and workers live on idle."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def enter(owner: str) -> None:
+    """Called where an operator's Python begins: other operators' memory in this worker is
+    freed, so a worker that serves one after another never holds the sum of them."""
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        trim()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

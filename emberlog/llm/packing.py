@@ -28,10 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from emberlog.llm import tokens
-from emberlog.llm.common import materialize, text_groups, text_or_empty, tokenizer_path
+from emberlog.llm import word_encoder
+from emberlog.llm.common import materialize, slices_by_bytes, small_batches, text_or_empty, tokenizer_path, trim, utf8_view
 
-GROUP_BYTES = 2 << 20
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 1 << 18
 #: Pieces of one length that one task numbers.
 RANKED_TOGETHER = 500
 
@@ -93,11 +94,12 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, pa
     """Pieces (doc, doc_tokens, start, length, ids_crc32[, ids]) of rows (doc, text)."""
 
     def cut(batches):
-        enc = tokens.encoder(path or tokenizer_path(vocabulary), True, False)
+        enc = word_encoder.encoder(path or tokenizer_path(vocabulary))
         for batch in batches:
             row, totals, starts, lengths, crcs, kept, at = [], [], [], [], [], [], 0
-            for group in text_groups(batch.column("text"), GROUP_BYTES):
-                flat, counts = enc.token_ids(group)
+            data, off = utf8_view(batch.column("text"))
+            for i, j in slices_by_bytes(off, GROUP_BYTES):
+                flat, counts = enc.token_ids(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ends = np.cumsum(counts)
                 for a, z in zip((ends - counts).tolist(), ends.tolist()):
                     ids = np.append(flat[a:z], np.uint32(end_id)).astype("<u4")
@@ -112,6 +114,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, pa
                             kept.append(own.astype(np.int32))
                     at += 1
             columns = [batch.column("doc").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (totals, starts, lengths, crcs))]
+            trim()
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, ["doc", "doc_tokens", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
     kind = docs.schema["doc"].dataType.simpleString()
@@ -124,6 +127,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A sequence's pieces lie at offsets without gaps from 0; what a sequence
     lacks to ``size`` is padding.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
     pieces = materialize(cut_into_pieces(rows, vocabulary, end_id, size, path, keep_ids), "pieces")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberlog.llm import tokens
-from emberlog.llm.common import text_groups, text_or_empty, tokenizer_path
+from emberlog.llm.common import small_batches, text_groups, text_or_empty, tokenizer_path, trim
 
 #: Bytes of text that are cut and encoded together.
 GROUP_BYTES = 4 << 20
@@ -28,10 +28,13 @@ GROUP_BYTES = 4 << 20
 def with_token_counts(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", limit: int = 1024, path: str | None = None) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit. ``path`` overrides the place of the vocabulary file."""
 
+    small_batches(df.sparkSession)
+
     @arrow_udf("long")
     def n_tokens(text: pa.Array) -> pa.Array:
-        enc = tokens.encoder(path or tokenizer_path(vocabulary), False, True)
+        enc = tokens.counter(path or tokenizer_path(vocabulary))
         counts = [enc.count_tokens(group) for group in text_groups(text, GROUP_BYTES)]
+        trim()
         return pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
 
     return df.withColumns({"n_bytes": F.octet_length(text_or_empty(text_col)).cast("long"), "n_tokens": n_tokens(text_or_empty(text_col))}).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

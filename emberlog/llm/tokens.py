@@ -1,7 +1,7 @@
 """Tokenising through pieces cut at safe boundaries.
 
-Both vocabularies cut a text into pre-tokens before any merge, so a text may be
-cut wherever no pre-token, and no special string, can span the cut. Pieces
+A byte-level pre-tokeniser starts a pre-token before every single space that stands
+between two other characters, so a text may be cut there before any merge. Pieces
 repeat far more often than texts do; each worker encodes a piece once and keeps
 the result in a bounded memo, which changes speed alone.
 """
@@ -14,77 +14,33 @@ from itertools import chain
 
 import numpy as np
 
+from emberlog.llm.common import enter, hold
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A cut before one space or line feed that stands between two other characters:
 #: the byte-level pre-tokeniser starts a pre-token there in any context.
 BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: For a pre-tokeniser that drops white space: the runs between white space.
-AT_SPACE = re.compile(r"[\x20\t\n\r]+")
-#: Separators that str.split knows and the pre-tokenisers don't.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: A run of letters and the marks behind it are separate pre-tokens.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!#$%&*;:?]+)")
-
-
-class _Numbers(dict):
-    """Numbers new keys in the order in which they are asked for."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+class RowEncoder:
+    """Encodes many short strings: rows of them are joined by a special token, which the
+    tokenizer takes out of a text before anything else is done to it."""
 
-
-class PieceEncoder:
-    """Encodes texts piece by piece; ``lengths_only`` keeps token counts, not ids.
-
-    ``words`` says that the pre-tokeniser drops white space and case: then pieces
-    are what stands between white space, and a word and the marks behind it are
-    encoded apart. Otherwise texts are cut before single spaces.
-
-    New pieces are encoded in rows of ``per_row`` pieces and batches of as many
-    rows. The memo numbers the pieces; their counts and ids lie in flat arrays.
-    Beyond ``memo`` pieces it starts anew before the next group.
-    """
-
-    def __init__(self, path: str, words: bool, lengths_only: bool, per_row: int = 64, memo: int = 1_200_000):
+    def __init__(self, path: str, lengths_only: bool, per_row: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.lengths_only = words, lengths_only
-        self.per_row, self.memo = per_row, memo
+        self.lengths_only, self.per_row = lengths_only, per_row
         added = self.tokenizer.get_added_tokens_decoder().items()
         special = sorted((t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.mark = special[0] if special else (None, -1)
-        self.added = [t.content.lower() for _, t in added]
-        self._reset()
+        self.added = [t.content for _, t in added]
 
-    def _reset(self) -> None:
-        self.number = _Numbers()
-        self.counts = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _cut(self, text: str) -> list[str]:
-        if not self.words:
-            return BEFORE_SINGLE_SPACE.split(text)
-        if text.isascii():
-            lowered = text.lower()
-            if not any(a in lowered for a in self.added):
-                text = lowered
-        return AT_SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-
-    def _encode_rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and ids. Rows of pieces are held apart by a special token, which is
-        taken out of a text before anything else is done to it; pieces that hold
-        that token's string stand alone."""
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of the pieces. Those that hold the joining string stand alone."""
         mark, mark_id = self.mark
         rows: list[list[str]] = []
         for piece in pieces:
@@ -109,55 +65,45 @@ class PieceEncoder:
                     ids.append(own)
         return np.concatenate(counts), np.concatenate(ids)
 
-    def _keep(self, counts: np.ndarray, ids: np.ndarray) -> None:
-        self.counts = np.concatenate([self.counts, counts])
-        if not self.lengths_only:
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.ids = np.concatenate([self.ids, ids])
 
-    def _encode_new(self) -> None:
-        """Fill in what the pieces numbered since the last call hold."""
-        new, self.number.new = self.number.new, []
-        if not self.words:
-            self._keep(*self._encode_rows(new))
-            return
-        matched = [_WORD_AND_MARKS.fullmatch(p) for p in new]
-        parts = _Numbers()
-        pairs = [(parts[m[1]], parts[m[2]]) if m else (parts[p], -1) for p, m in zip(new, matched)]
-        counts, ids = self._encode_rows(parts.new)
-        both = np.array(pairs, np.int64).ravel()
-        both = both[both >= 0]
-        total = counts[both]
-        per_new = np.array([2 if m else 1 for m in matched])
-        first = np.cumsum(per_new) - per_new
-        self._keep(np.add.reduceat(total, first), _gather(ids, (np.cumsum(counts) - counts)[both], total) if not self.lengths_only else ids)
-
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all pieces of the texts in order, and how many each text has."""
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class PieceCounter:
+    """Token counts of texts, piece by piece. Beyond ``memo`` pieces the memo starts anew."""
+
+    def __init__(self, path: str, memo: int = 1_000_000):
+        self.rows, self.memo = RowEncoder(path, lengths_only=True), memo
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number = _Numbers()
+        self.counts = np.zeros(0, np.int64)
+
+    def count_tokens(self, texts: list[str]) -> np.ndarray:
         if len(self.number) > self.memo:
             self._reset()
-        cut = [self._cut(t) for t in texts]
+        cut = [BEFORE_SINGLE_SPACE.split(t) for t in texts]
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))
-        if self.number.new:
-            self._encode_new()
-        return numbers, per_text
-
-    def count_tokens(self, texts: list[str]) -> np.ndarray:
-        numbers, per_text = self.pieces(texts)
-        total = np.concatenate([[0], np.cumsum(self.counts[numbers])])
-        ends = np.cumsum(per_text)
+        new, self.number.new = self.number.new, []
+        if new:
+            self.counts = np.concatenate([self.counts, self.rows.encode(new)[0]])
+        total, ends = np.concatenate([[0], np.cumsum(self.counts[numbers])]), np.cumsum(per_text)
         return total[ends] - total[ends - per_text]
 
-    def token_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each text has."""
-        numbers, per_text = self.pieces(texts)
-        counts = self.counts[numbers]
-        total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(per_text)
-        return _gather(self.ids, self.starts[numbers], counts), total[ends] - total[ends - per_text]
-
 
-def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The stretches of ``values`` one after another."""
     before = np.cumsum(counts) - counts
     return values[np.repeat(starts - before, counts) + np.arange(counts.sum())]
@@ -173,12 +119,13 @@ def groups(texts: list[str], most: int):
             start, size = i + 1, 0
 
 
-_ENCODERS: dict = {}
+_COUNTERS: dict[str, PieceCounter] = {}
 
 
-def encoder(path: str, words: bool, lengths_only: bool) -> PieceEncoder:
-    """One encoder for each worker process, file and kind."""
-    key = (path, words, lengths_only)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, words, lengths_only)
-    return _ENCODERS[key]
+def counter(path: str) -> PieceCounter:
+    """One counter for each worker process and file."""
+    enter("tokens")
+    hold("tokens", _COUNTERS.clear)
+    if path not in _COUNTERS:
+        _COUNTERS[path] = PieceCounter(path)
+    return _COUNTERS[path]

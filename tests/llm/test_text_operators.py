@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 import brute
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm import exact_dedup, language_id, line_dedup, packing, pii, secrets, token_counts, tokens
-from emberlog.llm.common import tokenizer_path
+from emberlog.llm import exact_dedup, language_id, line_dedup, packing, pii, secrets, token_counts, tokens, word_encoder
+from emberlog.llm.common import tokenizer_path, utf8_view
 
 ODD = ["", " ", "  a", "a\n\nb", " a<|endoftext|> b <|ENDOFTEXT|>", "don't we'll 'S x", "a\x1cb c\x1d d", "é é́ ́x", "\t\ta\r\n b\r\nc", "x" * 5000, "ΑΣ ΟΔΟΣ İI", "　a 　 b", "a\u0085b \u0085 c", "Word, word. WORD!! it's H̱", "🙂 🙂🙂 a🙂 b", None]
 
@@ -35,11 +36,28 @@ def test_token_counts_are_the_librarys(spark):
     assert token_counts.with_token_counts(frame(spark, [])).count() == 0
 
 
-def test_memo_starts_anew():
-    enc = tokens.PieceEncoder(tokenizer_path("word_bpe_49k.json"), True, False, memo=5)
+@pytest.mark.parametrize("memo", [5, 100_000])
+def test_word_encoder_gives_the_librarys_ids(memo):
+    enc = word_encoder.WordEncoder(tokenizer_path("word_bpe_49k.json"), memo)
     whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [t or "" for t in odd_texts()]
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        data, off = utf8_view(pa.array(part))
+        ids, counts = enc.token_ids(data, off)
+        want = [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    # one text with more new pieces than the table has places
+    long = " ".join(f"w{i}x" for i in range(1500))
+    ids, counts = enc.token_ids(*utf8_view(pa.array([long])))
+    assert ids.tolist() == whole.encode(long, add_special_tokens=False).ids == ids[: counts[0]].tolist()
+
+
+def test_memo_starts_anew():
+    enc = tokens.PieceCounter(tokenizer_path("byte_bpe_50k.json"), memo=5)
+    whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     for text in [t or "" for t in odd_texts()[:300]]:
-        assert enc.token_ids([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert enc.count_tokens([text]).tolist() == [len(whole.encode(text, add_special_tokens=False).ids)]
 
 
 @pytest.mark.parametrize("together", [4000, 5])
@@ -172,6 +190,8 @@ def passages(seed):
     for i in range(60):
         lines = [line() for _ in range(rng.randint(0, 6))] + rng.choice(shared) + [line() for _ in range(rng.randint(0, 6))]
         out.append((i, "\n".join(lines)))
+    paragraph = "p " * 55
+    out += [(61, f"own line\n{paragraph}\nanother"), (62, f"x\ny\n{paragraph}\nz"), (63, paragraph)]
     return out + [(70, None), (71, ""), (72, "\n\n\n"), (73, "\n\n\n"), (74, out[0][1]), (75, "w " * 60), (76, "w " * 60), (77, "a\r\nb\r\nc"), (None, out[1][1]), (79, "\n".join(line() for _ in range(3000)))]
 
 
@@ -179,6 +199,8 @@ def test_line_dedup_as_brute_force(spark):
     rows = passages(1)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
     got = line_dedup.dedup(df)
+    rest = {r.doc_id: r.text for r in got.collect()}
+    assert rest[61].count("p p") and not rest[62].count("p p") and rest[63] == ""
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str) == brute.line_dedup(rows)
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
