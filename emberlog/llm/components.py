@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from emberlog.llm.common import drop_scratch, materialize
+from emberlog.llm.common import drop_scratch, enter, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -55,6 +55,7 @@ def union_find(pairs) -> dict:
 
 def _in_one_task(links: DataFrame) -> DataFrame:
     def run(batches):
+        enter("components")
         found = union_find(p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         members = list(found)
         for i in range(0, len(members), 10_000):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import utf8_view
+from emberlog.llm.common import enter, small_batches, trim, utf8_view
 from emberlog.llm.fm_index import FMIndex
 
 #: Windows that one pass searches for (13 four-byte symbols each), which bounds what is broadcast.
@@ -162,6 +162,7 @@ def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str
     held = df.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
+        enter("decontaminate")
         waiting: list[pa.RecordBatch] = []
         shard = Shard(held.value)
 
@@ -195,6 +196,7 @@ def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str
                         yield from flush()
         if waiting:
             yield from flush()
+        trim()
 
     return df.mapInArrow(run, df.schema)
 
@@ -206,10 +208,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
     ``items`` are the ids, as text and sorted, of the items with an occurring window.
     Columns of ``docs`` that have these names are replaced.
     """
+    small_batches(docs.sparkSession)
     added = ("n_words", "n_hit", "spans", "items")
     kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
-    hidden = "_searched_text"
-    df = docs.select(*kept, F.col(text_col).alias(hidden), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    hidden = text_col if text_col in kept else "_searched_text"
+    df = docs.select(*kept, *[F.col(text_col).alias(hidden)] * (hidden not in kept), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     df = df.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     passes = 0
     for windows in slices(benchmark, id_col, item_text_col, width):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberlog.llm import tokens
+from emberlog.llm.common import enter, small_batches, trim
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -125,6 +126,7 @@ class Model:
     def fit(rows: DataFrame, key: Column, label_col: str, text_col: str, sample_per_label: int = 2000, smoothing: float = 0.3) -> Model:
         """Fit on about ``sample_per_label`` rows of each label, chosen by ``key``."""
         spark = rows.sparkSession
+        small_batches(spark)
         known = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("draw"))
         sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
         if len(sizes) > MAX_LABELS:
@@ -136,6 +138,7 @@ class Model:
         sample = sample.repartition(max(1, sum(min(n, sample_per_label) for n in sizes.values()) // 500))
 
         def count(batches):
+            enter("language_id")
             held: dict[str, np.ndarray] = {}
             for batch in batches:
                 label, text = batch.column("label").to_pylist(), batch.column("text").to_pylist()
@@ -157,10 +160,12 @@ class Model:
 
     def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """``df`` with lang_pred and score."""
+        small_batches(df.sparkSession)
         held = df.sparkSession.sparkContext.broadcast((self.labels, self.prior, self.matrix))
 
         @arrow_udf("struct<lang_pred:string,score:double>")
         def predicted(text: pa.Array) -> pa.Array:
+            enter("language_id")
             labels, prior, matrix = held.value
             texts = text.to_pylist()
             if labels:
@@ -168,6 +173,7 @@ class Model:
             else:
                 best, score = np.full(len(texts), -1), np.zeros(len(texts))
             names = np.array([*labels, UNKNOWN], object)
+            trim()
             return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
         return df.withColumn("_lang", predicted(F.col(text_col))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")

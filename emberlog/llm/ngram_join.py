@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import shingles
-from emberlog.llm.common import drop_scratch, materialize, utf8_view
+from emberlog.llm.common import materialize, small_batches, trim, utf8_view
 from emberlog.llm.components import components
 
 #: Shingles whose documents are counted together, for finding frequent ones.
-COUNTED_TOGETHER = 4_000_000
+COUNTED_TOGETHER = 2_000_000
 #: A shingle that this share of all documents has is found frequent for sure; its
 #: count then only places it in the order and never affects a result.
 FREQUENT_SHARE = 0.0005
@@ -148,8 +148,8 @@ def _prefixes(docs: DataFrame, weight: np.ndarray, common: tuple[np.ndarray, np.
 
     def run(batches):
         weight, token, rank = held.value
+        seen: set[bytes] = set()
         for batch in batches:
-            seen: set[bytes] = set()
             nodes, groups, sizes, flat, ends = [], [], [], [], [0]
             for own, own_weight in shingles.sets(*utf8_view(batch.column("text")), width, weight):
                 if not len(own) or (d := shingles.digest(own)) in seen:
@@ -171,7 +171,7 @@ def _prefixes(docs: DataFrame, weight: np.ndarray, common: tuple[np.ndarray, np.
                 ends.append(ends[-1] + len(prefix))
             values = np.concatenate([np.zeros(0, np.uint64), *flat]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["node", "grp", "n", "prefix"])
-        shingles.free()
+        trim()
 
     return docs.select("text").mapInArrow(run, "node binary, grp binary, n long, prefix array<long>")
 
@@ -281,7 +281,7 @@ def _cells(rows: DataFrame, payload: str, judge, parts: int) -> DataFrame:
             a.append(x)
             b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-        shingles.free()
+        trim()
 
     ordered = rows.select("bucket", "block", "probe", "is_probe", "member", "main", "n", payload)
     ordered = ordered.repartition(parts, "bucket", "block", "probe").sortWithinPartitions("bucket", "block", "probe")
@@ -337,6 +337,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     Two documents link when ``den * intersection >= num * union``; component_id is
     the smallest id that links reach, the own one included.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     scan = materialize(_scan(rows, width), "sets")
     found = materialize(_prefixes(rows, word_weights(scan), frequent(scan), width, num, den), "prefixes")

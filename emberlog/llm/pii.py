@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from emberlog.llm.common import text_groups, text_or_empty
+from emberlog.llm.common import small_batches, text_groups, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Bytes of text that are decoded together.
@@ -151,6 +151,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``spans``, an array of (kind, start, end) by kind as listed, then start."""
 
+    small_batches(df.sparkSession)
+
     @arrow_udf("array<struct<kind:string,start:int,end:int>>")
     def found(text: pa.Array) -> pa.Array:
         per_text, kinds, starts, ends = [0], [], [], []

@@ -11,12 +11,12 @@ import hashlib
 
 import numpy as np
 
-from emberlog.llm.common import slices_by_bytes
+from emberlog.llm.common import enter, hold, slices_by_bytes
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -95,12 +95,19 @@ def _slice_sets(word: np.ndarray, bounds: np.ndarray, width: int, weight: np.nda
         yield own if weight is None else (own, np.zeros(len(own), np.uint16))
 
 
+def free() -> None:
+    """Let go of the tables of powers."""
+    _POWERS.clear()
+
+
 def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | None = None, seen: np.ndarray | None = None):
     """The set of each text, as sorted hashes; texts are the slices of ``data`` between offsets.
 
     With ``weight`` (by slot), pairs of a set and its shingles' weights, the sums over
     their words. ``seen`` (by slot) is increased by every word.
     """
+    enter("shingles")
+    hold("shingles", free)
     for i, j in slices_by_bytes(off, SLICE_BYTES):
         word, bounds = _slice_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         if seen is not None:
@@ -108,10 +115,5 @@ def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | Non
         yield from _slice_sets(word, bounds, width, weight)
 
 
-def free() -> None:
-    """Let go of the tables of powers, for workers that go on with other operators."""
-    _POWERS.clear()
-
-
 def digest(hashes: np.ndarray, salt: bytes = b"") -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16, key=salt).digest()
