@@ -99,7 +99,8 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         if kind is not None:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, pa.nulls(1, pa.binary()), none, none, pa.array([zlib.compress(seen.astype("<i8").tobytes(), 1)], pa.binary())], names)
-        shingles.free()
+        held.clear()
+        trim()
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc {kind}, n_shingles long, node binary, token long, documents long, sketch binary")
@@ -111,7 +112,16 @@ def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     A stretch reports what half of FREQUENT_SHARE of its own documents have, so
     whatever FREQUENT_SHARE of all have is reported for half its count at least.
     """
-    top = scan.where("token is not null").groupBy("token").agg(F.sum("documents").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
+    counts = scan.where("token is not null").groupBy("token").agg(F.sum("documents").alias("n"))
+    # counts by power of two, at most 64 of them, say from where on MAX_FREQUENT shingles are kept; nothing is sorted
+    powers = dict(counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("k")).collect())
+    held, least = 0, 1 << 62
+    for power in sorted(powers, reverse=True):
+        held += powers[power]
+        if held > MAX_FREQUENT:
+            break
+        least = 1 << power
+    top = counts.where(F.col("n") >= least).toArrow()
     token, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, n))] = np.arange(len(token))
