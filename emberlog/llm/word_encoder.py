@@ -93,7 +93,8 @@ class WordEncoder:
     def _reset(self) -> None:
         self.table = Table(12)
         self.known = 0
-        self.counts, self.starts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.used = 0
+        self.counts, self.starts, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def _power(self, which: int, n: int, inverse: bool) -> np.ndarray:
         while len(self.powers) < 4:
@@ -160,10 +161,21 @@ class WordEncoder:
         while self.known + len(pieces) > 3 << self.table.bits - 2:
             self.table = self.table.grown()
         self.table.add(key, check, np.arange(self.known, self.known + len(pieces), dtype=np.int32))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(total) - total])
-        self.counts = np.concatenate([self.counts, total.astype(np.int32)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.starts = _put(self.starts, self.known, self.used + np.cumsum(total) - total)
+        self.counts = _put(self.counts, self.known, total)
+        self.ids = _put(self.ids, self.used, flat)
         self.known += len(pieces)
+        self.used += len(flat)
+
+
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """Write values behind the first ``at``; an array that is full is replaced by one twice as large."""
+    if at + len(values) > len(array):
+        larger = np.zeros(max(at + len(values), 2 * len(array)), array.dtype)
+        larger[:at] = array[:at]
+        array = larger
+    array[at : at + len(values)] = values
+    return array
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
