@@ -11,8 +11,17 @@ left of it, single lines now, has its first occurrence in another document, thes
 residues go as well: so copies of a document leave nothing behind, and every line
 that goes still stands where it came first.
 
-Equal hashes only nominate chunks. The bytes decide: nominated chunks are grouped
-by their whole text, and only equal texts count as repeated.
+With ``run_words``, runs of lines of more than that many words that occur again go
+too, wherever chunks end: for each line the shortest run of more than ``run_words``
+words that begins there, and the shortest that ends there, are looked up like
+chunks. Every equal run of more words is covered by such runs inside it, and
+whether one is inside depends on its own lines only, so nothing of a repeated run
+is missed, whatever its surroundings. Of a run that overlaps its own first
+occurrence only the lines behind that go. Lines without words at the edges of a run
+may stay. ``n_removed`` counts the chunks that lost a line.
+
+Equal hashes only nominate chunks and runs. The bytes decide: what is nominated is grouped
+by its whole text, and only equal texts count as repeated.
 
 Rows are told apart by id and text: rows that repeat both are one document and
 keep alike. A null text stays null, an empty one empty; a null id sorts last among
@@ -46,8 +55,9 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` with ``_lines`` and ``_chunks``: (start, size, hash, passage) of each chunk, in order.
+def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50, run_words: int | None = None) -> DataFrame:
+    """``docs`` with ``_lines`` and ``_chunks``: (start, size, hash, passage) of each chunk, in order,
+    and with ``run_words`` ``_runs``, the same of each run that isn't a chunk.
 
     A chunk ends after a line where the rolling hash is divisible by ``every``, and
     on both sides of a long line.
@@ -68,31 +78,66 @@ def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min
 
     df = _fixed(df, _ends=F.filter(F.transform("_small", lambda h, i: F.when(ends(h, i), i + 1)), lambda e: e.isNotNull()))
 
+    def unit(start: Column, size: Column, passage: Column) -> Column:
+        return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("_hash", start + 1, size)).alias("hash"), passage.alias("passage"))
+
     def chunk(e: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1))
-        size = e - start
-        passage = (size >= min_lines) | F.get("_long", start)
-        return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("_hash", start + 1, size)).alias("hash"), passage.alias("passage"))
+        return unit(start, e - start, (e - start >= min_lines) | F.get("_long", start))
+
+    df = _fixed(df, _chunks=F.transform("_ends", chunk))
+    if run_words is not None:
+        df = _fixed(_with_runs(df, run_words), _runs=F.transform("_codes", lambda c: unit(F.shiftright(c, 32).cast("int"), c.bitwiseAND((1 << 32) - 1).cast("int"), F.lit(True)))).drop("_codes")
+    return df.drop("_hash", "_small", "_long", "_ends")
+
+
+def _with_runs(df: DataFrame, run_words: int) -> DataFrame:
+    """``df`` with ``_codes``, start * 2^32 + size of each shortest run of more than ``run_words`` words that isn't a chunk."""
+    counts = F.transform("_lines", lambda line: F.least(F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(run_words + 1)))
+    df = _fixed(df, _count=counts)
+    # only lines with words: no run needs more than run_words + 1 of them
+    df = _fixed(df, _at=F.filter(F.transform("_count", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()), _ahead=F.filter("_count", lambda w: w > 0))
+    df = _fixed(df, _behind=F.reverse("_ahead"))
+    # words * 2^32 + lines, up to the line with which the words are enough
+    enough = (run_words + 1) << 32
+
+    def held(words: str):
+        add = lambda s, w: F.when(s >= enough, s).otherwise(s + F.shiftleft(w.cast("long"), 32) + 1)
+        return F.transform(words, lambda w, k: F.when(w <= run_words, F.aggregate(F.slice(words, k + 1, run_words + 1), F.lit(0).cast("long"), add)))
+
+    df = _fixed(df, _from=held("_ahead"), _to=F.reverse(held("_behind")))
+
+    def code(s: Column, first: Column, last: Column) -> Column:
+        size = F.get("_at", last) - F.get("_at", first) + 1
+        return F.when(s >= enough, F.shiftleft(F.get("_at", first).cast("long"), 32) + size)
 
-    return _fixed(df, _chunks=F.transform("_ends", chunk)).drop("_hash", "_small", "_long", "_ends")
+    lines = lambda s: s.bitwiseAND((1 << 32) - 1).cast("int")
+    starts = F.transform("_from", lambda s, k: code(s, k, k + lines(s) - 1))
+    stops = F.transform("_to", lambda s, k: code(s, k - lines(s) + 1, k))
+    own = F.transform("_chunks", lambda c: F.shiftleft(c["start"].cast("long"), 32) + c["size"])
+    found = F.array_except(F.filter(F.concat(starts, stops), lambda c: c.isNotNull()), own)
+    return _fixed(df, _codes=found).drop("_count", "_at", "_ahead", "_behind", "_from", "_to")
 
 
-def _chunk_rows(df: DataFrame, with_text: bool) -> DataFrame:
-    """A row per chunk: row key, chunk number, hash, whether it is a passage[, its text]."""
-    rows = df.select("_id", "_row", *["_lines"] * with_text, F.posexplode("_chunks").alias("k", "c"))
+def _unit_rows(df: DataFrame, with_text: bool) -> DataFrame:
+    """A row per chunk or run: row key, first line, size, hash, whether it is a passage[, its text]."""
+    rows = df.select("_id", "_row", *["_lines"] * with_text, F.explode("_units").alias("c"))
     text = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.size")), "\n").alias("chunk")
-    return rows.select("_id", "_row", "k", F.col("c.hash").alias("hash"), F.col("c.passage").alias("passage"), *[text] * with_text)
+    return rows.select("_id", "_row", F.col("c.start").alias("k"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), F.col("c.passage").alias("passage"), *[text] * with_text)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` with repeated passages removed from the text, and n_chunks and n_removed."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50, run_words: int | None = None) -> DataFrame:
+    """``docs`` with repeated passages removed from the text, and n_chunks and n_removed.
+    Without ``run_words`` only whole chunks are passages."""
     docs = docs.drop("n_chunks", "n_removed")
     keyed = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
-    cut = chunked(keyed, text_col, window, every, min_lines, long_words)
+    cut = chunked(keyed, text_col, window, every, min_lines, long_words, run_words)
+    cut = cut.withColumn("_units", F.col("_chunks") if run_words is None else F.concat("_chunks", "_runs"))
+    units = materialize(cut.select("_id", "_row", F.size("_chunks").cast("long").alias("n_chunks"), "_units"), "units")
 
-    nominated = materialize(_chunk_rows(cut, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    nominated = materialize(_unit_rows(units, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
     wanted = F.broadcast(nominated) if nominated.count() <= MAX_BROADCAST else nominated
-    found = _chunk_rows(cut, True).join(wanted, "hash", "left_semi")
+    found = _unit_rows(cut, True).join(wanted, "hash", "left_semi")
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("k").alias("k"))
     texts = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     equal = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.collect_list(F.when(F.col("n") > 1, F.struct(F.sha2("chunk", 256).alias("sha"), "first"))).alias("repeated")).where(F.size("repeated") > 0)
@@ -101,23 +146,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     # one text for a hash is the rule; where a hash has several, the text tells them apart
     single = equal.where("texts = 1").select("hash", F.col("repeated")[0]["first"].alias("first"))
     clash = equal.where("texts > 1").select("hash", F.explode("repeated").alias("r")).select("hash", "r.sha", "r.first")
-    again = _chunk_rows(cut, False).join(single, "hash").select("_id", "_row", "k", "passage", "first")
+    again = _unit_rows(units, False).join(single, "hash").select("_id", "_row", "k", "size", "passage", "first")
     if not clash.isEmpty():
         own = found.withColumn("sha", F.sha2("chunk", 256)).join(clash, ["hash", "sha"])
-        again = again.unionAll(own.select("_id", "_row", "k", "passage", "first"))
-    gone = F.col("passage") & (place != F.col("first"))
-    elsewhere = ~F.col("passage") & ~(F.col("first.id").eqNullSafe(F.col("_id")) & F.col("first.row").eqNullSafe(F.col("_row")))
-    removed = again.groupBy("_id", "_row").agg(F.collect_set(F.when(gone, F.col("k"))).alias("_gone"), F.collect_set(F.when(elsewhere, F.col("k"))).alias("_residue")).where(F.size("_gone") > 0)
-    removed = removed.withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
+        again = again.unionAll(own.select("_id", "_row", "k", "size", "passage", "first"))
+    same_row = F.col("first.id").eqNullSafe(F.col("_id")) & F.col("first.row").eqNullSafe(F.col("_row"))
+    # behind the first occurrence, if that is in the same text
+    since = F.when(same_row, F.greatest(F.col("k"), F.col("first.k") + F.col("size"))).otherwise(F.col("k"))
+    gone = F.when(F.col("passage") & (place != F.col("first")), F.struct(since.alias("a"), (F.col("k") + F.col("size") - 1).alias("z")))
+    elsewhere = F.when(~F.col("passage") & ~same_row, F.col("k"))
+    removed = again.groupBy("_id", "_row").agg(F.collect_set(gone).alias("_gone"), F.collect_set(elsewhere).alias("_residue")).where(F.size("_gone") > 0)
+    marks = units.select("_id", "_row", "n_chunks").dropDuplicates(["_id", "_row"])
+    marks = marks.join(removed.withColumnsRenamed({"_id": "_id3", "_row": "_row3"}), F.col("_id").eqNullSafe(F.col("_id3")) & F.col("_row").eqNullSafe(F.col("_row3")), "left").drop("_id3", "_row3")
+    marks = marks.withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
 
     # the texts are shuffled once and as they are; only those that lose something are cut again
-    counted = cut.select(*docs.columns, "_id", "_row", F.size("_chunks").cast("long").alias("n_chunks"))
-    out = counted.join(removed, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_row").eqNullSafe(F.col("_row2")), "left")
+    out = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_row").eqNullSafe(F.col("_row2")), "left")
     affected = F.col("_gone").isNotNull()
     out = chunked(out.withColumn("_text", F.when(affected, F.col(text_col))), "_text", window, every, min_lines, long_words)
-    nothing_own = F.size("_gone") + F.size("_residue") == F.size("_chunks")
-    out = out.withColumn("_gone", F.when(nothing_own, F.array_union("_gone", "_residue")).otherwise(F.col("_gone")))
-    lines = F.flatten(F.transform(F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k)), lambda c: F.slice("_lines", c["start"] + 1, c["size"])))
+    every_line = F.sequence(F.lit(0), F.size("_lines") - 1)
+    out = _fixed(out, _named=F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["a"], g["z"])))))
+    # a residue is one line
+    nothing_own = F.size(F.array_except(F.array_except(every_line, "_named"), "_residue")) == 0
+    out = _fixed(out, _lost=F.when(nothing_own, every_line).otherwise(F.col("_named")), _of=F.flatten(F.transform("_chunks", lambda c, k: F.array_repeat(k, c["size"]))))
+    lines = F.transform(F.array_except(every_line, "_lost"), lambda i: F.get("_lines", i))
     text = F.when(affected, F.array_join(lines, "\n")).otherwise(F.col(text_col))
-    n_removed = F.when(affected, F.size("_gone")).otherwise(0).cast("long").alias("n_removed")
+    lost_of = F.array_distinct(F.transform("_lost", lambda i: F.get("_of", i)))
+    n_removed = F.when(affected, F.size(lost_of)).otherwise(0).cast("long").alias("n_removed")
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "n_chunks", n_removed)
