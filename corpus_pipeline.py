@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts; ``n_chars`` follows. A document that loses all its words goes."""
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, run_words=50)
     changed = F.col("n_removed") > 0
     left = found.where(~changed | (F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")) != ""))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)

@@ -4,6 +4,7 @@ import random
 
 import brute
 
+import corpus_pipeline
 from emberlog.llm import line_dedup, queries
 
 WORDS = 50
@@ -94,3 +95,12 @@ def test_query_removes_runs(spark, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
     left = [(r.text or "").split("\n") for r in out.collect()]
     assert all(sum(x in t for t in left) == 1 for passage in planted for x in passage)
+
+
+def test_pipeline_leaves_each_passage_in_one_document(spark, tmp_path):
+    rows, planted = contexts(4)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()
+    held = [set(r.text.split("\n")) for r in left if r.text]
+    assert all(sum(x in t for t in held) == 1 for passage in planted for x in passage)
+    assert all(r.n_chars == len(r.text or "") for r in left)
