@@ -2,7 +2,8 @@
 
 A message's lines carry a quote level, the number of leading ``>``. Adjacent lines
 of one level form a passage; blank lines and changes of level end it. Passages are
-normalised (A-Z as a-z, white space as single spaces) and hashed. A passage at
+normalised (A-Z as a-z, white space as single spaces) and hashed; all that aren't
+empty count, however short. A passage at
 level 1 or deeper is joined to the message of its conversation that first said it
 at level 0, if that came before. The latest of the messages that level-1 passages
 lead to is the one a message replies to; failing that, the latest that deeper ones
@@ -33,8 +34,6 @@ from emberlog.llm.common import drop_scratch, materialize
 
 #: How mail programs announce a quote, in the four languages of the corpus.
 ANNOUNCED = r"(?i)^(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)\s*:\s*$"
-#: Passages with fewer characters than this link nothing; they occur by chance.
-MIN_PASSAGE = 12
 
 ADDED = ("reply_to", "root_turn", "depth", "n_quotes", "n_linked", "reply_path", "clean_text")
 
@@ -67,7 +66,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
         own = F.filter(F.slice("_marked", start + 1, end - start), lambda x: x["body"] != "")
         return F.struct(first["level"].alias("level"), normalised(F.array_join(F.transform(own, lambda x: x["body"]), " ")).alias("text"))
 
-    return _fixed(df, _passages=F.filter(F.transform("_starts", passage), lambda p: F.length(p["text"]) >= MIN_PASSAGE)).drop("_starts")
+    return _fixed(df, _passages=F.filter(F.transform("_starts", passage), lambda p: p["text"] != "")).drop("_starts")
 
 
 def clean_text(marked: str = "_marked") -> Column:

@@ -53,3 +53,12 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "u", A)], "conv_id long, turn long, role string, text string")
     plan = chat_quotes.link(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_quotes_are_counted_and_linked(spark):
+    rows = [(1, 0, "u", "Shall I go on?", ""), (1, 1, "a", "> Shall I go on?\n\nWhy not?", ""), (1, 2, "u", "> Why not?\n\nNo.", ""), (1, 3, "a", "> No.\n>\n> \t\n\nI see.", ""), (2, 0, "u", "> No.\nOther.", "")]
+    got = linked(spark, rows)
+    assert [got[1, t].reply_to for t in range(4)] == [None, 0, 1, 2] and [got[1, t].root_turn for t in range(4)] == [0] * 4
+    assert [got[1, t].n_quotes for t in range(4)] == [0, 1, 1, 1] and [got[1, t].n_linked for t in range(4)] == [0, 1, 1, 1]
+    assert got[1, 3].reply_path == "000000000000/000000000001/000000000002/000000000003" and got[1, 3].clean_text == "I see."
+    assert got[2, 0].reply_to is None and got[2, 0].n_quotes == 1 and got[2, 0].n_linked == 0
