@@ -1,7 +1,7 @@
 """PII by anchor expansion.
 
 One Aho-Corasick pass over each text finds anchors: at-signs, scheme marks, plus
-signs, digits and identifier cues. A deterministic local parser grows each anchor
+signs, digits and identifier cues in any case of A-Z. A deterministic local parser grows each anchor
 to a span and validates it; no parser reads far beyond its own span, so the work
 is linear in the text. Parsers of one kind never overlap: a kind's cursor stands
 behind its last match, and a match that fails validation still moves the cursor.
@@ -38,7 +38,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"://[^\s<>\"'`{}|\\^\[\]]+")
-_CUE_GAP = r"(?:[\x20]?(?:no|nr|num|number|code|id)\b\.?)?[\x20]*[:=#]?[\x20]*"
+_CUE_GAP = r"(?:[\x20]?(?i:no|nr|num|number|code|id)\b\.?)?[\x20]*[:=#]?[\x20]*"
 _IBAN = re.compile(_CUE_GAP + r"([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(_CUE_GAP + r"([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9A-Za-z])", re.I)
 _SSN = re.compile(_CUE_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
@@ -46,6 +46,7 @@ _SSN = re.compile(_CUE_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 #: Words that announce an identifier, and the parser that follows each.
 CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account", "ssn": "ssn", "social security": "ssn"}
 
+_FOLD = {i: i + 32 for i in range(65, 91)}
 _AUTOMATON = None
 
 
@@ -62,13 +63,17 @@ def automaton():
         for digit in "0123456789":
             made.add_word(digit, "digit")
         for cue, kind in CUES.items():
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                made.add_word(form, kind)
+            made.add_word(cue, kind)
         made.make_automaton()
         _AUTOMATON = made
     return _AUTOMATON
 
 
+def folded(text: str) -> str:
+    """A-Z as a-z; offsets stay."""
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -92,7 +97,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     cursor = dict.fromkeys(KINDS, 0)
-    for last, kind in automaton().iter(text):
+    for last, kind in automaton().iter(folded(text)):
         if kind == "digit":
             at = last
             if at >= cursor["ip"] and (at == 0 or text[at - 1] not in "0123456789" or at == cursor["ip"]):
