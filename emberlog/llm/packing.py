@@ -6,13 +6,14 @@ driver: lengths are placed longest first, and packing patterns carry counts, so
 the work depends on ``size`` and not on the number of documents. Pieces are then
 joined back to the patterns by their rank within their length.
 
-Ranks come from salted groups, so that no length (copies may give one length a
-third of all pieces) meets in one task: each (length, salt) group numbers its own
-pieces and starts at an offset taken from the group counts.
+A piece's rank follows its place in the written table of pieces: file, stretch of
+rows in it, row. Each (length, file, stretch) group numbers its own pieces and starts
+at an offset summed up in two levels, over the stretches of a file and over the
+files. So no length (copies may give one a third of all pieces) meets in one task,
+and rows that repeat in every column are told apart.
 
 Null and empty texts give one piece that holds the end id alone. Repeated rows
-are separate documents; ties are broken by all columns of a piece, so equal
-pieces are interchangeable. An empty table gives an empty result. Very long
+are separate documents. An empty table gives an empty result. Very long
 texts give many pieces. Other columns are not read.
 """
 
@@ -33,16 +34,15 @@ from emberlog.llm.common import materialize, slices_by_bytes, small_batches, tex
 
 #: Bytes of text that are encoded together.
 GROUP_BYTES = 1 << 18
-#: Pieces of one length that one task numbers.
-RANKED_TOGETHER = 500
+#: Rows of a stretch, whose pieces of one length are numbered together.
+RANKED_TOGETHER = 10_000
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
     """Patterns (how often, lengths) that hold every length as often as ``counts`` says.
 
-    Lengths go longest first onto the shortest open pack that they fill exactly or,
-    if there is none, onto the shortest one with room; without room a pack is opened.
-    Open packs are kept by their filled length; placing splits a pack's count.
+    Lengths go longest first onto the shortest open pack with room; without room a pack
+    is opened. Open packs are kept by their filled length; placing splits a pack's count.
     """
     by_fill: dict[int, list[list]] = defaultdict(list)
 
@@ -52,8 +52,7 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[in
     for length in sorted((n for n in counts if counts[n]), reverse=True):
         left = counts[length]
         while left:
-            exact = size - length
-            fill = exact if by_fill.get(exact) else min((f for f in by_fill if by_fill[f] and f + length <= size), default=0)
+            fill = min((f for f in by_fill if by_fill[f] and f + length <= size), default=0)
             if not fill:
                 # as many of this length as fit, so that a short length doesn't open a pack each
                 each = max(1, size // length)
@@ -134,13 +133,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     place = slots(pack_histogram(counts, size))
 
-    salts = F.element_at(F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) if c > RANKED_TOGETHER for x in (n, -(-c // RANKED_TOGETHER))]), F.col("length")) if any(c > RANKED_TOGETHER for c in counts.values()) else F.lit(1)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "start", "ids_crc32"), F.coalesce(salts, F.lit(1))).cast("int"))
-    groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = W.partitionBy("length", "salt").orderBy("doc", "start", "ids_crc32", "doc_tokens")
-    ranked = salted.withColumn("rn", F.row_number().over(own)).join(groups, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("rn") - 1)
+    held = pieces.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    held = held.withColumn("stretch", F.floor(F.col("row") / RANKED_TOGETHER))
+    stretches = held.groupBy("length", "file", "stretch").agg(F.count("*").alias("n"))
+    before = lambda of, by: F.coalesce(F.sum("n").over(W.partitionBy(*of).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = stretches.groupBy("length", "file").agg(F.sum("n").alias("n"))
+    files = files.select("length", "file", before(["length"], "file").alias("files_before"))
+    groups = stretches.select("length", "file", "stretch", before(["length", "file"], "stretch").alias("in_file")).join(files, ["length", "file"])
+    groups = groups.select("length", "file", "stretch", (F.col("files_before") + F.col("in_file")).alias("base"))
+    own = W.partitionBy("length", "file", "stretch").orderBy("row")
+    ranked = held.withColumn("rn", F.row_number().over(own)).join(groups, ["length", "file", "stretch"]).withColumn("rank", F.col("base") + F.col("rn") - 1)
 
     @arrow_udf("struct<sequence_id:long,offset:long>")
     def placed(length: pa.Array, rank: pa.Array) -> pa.Array:

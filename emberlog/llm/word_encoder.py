@@ -1,9 +1,10 @@
 """Token ids of whole batches for a tokenizer that drops white space and case.
 
-Texts are cut at white space on their bytes. A piece is known by two hashes (96
-bits), looked up for all pieces at once in an open-addressing table; only pieces
-that are new become strings and are encoded. So a worker keeps a few tens of bytes
-per known piece, and no string. Beyond ``memo`` pieces the table starts anew.
+Texts are cut at white space on their bytes. A piece is looked up by a 64-bit hash,
+for all pieces at once in an open-addressing table, and its bytes are compared with
+those kept of the piece found, so an equal hash alone never decides. Only pieces
+that are new become strings and are encoded. A worker keeps a few tens of bytes per
+known piece, and no string. Beyond ``memo`` pieces the table starts anew.
 
 Pieces of ASCII letters in any case share an entry, since case is dropped. Pieces
 with other characters, or with a character that special strings begin with, are
@@ -16,11 +17,10 @@ import re
 
 import numpy as np
 
-from emberlog.llm import tokens
+from emberlog.llm import tokens, word_hash
 from emberlog.llm.common import enter, hold
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -29,13 +29,8 @@ _FOLD[65:91] += 32
 _WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!#$%&*;:?]+)")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
-    x = (x ^ (x >> U(27))) * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
-
-
-_BYTES = [_mixed(np.arange(1, 257, dtype=U) * U(b)) | U(1) for b in _BASES]
+#: Bytes of known pieces beyond which a worker starts anew.
+MAX_SPELT = 32 << 20
 
 
 class Table:
@@ -45,109 +40,97 @@ class Table:
         self.bits = bits
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
         self.key = np.zeros(1 << bits, U)
-        self.check = np.zeros(1 << bits, np.uint32)
         self.value = np.full(1 << bits, -1, np.int32)
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The number of each (key, check), -1 for unknown ones."""
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
         out = np.full(len(key), -1, np.int64)
         left, at = np.arange(len(key)), (key >> self.shift).astype(np.int64)
         while len(left):
             value = self.value[at]
-            hit = (value >= 0) & (self.key[at] == key[left]) & (self.check[at] == check[left])
+            hit = (value >= 0) & (self.key[at] == key[left])
             out[left[hit]] = value[hit]
             go_on = (value >= 0) & ~hit
             left, at = left[go_on], (at[go_on] + 1) & self.mask
         return out
 
-    def add(self, key: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
         """Put in new, distinct entries."""
         left, at = np.arange(len(key)), (key >> self.shift).astype(np.int64)
         while len(left):
             free = self.value[at] < 0
             self.value[at[free]] = value[left[free]]  # of several for one place the last wins
             won = free & (self.value[at] == value[left])
-            self.key[at[won]], self.check[at[won]] = key[left[won]], check[left[won]]
+            self.key[at[won]] = key[left[won]]
             left, at = left[~won], (at[~won] + 1) & self.mask
 
-
     def grown(self) -> Table:
         """A table of twice the places with the same entries."""
         out, held = Table(self.bits + 1), self.value >= 0
-        out.add(self.key[held], self.check[held], self.value[held])
+        out.add(self.key[held], self.value[held])
         return out
 
 
 class WordEncoder:
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 1_000_000, hashes=word_hash.hashes):
         self.rows = tokens.RowEncoder(path, lengths_only=False)
-        self.memo = memo
+        self.memo, self.hashes = memo, hashes
         first = {c[0] for c in self.rows.added if c}
         if any(ord(c) > 127 for c in first):
             raise ValueError("special strings have to begin with an ASCII character")
         self.apart = np.arange(256) >= 128
         self.apart[[ord(c) for c in first]] = True
-        self.powers: list[np.ndarray] = []
         self._reset()
 
     def _reset(self) -> None:
         self.table = Table(12)
-        self.known = 0
-        self.used = 0
+        self.known = self.used = self.spelt = 0
         self.counts, self.starts, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-
-    def _power(self, which: int, n: int, inverse: bool) -> np.ndarray:
-        while len(self.powers) < 4:
-            self.powers.append(np.ones(1, U))
-        slot = which * 2 + inverse
-        if len(self.powers[slot]) < n:
-            base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
-            steps = np.full(max(n, (1 << 18) + 1), U(base))
-            steps[0] = 1
-            self.powers[slot] = np.cumprod(steps, dtype=U)
-        return self.powers[slot][:n]
-
-    def _hash(self, which: int, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTES[which][data] * self._power(which, len(data), False), dtype=U, out=total[1:])
-        return _mixed((total[end] - total[start]) * self._power(which, len(data) + 1, True)[start] + (end - start).astype(U))
+        # the bytes of the known pieces, where each begins and its size
+        self.bytes, self.at, self.size = np.zeros(8192, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
 
     def token_ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (slices of ``data`` between offsets) one after another, and how many each text has."""
-        if self.known > self.memo:
+        if self.known > self.memo or self.spelt > MAX_SPELT:
             self._reset()
         n = len(data)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        solid = ~_SPACE[data]
-        first, last = solid.copy(), solid.copy()
-        first[1:] &= ~solid[:-1]
-        last[:-1] &= ~solid[1:]
-        edge = off[(off > 0) & (off < n)]
-        first[edge] = solid[edge]
-        last[edge - 1] = solid[edge - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, end = word_hash.runs(data, off, _SPACE)
         seen = np.concatenate([[0], np.cumsum(self.apart[data])])
         apart = seen[end] > seen[start]
         step = np.zeros(n + 1, np.int8)
         step[start[apart]] += 1
         step[end[apart]] -= 1
         shown = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, _FOLD[data])
-        key, check = self._hash(0, shown, start, end), self._hash(1, shown, start, end).astype(np.uint32)
-        number = self.table.find(key, check)
+        pad, size = word_hash.padded(shown), end - start
+        key = self.hashes(pad, start, end)
+        number = self.table.find(key)
         missing = np.flatnonzero(number < 0)
         if len(missing):
             _, one = np.unique(key[missing], return_index=True)
             one = missing[one]
-            raw = shown.tobytes()
-            self._learn([raw[a:z].decode() for a, z in zip(start[one].tolist(), end[one].tolist())], key[one], check[one])
-            number[missing] = self.table.find(key[missing], check[missing])
+            self._learn(pad, start[one], size[one], key[one])
+            number[missing] = self.table.find(key[missing])
+        # the hash finds, the bytes decide
+        equal = size == self.size[number]
+        equal[equal] = word_hash.same(pad, start[equal], self.bytes, self.at[number[equal]], size[equal])
+        if not equal.all():
+            number[~equal] = self._strays(pad, start[~equal], size[~equal])
         counts = self.counts[number].astype(np.int64)
         total, bounds = np.concatenate([[0], np.cumsum(counts)]), np.searchsorted(start, off)
         return tokens.gather(self.ids, self.starts[number], counts), np.diff(total[bounds])
 
-    def _learn(self, pieces: list[str], key: np.ndarray, check: np.ndarray) -> None:
-        """Encode new pieces; of a word with marks behind it both parts on their own."""
+    def _strays(self, pad: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of pieces whose hash another piece has: kept, but not found by hash."""
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(pad[a : a + n].tobytes(), len(place)) for a, n in zip(start.tolist(), size.tolist())])
+        first = np.array([int(np.flatnonzero(which == k)[0]) for k in range(len(place))])
+        return self._learn(pad, start[first], size[first], None)[which]
+
+    def _learn(self, pad: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Encode new pieces and number them; of a word with marks behind it both parts on their own."""
+        pieces = [pad[a : a + n].tobytes().decode() for a, n in zip(start.tolist(), size.tolist())]
         matched = [_WORD_AND_MARKS.fullmatch(p) for p in pieces]
         parts: dict[str, int] = {}
         number = lambda s: parts.setdefault(s, len(parts))
@@ -158,14 +141,21 @@ class WordEncoder:
         per_piece = 1 + (pairs[:, 1] >= 0)
         total = np.add.reduceat(counts[own], np.cumsum(per_piece) - per_piece)
         flat = tokens.gather(ids, (np.cumsum(counts) - counts)[own], counts[own])
-        while self.known + len(pieces) > 3 << self.table.bits - 2:
-            self.table = self.table.grown()
-        self.table.add(key, check, np.arange(self.known, self.known + len(pieces), dtype=np.int32))
+        new = np.arange(self.known, self.known + len(pieces))
+        if key is not None:
+            while self.known + len(pieces) > 3 << self.table.bits - 2:
+                self.table = self.table.grown()
+            self.table.add(key, new.astype(np.int32))
         self.starts = _put(self.starts, self.known, self.used + np.cumsum(total) - total)
         self.counts = _put(self.counts, self.known, total)
         self.ids = _put(self.ids, self.used, flat)
+        self.at = _put(self.at, self.known, self.spelt + np.cumsum(size) - size)
+        self.size = _put(self.size, self.known, size)
+        self.bytes = _put(self.bytes, self.spelt, np.append(tokens.gather(pad, start, size), np.zeros(8, np.uint8)))
         self.known += len(pieces)
         self.used += len(flat)
+        self.spelt += int(size.sum())
+        return new
 
 
 def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:

@@ -163,3 +163,24 @@ def padding(rows, size=2048):
         assert at <= size
         total += 0 if math.log2(at).is_integer() else size - at
     return total
+
+
+def union_find(pairs):
+    """Each member of a pair, and the smallest member of its component."""
+    parent = {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word of 2^n characters and its complement: polynomial hashes modulo 2^64 take them for one."""
+    word = "".join(b if bin(i).count("1") % 2 else a for i in range(1 << n))
+    return word, "".join(a if c == b else b for c in word)

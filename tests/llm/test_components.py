@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from brute import union_find
 
-from emberlog.llm.components import components, union_find
+from emberlog.llm.components import components
 
 
 @pytest.mark.parametrize("together", [0, 10_000])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm import exact_dedup, language_id, line_dedup, packing, pii, secrets, token_counts, tokens, word_encoder
+from emberlog.llm import exact_dedup, language_id, line_dedup, packing, pii, secrets, token_counts, tokens, word_encoder, word_hash
 from emberlog.llm.common import tokenizer_path, utf8_view
 
 ODD = ["", " ", "  a", "a\n\nb", " a<|endoftext|> b <|ENDOFTEXT|>", "don't we'll 'S x", "a\x1cb c\x1d d", "é é́ ́x", "\t\ta\r\n b\r\nc", "x" * 5000, "ΑΣ ΟΔΟΣ İI", "　a 　 b", "a\u0085b \u0085 c", "Word, word. WORD!! it's H̱", "🙂 🙂🙂 a🙂 b", None]
@@ -248,3 +248,37 @@ def test_exact_dedup_of_nothing(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
     assert exact_dedup.dedup(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_word_encoder_compares_bytes(bits):
+    # with a hash of few bits, most pieces meet the place of another one
+    few = lambda pad, a, z: word_hash.hashes(pad, a, z) >> np.uint64(64 - bits) if bits else np.zeros(len(a), np.uint64)
+    enc = word_encoder.WordEncoder(tokenizer_path("word_bpe_49k.json"), hashes=few)
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [t or "" for t in odd_texts()[:400]] + ["x" * 200, "x" * 201, "x" * 64, "x" * 65, "y" + "x" * 64]
+    for part in (texts[:200], texts[200:], texts[100:300]):
+        ids, counts = enc.token_ids(*utf8_view(pa.array(part)))
+        want = [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_word_encoder_on_words_that_polynomials_confuse():
+    enc = word_encoder.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [w for n in (5, 6, 7, 9, 10, 12) for w in brute.thue_morse(n)]
+    ids, _ = enc.token_ids(*utf8_view(pa.array(texts)))
+    assert ids.tolist() == sum((e.ids for e in whole.encode_batch(texts, add_special_tokens=False)), [])
+
+
+def test_word_hashes_know_length_and_place():
+    raw = [b"", b"\0", b"\0\0", b"a", b"a\0", b"\0a", b"abcdefgh", b"abcdefgh\0", b"\0abcdefgh", b"a" * 64, b"a" * 65, b"a" * 66]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    end = np.cumsum([len(r) for r in raw])
+    pad = word_hash.padded(data)
+    start, size = end - [len(r) for r in raw], np.array([len(r) for r in raw])
+    assert len(set(word_hash.hashes(pad, start, end).tolist())) == len(raw)
+    for i, a in enumerate(raw):
+        at = [j for j, b in enumerate(raw) if len(a) == len(b)]
+        equal = word_hash.same(pad, start[[i] * len(at)], pad, start[at], size[at])
+        assert equal.tolist() == [a == raw[j] for j in at]
