@@ -47,14 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session have ``rows`` rows at most. Texts are long, and
-    the JVM and Python both hold a batch whole."""
-    if int(spark.conf.get(_BATCH)) > rows:
-        spark.conf.set(_BATCH, str(rows))
+    """Let the batches of Arrow and of the Parquet reader have ``rows`` rows at most in this
+    session. Texts are long, and the JVM and Python both hold a batch whole."""
+    for batch in _BATCHES:
+        if int(spark.conf.get(batch)) > rows:
+            spark.conf.set(batch, str(rows))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -86,6 +87,7 @@ def hold(owner: str, free) -> None:
 def trim() -> None:
     """Give freed memory back; glibc keeps it otherwise, and workers live on idle."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

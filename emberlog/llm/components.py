@@ -9,7 +9,9 @@ links is no bottleneck: minima are pre-aggregated, and the joins can be split.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -30,37 +32,35 @@ def _small_star(links: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionAll(own)
 
 
-#: Links up to which one task finds the components with a union-find in memory.
-MAX_TOGETHER = 400_000
+#: Links up to which one task finds the components in memory, in arrays of a few tens of bytes a link.
+MAX_TOGETHER = 100_000
 
 
-def union_find(pairs) -> dict:
-    """Each member of a pair, and the smallest member of its component."""
-    parent: dict = {}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        parent.setdefault(a, a)
-        parent.setdefault(b, b)
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {x: root(x) for x in parent}
+def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that links (a, b) connect each of the numbers up to ``n`` with."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label = up
 
 
 def _in_one_task(links: DataFrame) -> DataFrame:
     def run(batches):
         enter("components")
-        found = union_find(p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        members = list(found)
+        held = [(batch.column(0), batch.column(1)) for batch in batches]
+        if not held:
+            return
+        a, b = (pa.chunked_array([pair[i] for pair in held]) for i in (0, 1))
+        members = pa.chunked_array([*a.chunks, *b.chunks]).unique()
+        members = members.take(pc.array_sort_indices(members))
+        code = lambda x: pc.index_in(x, members).to_numpy()
+        label = members.take(pa.array(smallest(code(a), code(b), len(members))))
         for i in range(0, len(members), 10_000):
-            part = members[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([found[x] for x in part], kind)], ["member", "label"])
+            yield pa.RecordBatch.from_arrays([members.slice(i, 10_000).cast(kind), label.slice(i, 10_000).cast(kind)], ["member", "label"])
 
     kind = to_arrow_type(links.schema["a"].dataType)
     name = links.schema["a"].dataType.simpleString()

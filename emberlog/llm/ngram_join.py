@@ -12,18 +12,25 @@ frequencies of their words, taken from a sketch of fixed size (see
    posting list make one bucket, and groups without another of a fitting size in
    their bucket leave it.
 3. Group pairs are filtered by size and by how many prefix shingles they share.
-4. The groups that remain linked are expanded to their nodes, and nodes are
-   verified on whole sets, recomputed from whole texts.
+   What the surviving pairs connect is a family of groups.
+4. Groups are expanded to their nodes, and nodes are verified on whole sets,
+   recomputed from whole texts. A family of one block is verified there. In a larger
+   one each block and a pivot are; where that leaves unconnected parts, the pairs of
+   nodes that pass the filter of step 3 and lie in different parts are verified,
+   each in the bucket of its smallest common prefix shingle (:func:`_completed`).
 
 Only connectivity is needed, so no step emits all pairs of a bucket. A bucket is
-cut into blocks (:func:`linked`): each block links its members among themselves and
-to the bucket's pivot; a member that is then not connected to the bucket's main
-component, and only such a member, is compared with all other blocks.
+cut into blocks (:func:`_first_round`): each block links its members among themselves
+and to the bucket's pivot; a member that is then not connected to the bucket's main
+component, and only such a member, meets the other blocks (:func:`_second_round`).
+Blocks are bounded by members and by elements, so long texts make smaller blocks.
 
 A null or empty text has no shingles and is linked with nothing. Rows are told
 apart by their sets, so repeated rows and repeated ids are copies of one node; a
-null id never names a component if another member has an id. Very long texts are
-taken whole. Other columns are not read. An empty table gives an empty result.
+null id never names a component if another member has an id. Texts are looked up
+by id and a hash of the text, so many texts under one id (or none) make no pairs.
+Very long texts are taken whole. Other columns are not read. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import shingles
@@ -41,14 +48,17 @@ from emberlog.llm.common import materialize, small_batches, trim, utf8_view
 from emberlog.llm.components import components
 
 #: Shingles whose documents are counted together, for finding frequent ones.
-COUNTED_TOGETHER = 2_000_000
+COUNTED_TOGETHER = 500_000
 #: A shingle that this share of all documents has is found frequent for sure; its
 #: count then only places it in the order and never affects a result.
 FREQUENT_SHARE = 0.0005
 #: Most frequent shingles that are broadcast, 16 bytes each.
 MAX_FREQUENT = 1 << 18
-#: Members of a block.
+#: Members of a block, and elements of all their sets (but for one set alone).
 BLOCK = 256
+BLOCK_ELEMENTS = 1_000_000
+#: Sets that a task remembers in order not to write their prefixes again.
+REMEMBERED = 50_000
 
 
 def _prefix_length(n: int, num: int, den: int) -> int:
@@ -56,7 +66,7 @@ def _prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Per row its id, set size and set digest; per stretch of rows also the frequent
+    """Per row its id, key, set size and set digest; per stretch of rows also the frequent
     shingles and their counts; per task a sketch of its word counts."""
 
     def run(batches):
@@ -71,9 +81,9 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             keep = count >= max(3, FREQUENT_SHARE / 2 * len(held))
             found, count = found[keep], count[keep]
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(count, pa.int64()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found.view(np.int64)), pa.array(count, pa.int64()), pa.nulls(n, pa.binary())], names)
 
-        names, kind = ["doc", "n_shingles", "node", "token", "documents", "sketch"], None
+        names, kind = ["doc", "key", "n_shingles", "node", "token", "documents", "sketch"], None
         seen = np.zeros(1 << shingles.SLOT_BITS, np.int64)
         for batch in batches:
             ids = batch.column("doc")
@@ -94,16 +104,16 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                         held.clear()
                         size = 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("key"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         yield from frequent()
         if kind is not None:
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, pa.nulls(1, pa.binary()), none, none, pa.array([zlib.compress(seen.astype("<i8").tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, none, pa.nulls(1, pa.binary()), none, none, pa.array([zlib.compress(seen.astype("<i8").tobytes(), 1)], pa.binary())], names)
         held.clear()
         trim()
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, n_shingles long, node binary, token long, documents long, sketch binary")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, f"doc {kind}, key long, n_shingles long, node binary, token long, documents long, sketch binary")
 
 
 def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +174,8 @@ def _prefixes(docs: DataFrame, weight: np.ndarray, common: tuple[np.ndarray, np.
             for own, own_weight in shingles.sets(*utf8_view(batch.column("text")), width, weight):
                 if not len(own) or (d := shingles.digest(own)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(d)
                 most = _prefix_length(len(own), num, den)
                 at = np.searchsorted(token, own)
@@ -254,11 +266,9 @@ def _sets_link(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return den * both >= num * (n[:, None] + n[None, :] - both)
 
 
-def _cells(rows: DataFrame, payload: str, judge, parts: int) -> DataFrame:
-    """Judge the pairs within each cell (bucket, block, probe): links that span what is linked.
-
-    ``judge(cell)`` takes the cell's rows as an Arrow table and returns members and a
-    boolean matrix. A probe cell compares probes with all rows only.
+def _cells(rows: DataFrame, payload: str, judge) -> DataFrame:
+    """Judge the pairs within each cell (bucket, block, probe): rows (a, b) as ``judge(cell)``
+    returns them for the cell's rows, an Arrow table. A probe cell compares probes with all rows only.
     """
 
     def run(batches):
@@ -293,52 +303,120 @@ def _cells(rows: DataFrame, payload: str, judge, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         trim()
 
-    ordered = rows.select("bucket", "block", "probe", "is_probe", "member", "main", "n", payload)
-    ordered = ordered.repartition(parts, "bucket", "block", "probe").sortWithinPartitions("bucket", "block", "probe")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(*_CELL, payload).repartition(parts, "bucket", "block", "probe").sortWithinPartitions("bucket", "block", "probe")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: str, judge) -> DataFrame:
-    """Links (a, b) that connect the members (bucket, member, n) whose pairs ``judge`` accepts.
+_CELL = ("bucket", "block", "probe", "is_probe", "member", "label", "n")
 
-    ``attach`` adds the payload that the judge needs. Exact up to connectivity. First
-    round: blocks of about BLOCK members and, in every block, the bucket's pivot.
-    Second round, for buckets of several blocks: members outside the bucket's largest
-    component so far are probes, compared with every member of every block.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["bucket", "block", "probe", "is_probe", "member", "main", "n"]
-    rows = rows.withColumn("h", F.xxhash64("member"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("h").alias("pivot")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    sizes = materialize(sizes, "sizes")
-    own_block = F.pmod(F.col("h"), F.col("blocks").cast("long")).cast("int")
+
+def _blocks() -> Column:
+    """How many blocks ``m`` members of ``elements`` elements make."""
+    return F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Buckets of two members or more: their pivot and number of blocks."""
+    held = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("elements"), F.min(F.xxhash64("member")).alias("pivot")).where("m > 1")
+    return materialize(held.select("bucket", "pivot", F.least(F.col("m"), _blocks()).cast("int").alias("blocks")), "sizes")
+
+
+def _first_round(rows: DataFrame, sizes: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: str, judge) -> DataFrame:
+    """Links of the members (bucket, member, n) within their blocks; the bucket's pivot is in each of them."""
+    h = F.xxhash64("member")
+    first = rows.join(sizes, "bucket")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    first = rows.join(sizes, "bucket").withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.col("h") == F.col("pivot")), everywhere).otherwise(F.array(own_block))))
-    plain = first.withColumns({"probe": F.lit(0), "is_probe": F.lit(False), "main": F.lit(False)}).select(columns)
-    links = materialize(_cells(attach(plain), payload, judge, parts), "links")
+    own = F.array(F.pmod(h, F.col("blocks").cast("long")).cast("int"))
+    first = first.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (h == F.col("pivot")), everywhere).otherwise(own)))
+    plain = first.withColumns({"probe": F.lit(0), "is_probe": F.lit(False), "label": F.lit(None).cast("binary")}).select(*_CELL)
+    return materialize(_cells(attach(plain), payload, judge), "links")
+
+
+def _second_round(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: str, judge) -> DataFrame:
+    """What ``judge`` says of the members (bucket, member, n, label) with unlike labels: those
+    outside the bucket's most frequent label are probes, which meet every member of every block."""
+    groups = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("n").alias("elements"))
+    all_of = groups.groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.sum("k").alias("m"), F.sum("elements").alias("elements"), F.count("*").alias("labels")).where("labels > 1")
+    all_of = all_of.select("bucket", "top", _blocks().alias("blocks"))
+    probes = groups.join(all_of, "bucket").where("label != top").groupBy("bucket", "top", "blocks").agg(F.sum("k").alias("m"), F.sum("elements").alias("elements"))
+    main = materialize(probes.select("bucket", "top", "blocks", _blocks().alias("probes")), "main")
+    h = F.xxhash64("member")
+    big = rows.join(main, "bucket")
+    over_probes, over_blocks = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
+    base = big.withColumns({"block": F.pmod(h, F.col("blocks").cast("long")).cast("int"), "probe": F.explode(over_probes), "is_probe": F.lit(False)})
+    probing = big.where("label != top").withColumns({"block": F.explode(over_blocks), "probe": F.pmod(F.shiftright(h, 20), F.col("probes").cast("long")).cast("int"), "is_probe": F.lit(True)})
+    return materialize(_cells(attach(base.select(*_CELL).unionAll(probing.select(*_CELL))), payload, judge), "links")
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    return rows.join(components(links), "member", "left").withColumn("label", F.coalesce("label", "member"))
 
-    many = sizes.where("blocks > 1")
+
+def linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: str, judge) -> DataFrame:
+    """Links (a, b) that connect the members (bucket, member, n) whose pairs ``judge`` accepts,
+    exact up to connectivity. ``attach`` adds the payload that the judge needs."""
+    sizes = _sizes(rows)
+    links = _first_round(rows, sizes, attach, payload, judge)
+    many = sizes.where("blocks > 1").select("bucket")
     if many.isEmpty():
         return links
-    label = components(links)
-    big = rows.join(many.select("bucket", "blocks"), "bucket").join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
-    big = materialize(big, "large-buckets")
-    main = big.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    main = main.where(F.col("all") > F.col("most")).withColumn("probes", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
-    big = big.join(main.select("bucket", "top", "probes"), "bucket").withColumn("main", F.col("label") == F.col("top"))
-    over_probes, over_blocks = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
-    base = big.withColumns({"block": own_block, "probe": F.explode(over_probes), "is_probe": F.lit(False)})
-    probing = big.where(~F.col("main")).withColumns({"block": F.explode(over_blocks), "probe": F.pmod(F.shiftright("h", 20), F.col("probes").cast("long")).cast("int"), "is_probe": F.lit(True)})
-    more = _cells(attach(base.select(columns).unionAll(probing.select(columns))), payload, judge, parts)
-    return links.unionAll(more)
+    return links.unionAll(_second_round(materialize(_labelled(rows.join(many, "bucket", "left_semi"), links), "large-buckets"), attach, payload, judge))
 
 
-def _judged(cell: pa.Table, members: list[bytes], accepted: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Spanning links of the accepted pairs; with probes in the cell, of pairs that have a probe."""
+def _open(cell: pa.Table) -> np.ndarray | bool:
+    """The pairs of a cell that are asked for: all, or in a probe cell those of a probe and an unlike label."""
     probe = cell["is_probe"].to_numpy(zero_copy_only=False)
-    if probe.any():
-        accepted = accepted & (probe[:, None] | probe[None, :])
-    return _spanning(np.nonzero(np.triu(accepted, 1)), members)
+    if not probe.any():
+        return True
+    label = np.array(cell["label"].to_pylist(), object)
+    return (probe[:, None] | probe[None, :]) & (label[:, None] != label[None, :])
+
+
+def _judged(cell: pa.Table, members: list[bytes], accepted: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Spanning links of the accepted pairs."""
+    return _spanning(np.nonzero(np.triu(accepted & _open(cell), 1)), members)
+
+
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = lists.combine_chunks()
+    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    return [np.unique(values[a:z]) for a, z in zip(ends[:-1], ends[1:])]
+
+
+def _met(sets: list[np.ndarray], pairs: np.ndarray, token: int) -> np.ndarray:
+    """Members of pairs whose smallest common element is ``token``."""
+    out = np.zeros(len(sets), bool)
+    for x, y in zip(*(p.tolist() for p in np.nonzero(np.triu(pairs, 1)))):
+        if not (out[x] and out[y]):
+            a, b = (s[: np.searchsorted(s, token)] for s in (sets[x], sets[y]))
+            if not np.isin(a, b, assume_unique=True).any():
+                out[x] = out[y] = True
+    return out
+
+
+def _completed(posted: DataFrame, nodes: DataFrame, links: DataFrame, prefixes: DataFrame, num: int, den: int, with_text, set_judge) -> DataFrame:
+    """Links between nodes (grp, node, n) that ``links`` leave apart: the pairs that pass the
+    filter and have unlike labels, each in the bucket of its smallest common prefix shingle."""
+    labelled = _labelled(nodes.withColumnRenamed("node", "member"), links)
+    rows = posted.select("bucket", F.col("member").alias("grp")).join(labelled, "grp").select("bucket", "member", "n", "label")
+    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    rows = materialize(rows.join(several, "bucket", "left_semi"), "apart")
+    if rows.isEmpty():
+        return links
+    whole = nodes.select(F.col("node").alias("of"), "grp").join(prefixes, "grp").select("of", "prefix")
+
+    def with_prefix(members: DataFrame) -> DataFrame:
+        return members.join(whole, members["member"] == whole["of"]).drop("of")
+
+    def pair_filter(cell: pa.Table):
+        token, members, sets = cell["bucket"][0].as_py(), cell["member"].to_pylist(), _arrays(cell["prefix"])
+        met = _met(sets, _prefixes_meet(sets, cell["n"].to_numpy(), num, den) & _open(cell), token)
+        return [(token.to_bytes(8, "big", signed=True), members[i]) for i in np.flatnonzero(met).tolist()]
+
+    kept = _second_round(rows, with_prefix, "prefix", pair_filter).distinct()
+    kept = kept.select(F.conv(F.hex("a"), 16, -10).cast("long").alias("bucket"), F.col("b").alias("member"))
+    return links.unionAll(_second_round(materialize(rows.join(kept, ["bucket", "member"]), "pairs"), with_text, "text", set_judge))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -380,25 +458,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         members = cell["member"].to_pylist()
         if len(members) < 2:
             return []
-        flat = cell["prefix"].combine_chunks()
-        ends = flat.offsets.to_numpy()
-        values = flat.values.to_numpy()
-        sets = [np.unique(values[a:z]) for a, z in zip(ends[:-1], ends[1:])]
-        return _judged(cell, members, _prefixes_meet(sets, cell["n"].to_numpy(), num, den))
+        return _judged(cell, members, _prefixes_meet(_arrays(cell["prefix"]), cell["n"].to_numpy(), num, den))
 
     coarse = components(linked(posted, with_prefix, "prefix", prefix_judge))
 
-    # expand: the nodes of each coarse component, each with the text of one document
+    # expand: the nodes of each family, each with the text of one document
     grouped = node_group.withColumn("grp", F.unhex(F.lpad(F.hex(short_id), 16, "0")))
-    placed = grouped.join(coarse.withColumnRenamed("member", "grp"), "grp", "left").select("node", "n", F.coalesce("label", "grp").alias("bucket"))
+    placed = grouped.join(coarse.withColumnRenamed("member", "grp"), "grp", "left").select("node", "grp", "n", F.coalesce("label", "grp").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    own = scan.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
+    first_of = F.min(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "key")).alias("first")
+    own = scan.where("node is not null").groupBy("node").agg(first_of).select("node", "first.doc", "first.key")
     wanted = materialize(placed.join(crowded, "bucket", "left_semi").join(own, "node"), "candidates")
     members = wanted.select("bucket", F.col("node").alias("member"), "n")
 
     # texts are looked up once; all later rounds read the few that are needed
-    texts = rows.join(wanted.select("node", F.col("doc").alias("of")).hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of"))).select("node", "text")
+    of = wanted.select("node", F.col("doc").alias("of"), F.col("key").alias("of_key"))
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    texts = keyed.join(of.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).select("node", "text")
     texts = materialize(texts, "texts")
+    if texts.count() > wanted.count():  # rows that repeat id and text
+        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def with_text(members: DataFrame) -> DataFrame:
         return members.join(texts, members["member"] == texts["node"]).drop("node")
@@ -406,7 +485,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     def set_judge(cell: pa.Table):
         members = cell["member"].to_pylist()
         sets = list(shingles.sets(*utf8_view(cell["text"]), width))
-        # another text under the same id is not the node that was asked for
+        # another text with the same id and hash is not the node that was asked for
         held = [i for i, s in enumerate(sets) if shingles.digest(s) == members[i]]
         if len(held) < 2:
             return []
@@ -414,7 +493,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             cell, members, sets = cell.take(held), [members[i] for i in held], [sets[i] for i in held]
         return _judged(cell, members, _sets_link(sets, num, den))
 
-    labels = components(linked(members, with_text, "text", set_judge))
+    sizes = _sizes(members)
+    links = _first_round(members, sizes, with_text, "text", set_judge)
+    many = sizes.where("blocks > 1").select("bucket")
+    if not many.isEmpty():
+        nodes = materialize(wanted.join(many, "bucket", "left_semi").select("grp", "node", "n"), "nodes")
+        prefixes = groups.select(F.unhex(F.lpad(F.hex(short_id), 16, "0")).alias("grp"), "prefix")
+        links = _completed(posted, nodes, links, prefixes, num, den, with_text, set_judge)
+    labels = components(links)
     named = own.join(labels.withColumnRenamed("member", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     component = named.join(names, "label").select("node", "component_id")

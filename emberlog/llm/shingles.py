@@ -3,6 +3,10 @@
 Words are the runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z folded to
 a-z. A text's set holds its distinct ``width``-word shingles; a text of fewer words,
 but some, has one element, its whole sequence; a text without words has none.
+
+Elements are known by 64-bit hashes, made of the words' hashes (see ``word_hash``)
+by mixing that isn't linear. Two different shingles of a text, or of two texts that
+are compared, agree with a probability of 2^-64 for each pair of them.
 """
 
 from __future__ import annotations
@@ -11,55 +15,27 @@ import hashlib
 
 import numpy as np
 
-from emberlog.llm.common import enter, hold, slices_by_bytes
+from emberlog.llm import word_hash
+from emberlog.llm.common import enter, slices_by_bytes
+from emberlog.llm.word_hash import U, mix
 
-U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are hashed together.
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
-    x = (x ^ (x >> U(27))) * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(_BASE)) | U(1)
-_BYTE[65:91] = _BYTE[97:123]
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), U(base))
-        steps[0] = 1
-        held = _POWERS[base] = np.cumprod(steps, dtype=U)
-    return held
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 def _slice_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's words begin (and the last end)."""
-    n = len(data)
-    if n == 0:
+    if len(data) == 0:
         return np.zeros(0, U), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    edge = off[(off > 0) & (off < n)]  # words end where texts do
-    first[edge] = solid[edge]
-    last[edge - 1] = solid[edge - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], dtype=U, out=total[1:])
-    word = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start])
-    return word, np.searchsorted(start, off)
+    start, end = word_hash.runs(data, off, _SPACE)
+    return word_hash.hashes(word_hash.padded(_FOLD[data]), start, end), np.searchsorted(start, off)
 
 
 #: Slots of the word sketch; a word's slot is the top of its hash.
@@ -95,11 +71,6 @@ def _slice_sets(word: np.ndarray, bounds: np.ndarray, width: int, weight: np.nda
         yield own if weight is None else (own, np.zeros(len(own), np.uint16))
 
 
-def free() -> None:
-    """Let go of the tables of powers."""
-    _POWERS.clear()
-
-
 def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | None = None, seen: np.ndarray | None = None):
     """The set of each text, as sorted hashes; texts are the slices of ``data`` between offsets.
 
@@ -107,7 +78,6 @@ def sets(data: np.ndarray, off: np.ndarray, width: int, weight: np.ndarray | Non
     their words. ``seen`` (by slot) is increased by every word.
     """
     enter("shingles")
-    hold("shingles", free)
     for i, j in slices_by_bytes(off, SLICE_BYTES):
         word, bounds = _slice_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         if seen is not None:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import ngram_join as brute
+from brute import thue_morse
 
 from emberlog.llm import ngram_join
 
@@ -59,3 +60,52 @@ def test_nulls_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_words_that_polynomials_confuse(spark):
+    rows = [(2 * n + k, word) for n in range(6, 13) for k, word in enumerate(thue_morse(n))]
+    rows += [(100 + i, f"{w} and the same words behind it") for i, w in enumerate(thue_morse(10))]
+    assert result(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("one_id", [7, None])
+def test_many_texts_under_one_id(spark, monkeypatch, one_id):
+    held = {}
+    real = ngram_join.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 50)}" for _ in range(80)]
+    rows = [(one_id, t) for t in near_copies(rng, base, 300, 3)] + [(one_id, "twice the same text")] * 40
+    assert result(spark, rows) == brute(rows)
+    assert held["texts"] <= 301
+
+
+@pytest.mark.parametrize("elements", [1, 200])
+def test_blocks_by_elements(spark, monkeypatch, elements):
+    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", elements)
+    rows = corpus(21)
+    assert result(spark, rows) == brute(rows)
+
+
+def test_small_clusters_of_one_template(spark, monkeypatch):
+    # all share most words, so one family holds them all, but only the few copies of each link
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(31)
+    template = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(25):
+        own = template[:10] + [f"own{k}x{i}" for i in range(8)] + template[10 + k : 45 + k]
+        texts += near_copies(rng, own, 3, 1)
+    rows = list(enumerate(texts))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_a_column_that_the_result_has(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 5, 6, 7)], "doc_id long, text string, component_id int, node int, key int")
+    assert sorted(map(tuple, ngram_join.join(df).collect())) == [(1, 2, 1), (2, 2, 1)]
