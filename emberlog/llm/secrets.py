@@ -3,13 +3,20 @@
 Credentials of known kinds (from the caller, or those that the base rules mark in
 a bounded sample of texts) form a prefix tree per kind. States whose outgoing
 frequencies agree within a Hoeffding bound are merged (ALERGIA), which leaves a
-small probabilistic automaton of the format. Every candidate of every text, a run
-of token characters long enough and with both letters and digits, is scored by
-its log-likelihood per character against each automaton; candidates as likely as
-the credentials it was learned from are reported as ``format``.
+small probabilistic automaton of the format. Ordinary token runs of the same sample
+make one more automaton, the background.
+
+Every candidate of every text is scored by its log-likelihood per character: each
+run of token characters that is as long as the shortest credential of the base
+rules, whatever it is made of and however long; if no format takes the whole run,
+also its parts between ``= / . +``, and the stretches that begin with a literal
+prefix of a learned format (from there to the end, and of each learned length). A
+candidate is reported as ``format`` if a format makes it as likely as the
+credentials it was learned from, and likelier than the background does.
 
 Base rules (kinds ``assign``, ``access``, ``hex``) always report their matches,
-whatever the automata say; a candidate that overlaps one adds nothing.
+whatever the automata say; of the accepted candidates those that lie inside a base
+match are not reported a second time.
 
 A null text counts as empty. Offsets are code points, the end exclusive. Texts
 are read whole and no rows are shuffled. Repeated rows repeat their result, other
@@ -19,12 +26,16 @@ learn from, only the base rules report.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -32,7 +43,7 @@ from emberlog.llm.common import small_batches, text_groups, text_or_empty
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Bytes of text that are decoded together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 KINDS = (*BASE_KINDS, "format")
 
 _CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
@@ -40,12 +51,33 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)", re.I | re.A)
 _VALUE = re.compile(r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: What is scored: runs of token characters of this length or more ...
-MIN_CANDIDATE = 20
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
-_HAS_DIGIT, _HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
-#: ... up to this many characters; longer runs are encoded data, not credentials.
-MAX_CANDIDATE = 512
+#: The base rules' shortest credential; shorter runs are no candidates.
+MIN_CANDIDATE = 8
+#: Symbols spelt out at each end of a long credential.
+EDGE = 64
+#: Scores of runs that a worker remembers before it starts anew.
+REMEMBERED = 100_000
+
+#: Classes of characters: digits, hexadecimal and other lower letters, upper letters, the marks
+#: of tokens themselves; whatever else separates candidates.
+_CLASS = np.full(129, ord(" "), np.uint8)
+for _c in "+/_.=-":
+    _CLASS[ord(_c)] = ord(_c)
+_CLASS[ord("0") : ord("9") + 1] = ord("d")
+_CLASS[ord("a") : ord("z") + 1] = ord("l")
+_CLASS[ord("a") : ord("f") + 1] = ord("a")
+_CLASS[ord("A") : ord("Z") + 1] = ord("u")
+_RUN = re.compile("[^ ]{%d,}" % MIN_CANDIDATE)
+_PART = re.compile("[^=/.+]{%d,}" % MIN_CANDIDATE)
+_HEAD = re.compile("[A-Za-z]{2,6}[_-]|AKIA")
+#: Class strings of runs in which a literal prefix may stand; others are told by their classes alone.
+_MAY_HAVE_HEAD = re.compile("[alu]{2}[_-]|uuuu")
+
+
+def classes(text: str) -> str:
+    """The class of each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _CLASS[np.minimum(points, 128)].tobytes().decode("ascii")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -69,13 +101,16 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 def symbols(value: str) -> str:
     """A credential as symbols: lower hex, other lower, upper, digit and the marks themselves.
-    A lower-case prefix up to a mark (``sk_``, ``ghp_``) stays literal."""
-    head = re.match(r"[A-Za-z]{2,6}[_-]", value)
-    skip = head.end() if head else 4 if value.startswith("AKIA") else 0
-    rest = value[skip:]
-    hexadecimal = re.fullmatch(r"[0-9a-f]*", rest) is not None
-    classes = "".join("h" if hexadecimal else "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else c for c in rest)
-    return "".join(f"<{c}" for c in value[:skip]).replace("<", "\x01") + classes
+    A prefix up to a mark (``sk_``, ``ghp_``) and ``AKIA`` stay literal. Of a long credential both
+    ends are spelt out; which classes it has and the order of magnitude of its length stand between."""
+    head = _HEAD.match(value)
+    skip = head.end() if head else 0
+    rest = classes(value[skip:])
+    kinds = rest.replace("a", "h").replace("d", "h") if not rest.strip("ad") else rest.replace("a", "l")
+    if len(kinds) > 2 * EDGE:
+        marks = sum(1 << i for i, c in enumerate("hdlu+/_.=-") if c in kinds)
+        kinds = kinds[:EDGE] + chr(0x1000 + marks) + chr(0x100 + len(kinds).bit_length()) + kinds[-EDGE:]
+    return "".join("\x01" + c for c in value[:skip]) + kinds
 
 
 class Automaton:
@@ -127,9 +162,9 @@ class Automaton:
                     todo.append((self.arcs[x][c], self.arcs[y][c]))
         return True
 
-    def _fold(self, kept: int, gone: int) -> None:
-        """Add the tree under ``gone`` to ``kept``."""
-        todo = [(kept, gone)]
+    def _fold(self, kept: int, gone: int) -> set[int]:
+        """Add the tree under ``gone`` to ``kept``; the states that were given new arcs."""
+        todo, widened = [(kept, gone)], set()
         while todo:
             x, y = todo.pop()
             self.passed[x] += self.passed[y]
@@ -140,23 +175,31 @@ class Automaton:
                     todo.append((self.arcs[x][c], under))
                 else:
                     self.arcs[x][c] = under
+                    widened.add(x)
+        return widened
 
     def _merge_states(self) -> None:
-        """Red states are final; a blue one, a child of a red one, is folded into the
-        first compatible red state or becomes red itself."""
-        red = [0]
-        while True:
-            known = set(red)
-            blue = next(((p, c, q) for p in red for c, q in sorted(self.arcs[p].items()) if q not in known), None)
-            if blue is None:
-                return
-            parent, c, state = blue
+        """Red states are final; the next blue one, a child of the earliest red one that has
+        any, is folded into the first compatible red state or becomes red itself."""
+        red, place = [0], {0: 0}
+        blue = [(0, c) for c in self.arcs[0]]
+        heapq.heapify(blue)
+        while blue:
+            at, c = heapq.heappop(blue)
+            state = self.arcs[red[at]][c]
+            if state in place:
+                continue
             into = next((r for r in red if self._compatible(r, state)), None)
             if into is None:
+                place[state] = len(red)
                 red.append(state)
+                widened = {state}
             else:
-                self.arcs[parent][c] = into
-                self._fold(into, state)
+                self.arcs[red[at]][c] = into
+                widened = self._fold(into, state)
+            for x in widened & place.keys():
+                for c in self.arcs[x]:
+                    heapq.heappush(blue, (place[x], c))
 
     def _to_probabilities(self) -> None:
         self.steps, self.stop = [], []
@@ -177,56 +220,138 @@ class Automaton:
         return (total + self.stop[state]) / (len(s) + 1)
 
 
+#: Kind of the ordinary runs among what is learned from.
+ORDINARY = "ordinary"
+
+
 class Grammar:
-    """An automaton and a threshold for each kind of credential."""
+    """An automaton and a threshold for each kind of credential, and the background."""
 
     def __init__(self, labelled: list[tuple[str, str]]):
         self.parts: list[tuple[Automaton, float]] = []
+        self.heads: dict[str, set[int]] = {}
+        self.background = None
         for kind in sorted({k for k, _ in labelled}):
-            strings = [symbols(v) for k, v in labelled if k == kind and MIN_CANDIDATE <= len(v) <= MAX_CANDIDATE]
-            if len(strings) >= 5:
-                made = Automaton(strings)
-                scores = sorted(made.score(s) for s in strings)
-                # the least likely twentieth of the examples doesn't widen the format
-                self.parts.append((made, scores[len(scores) // 20]))
+            values = [v for k, v in labelled if k == kind and len(v) >= MIN_CANDIDATE]
+            if len(values) < 5:
+                continue
+            made = Automaton([symbols(v) for v in values])
+            if kind == ORDINARY:
+                self.background = made
+                continue
+            scores = sorted(made.score(symbols(v)) for v in values)
+            # the least likely twentieth of the examples doesn't widen the format
+            self.parts.append((made, scores[len(scores) // 20]))
+            for v in values:
+                if head := _HEAD.match(v):
+                    self.heads.setdefault(head[0], set()).add(len(v))
+        self.by_class: dict[str, tuple] = {}
+        self.by_value: dict[str, tuple] = {}
 
     def accepts(self, value: str) -> bool:
         s = symbols(value)
-        return any(a.score(s) >= least for a, least in self.parts)
+        best = max((score for a, least in self.parts if (score := a.score(s)) >= least), default=-math.inf)
+        return best > -math.inf and (self.background is None or best > self.background.score(s))
+
+    def _within(self, value: str) -> tuple[tuple[int, int], ...]:
+        """The accepted spans of a run."""
+        if self.accepts(value):
+            return ((0, len(value)),)
+        found = {m.span() for m in _PART.finditer(value) if m.end() - m.start() < len(value) and self.accepts(m[0])}
+        for head, lengths in sorted(self.heads.items()):
+            at = value.find(head)
+            while at >= 0:
+                ends = [len(value), *(at + n for n in sorted(lengths, reverse=True) if at + n < len(value))]
+                if not any(a <= at < z for a, z in found) and (end := next((z for z in ends if z - at >= MIN_CANDIDATE and self.accepts(value[at:z])), None)):
+                    found.add((at, end))
+                at = value.find(head, at + 1)
+        return tuple(sorted(found))
+
+    def found(self, run: str, kinds: str) -> tuple[tuple[int, int], ...]:
+        """The accepted spans of a run with these classes, looked up or scored."""
+        memo, key = (self.by_value, run) if _MAY_HAVE_HEAD.search(kinds) else (self.by_class, kinds)
+        hit = memo.get(key)
+        if hit is None:
+            hit = self._within(run)
+            if len(key) <= 256:
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                memo[key] = hit
+        return hit
+
+
+def format_spans(texts: list[str], grammar: Grammar) -> list[list[tuple[int, int]]]:
+    """The accepted candidates of each text."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    whole = "\n".join(texts)
+    begins = [0, *accumulate(len(t) + 1 for t in texts)]
+    at = 0
+    for m in _RUN.finditer(classes(whole)):
+        a, z = m.span()
+        if hits := grammar.found(whole[a:z], m[0]):
+            while begins[at + 1] <= a:
+                at += 1
+            out[at] += [(a - begins[at] + x, a - begins[at] + y) for x, y in hits]
+    return out
+
+
+def with_formats(base: list[tuple[str, int, int, str]], formats: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans and the accepted candidates that don't lie inside one, by start, then kind as listed."""
+    order = KINDS.index
+    every = sorted([(a, -z, order(k), k) for k, a, z, _ in base] + [(a, -z, order("format"), "format") for a, z in formats])
+    kept, reach = [], -1
+    for a, z, _, kind in every:  # of equal starts the longest first
+        if kind != "format":
+            reach = max(reach, -z)
+        if kind != "format" or -z > reach:
+            kept.append((kind, a, -z))
+    return sorted(kept, key=lambda s: (s[1], order(s[0])))
 
 
 def spans(text: str, grammar: Grammar | None) -> list[tuple[str, int, int]]:
-    found = [s[:3] for s in base_spans(text)]
-    if grammar is not None and grammar.parts:
-        for m in _CANDIDATE.finditer(text):
-            value, (a, z) = m[0], m.span()
-            if z - a > MAX_CANDIDATE or not _HAS_DIGIT.search(value) or not _HAS_LETTER.search(value):
-                continue
-            if not any(x < z and a < y for _, x, y in found) and grammar.accepts(value):
-                found.append(("format", a, z))
-    order = KINDS.index
-    return sorted(found, key=lambda s: (s[1], order(s[0])))
+    formats = format_spans([text], grammar)[0] if grammar is not None and grammar.parts else []
+    return with_formats(base_spans(text), formats)
+
+
+def _smallest(best: dict[str, dict[int, str]], kind: str, value: str, most: int) -> None:
+    """Keep the ``most`` values of a kind with the smallest hash, twice as many at times."""
+    own = best.setdefault(kind, {})
+    own[zlib.crc32(value.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(value.encode("utf-8", "surrogatepass"))] = value
+    if len(own) >= 2 * most:
+        for h in sorted(own)[most:]:
+            del own[h]
 
 
 def learn(df: DataFrame, key_col: str, text_col: str = "text", sample_rows: int = 20_000, examples_per_kind: int = 400) -> Grammar:
     """Learn from what the base rules mark in about ``sample_rows`` rows, chosen by a
-    hash of ``key_col``; of each kind at most ``examples_per_kind`` distinct
-    credentials, those with the smallest hash, are used."""
+    hash of ``key_col``, and from the ordinary runs beside it: of each at most
+    ``examples_per_kind`` distinct values, those with the smallest hash. One pass over the
+    texts, of which every task sends back so many values at most."""
     small_batches(df.sparkSession)
-    rows = df.count()
+    rows = df.count()  # known from the files
     share = min(1_000_000, -(-sample_rows * 1_000_000 // max(1, rows)))
-    sample = df.where(F.pmod(F.xxhash64(key_col), F.lit(1_000_000)) < share).select(F.col(text_col).alias("text"))
-
-    @arrow_udf("array<struct<kind:string,value:string>>")
-    def marked(text: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "value": v} for k, _, _, v in base_spans(t)] for t in text.to_pylist()], pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
-
-    found = sample.select(F.explode(marked(text_or_empty("text"))).alias("m")).select("m.*").distinct()
-    labelled = []
-    for kind in BASE_KINDS:
-        own = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples_per_kind)
-        labelled += [(r["kind"], r["value"]) for r in own.collect()]
-    return Grammar(labelled)
+    sample = df.where(F.pmod(F.xxhash64(key_col), F.lit(1_000_000)) < share).select(text_or_empty(text_col).alias("text"))
+
+    def marked(batches):
+        best: dict[str, dict[int, str]] = {}
+        for batch in batches:
+            for text in (t for group in text_groups(batch.column(0), GROUP_BYTES) for t in group):
+                own = base_spans(text)
+                for kind, _, _, value in own:
+                    _smallest(best, kind, value, examples_per_kind)
+                reach, i = -1, 0
+                for m in _RUN.finditer(classes(text)):
+                    while i < len(own) and own[i][1] < m.end():
+                        reach, i = max(reach, own[i][2]), i + 1
+                    if reach <= m.start():
+                        _smallest(best, ORDINARY, text[m.start() : m.end()], examples_per_kind)
+        flat = [(kind, h - (1 << 63), value) for kind, own in best.items() for h, value in sorted(own.items())[:examples_per_kind]]
+        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "h", "value"), row)) for row in flat], schema=pa.schema([("kind", pa.string()), ("h", pa.int64()), ("value", pa.string())]))
+
+    found = sample.mapInArrow(marked, "kind string, h long, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
+    kept = found.withColumn("place", place).where(F.col("place") <= examples_per_kind).select("kind", "value")
+    return Grammar([(r["kind"], r["value"]) for r in kept.collect()])  # at most examples_per_kind of each of four kinds
 
 
 def with_spans(df: DataFrame, grammar: Grammar | None, text_col: str = "text") -> DataFrame:
@@ -237,13 +362,16 @@ def with_spans(df: DataFrame, grammar: Grammar | None, text_col: str = "text") -
 
     @arrow_udf("array<struct<kind:string,start:int,end:int>>")
     def found(text: pa.Array) -> pa.Array:
+        grammar = held.value
         per_text, kinds, starts, ends = [0], [], [], []
-        for t in (t for group in text_groups(text, GROUP_BYTES) for t in group):
-            for kind, a, z in spans(t, held.value):
-                kinds.append(kind)
-                starts.append(a)
-                ends.append(z)
-            per_text.append(len(kinds))
+        for group in text_groups(text, GROUP_BYTES):
+            formats = format_spans(group, grammar) if grammar is not None and grammar.parts else [[]] * len(group)
+            for t, own in zip(group, formats):
+                for kind, a, z in with_formats(base_spans(t), own):
+                    kinds.append(kind)
+                    starts.append(a)
+                    ends.append(z)
+                per_text.append(len(kinds))
         rows = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["kind", "start", "end"])
         return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), rows)
 

@@ -184,3 +184,65 @@ def thue_morse(n, a="a", b="b"):
     """A word of 2^n characters and its complement: polynomial hashes modulo 2^64 take them for one."""
     word = "".join(b if bin(i).count("1") % 2 else a for i in range(1 << n))
     return word, "".join(a if c == b else b for c in word)
+
+
+def alergia(strings, alpha=0.05):
+    """Mean log-likelihood per symbol under the automaton that state merging learns, the slow way."""
+    end = {}
+    for s in strings:
+        for i in range(len(s) + 1):
+            end.setdefault(s[:i], [0, 0, {}])[0] += 1
+        end[s][1] += 1
+    # state: [passed, ended, {symbol: [state, times]}]
+    for p in sorted(end, key=len, reverse=True):
+        if p:
+            end[p[:-1]][2][p[-1]] = [end[p], end[p][0]]
+    root = end[""]
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    apart = lambda k, n, j, m: n and m and abs(k / n - j / m) > bound * (n**-0.5 + m**-0.5)
+
+    def alike(x, y, seen):
+        if x is y or (id(x), id(y)) in seen:
+            return True
+        seen.add((id(x), id(y)))
+        if apart(x[1], x[0], y[1], y[0]):
+            return False
+        for c in {*x[2], *y[2]}:
+            if apart(x[2].get(c, (0, 0))[1], x[0], y[2].get(c, (0, 0))[1], y[0]):
+                return False
+        return all(alike(x[2][c][0], y[2][c][0], seen) for c in {*x[2]} & {*y[2]})
+
+    def fold(x, y):
+        x[0] += y[0]
+        x[1] += y[1]
+        for c, (under, times) in y[2].items():
+            if c in x[2]:
+                x[2][c][1] += times
+                fold(x[2][c][0], under)
+            else:
+                x[2][c] = [under, times]
+
+    red = [root]
+    while True:
+        blue = next(((r, c) for r in red for c in sorted(r[2]) if not any(r[2][c][0] is k for k in red)), None)
+        if blue is None:
+            break
+        r, c = blue
+        state = r[2][c][0]
+        into = next((k for k in red if alike(k, state, set())), None)
+        if into is None:
+            red.append(state)
+        else:
+            r[2][c][0] = into
+            fold(into, state)
+
+    def score(s):
+        at, total = root, 0.0
+        for c in s:
+            if c not in at[2]:
+                return -math.inf
+            at, times, n = at[2][c][0], at[2][c][1], at[0]
+            total += math.log(times / (n + 1))
+        return (total + math.log((at[1] + 0.01) / (at[0] + 1))) / (len(s) + 1)
+
+    return score
