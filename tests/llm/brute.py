@@ -246,3 +246,58 @@ def alergia(strings, alpha=0.05):
         return (total + math.log((at[1] + 0.01) / (at[0] + 1))) / (len(s) + 1)
 
     return score
+
+
+def quoted(rows):
+    """What quotation linking says of rows (conv, turn, role, text)."""
+
+    def lines_of(text):
+        out = []
+        for line in re.split("\r?\n", text or ""):
+            at = level = 0
+            while True:
+                skip = at + (at < len(line) and line[at] in " \t")
+                if skip < len(line) and line[skip] == ">":
+                    level, at = level + 1, skip + 1
+                else:
+                    break
+            out.append((level, line[at:].strip(" "), line))
+        return out
+
+    def passages_of(lines):
+        out, before = [], (None, "")
+        for level, body, _ in lines:
+            if body:
+                if before[1] and before[0] == level:
+                    out[-1][1].append(body)
+                else:
+                    out.append((level, [body]))
+            before = (level, body)
+        fold = lambda t: re.sub("[\x20\t-\r]+", " ", t.translate(FOLD)).strip(" ")
+        return [(level, t) for level, own in out if (t := fold(" ".join(own)))]
+
+    announced = re.compile(r"(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", re.I)
+    parsed = [lines_of(r[3]) for r in rows]
+    passages = [passages_of(p) for p in parsed]
+    first, links = {}, {}
+    for (conv, turn, *_), own in zip(rows, passages):
+        if conv is not None and turn is not None:
+            for level, text in own:
+                if level == 0:
+                    first[conv, text] = min(first.get((conv, text), turn), turn)
+    for (conv, turn, *_), own in zip(rows, passages):
+        if conv is not None and turn is not None:
+            for level, text in own:
+                if level and first.get((conv, text), turn) < turn:
+                    links.setdefault((conv, turn), set()).add((level, first[conv, text], text))
+    up = {k: max((o for lv, o, _ in v if lv == 1), default=None) for k, v in links.items()}
+    up = {k: max(o for _, o, _ in links[k]) if u is None else u for k, u in up.items()}
+    out = []
+    for (conv, turn, *_), lines, own in zip(rows, parsed, passages):
+        at, depth = turn, 0
+        while (conv, at) in up:
+            at, depth = up[conv, at], depth + 1
+        clean = [x for i, (level, body, x) in enumerate(lines) if not level and not (announced.match(body) and i + 1 < len(lines) and lines[i + 1][0])]
+        found = links.get((conv, turn), ())
+        out.append({"reply_to": up.get((conv, turn)), "root_turn": at, "depth": depth, "n_quotes": sum(lv > 0 for lv, _ in own), "n_linked": len({t for *_, t in found}), "clean_text": re.sub(r"^[ \t-\r]+|[ \t-\r]+$", "", "\n".join(clean))})
+    return out
