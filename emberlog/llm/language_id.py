@@ -2,19 +2,24 @@
 
 Training counts n-grams of a bounded sample of labelled rows (``sample_per_label``
 rows of each label, about, chosen by a hash of the row's key). The log-probability
-matrix, ``BUCKETS`` x labels float32, is the only thing that is broadcast; more
-than ``MAX_LABELS`` labels are refused, which bounds it. Scoring gathers matrix
-cells for the n-grams of many texts at once in numpy and sums them by text.
+matrix is broadcast, ``BUCKETS`` float32 a label. Labels are taken ``TOGETHER`` at a
+time, which bounds a broadcast: more labels take more passes, each of which keeps
+every text's best label so far and the sum for its posterior, in a table between
+passes. Scoring gathers matrix cells for the n-grams of many texts at once in numpy
+and sums them by text.
 
 Text is lower-cased, whatever isn't a letter becomes one separator. A null text,
 an empty one or one without a letter is ``und`` with score 0, as is every text
 when nothing could be learned. Very long texts are scored whole. Ties go to the
 label that sorts first. Null labels are not learned from; repeated rows repeat
-their result; other columns pass through.
+their result; other columns pass through, whatever their names, except that the
+result columns are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberlog.llm import tokens
-from emberlog.llm.common import enter, small_batches, trim
+from emberlog.llm.common import enter, materialize, small_batches, trim
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-MAX_LABELS = 256
+#: Labels of which a broadcast matrix holds the columns (256 KB each).
+TOGETHER = 64
 UNKNOWN = "und"
 GROUP_CHARS = 1 << 20
 
@@ -92,9 +98,9 @@ def counted(texts: list[str]) -> np.ndarray:
     return total
 
 
-def scored(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best label number (-1 without a letter) and its posterior probability."""
-    best, score = [], []
+def totals(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best label number (-1 without a letter), its log-likelihood, and the sum of all likelihoods relative to it."""
+    best, top, rest = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
     for group in tokens.groups(texts, GROUP_CHARS):
         points, begin, has = normalised(group)
         total = np.tile(prior, (len(group), 1))
@@ -109,17 +115,26 @@ def scored(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.
             for label in range(matrix.shape[0]):
                 cells = np.append(matrix[label][found], np.float32(0))
                 total[some, label] += np.add.reduceat(cells, edges, dtype=np.float64)[0::2]
-        top = total.argmax(axis=1)
-        posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        best.append(np.where(has, top, -1))
-        score.append(np.where(has, posterior, 0.0))
-    return (np.concatenate(best), np.concatenate(score)) if best else (np.zeros(0, np.int64), np.zeros(0))
+        own = total.max(axis=1)
+        best.append(np.where(has, total.argmax(axis=1), -1))
+        top.append(own)
+        rest.append(np.exp(total - own[:, None]).sum(axis=1))
+    return np.concatenate(best), np.concatenate(top), np.concatenate(rest)
+
+
+def scored(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best label number (-1 without a letter) and its posterior probability."""
+    best, _, rest = totals(texts, matrix, prior)
+    return best, np.where(best >= 0, 1 / rest, 0.0)
+
+
+_STATE = pa.struct([("label", pa.string()), ("top", pa.float64()), ("rest", pa.float64())])
 
 
 class Model:
-    """Labels in order, log priors and the log-probability matrix (labels x buckets)."""
+    """Labels in order, log priors, and the log-probabilities by slices of TOGETHER labels."""
 
-    def __init__(self, labels: list[str], prior: np.ndarray, matrix: np.ndarray):
+    def __init__(self, labels: list[str], prior: np.ndarray, matrix: Callable[[int, int], np.ndarray]):
         self.labels, self.prior, self.matrix = labels, prior, matrix
 
     @staticmethod
@@ -128,55 +143,71 @@ class Model:
         spark = rows.sparkSession
         small_batches(spark)
         known = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("draw"))
-        sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
-        if len(sizes) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels: the matrix would not be bounded")
-        if not sizes:
-            return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
-        share = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1_000_000, -(-sample_per_label * 1_000_000 // n)))])
-        sample = known.where(F.col("draw") < share[F.col("label")]).select("label", "text")
+        sizes = dict(sorted(known.groupBy("label").agg(F.count("*").alias("n")).collect()))  # a row for each label
+        names = list(sizes)
+        if not names:
+            return Model([], np.zeros(0), lambda a, z: np.zeros((0, BUCKETS), np.float32))
+        shares = spark.createDataFrame([(x, i, min(1_000_000, -(-sample_per_label * 1_000_000 // n))) for i, (x, n) in enumerate(sizes.items())], "label string, number int, share int")
+        sample = known.join(F.broadcast(shares), "label").where("draw < share").select("number", "text")
         sample = sample.repartition(max(1, sum(min(n, sample_per_label) for n in sizes.values()) // 500))
 
         def count(batches):
             enter("language_id")
-            held: dict[str, np.ndarray] = {}
             for batch in batches:
-                label, text = batch.column("label").to_pylist(), batch.column("text").to_pylist()
-                for name in sorted(set(label)):
-                    held[name] = held.get(name, 0) + counted([t for x, t in zip(label, text) if x == name])
-            for name, total in held.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["label", "bucket", "n"])
-
-        table = sample.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LABELS x BUCKETS cells
-        names = sorted(sizes)
-        cells = np.zeros((len(names), BUCKETS))
-        number = {name: i for i, name in enumerate(names)}
-        at = np.array([number[x] for x in table["label"].to_pylist()], np.int64)
-        cells[at, table["bucket"].to_numpy()] = table["n"].to_numpy()
-        matrix = np.log((cells + smoothing) / (cells.sum(axis=1, keepdims=True) + smoothing * BUCKETS)).astype(np.float32)
-        weight = np.array([sizes[x] for x in names], float)
+                number, text = batch.column("number").to_numpy(), batch.column("text").to_pylist()
+                for label in np.unique(number).tolist():
+                    total = counted([text[i] for i in np.flatnonzero(number == label).tolist()])
+                    at = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["number", "bucket", "n"])
+
+        table = sample.mapInArrow(count, "number int, bucket int, n long").groupBy("number", "bucket").agg(F.sum("n").alias("n"))
+        if len(names) > TOGETHER:
+            table = materialize(table, "ngrams")
+
+        def matrix(a: int, z: int) -> np.ndarray:
+            """Log-probabilities of the labels from a up to z."""
+            own = table.where((F.col("number") >= a) & (F.col("number") < z)).toArrow()  # at most TOGETHER x BUCKETS cells
+            cells = np.zeros((z - a, BUCKETS))
+            cells[own["number"].to_numpy() - a, own["bucket"].to_numpy()] = own["n"].to_numpy()
+            return np.log((cells + smoothing) / (cells.sum(axis=1, keepdims=True) + smoothing * BUCKETS)).astype(np.float32)
+
+        weight = np.array(list(sizes.values()), float)
         return Model(names, np.log(weight / weight.sum()), matrix)
 
-    def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """``df`` with lang_pred and score."""
-        small_batches(df.sparkSession)
-        held = df.sparkSession.sparkContext.broadcast((self.labels, self.prior, self.matrix))
+    def _pass(self, df: DataFrame, a: int, z: int) -> DataFrame:
+        """``df`` (given, text, state) with the labels from a up to z taken into the state."""
+        held = df.sparkSession.sparkContext.broadcast((self.labels[a:z], self.prior[a:z], self.matrix(a, z)))
 
-        @arrow_udf("struct<lang_pred:string,score:double>")
-        def predicted(text: pa.Array) -> pa.Array:
+        @arrow_udf("struct<label:string,top:double,rest:double>")
+        def taken(text: pa.Array, before: pa.Array) -> pa.Array:
             enter("language_id")
             labels, prior, matrix = held.value
-            texts = text.to_pylist()
-            if labels:
-                best, score = scored([t or "" for t in texts], matrix, prior)
-            else:
-                best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            names = np.array([*labels, UNKNOWN], object)
+            best, top, rest = totals([t or "" for t in text.to_pylist()], matrix, prior)
+            names = np.array([*labels, None], object)[best]
+            old, old_top, old_rest = (before.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if before.null_count < len(before):
+                keep = before.is_valid().to_numpy(zero_copy_only=False) & ~(top > old_top)
+                high = np.where(keep, old_top, top)
+                both = rest * np.exp(top - high) + np.where(np.isnan(old_top), 0, old_rest * np.exp(old_top - high))
+                names, top, rest = np.where(keep, old, names), high, both
             trim()
-            return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(top), pa.array(rest)], fields=list(_STATE))
 
-        return df.withColumn("_lang", predicted(F.col(text_col))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+        return df.withColumn("state", taken("text", "state"))
+
+    def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """``df`` with lang_pred and score."""
+        small_batches(df.sparkSession)
+        kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+        # the given columns are wrapped, so no name of theirs meets one of ours
+        now = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given"), F.col(text_col).alias("text"), F.lit(None).cast("struct<label:string,top:double,rest:double>").alias("state"))
+        for a in range(0, len(self.labels), TOGETHER):
+            if a:
+                now = materialize(now, "language-pass")
+            now = self._pass(now, a, min(a + TOGETHER, len(self.labels)))
+        label = F.col("state.label")
+        score = F.when(label.isNotNull(), 1 / F.col("state.rest")).otherwise(0.0)
+        return now.select(*[F.col("given").getField(c).alias(c) for c in kept], F.coalesce(label, F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from emberlog.llm.common import enter, hold
+from emberlog.llm.common import enter, hold, slices_by_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -24,16 +24,19 @@ BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class RowEncoder:
-    """Encodes many short strings: rows of them are joined by a special token, which the
-    tokenizer takes out of a text before anything else is done to it."""
+    """Encodes many short strings: rows of about ROW characters of them are joined by a special
+    token, which the tokenizer takes out of a text before anything else is done to it. Rows are
+    encoded in batches of about BATCH characters; a longer string is a row and a batch of its own."""
 
-    def __init__(self, path: str, lengths_only: bool, per_row: int = 64):
+    ROW, BATCH = 512, 1 << 16
+
+    def __init__(self, path: str, lengths_only: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lengths_only, self.per_row = lengths_only, per_row
+        self.lengths_only = lengths_only
         added = self.tokenizer.get_added_tokens_decoder().items()
         special = sorted((t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.mark = special[0] if special else (None, -1)
@@ -43,15 +46,19 @@ class RowEncoder:
         """Counts and ids of the pieces. Those that hold the joining string stand alone."""
         mark, mark_id = self.mark
         rows: list[list[str]] = []
+        room = 0
         for piece in pieces:
             alone = mark is None or mark in piece
-            if alone or not rows or len(rows[-1]) >= self.per_row or mark in rows[-1][0]:
+            if alone or len(piece) > room:
                 rows.append([piece])
+                room = 0 if alone else self.ROW - len(piece)
             else:
                 rows[-1].append(piece)
+                room -= len(piece)
         counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for part in range(0, len(rows), self.per_row):
-            block = rows[part : part + self.per_row]
+        sizes = np.cumsum([0, *(sum(map(len, r)) for r in rows)])
+        for a, z in slices_by_bytes(sizes, self.BATCH):
+            block = rows[a:z]
             done = self.tokenizer.encode_batch_fast([r[0] if len(r) == 1 else mark.join(r) for r in block], add_special_tokens=False)
             for r, e in zip(block, done):
                 own = np.array(e.ids, np.uint32)
@@ -80,7 +87,9 @@ class _Numbers(dict):
 
 
 class PieceCounter:
-    """Token counts of texts, piece by piece. Beyond ``memo`` pieces the memo starts anew."""
+    """Token counts of texts, piece by piece. Beyond ``memo`` pieces, or MEMO_CHARS characters of them, the memo starts anew."""
+
+    MEMO_CHARS = 32 << 20
 
     def __init__(self, path: str, memo: int = 1_000_000):
         self.rows, self.memo = RowEncoder(path, lengths_only=True), memo
@@ -89,9 +98,10 @@ class PieceCounter:
     def _reset(self) -> None:
         self.number = _Numbers()
         self.counts = np.zeros(0, np.int64)
+        self.chars = 0
 
     def count_tokens(self, texts: list[str]) -> np.ndarray:
-        if len(self.number) > self.memo:
+        if len(self.number) > self.memo or self.chars > self.MEMO_CHARS:
             self._reset()
         cut = [BEFORE_SINGLE_SPACE.split(t) for t in texts]
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -99,6 +109,7 @@ class PieceCounter:
         new, self.number.new = self.number.new, []
         if new:
             self.counts = np.concatenate([self.counts, self.rows.encode(new)[0]])
+            self.chars += sum(map(len, new))
         total, ends = np.concatenate([[0], np.cumsum(self.counts[numbers])]), np.cumsum(per_text)
         return total[ends] - total[ends - per_text]
 

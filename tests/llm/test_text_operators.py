@@ -138,6 +138,40 @@ def test_batch_scoring_is_the_sum_over_ngrams():
     assert [b if b >= 0 else None for b in best] == [w if any(c.isalpha() for c in t) else None for t, w in zip(texts, want)]
 
 
+def test_language_fit_counts_every_ngram(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abé ß1.Z") for _ in range(rng.randint(0, 12))), rng.choice(["x", "y", "z"])) for i in range(300)]
+    model = language_id.Model.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id"), "lang", "text", 1000, smoothing=0.5)
+    cells = np.zeros((3, language_id.BUCKETS))
+    for _, text, lang in rows:
+        points = [32]
+        for c in text.lower():
+            points += [ord(c)] if c.isalpha() else [32] * (points[-1] != 32)
+        for order in language_id.ORDERS:
+            for i in range(len(points) - order + 1):
+                cells["xyz".index(lang), language_id.grams(np.array(points[i : i + order], np.uint32), order)[0]] += 1
+    want = np.log((cells + 0.5) / (cells.sum(axis=1, keepdims=True) + 0.5 * language_id.BUCKETS))
+    assert model.labels == ["x", "y", "z"] and np.allclose(model.matrix(0, 3), want, atol=1e-5)
+    share = np.array([sum(r[2] == x for r in rows) for x in "xyz"]) / len(rows)
+    assert np.allclose(model.prior, np.log(share))
+
+
+def test_more_labels_than_one_broadcast_holds(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"l{i:03}" for i in range(300)]
+    sound = {n: [chr(0x4E00 + 3 * i + k) for k in range(3)] for i, n in enumerate(names)}
+    rows = [(5 * i + k, "".join(rng.choice(sound[n]) for _ in range(12)), n) for i, n in enumerate(names) for k in range(5)] + [(9000, None, "l000"), (9001, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_lang", F.lit("mine")).withColumn("state", F.lit(7)).withColumn("given", F.lit("x"))
+    model = language_id.Model.fit(df, F.col("doc_id"), "lang", "text")
+    monkeypatch.setattr(language_id, "TOGETHER", 1000)
+    whole = {r.doc_id: r for r in model.predict(df).collect()}
+    monkeypatch.setattr(language_id, "TOGETHER", 64)
+    sliced = {r.doc_id: r for r in model.predict(df).collect()}
+    assert len(sliced) == len(rows) and all(r._lang == "mine" and r.state == 7 and r.given == "x" for r in sliced.values())
+    assert all(r.lang_pred == whole[i].lang_pred and abs(r.score - whole[i].score) < 1e-9 for i, r in sliced.items())
+    assert all(r.lang_pred == (n if i < 9000 else "und") for i, _, n in rows for r in [sliced[i]])
+
+
 PIECES = ["token", "PASSWORD", "api_key", "apikey", "secret", '"', "'", " ", "=", ":", "AKIA", "deadbeef", "0" * 20, "x@y.co", ".", "+1", "a.b@c.d@e.f.g", "4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "ſecret", "toKen", "é", "00001.2.3.4", "999.1.1.1"]
 
 
