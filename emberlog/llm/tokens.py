@@ -51,7 +51,7 @@ class RowEncoder:
             alone = mark is None or mark in piece
             if alone or len(piece) > room:
                 rows.append([piece])
-                room = 0 if alone else self.ROW - len(piece)
+                room = -1 if alone else max(0, self.ROW - len(piece))  # -1: not even an empty piece
             else:
                 rows[-1].append(piece)
                 room -= len(piece)
