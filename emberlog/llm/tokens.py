@@ -46,7 +46,7 @@ class RowEncoder:
         """Counts and ids of the pieces. Those that hold the joining string stand alone."""
         mark, mark_id = self.mark
         rows: list[list[str]] = []
-        room = 0
+        room = -1  # no row is open
         for piece in pieces:
             alone = mark is None or mark in piece
             if alone or len(piece) > room:
