@@ -2,17 +2,12 @@
 
 A text is a sequence of lines. A rolling hash over the hashes of ``window`` lines
 decides after which lines a chunk ends, so boundaries move with the text: lines
-put in before a shared passage do not shift the boundaries inside it. A line of
-more than ``long_words`` words, a paragraph on one line, is always a chunk of its
-own. A chunk counts as a passage if it has ``min_lines`` lines or is such a long
-line. A passage that occurs again anywhere is removed; the occurrence with the
-smallest (id, place) stays. If a document loses a passage, and each chunk that is
-left of it, single lines now, has its first occurrence in another document, these
-residues go as well: so copies of a document leave nothing behind, and every line
-that goes still stands where it came first.
+put in before a shared passage do not shift the boundaries inside it. A chunk of
+``min_lines`` lines or more is a passage. A passage that occurs again anywhere is
+removed; the occurrence with the smallest (id, place) stays.
 
 With ``run_words``, runs of lines of more than that many words that occur again go
-too, wherever chunks end: for each line the shortest run of more than ``run_words``
+too, single lines among them, wherever chunks end: for each line the shortest run of more than ``run_words``
 words that begins there, and the shortest that ends there, are looked up like
 chunks. Every equal run of more words is covered by such runs inside it, and
 whether one is inside depends on its own lines only, so nothing of a repeated run
@@ -27,8 +22,8 @@ Rows are told apart by id and text: rows that repeat both are one document and
 keep alike. A null text stays null, an empty one empty; a null id sorts last among
 occurrences. A text that loses nothing is returned byte for byte, whatever its
 line ends; one that loses every chunk becomes empty. Very long texts are arrays of
-lines in one row. All other columns pass through unchanged; ``n_chunks`` and
-``n_removed`` are added or replaced. An empty table gives an empty result.
+lines in one row. All other columns pass through unchanged, whatever their names;
+``n_chunks`` and ``n_removed`` are added or replaced. An empty table gives an empty result.
 
 Groups never meet in one task: counts and first occurrences are pre-aggregated,
 and the joins behind them can be split where a passage is very frequent.
@@ -55,44 +50,40 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50, run_words: int | None = None) -> DataFrame:
-    """``docs`` with ``_lines`` and ``_chunks``: (start, size, hash, passage) of each chunk, in order,
-    and with ``run_words`` ``_runs``, the same of each run that isn't a chunk.
+def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None) -> DataFrame:
+    """``docs`` with ``_lines``, ``_sizes`` (how many lines each chunk has, in order) and ``_units``:
+    (start, size, hash) of each chunk that is a passage, and with ``run_words`` of each run that isn't a chunk.
 
-    A chunk ends after a line where the rolling hash is divisible by ``every``, and
-    on both sides of a long line.
+    A chunk ends after a line where the rolling hash is divisible by ``every``.
     """
     df = _fixed(docs, _lines=F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     hashes = F.transform("_lines", lambda line: F.xxhash64(line))
     small = F.transform(hashes, lambda h: F.pmod(h, F.lit(_WINDOW_MOD)))
-    # fewer characters can't hold so many words
-    long = F.transform("_lines", lambda line: (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")) > long_words))
-    df = _fixed(df, _hash=hashes, _small=small, _long=long)
+    df = _fixed(df, _hash=hashes, _small=small)
 
     def ends(h: Column, i: Column) -> Column:
         rolled = F.lit(0).cast("long")
         for back in range(window - 1, -1, -1):
             rolled = F.pmod(rolled * _WINDOW_BASE + F.coalesce(F.get("_small", i - back), F.lit(0).cast("long")), F.lit(_WINDOW_MOD))
-        at_long = F.get("_long", i) | F.coalesce(F.get("_long", i + 1), F.lit(False))
-        return (F.pmod(F.shiftright(rolled, 3), F.lit(every)) == 0) | at_long | (i == F.size("_small") - 1)
+        return (F.pmod(F.shiftright(rolled, 3), F.lit(every)) == 0) | (i == F.size("_small") - 1)
 
     df = _fixed(df, _ends=F.filter(F.transform("_small", lambda h, i: F.when(ends(h, i), i + 1)), lambda e: e.isNotNull()))
 
-    def unit(start: Column, size: Column, passage: Column) -> Column:
-        return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("_hash", start + 1, size)).alias("hash"), passage.alias("passage"))
+    def unit(start: Column, size: Column) -> Column:
+        return F.struct(start.alias("start"), size.alias("size"), F.xxhash64(F.slice("_hash", start + 1, size)).alias("hash"))
 
-    def chunk(e: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1))
-        return unit(start, e - start, (e - start >= min_lines) | F.get("_long", start))
-
-    df = _fixed(df, _chunks=F.transform("_ends", chunk))
+    started = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1))
+    df = _fixed(df, _sizes=F.transform("_ends", lambda e, k: e - started(k)))
+    passages = F.transform("_ends", lambda e, k: F.when(e - started(k) >= min_lines, F.shiftleft(started(k).cast("long"), 32) + F.get("_sizes", k)))
+    df = _fixed(df, _codes=F.filter(passages, lambda c: c.isNotNull()))
     if run_words is not None:
-        df = _fixed(_with_runs(df, run_words), _runs=F.transform("_codes", lambda c: unit(F.shiftright(c, 32).cast("int"), c.bitwiseAND((1 << 32) - 1).cast("int"), F.lit(True)))).drop("_codes")
-    return df.drop("_hash", "_small", "_long", "_ends")
+        df = _with_runs(df, run_words)
+    df = _fixed(df, _units=F.transform("_codes", lambda c: unit(F.shiftright(c, 32).cast("int"), c.bitwiseAND((1 << 32) - 1).cast("int"))))
+    return df.drop("_hash", "_small", "_ends", "_codes")
 
 
 def _with_runs(df: DataFrame, run_words: int) -> DataFrame:
-    """``df`` with ``_codes``, start * 2^32 + size of each shortest run of more than ``run_words`` words that isn't a chunk."""
+    """``df`` with more ``_codes``, start * 2^32 + size, those of each shortest run of more than ``run_words`` words."""
     counts = F.transform("_lines", lambda line: F.least(F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(run_words + 1)))
     df = _fixed(df, _count=counts)
     # only lines with words: no run needs more than run_words + 1 of them
@@ -103,7 +94,7 @@ def _with_runs(df: DataFrame, run_words: int) -> DataFrame:
 
     def held(words: str):
         add = lambda s, w: F.when(s >= enough, s).otherwise(s + F.shiftleft(w.cast("long"), 32) + 1)
-        return F.transform(words, lambda w, k: F.when(w <= run_words, F.aggregate(F.slice(words, k + 1, run_words + 1), F.lit(0).cast("long"), add)))
+        return F.transform(words, lambda w, k: F.aggregate(F.slice(words, k + 1, run_words + 1), F.lit(0).cast("long"), add))
 
     df = _fixed(df, _from=held("_ahead"), _to=F.reverse(held("_behind")))
 
@@ -114,26 +105,26 @@ def _with_runs(df: DataFrame, run_words: int) -> DataFrame:
     lines = lambda s: s.bitwiseAND((1 << 32) - 1).cast("int")
     starts = F.transform("_from", lambda s, k: code(s, k, k + lines(s) - 1))
     stops = F.transform("_to", lambda s, k: code(s, k - lines(s) + 1, k))
-    own = F.transform("_chunks", lambda c: F.shiftleft(c["start"].cast("long"), 32) + c["size"])
-    found = F.array_except(F.filter(F.concat(starts, stops), lambda c: c.isNotNull()), own)
-    return _fixed(df, _codes=found).drop("_count", "_at", "_ahead", "_behind", "_from", "_to")
+    found = F.array_distinct(F.concat("_codes", F.filter(F.concat(starts, stops), lambda c: c.isNotNull())))
+    return _fixed(df, _all=found).drop("_codes").withColumnRenamed("_all", "_codes").drop("_count", "_at", "_ahead", "_behind", "_from", "_to")
 
 
 def _unit_rows(df: DataFrame, with_text: bool) -> DataFrame:
-    """A row per chunk or run: row key, first line, size, hash, whether it is a passage[, its text]."""
+    """A row per passage or run: row key, first line, size, hash[, its text]."""
     rows = df.select("_id", "_row", *["_lines"] * with_text, F.explode("_units").alias("c"))
     text = F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.size")), "\n").alias("chunk")
-    return rows.select("_id", "_row", F.col("c.start").alias("k"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), F.col("c.passage").alias("passage"), *[text] * with_text)
+    return rows.select("_id", "_row", F.col("c.start").alias("k"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), *[text] * with_text)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, long_words: int = 50, run_words: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None) -> DataFrame:
     """``docs`` with repeated passages removed from the text, and n_chunks and n_removed.
     Without ``run_words`` only whole chunks are passages."""
-    docs = docs.drop("n_chunks", "n_removed")
-    keyed = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
-    cut = chunked(keyed, text_col, window, every, min_lines, long_words, run_words)
-    cut = cut.withColumn("_units", F.col("_chunks") if run_words is None else F.concat("_chunks", "_runs"))
-    units = materialize(cut.select("_id", "_row", F.size("_chunks").cast("long").alias("n_chunks"), "_units"), "units")
+    kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
+    # the given columns are wrapped, so no name of theirs meets one of ours
+    given = F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col]) if len(kept) > 1 else F.lit(None)
+    keyed = docs.select(given.alias("_given"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
+    cut = chunked(keyed, "_text", window, every, min_lines, run_words)
+    units = materialize(cut.select("_id", "_row", "_sizes", "_units"), "units")
 
     nominated = materialize(_unit_rows(units, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
     wanted = F.broadcast(nominated) if nominated.count() <= MAX_BROADCAST else nominated
@@ -146,31 +137,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     # one text for a hash is the rule; where a hash has several, the text tells them apart
     single = equal.where("texts = 1").select("hash", F.col("repeated")[0]["first"].alias("first"))
     clash = equal.where("texts > 1").select("hash", F.explode("repeated").alias("r")).select("hash", "r.sha", "r.first")
-    again = _unit_rows(units, False).join(single, "hash").select("_id", "_row", "k", "size", "passage", "first")
+    again = _unit_rows(units, False).join(single, "hash").select("_id", "_row", "k", "size", "first")
     if not clash.isEmpty():
         own = found.withColumn("sha", F.sha2("chunk", 256)).join(clash, ["hash", "sha"])
-        again = again.unionAll(own.select("_id", "_row", "k", "size", "passage", "first"))
+        again = again.unionAll(own.select("_id", "_row", "k", "size", "first"))
     same_row = F.col("first.id").eqNullSafe(F.col("_id")) & F.col("first.row").eqNullSafe(F.col("_row"))
     # behind the first occurrence, if that is in the same text
     since = F.when(same_row, F.greatest(F.col("k"), F.col("first.k") + F.col("size"))).otherwise(F.col("k"))
-    gone = F.when(F.col("passage") & (place != F.col("first")), F.struct(since.alias("a"), (F.col("k") + F.col("size") - 1).alias("z")))
-    elsewhere = F.when(~F.col("passage") & ~same_row, F.col("k"))
-    removed = again.groupBy("_id", "_row").agg(F.collect_set(gone).alias("_gone"), F.collect_set(elsewhere).alias("_residue")).where(F.size("_gone") > 0)
-    marks = units.select("_id", "_row", "n_chunks").dropDuplicates(["_id", "_row"])
-    marks = marks.join(removed.withColumnsRenamed({"_id": "_id3", "_row": "_row3"}), F.col("_id").eqNullSafe(F.col("_id3")) & F.col("_row").eqNullSafe(F.col("_row3")), "left").drop("_id3", "_row3")
-    marks = marks.withColumnsRenamed({"_id": "_id2", "_row": "_row2"})
+    removed = again.where(place != F.col("first")).groupBy("_id", "_row").agg(F.collect_set(F.struct(since.alias("a"), (F.col("k") + F.col("size") - 1).alias("z"))).alias("_gone"))
+    marks = units.select("_id", "_row", "_sizes").dropDuplicates(["_id", "_row"])
+    marks = marks.join(removed.withColumnsRenamed({"_id": "_id3", "_row": "_row3"}), F.col("_id").eqNullSafe(F.col("_id3")) & F.col("_row").eqNullSafe(F.col("_row3")), "left")
+    marks = marks.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), F.size("_sizes").cast("long").alias("n_chunks"), "_gone", F.when(F.col("_gone").isNotNull(), F.col("_sizes")).alias("_sizes"))
 
     # the texts are shuffled once and as they are; only those that lose something are cut again
     out = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_row").eqNullSafe(F.col("_row2")), "left")
     affected = F.col("_gone").isNotNull()
-    out = chunked(out.withColumn("_text", F.when(affected, F.col(text_col))), "_text", window, every, min_lines, long_words)
+    spelt = F.flatten(F.transform("_gone", lambda g: F.sequence(g["a"], g["z"])))
+    out = _fixed(out, _lines=F.when(affected, F.split("_text", "\n", -1)), _lost=F.array_distinct(spelt), _of=F.flatten(F.transform("_sizes", lambda n, k: F.array_repeat(k, n))))
     every_line = F.sequence(F.lit(0), F.size("_lines") - 1)
-    out = _fixed(out, _named=F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["a"], g["z"])))))
-    # a residue is one line
-    nothing_own = F.size(F.array_except(F.array_except(every_line, "_named"), "_residue")) == 0
-    out = _fixed(out, _lost=F.when(nothing_own, every_line).otherwise(F.col("_named")), _of=F.flatten(F.transform("_chunks", lambda c, k: F.array_repeat(k, c["size"]))))
     lines = F.transform(F.array_except(every_line, "_lost"), lambda i: F.get("_lines", i))
-    text = F.when(affected, F.array_join(lines, "\n")).otherwise(F.col(text_col))
+    text = F.when(affected, F.array_join(lines, "\n")).otherwise(F.col("_text"))
     lost_of = F.array_distinct(F.transform("_lost", lambda i: F.get("_of", i)))
     n_removed = F.when(affected, F.size(lost_of)).otherwise(0).cast("long").alias("n_removed")
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "n_chunks", n_removed)
+    return out.select(*[text.alias(c) if c == text_col else F.col("_given").getField(c).alias(c) for c in kept], "n_chunks", n_removed)

@@ -61,10 +61,6 @@ def decontaminate(docs, items, width=13):
     return out
 
 
-def is_long(line, long_words=50):
-    return len(SPACE_WORD.findall(line)) > long_words
-
-
 def chunks(text, window=2, every=2):
     """Lines of each chunk of a text."""
     lines = text.split("\n")
@@ -75,7 +71,7 @@ def chunks(text, window=2, every=2):
         rolled = 0
         for back in range(window - 1, -1, -1):
             rolled = (rolled * base + (small[i - back] if i >= back else 0)) % mod
-        if (rolled >> 3) % every == 0 or i == len(lines) - 1 or is_long(lines[i]) or is_long(lines[i + 1]):
+        if (rolled >> 3) % every == 0 or i == len(lines) - 1:
             out.append(lines[start : i + 1])
             start = i + 1
     return out
@@ -83,32 +79,17 @@ def chunks(text, window=2, every=2):
 
 def line_dedup(rows, min_lines=2):
     """(id, text, n_removed) of rows (id, text) with distinct ids, sorted."""
-    first, out = {}, []
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    for i, text in order:
+    seen, out = set(), []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        kept, gone = [], 0
         for c in chunks(text or ""):
-            first.setdefault("\n".join(c), i)
-    seen = set()
-    for i, text in order:
-        if text is None:
-            seen.add("")
-            out.append((i, None, 0))
-            continue
-        kept, gone, residue = [], 0, 0
-        own = chunks(text)
-        for c in own:
             whole = "\n".join(c)
-            passage = len(c) >= min_lines or is_long(whole)
-            if passage and whole in seen:
+            if len(c) >= min_lines and whole in seen:
                 gone += 1
                 continue
-            if passage:
-                seen.add(whole)
-            residue += not passage and first[whole] != i
+            seen.add(whole)
             kept.append(c)
-        if gone and gone + residue == len(own):
-            kept, gone = [], len(own)
-        out.append((i, "\n".join(x for c in kept for x in c), gone))
+        out.append((i, text if text is None else "\n".join(x for c in kept for x in c), gone))
     return sorted(out, key=str)
 
 

@@ -33,26 +33,17 @@ def repeated_lines(rows):
 
 
 def expected(rows):
-    """Words of each text that stay: neither in a repeated chunk nor in a repeated run; nothing if all else is residue."""
-    runs, seen, first, out = repeated_lines(rows), set(), {}, {}
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    for i, text in order:
-        for c in brute.chunks(text or ""):
-            first.setdefault("\n".join(c), i)
-    for i, text in order:
-        lost, residue, at = set(runs[i]), set(), 0
-        lines = (text or "").split("\n")
+    """Words of each text that stay: neither in a repeated chunk nor in a repeated run."""
+    runs, seen, out = repeated_lines(rows), set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lost, at = set(runs[i]), 0
         for c in brute.chunks(text or ""):
             whole, own = "\n".join(c), set(range(at, at + len(c)))
             at += len(c)
-            if len(c) > 1 or brute.is_long(whole):
+            if len(c) > 1:
                 lost |= own if whole in seen else set()
                 seen.add(whole)
-            elif first[whole] != i:
-                residue |= own
-        if lost and len(lost | residue) == len(lines):
-            lost = set(range(len(lines)))
-        out[i] = [x for k, x in enumerate(lines) if k not in lost and x.strip()]
+        out[i] = [x for k, x in enumerate((text or "").split("\n")) if k not in lost and x.strip()]
     return out
 
 

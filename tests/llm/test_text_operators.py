@@ -233,7 +233,7 @@ def test_line_dedup_as_brute_force(spark):
     rows = passages(1)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
     got = line_dedup.dedup(df)
-    rest = {r.doc_id: r.text for r in got.collect()}
+    rest = {r.doc_id: r.text for r in line_dedup.dedup(df, run_words=50).collect()}
     assert rest[61].count("p p") and not rest[62].count("p p") and rest[63] == ""
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str) == brute.line_dedup(rows)
     plan = got._jdf.queryExecution().toString()
@@ -241,6 +241,16 @@ def test_line_dedup_as_brute_force(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_with_columns_of_any_name(spark):
+    names = ["_id", "_row", "_lines", "_gone", "_units", "_given", "_text", "chunk", "hash", "a.b", "n_chunks"]
+    rows = [(i, t, *range(len(names))) for i, t in passages(3)[:40]]
+    got = line_dedup.dedup(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=str) == brute.line_dedup([r[:2] for r in rows])
+    assert all(r[n] == i for r in got for i, n in enumerate(names) if n != "n_chunks")
+    only = line_dedup.dedup(spark.createDataFrame([("a\nb\nc\nd",), ("a\nb\nc\nd",)], "text string"), id_col="text")
+    assert only.columns == ["text", "n_chunks", "n_removed"] and only.count() == 2
+
+
 def test_line_dedup_compares_bytes(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 0)
     real = F.xxhash64
