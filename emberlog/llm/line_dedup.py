@@ -13,7 +13,8 @@ chunks. Every equal run of more words is covered by such runs inside it, and
 whether one is inside depends on its own lines only, so nothing of a repeated run
 is missed, whatever its surroundings. Of a run that overlaps its own first
 occurrence only the lines behind that go. Lines without words at the edges of a run
-may stay. ``n_removed`` counts the chunks that lost a line.
+may stay. With ``whole``, all lines of a text together are a passage as well, so that
+copies of a text go whatever its chunks and its length. ``n_removed`` counts the chunks that lost a line.
 
 Equal hashes only nominate chunks and runs. The bytes decide: what is nominated is grouped
 by its whole text, and only equal texts count as repeated.
@@ -50,9 +51,10 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None) -> DataFrame:
+def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None, whole: bool = False) -> DataFrame:
     """``docs`` with ``_lines``, ``_sizes`` (how many lines each chunk has, in order) and ``_units``:
-    (start, size, hash) of each chunk that is a passage, and with ``run_words`` of each run that isn't a chunk.
+    (start, size, hash) of each chunk that is a passage, with ``run_words`` of each run that isn't a
+    chunk, and with ``whole`` of all lines together, if they are enough for a passage.
 
     A chunk ends after a line where the rolling hash is divisible by ``every``.
     """
@@ -78,6 +80,9 @@ def chunked(docs: DataFrame, text_col: str, window: int = 2, every: int = 2, min
     df = _fixed(df, _codes=F.filter(passages, lambda c: c.isNotNull()))
     if run_words is not None:
         df = _with_runs(df, run_words)
+    if whole:
+        all_lines = F.when(F.size("_lines") >= min_lines, F.array(F.size("_lines").cast("long"))).otherwise(F.array().cast("array<long>"))
+        df = _fixed(df, _all=F.array_union("_codes", all_lines)).drop("_codes").withColumnRenamed("_all", "_codes")
     df = _fixed(df, _units=F.transform("_codes", lambda c: unit(F.shiftright(c, 32).cast("int"), c.bitwiseAND((1 << 32) - 1).cast("int"))))
     return df.drop("_hash", "_small", "_ends", "_codes")
 
@@ -116,14 +121,14 @@ def _unit_rows(df: DataFrame, with_text: bool) -> DataFrame:
     return rows.select("_id", "_row", F.col("c.start").alias("k"), F.col("c.size").alias("size"), F.col("c.hash").alias("hash"), *[text] * with_text)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, every: int = 2, min_lines: int = 2, run_words: int | None = None, whole: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed from the text, and n_chunks and n_removed.
-    Without ``run_words`` only whole chunks are passages."""
+    Without ``run_words`` and ``whole`` only whole chunks are passages."""
     kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
     # the given columns are wrapped, so no name of theirs meets one of ours
     given = F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col]) if len(kept) > 1 else F.lit(None)
     keyed = docs.select(given.alias("_given"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
-    cut = chunked(keyed, "_text", window, every, min_lines, run_words)
+    cut = chunked(keyed, "_text", window, every, min_lines, run_words, whole)
     units = materialize(cut.select("_id", "_row", "_sizes", "_units"), "units")
 
     nominated = materialize(_unit_rows(units, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")

@@ -38,7 +38,7 @@ def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), run_words=50)
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), run_words=50, whole=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,3 +282,41 @@ def quoted(rows):
         found = links.get((conv, turn), ())
         out.append({"reply_to": up.get((conv, turn)), "root_turn": at, "depth": depth, "n_quotes": sum(lv > 0 for lv, _ in own), "n_linked": len({t for *_, t in found}), "clean_text": re.sub(r"^[ \t-\r]+|[ \t-\r]+$", "", "\n".join(clean))})
     return out
+
+
+def line_runs(rows, words=50, min_lines=2):
+    """(id, text, whether it lost lines) of rows (id, text) with distinct ids, once repeated chunks, shortest
+    runs of more than ``words`` words and whole texts are gone; in the order of ids."""
+    first, own, out = {}, {}, []
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for i, text in order:
+        lines = (text or "").split("\n")
+        count = [len(SPACE_WORD.findall(x)) for x in lines]
+        units, at = {(0, len(lines))} if len(lines) >= min_lines else set(), 0
+        for c in chunks(text or ""):
+            if len(c) >= min_lines:
+                units.add((at, at + len(c)))
+            at += len(c)
+        filled = [k for k, n in enumerate(count) if n]
+        for a in range(len(filled)):
+            z, total = a, 0
+            while z < len(filled) and total <= words:
+                total, z = total + count[filled[z]], z + 1
+            if total > words:
+                units.add((filled[a], filled[z - 1] + 1))
+            b, total = a, 0
+            while b >= 0 and total <= words:
+                total, b = total + count[filled[b]], b - 1
+            if total > words:
+                units.add((filled[b + 1], filled[a] + 1))
+        own[i] = [(a, z, tuple(lines[a:z])) for a, z in sorted(units)]
+        for a, _, key in own[i]:
+            first.setdefault(key, (i, a))
+    for i, text in order:
+        lost = set()
+        for a, z, key in own[i]:
+            j, at = first[key]
+            if (j, at) != (i, a):
+                lost |= set(range(max(a, at + z - a) if j == i else a, z))
+        out.append((i, text if not lost else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in lost), bool(lost)))
+    return out

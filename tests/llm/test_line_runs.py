@@ -78,6 +78,17 @@ def test_repeated_runs_go_whole(spark):
             assert [sum(x in (r.text or "").split("\n") for r in got.values()) for x in passage] == [1] * len(passage)
 
 
+def test_whole_copies_go(spark):
+    rng = random.Random(7)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 6)))
+    texts = ["\n".join(line() for _ in range(rng.randint(2, 7))) for _ in range(40)]
+    rows = list(enumerate(texts + texts + ["one line", "one line", None, None, texts[0] + "\nand more"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup(df, run_words=WORDS, whole=True).collect()}
+    assert all(got[i].text == texts[i] and got[40 + i].text == "" and got[40 + i].n_removed == got[i].n_chunks for i in range(40))
+    assert got[80].text == got[81].text == "one line" and got[84].text.endswith("and more")
+
+
 def test_query_removes_runs(spark, tmp_path):
     rows, planted = contexts(3)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

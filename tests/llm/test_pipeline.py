@@ -33,7 +33,7 @@ def as_brute_force(docs, bench):
     kept = [(i, t) for i, t in docs if t is not None and any(c.isalpha() for c in t)]
     steps = [{i for i, _ in kept}]
     before = dict(kept)
-    kept = [(i, t) for i, t, gone in brute.line_dedup(kept) if not gone or brute.SPACE_WORD.search(t)]
+    kept = [(i, t) for i, t, gone in brute.line_runs(kept) if not gone or brute.SPACE_WORD.search(t)]
     steps.append({i for i, _ in kept})
     component = {i: c for i, _, c in brute.ngram_join(kept, 5, 80, 100)}
     kept = [(i, t) for i, t in kept if component[i] == i]
@@ -74,7 +74,30 @@ def test_stages_and_run_as_brute_force(spark, tmp_path):
         want |= {(i, s, len(p), zlib.crc32(np.array(p, "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048) for p in [ids[s : s + 2048]]}
     got = corpus_pipeline.run(spark, sf).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
-    assert brute.padding([(r.sequence_id, r.offset, r.length) for r in got]) <= 2048
+    # one sequence more than the fewest that can hold all ids, at most
+    assert brute.padding([(r.sequence_id, r.offset, r.length) for r in got]) <= 2048 + -sum(r.length for r in got) % 2048
+
+
+def test_each_group_of_near_copies_keeps_one_row(spark, tmp_path):
+    text = "some words that repeat and more of them so that the set is no small one " * 3
+    rows = [(5, text, "en", "a", 1), (5, text, "en", "b", 1), (5, "a clean text under the same id", "en", "a", 1), (7, text + " end", "en", "a", 1)]
+    rows += [(None, text, "en", "a", 1), (None, "a clean text without an id", "en", "a", 1), (None, None, "en", "a", 1), (None, None, "en", "a", 1), (8, "", "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], f"{SCHEMA}, node int, key int")
+    got = corpus_pipeline.join_near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, text), (5, rows[2][1]), (None, rows[5][1]), (None, None), (None, None), (8, "")], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    sf = str(tmp_path)
+    names = ["n_words", "spans", "items", "n_chunks", "n_removed", "_lang", "lang_pred", "score", "held_out", "component_id", "_key", "_searched_text"]
+    docs = spark.createDataFrame([(i, f"text number {i} has words of its own {i * 7919}", "en", "s", 5, *["x"] * len(names)) for i in range(30)], f"{SCHEMA}, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "a benchmark item of some words")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {("x",) * len(names)}, name
+    assert corpus_pipeline.pack_sequences(spark, docs, sf).count() == 30
 
 
 def test_empty_table(spark, tmp_path):
