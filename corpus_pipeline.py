@@ -7,6 +7,8 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,25 @@ from emberlog.llm.common import documents, materialize
 MIN_SCORE = 0.5
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _shielded(stage):
+    """The stage with further columns wrapped in one, so that no name of theirs meets one of an operator."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest = [c for c in docs.columns if c not in DOCUMENT]
+        if not rest:
+            return stage(spark, docs, sf_dir)
+        wrapped = docs.select(*DOCUMENT, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+        out = stage(spark, wrapped, sf_dir)
+        return out.select(*[F.col("rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns])
+
+    return run
+
+
+@_shielded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose best language has a score under MIN_SCORE, go.
     A missing ``lang`` is filled with the prediction."""
@@ -25,29 +46,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
+@_shielded
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts; ``n_chars`` follows. A document that loses all its words goes."""
-    found = line_dedup.dedup(docs, run_words=50)
+    found = line_dedup.dedup(docs, run_words=50, whole=True)
     changed = F.col("n_removed") > 0
     left = found.where(~changed | (F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")) != ""))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@_shielded
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles at 0.8 connect, the one with the smallest id stays.
-    Rows without an id stay; rows that repeat an id stay or go together."""
-    found = ngram_join.join(docs, width=5, num=80, den=100)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
+    """Of documents that links of five-word shingles at 0.8 connect, the one with the smallest id stays
+    (an id before none); of rows that repeat id and text, one. Documents without words are linked with nothing."""
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text")))
+    found = materialize(ngram_join.join(keyed, "_key", width=5, num=80, den=100), "near")
+    gone = found.where("_key != component_id").select("_key").distinct()
+    repeated = materialize(found.where("n_shingles > 0").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "repeated")
+    left = keyed.join(gone, "_key", "left_anti")
+    if not repeated.isEmpty():
+        once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        left = left.join(repeated, "_key", "left_anti").unionByName(once)
+    return left.select(docs.columns)
+
+
+@_shielded
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go; others stay as they are."""
+    """Documents of which a twentieth or more lies in benchmark windows go; others stay as they are,
+    those without words among them. Every row is judged on its own text, whatever its id."""
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontaminate.contaminated()).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, one row each. A null or empty text is the end id alone;
+    rows that repeat are documents of their own."""
     return packing.pack(docs)
 
 
