@@ -6,20 +6,21 @@ through wavelet-tree ranks, the occurrences are located by sampled suffix
 positions, and the hit words of a document merge into removal spans. Documents
 are read once, nothing is shuffled, and a lost task is simply redone.
 
-A word that no window has cannot lie in an occurrence, and neither can a run of
-known words shorter than the shortest window; both only separate segments of the
-index. That follows from what a window is and drops no occurrence.
+Words that no window has can't lie in an occurrence; each stretch of them is one
+separator in the index, whatever its length. All other words of all texts are indexed.
 
-Windows reach the tasks in slices of at most ``MAX_WINDOWS`` windows, each
-broadcast on its own; a benchmark of more windows takes more passes, chained row
-by row, and the spans of all passes are merged at the end.
+Windows reach the tasks in slices of at most ``MAX_WINDOWS`` pairs of a window and an
+item, or ``MAX_BYTES`` of words; a larger benchmark takes more passes one after
+another, each over the table that the last one wrote, with one broadcast at a time.
+The spans of all passes are merged at the end.
 
 Words are the runs of ``[0-9a-z]`` and non-ASCII characters after A-Z became a-z.
 A window is ``width`` consecutive words of an item; an item with fewer, but some,
 is one window. A null or empty text has no words, a null or wordless item no
 window; an item without id hits words but is not listed. Repeated rows and ids
 are judged row by row. Very long texts are indexed whole. An empty table gives an
-empty result, and with an empty benchmark nothing is hit.
+empty result, and with an empty benchmark nothing is hit. Other columns pass through,
+whatever their names, except that the result columns are replaced.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import enter, small_batches, trim, utf8_view
+from emberlog.llm.common import enter, materialize, small_batches, trim, utf8_view
 from emberlog.llm.fm_index import FMIndex
 
-#: Windows that one pass searches for (13 four-byte symbols each), which bounds what is broadcast.
+#: Pairs of a window and an item, and bytes of words, that one pass searches for; they bound what is broadcast.
 MAX_WINDOWS = 200_000
+MAX_BYTES = 32 << 20
 #: A shard is closed when it holds this many symbols or bytes of text.
-SHARD_SYMBOLS = 2_000_000
+SHARD_SYMBOLS = 1_000_000
 SHARD_BYTES = 32 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -56,32 +58,44 @@ class Windows:
         self.width = width
         self.vocabulary: dict[bytes, int] = {}
         self.items: dict[tuple[int, ...], set[str]] = {}
+        self.pairs = self.bytes = 0
 
-    def add(self, item_id, text: str) -> None:
-        own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text.encode())]
-        name = set() if item_id is None else {str(item_id)}
-        for i in range(max(1, len(own) - self.width + 1) if own else 0):
-            self.items.setdefault(tuple(own[i : i + self.width]), set()).update(name)
+    def number(self, word: bytes) -> int:
+        found = self.vocabulary.get(word)
+        if found is None:
+            found = self.vocabulary[word] = len(self.vocabulary) + 1
+            self.bytes += len(word)
+        return found
+
+    def add(self, item_id, window: list[bytes]) -> None:
+        names = self.items.setdefault(tuple(map(self.number, window)), set())
+        self.pairs += 1
+        if item_id is not None:
+            names.add(str(item_id))
+
+    def full(self) -> bool:
+        return self.pairs >= MAX_WINDOWS or self.bytes >= MAX_BYTES
 
     def close(self) -> tuple:
-        """What a task needs: vocabulary, pattern rows, lengths, item names of each row, shortest length."""
+        """What a task needs: vocabulary, pattern rows, lengths, item names of each row."""
         rows = sorted(self.items)
         lengths = np.array([len(r) for r in rows], np.int64)
-        patterns = np.zeros((len(rows), self.width), np.int64)
+        patterns = np.zeros((len(rows), self.width), np.int32)
         for i, row in enumerate(rows):
             patterns[i, self.width - len(row) :] = row
-        return self.vocabulary, patterns, lengths, [sorted(self.items[r]) for r in rows], int(lengths.min(initial=self.width))
+        return self.vocabulary, patterns, lengths, [sorted(self.items[r]) for r in rows]
 
 
 def slices(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[tuple]:
     """The benchmark's windows in slices of bounded size, read row by row."""
     held = Windows(width)
     for item_id, text in benchmark.select(id_col, text_col).toLocalIterator():
-        if text is not None:
-            held.add(item_id, text)
-        if len(held.items) >= MAX_WINDOWS:
-            yield held.close()
-            held = Windows(width)
+        own = words((text or "").encode())
+        for i in range(max(1, len(own) - width + 1) if own else 0):
+            if held.full():
+                yield held.close()
+                held = Windows(width)
+            held.add(item_id, own[i : i + width])
     if held.items:
         yield held.close()
 
@@ -90,7 +104,7 @@ class Shard:
     """Documents gathered for one index."""
 
     def __init__(self, windows: tuple):
-        self.vocabulary, self.patterns, self.lengths, self.names, self.shortest = windows
+        self.vocabulary, self.patterns, self.lengths, self.names = windows
         self.n_words: list[int] = []
         self.symbols: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
@@ -98,31 +112,27 @@ class Shard:
         self.held = self.bytes = 0
 
     def add(self, texts: list[bytes]) -> None:
-        """Add documents; keep the runs of known words that a window can lie in, each ended by a 0."""
+        """Add documents: their runs of words that windows have, each ended by a 0."""
         cut = [words(t) for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         known = self.vocabulary.get
-        ids = np.fromiter((known(w, 0) for own in cut for w in own), np.int64, int(counts.sum()))
-        doc = np.repeat(np.arange(len(cut)) + len(self.n_words), counts)
-        word = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids = np.fromiter((known(w, 0) for own in cut for w in own), np.int32, int(counts.sum()))
+        doc = np.repeat(np.arange(len(cut), dtype=np.int32) + len(self.n_words), counts)
+        word = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
         self.n_words += counts.tolist()
         self.bytes += sum(map(len, texts))
-        if not len(ids):
+        at = np.flatnonzero(ids)
+        if not len(at):
             return
-        new_run = np.concatenate([[True], (doc[1:] != doc[:-1]) | ((ids[1:] > 0) != (ids[:-1] > 0))])
-        run = np.cumsum(new_run) - 1
-        begin = np.flatnonzero(new_run)
-        size = np.diff(begin, append=len(ids))
-        good = (ids[begin] > 0) & (size >= self.shortest)
-        keep = good[run]
-        size = size[good]
-        at = np.arange(int(keep.sum())) + np.repeat(np.arange(len(size)), size)  # a place for the 0 behind each run
-        total = int(keep.sum()) + len(size)
-        symbols, docs, place = np.zeros(total, np.int64), np.full(total, -1, np.int64), np.zeros(total, np.int64)
-        symbols[at], docs[at], place[at] = ids[keep], doc[keep], word[keep]
+        # a run goes on at the next word of the same document
+        ends = np.concatenate([(at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]]), [True]])
+        place = np.arange(len(at)) + np.cumsum(ends) - ends  # behind each run there is room for a 0
+        total = len(at) + int(ends.sum())
+        symbols, docs, at_word = np.zeros(total, np.int32), np.full(total, -1, np.int32), np.zeros(total, np.int32)
+        symbols[place], docs[place], at_word[place] = ids[at], doc[at], word[at]
         self.symbols.append(symbols)
         self.doc.append(docs)
-        self.word.append(place)
+        self.word.append(at_word)
         self.held += total
 
     def full(self) -> bool:
@@ -149,7 +159,7 @@ class Shard:
             last = np.append(first[1:], len(hit)) - 1
             for d, a, z in zip(doc[hit][first].tolist(), word[hit][first].tolist(), word[hit][last].tolist()):
                 spans[d].append((a, z + 1))
-            for pair in np.unique(doc[at] * len(many) + which).tolist():
+            for pair in np.unique(doc[at].astype(np.int64) * len(many) + which).tolist():
                 items[pair // len(many)].update(self.names[pair % len(many)])
         return spans, items
 
@@ -157,8 +167,8 @@ class Shard:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str]) -> DataFrame:
-    """One pass over ``df`` (carried columns, text, n_words, spans, items): adds a slice's finds."""
+def _search_pass(df: DataFrame, windows: tuple, keep_text: bool) -> DataFrame:
+    """One pass over ``df`` (given, text, n_words, spans, items): adds a slice's finds, and drops the text unless it is kept."""
     held = df.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
@@ -173,7 +183,7 @@ def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str
             for batch in waiting:
                 own, n = slice(at, at + batch.num_rows), batch.num_rows
                 old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                columns = {c: batch.column(c) for c in batch.schema.names}
+                columns = {c: batch.column(c) for c in batch.schema.names if c != "text" or keep_text}
                 columns["n_words"] = pa.array(shard.n_words[own], pa.int64())
                 columns["spans"] = pa.array([a + [{"start": s, "end": e} for s, e in b] for a, b in zip(old_spans, spans[own])], _SPANS)
                 columns["items"] = pa.array([sorted({*a, *b}) for a, b in zip(old_items, items[own])], pa.list_(pa.string()))
@@ -183,7 +193,7 @@ def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str
             shard = Shard(held.value)
 
         for batch in batches:
-            data, off = utf8_view(batch.column(text_col))
+            data, off = utf8_view(batch.column("text"))
             raw = data.tobytes()
             first = 0
             for i in range(batch.num_rows):
@@ -198,7 +208,7 @@ def _search_pass(df: DataFrame, windows: tuple, text_col: str, carried: list[str
             yield from flush()
         trim()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema if keep_text else df.drop("text").schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", width: int = 13, columns: list[str] | None = None) -> DataFrame:
@@ -211,19 +221,27 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
     small_batches(docs.sparkSession)
     added = ("n_words", "n_hit", "spans", "items")
     kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
-    hidden = text_col if text_col in kept else "_searched_text"
-    df = docs.select(*kept, *[F.col(text_col).alias(hidden)] * (hidden not in kept), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    df = df.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    passes = 0
-    for windows in slices(benchmark, id_col, item_text_col, width):
-        df = _search_pass(df, windows, hidden, kept)
-        passes += 1
-    if not passes:
-        df = _search_pass(df, Windows(width).close(), hidden, kept)
-    ordered = F.array_sort("spans") if passes > 1 else F.col("spans")
+    others = [F.col(f"`{c}`") for c in kept if c != text_col]
+    # the given columns are wrapped, so no name of theirs meets one of ours
+    df = docs.select(
+        F.struct(*others or [F.lit(0)]).alias("given"),
+        F.col(text_col).alias("text"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+    )
+    passes, windows = 0, None
+    for following in slices(benchmark, id_col, item_text_col, width):
+        if windows is not None:
+            df = materialize(_search_pass(df, windows, True), "searched")
+            passes += 1
+        windows = following
+    df = _search_pass(df, windows or Windows(width).close(), text_col in kept)
+    ordered = F.array_sort("spans") if passes else F.col("spans")
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     n_hit = F.aggregate(ordered, none, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["end"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))["n"]
-    return df.select(*kept, "n_words", n_hit.alias("n_hit"), ordered.alias("spans"), "items")
+    back = [F.col("text").alias(c) if c == text_col else F.col("given").getField(c).alias(c) for c in kept]
+    return df.select(*back, "n_words", n_hit.alias("n_hit"), ordered.alias("spans"), "items")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20) -> Column:

@@ -69,3 +69,24 @@ def test_whole_tables(spark):
     got = decontaminate.find(docs, bench).orderBy("doc_id").collect()
     want = brute([r.text for r in got], [tuple(r) for r in bench.select("item_id", "text").collect()])
     assert [(r.n_words, r.n_hit, list(r["items"])) for r in got] == want and any(h for _, h, _ in want)
+
+
+def test_slices_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 10)
+    items = [(i, "the very same text of every item " * 2) for i in range(30)] + [(99, " ".join(f"w{i}" for i in range(100)))]
+    made = list(decontaminate.slices(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 13))
+    assert all(sum(map(len, names)) <= 10 and len(patterns) <= 10 for _, patterns, _, names in made)
+    assert {n for *_, names in made for own in names for n in own} == {str(i) for i, _ in items}
+    docs = [items[0][1], items[-1][1], "nothing"]
+    assert found(spark, docs, items)[0] == brute(docs, items)
+
+
+def test_very_long_text_and_columns_of_any_name(spark):
+    rng = random.Random(3)
+    item = " ".join(f"b{i}" for i in range(40))
+    long = " ".join(rng.choice(["b1", "b2", "x", "y"]) for _ in range(300_000)) + " " + item
+    names = ["given", "_searched_text", "spans", "n_hit", "a.b"]
+    df = spark.createDataFrame([(1, long, *"abcde"), (2, None, *"abcde")], ["doc_id", "text", *names])
+    rows = decontaminate.find(df, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, list(r["items"])) for r in rows] == brute([long, None], [(7, item)])
+    assert [(r.given, r._searched_text, r["a.b"], r.text) for r in rows] == [("a", "b", "e", long), ("a", "b", "e", None)]
