@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.numbers import ratio
+
 
 def paired(casts: DataFrame, window_ms: int) -> DataFrame:
     """Per pair of abilities (a < b) that one copy casts within ``window_ms``: matched casts of each.
@@ -14,8 +16,8 @@ def paired(casts: DataFrame, window_ms: int) -> DataFrame:
     ability, rel_ms. Time is cut into bins of the window's width, and a cast of ``b``
     also looks into the neighbour bins, so casts meet only where they can match.
     """
-    key = ["run_id", "source_id", "copy"]
-    c = casts.withColumn("copy", F.coalesce("source_instance", F.lit(-1))).withColumn("bin", F.floor(F.col("rel_ms") / window_ms))
+    key = ["run_id", "source_id", "no_copy", "copy"]
+    c = casts.withColumn("no_copy", F.col("source_instance").isNull()).withColumn("copy", F.coalesce("source_instance", F.lit(0))).withColumn("bin", F.floor(F.col("rel_ms") / window_ms))
     a = c.select(*key, "bin", F.col("ability").alias("ability_a"), F.col("event_id").alias("a_id"), F.col("rel_ms").alias("a_ms"))
     b = c.select(*key, F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("ability").alias("ability_b"), F.col("event_id").alias("b_id"), F.col("rel_ms").alias("b_ms"))
     met = a.join(b, [*key, "bin"]).where((F.col("ability_a") < F.col("ability_b")) & (F.abs(F.col("a_ms") - F.col("b_ms")) <= window_ms))
@@ -25,13 +27,22 @@ def paired(casts: DataFrame, window_ms: int) -> DataFrame:
     return left.join(right, ["ability_a", "ability_b"])
 
 
-def pair_rates(pairs: DataFrame, casts: DataFrame, min_pairs: int = 1, inseparable_at: float = 0.95) -> DataFrame:
-    """Matched over all casts of each side; inseparable if both rates reach the bound."""
+def enemy_casts(events: DataFrame) -> DataFrame:
+    """Casts of enemies that name an ability and a source."""
+    return events.where("type = 'cast' and hostility = 'Enemies' and ability_game_id is not null and source_id is not null")
+
+
+def pair_rates(pairs: DataFrame, casts: DataFrame, min_pairs: int = 1, inseparable_at: float = 0.95, limit: int | None = 10) -> DataFrame:
+    """Matched over all casts of each side (three places); inseparable if both rates reach the bound;
+    cast_ratio, the more frequent side over the other (two places). The ``limit`` pairs with most matches of a come first."""
     total = casts.groupBy("ability").agg(F.count("*").alias("n"))
-    p = pairs.where((F.col("matched_a") >= min_pairs) & (F.col("matched_b") >= min_pairs))
+    p = pairs.where(F.col("matched_a") >= min_pairs)
     p = p.join(total.withColumnsRenamed({"ability": "ability_a", "n": "casts_a"}), "ability_a").join(total.withColumnsRenamed({"ability": "ability_b", "n": "casts_b"}), "ability_b")
-    both = (F.col("matched_a") >= inseparable_at * F.col("casts_a")) & (F.col("matched_b") >= inseparable_at * F.col("casts_b"))
-    return p.select("ability_a", "ability_b", "matched_a", "matched_b", "casts_a", "casts_b", both.alias("inseparable"))
+    p = p.withColumns({"rate_a": ratio(F.col("matched_a"), F.col("casts_a"), 3), "rate_b": ratio(F.col("matched_b"), F.col("casts_b"), 3)})
+    both = (F.col("rate_a") >= inseparable_at) & (F.col("rate_b") >= inseparable_at)
+    often = ratio(F.greatest("casts_a", "casts_b"), F.least("casts_a", "casts_b"), 2)
+    p = p.select("ability_a", "ability_b", "matched_a", "matched_b", "casts_a", "casts_b", "rate_a", "rate_b", both.alias("inseparable"), often.alias("cast_ratio"))
+    return p if limit is None else p.orderBy(F.desc("matched_a"), "ability_a", "ability_b").limit(limit)
 
 
 def copy_timelines(casts: DataFrame) -> DataFrame:
@@ -48,9 +59,20 @@ def several_copies(timelines: DataFrame) -> DataFrame:
 
 
 def median_gap(timelines: DataFrame) -> DataFrame:
-    """Median over copies of the mean recast gap, by ability; halves go to the even neighbour."""
-    gap = (F.col("last_ms") - F.col("first_ms")) / (F.col("casts") - 1)
-    return timelines.where("casts > 1").groupBy("ability").agg(F.count("*").alias("copies"), F.median(gap).alias("gap")).select("ability", "copies", F.bround("gap", 0).cast("long").alias("median_gap_ms"))
+    """Median over copies of the mean recast gap, by ability; halves go to the even neighbour.
+
+    Copies are first counted by (ability, gap), and the middle is found among the running
+    counts, so no buffer holds an ability's copies.
+    """
+    gap = ((F.col("last_ms") - F.col("first_ms")) / (F.col("casts") - 1)).alias("gap")
+    counted = timelines.where("casts > 1").groupBy("ability", gap).agg(F.count("*").alias("n"))
+    w = W.partitionBy("ability").orderBy("gap")
+    upto = counted.withColumns({"upto": F.sum("n").over(w), "copies": F.sum("n").over(W.partitionBy("ability"))})
+    # the lower and the upper middle lie where the running count first reaches them
+    at = lambda rank: F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("gap"))
+    low, high = F.floor((F.col("copies") + 1) / 2), F.floor(F.col("copies") / 2) + 1
+    g = upto.groupBy("ability").agg(F.max("copies").alias("copies"), F.max(at(low)).alias("a"), F.max(at(high)).alias("b"))
+    return g.select("ability", "copies", F.bround((F.col("a") + F.col("b")) / 2, 0).cast("long").alias("median_gap_ms"))
 
 
 def best_examples(several: DataFrame, limit: int = 5) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.numbers import days, mean_seconds, ratio
+
 GAP_MS = 60_000
 
 
 def by_stream(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("data_type").agg(F.count("*").alias("pages"), F.sum("event_count").alias("events"), F.countDistinct("run_id").alias("runs"))
+    """Pages, events, runs and pages per run (one place) of each stream."""
+    g = pages.groupBy("data_type").agg(F.count("*").alias("pages"), F.sum("event_count").alias("events"), F.countDistinct("run_id").alias("runs"))
+    return g.withColumn("pages_per_run", ratio(F.col("pages"), F.col("runs"), 1))
 
 
 def session_gaps(pages: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
@@ -31,9 +35,13 @@ def incomplete_streams(pages: DataFrame) -> DataFrame:
     return last_pages(pages).where("next_cursor_ms is not null").select("run_id", "data_type", "page_index", "next_cursor_ms")
 
 
-def summary(pages: DataFrame) -> DataFrame:
-    """One row of totals, over runs with any page."""
-    return pages.agg(F.count("*").alias("pages"), F.sum("event_count").alias("events"), F.countDistinct("run_id").alias("runs"), F.max("event_count").alias("largest_page"))
+def summary(pages: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """One row of totals and means. Means of time are over runs with more than one page, whose
+    working time leaves out pauses; a run's first page has no time of its own."""
+    total = pages.agg(F.count("*").alias("pages"), F.sum("event_count").alias("events"), F.countDistinct("run_id").alias("runs"), F.max("event_count").alias("largest_page"))
+    timed = session_gaps(pages, gap_ms).agg(F.count("*").alias("paged_runs"), F.sum("working_ms").alias("working_ms"), F.sum(F.col("pages") - 1).alias("steps"), F.count_if(F.col("pauses") > 0).alias("runs_with_pauses"))
+    both = total.join(F.broadcast(timed), how="cross")  # one row each
+    return both.select("pages", "events", "runs", "largest_page", "paged_runs", "runs_with_pauses", mean_seconds(F.col("working_ms"), F.col("paged_runs"), 1).alias("seconds_per_run"), mean_seconds(F.col("working_ms"), F.col("steps"), 2).alias("seconds_per_page"), ratio(F.col("pages"), F.col("paged_runs"), 1).alias("pages_per_run"))
 
 
 def api_points(diagnostics: DataFrame) -> DataFrame:
@@ -61,7 +69,7 @@ def page_gaps(events: DataFrame) -> DataFrame:
 
 def date_span(runs: DataFrame) -> DataFrame:
     day = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
-    return runs.agg(F.min("abs_start_ms").alias("lo"), F.max("abs_start_ms").alias("hi")).select(day(F.col("lo")).alias("first_day"), day(F.col("hi")).alias("last_day"), (F.col("hi") - F.col("lo")).alias("span_ms"))
+    return runs.agg(F.min("abs_start_ms").alias("lo"), F.max("abs_start_ms").alias("hi")).select(day(F.col("lo")).alias("first_day"), day(F.col("hi")).alias("last_day"), (F.col("hi") - F.col("lo")).alias("span_ms"), days(F.col("hi") - F.col("lo")).alias("days"))
 
 
 def dedupe_state(runs: DataFrame) -> DataFrame:

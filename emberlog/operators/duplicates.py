@@ -10,41 +10,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.session import use_checkpoints
+
 TOLERANCE_MS = 5 * 60 * 1000
 MIN_CONFIDENCE, MIN_ROSTER_OVERLAP = 0.5, 0.6
 
 
 def fingerprints(runs: DataFrame, roster: DataFrame) -> DataFrame:
-    """Runs with their sorted roster; a run without one has an empty array."""
+    """Runs with their sorted roster, an empty array without one, and their affixes (null: unknown)."""
     who = roster.groupBy("run_id").agg(F.array_sort(F.collect_set("player_id")).alias("roster"))
+    if "affixes" not in runs.columns:
+        runs = runs.withColumn("affixes", F.lit(None).cast("array<long>"))
     return runs.join(who, "run_id", "left").withColumn("roster", F.coalesce("roster", F.array().cast(who.schema["roster"].dataType)))
 
 
 def candidates(prints: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """Pairs a < b of different reports with equal dungeon (null never matches), equal level (null matches null) and close starts."""
     p = prints.where("dungeon_key is not null").withColumn("bucket", F.floor(F.col("abs_start_ms") / (tolerance_ms + 1)))
-    side = lambda s: p.select("dungeon_key", F.coalesce("keystone_level", F.lit(-1)).alias("level"), *[F.col(c).alias(f"{s}_{c}") for c in ("run_id", "report_code", "abs_start_ms", "duration_ms", "roster")], "bucket")
+    # null levels match each other: the flag tells them from any number
+    level = [F.col("keystone_level").isNull().alias("no_level"), F.coalesce("keystone_level", F.lit(0)).alias("level")]
+    side = lambda s: p.select("dungeon_key", *level, *[F.col(c).alias(f"{s}_{c}") for c in ("run_id", "report_code", "abs_start_ms", "duration_ms", "roster", "affixes")], "bucket")
     left = side("a").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    met = left.join(side("b"), ["dungeon_key", "level", "bucket"])
+    met = left.join(side("b"), ["dungeon_key", "no_level", "level", "bucket"])
     return met.where((F.col("a_run_id") < F.col("b_run_id")) & (F.col("a_report_code") != F.col("b_report_code")) & (F.abs(F.col("a_abs_start_ms") - F.col("b_abs_start_ms")) <= tolerance_ms)).drop("bucket")
 
 
 def scored(pairs: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
-    """Pairs with start gap, roster overlap and confidence; unlikely ones go.
+    """Pairs with start gap, roster overlap, confidence and reasons; unlikely ones go.
 
-    Overlap is over the smaller roster, 0 if one is empty; a low overlap rejects only
-    if both are known. Different durations only withhold points.
+    Points: dungeon and level 0.2, start gap up to 0.3, durations 0.2, roster overlap up
+    to 0.3, equal known affixes 0.1. Overlap is over the smaller roster, 0 if one is empty;
+    a low overlap rejects only if both are known. Different durations only withhold points.
     """
     gap = F.abs(F.col("a_abs_start_ms") - F.col("b_abs_start_ms"))
     known = (F.size("a_roster") > 0) & (F.size("b_roster") > 0)
-    overlap = F.when(known, F.size(F.array_intersect("a_roster", "b_roster")) / F.least(F.size("a_roster"), F.size("b_roster"))).otherwise(0.0)
-    longest = F.greatest("a_duration_ms", "b_duration_ms")
-    alike = F.when((longest > 0) & (F.abs(F.col("a_duration_ms") - F.col("b_duration_ms")) <= 0.1 * longest), 0.2).otherwise(0.0)
-    confidence = F.bround(F.least(F.lit(1.0), 0.2 + 0.3 * (1 - gap / tolerance_ms) + alike + 0.3 * overlap), 3)
-    s = pairs.withColumns({"gap_ms": gap, "overlap": overlap, "known": known, "confidence": confidence})
+    shared = F.size(F.array_intersect("a_roster", "b_roster"))
+    overlap = F.when(known, shared / F.least(F.size("a_roster"), F.size("b_roster"))).otherwise(0.0)
+    apart = F.abs(F.col("a_duration_ms") - F.col("b_duration_ms"))
+    longest = F.greatest(F.lit(1), "a_duration_ms", "b_duration_ms")
+    alike = F.coalesce(apart <= 0.1 * longest, F.lit(False))
+    affixed = F.coalesce((F.size("a_affixes") > 0) & (F.col("a_affixes") == F.col("b_affixes")), F.lit(False))
+    points = 0.2 + 0.3 * (1 - gap / tolerance_ms) + F.when(alike, 0.2).otherwise(0.0) + 0.3 * overlap + F.when(affixed, 0.1).otherwise(0.0)
+    s = pairs.withColumns({"gap_ms": gap, "overlap": overlap, "known": known, "shared": shared, "alike": alike, "affixed": affixed, "confidence": F.least(F.lit(1.0), F.round(points, 3))})
     s = s.where((~F.col("known") | (F.col("overlap") >= MIN_ROSTER_OVERLAP)) & (F.col("confidence") >= MIN_CONFIDENCE))
-    reason = F.concat_ws("; ", F.format_string("start gap %d ms", "gap_ms"), F.when(F.col("known"), F.concat(F.lit("shared players "), F.size(F.array_intersect("a_roster", "b_roster")).cast("string"))).otherwise("roster unknown"))
-    return s.withColumn("reason", reason)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    reasons = [
+        F.concat(F.lit("dungeon "), "dungeon_key", F.lit(" at level "), text(F.when(~F.col("no_level"), F.col("level")))),
+        F.concat(F.lit("start gap "), text(F.col("gap_ms")), F.lit(" ms")),
+        F.concat(F.when(F.col("alike"), "durations alike: ").otherwise("durations differ: "), text(apart), F.lit(" ms")),
+        F.when(F.col("known"), F.concat(F.lit("shared players "), text(F.col("shared")))).otherwise("roster unknown"),
+        F.when(F.col("affixed"), "equal affixes"),
+    ]
+    return s.withColumn("reason", F.concat_ws("; ", *reasons)).drop("alike", "affixed", "no_level")
+
+
+def diagnostics(pairs: DataFrame) -> DataFrame:
+    """Scored pairs as diagnostics of their first run; both runs stay."""
+    told = F.concat(F.lit("probably the same as "), F.col("b_run_id").cast("string"), F.lit(" ("), F.col("confidence").cast("decimal(4,3)").cast("string"), F.lit("): "), "reason")
+    return pairs.select(F.col("a_run_id").alias("run_id"), F.lit("duplicate_candidate").alias("kind"), F.lit("info").alias("severity"), told.alias("detail"))
 
 
 def groups(runs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -60,14 +83,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     Lineage is cut by a checkpoint in the shared folder each round.
     """
-    sc = links.sparkSession.sparkContext
-    named = links.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="emberlog-")
-        sc.setCheckpointDir(named)
+    use_checkpoints(links.sparkSession)
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "member").checkpoint()
     while True:

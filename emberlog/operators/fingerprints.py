@@ -32,6 +32,16 @@ def page_component(pages: DataFrame, columns: list[str]) -> DataFrame:
     return pages.groupBy("run_id").agg(combine(row_digest(*columns)).alias("pages_digest"))
 
 
+#: What the coverage manifest contributes, in this order.
+COVERAGE = ["data_type", "hostility", "source_id", "target_id", "scope", "pages", "events", "status"]
+
+
+def coverage_component(coverage: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(run_id, coverage_digest, streams): "asked for, none" and "never asked for" differ here and in no page."""
+    columns = columns or [c for c in COVERAGE if c in coverage.columns]
+    return coverage.groupBy("run_id").agg(combine(row_digest(*columns)).alias("coverage_digest"), F.count("*").alias("streams"))
+
+
 def event_component(events: DataFrame, page: list[str], columns: list[str]) -> DataFrame:
     """Deep component: rows by page, pages by run."""
     by_page = events.groupBy("run_id", *[p for p in page if p != "run_id"]).agg(combine(row_digest(*columns)).alias("d"))
@@ -75,5 +85,19 @@ def verify(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 def begin(derivation_id: str, kind: str, digests: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
     """The rows that a derivation starts with: its header and its runs with their digests."""
-    head = corpus_fingerprint(digests).select(F.lit(derivation_id).alias("derivation_id"), F.lit(kind).alias("kind"), F.lit("running").alias("status"), F.col("fingerprint").alias("corpus_fingerprint"), F.col("grade").alias("fingerprint_grade"), F.lit(VERSION).alias("fingerprint_version"), F.col("runs").alias("run_count"), F.lit(policy).alias("dedupe_policy"))
+    head = corpus_fingerprint(digests).select(F.lit(derivation_id).alias("derivation_id"), F.lit(kind).alias("kind"), F.lit("running").alias("status"), F.lit(None).cast("double").alias("finished_at"), F.col("fingerprint").alias("corpus_fingerprint"), F.col("grade").alias("fingerprint_grade"), F.lit(VERSION).alias("fingerprint_version"), F.col("runs").alias("run_count"), F.lit(policy).alias("dedupe_policy"))
     return head, digests.select(F.lit(derivation_id).alias("derivation_id"), "run_id", F.col("digest").alias("run_digest"))
+
+
+def exclude(exclusions: DataFrame, derivation_id: str, left_out: DataFrame) -> DataFrame:
+    """``exclusions`` (derivation_id, run_id, reason, detail) with the runs that a derivation left out,
+    (run_id, reason, detail); a run that it left out before has its new reason."""
+    new = left_out.select(F.lit(derivation_id).alias("derivation_id"), "run_id", "reason", "detail")
+    kept = exclusions.join(new, ["derivation_id", "run_id"], "left_anti")
+    return kept.select(new.columns).unionByName(new)
+
+
+def finish(derivations: DataFrame, derivation_id: str, at: float, status: str = "complete") -> DataFrame:
+    """``derivations`` with one of them ended; the others stay as they are."""
+    own = F.col("derivation_id") == derivation_id
+    return derivations.withColumns({"finished_at": F.when(own, F.lit(at)).otherwise(F.col("finished_at")), "status": F.when(own, F.lit(status)).otherwise(F.col("status"))})

@@ -64,14 +64,36 @@ def rebase(events: DataFrame, report_start: str = "report_start_ms", run_start:
     return events.withColumns({"abs_ms": F.col(report_start) + F.col("rel_ms"), "run_rel_ms": F.col("rel_ms") - F.col(run_start), "pull_rel_ms": F.col("rel_ms") - F.col(pull_start)})
 
 
-def reports(raw: DataFrame, salt: str) -> DataFrame:
-    """Report rows from (code, title, startTime, endTime, zone, owner, region, visibility, revision, segments)."""
+def flag(value: Column) -> Column:
+    """A boolean as 1 or 0; null stays null."""
+    return value.cast("boolean").cast("long")
+
+
+def _given(raw: DataFrame, path: str, kind: str) -> Column:
+    """A column or a field of a struct column, null if the payload's schema lacks it."""
+    name, _, field = path.partition(".")
+    there = name in raw.columns and (not field or field in raw.schema[name].dataType.fieldNames())
+    return F.col(path) if there else F.lit(None).cast(kind)
+
+
+def json_or_null(value: Column) -> Column:
+    """An array, map or struct as JSON; null if it is null or holds nothing."""
+    text = F.to_json(value)
+    return F.when(~text.isin("[]", "{}"), text)
+
+
+def reports(raw: DataFrame, salt: str, status: str = "metadata-only") -> DataFrame:
+    """Report rows from (code, title, startTime, endTime, zone, owner, region, visibility, revision,
+    segments, archiveStatus, retrieved_at). Versions of log and game are never told, so they are null."""
     hashed = lambda c: F.when(c.isNotNull() & (c != ""), identity_hash(c, salt))
+    none = F.lit(None).cast("string")
     return raw.select(
-        F.col("code").alias("report_code"), hashed(F.col("title")).alias("title_hash"), F.when(F.col("owner.name").isNotNull(), pseudonym("uploader", F.col("owner.name"), salt)).alias("owner_hash"),
+        F.col("code").alias("report_code"), hashed(F.col("title")).alias("title_hash"), F.when(F.col("owner.name") != "", pseudonym("uploader", F.col("owner.name"), salt)).alias("owner_hash"),
         F.coalesce(F.col("startTime").cast("long"), F.lit(0)).alias("start_time_ms"), F.coalesce(F.col("endTime").cast("long"), F.lit(0)).alias("end_time_ms"),
         F.col("zone.id").cast("long").alias("zone_id"), F.col("zone.name").alias("zone_name"), F.col("region.id").cast("long").alias("region_id"), F.col("region.slug").alias("region_slug"),
         F.col("revision").cast("long").alias("revision"), F.col("segments").cast("long").alias("segments"), "visibility",
+        flag(_given(raw, "archiveStatus.isArchived", "boolean")).alias("is_archived"), flag(_given(raw, "archiveStatus.isAccessible", "boolean")).alias("is_accessible"), _given(raw, "archiveStatus.archiveDate", "long").cast("long").alias("archive_date"),
+        none.alias("log_version"), none.alias("game_version"), _given(raw, "retrieved_at", "double").alias("retrieved_at"), F.lit(status).alias("collection_status"),
     )
 
 
@@ -84,7 +106,8 @@ def runs(fights: DataFrame) -> DataFrame:
         F.concat_ws(":", "report_code", F.col("fight.id").cast("string")).alias("run_id"), "report_code", F.col("fight.id").cast("long").alias("fight_id"),
         start.alias("rel_start_ms"), end.alias("rel_end_ms"), (F.col("report_start_ms") + start).alias("abs_start_ms"), (F.col("report_start_ms") + end).alias("abs_end_ms"),
         F.greatest(F.lit(0), end - start).alias("duration_ms"), F.col("fight.keystoneLevel").cast("long").alias("keystone_level"), bonus.alias("keystone_bonus"),
-        F.when(bonus.isNotNull(), (bonus > 0).cast("long")).alias("timed"),
+        F.when(bonus.isNotNull(), (bonus > 0).cast("long")).alias("timed"), json_or_null(_given(f, "fight.keystoneAffixes", "array<long>")).alias("keystone_affixes"),
+        json_or_null(_given(f, "fight.npcCountMap", "map<string,long>")).alias("npc_count_map"), flag(_given(f, "fight.kill", "boolean")).alias("kill"),
     )
 
 
@@ -117,6 +140,7 @@ def pulls(raw: DataFrame) -> DataFrame:
         "run_id", F.concat_ws(":", F.col("run_id").cast("string"), F.col("pull.id").cast("string")).alias("pull_id"), "pull_index",
         F.when(F.coalesce(F.col("pull.encounterID"), F.lit(0)) > 0, 1).otherwise(0).cast("long").alias("is_boss"), start.alias("rel_start_ms"), end.alias("rel_end_ms"),
         (start - F.col("run_start_ms")).alias("run_rel_start_ms"), F.greatest(F.lit(0), end - start).alias("duration_ms"),
+        json_or_null(F.transform(_given(raw, "pull.maps", "array<struct<id:long>>"), lambda m: m["id"].cast("long"))).alias("map_ids"), json_or_null(_given(raw, "pull.boundingBox", "struct<minX:long>")).alias("bounding_box"),
     )
     w = W.partitionBy("run_id").orderBy("pull_index")
     return p.withColumns({"prev_pull_id": F.lag("pull_id").over(w), "next_pull_id": F.lead("pull_id").over(w)})

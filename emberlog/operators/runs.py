@@ -7,6 +7,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.numbers import mean_seconds, ratio
+
 
 class DedupePolicy(Enum):
     """What happens to runs that nobody classified as canonical or duplicate."""
@@ -135,21 +137,54 @@ def independent_units(unit: str, events: DataFrame, roster: DataFrame) -> DataFr
     return events.agg(F.count("*").alias("n"))
 
 
-def concentration(events: DataFrame, roster: DataFrame) -> DataFrame:
-    """Largest number of events of one run, and of runs of one player, beside the totals."""
+def matching(df: DataFrame, equal: dict) -> DataFrame:
+    """Rows that equal a map of columns to values; None is null."""
+    for column, value in equal.items():
+        df = df.where(F.col(f"`{column}`").eqNullSafe(F.lit(value)))
+    return df
+
+
+def concentration(events: DataFrame, roster: DataFrame, equal: dict | None = None) -> DataFrame:
+    """Largest number of events of one run, and of runs of one player, with their shares of the totals
+    (four places). ``equal`` narrows the events."""
+    events = matching(events, equal or {})
     by_run = events.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("top_run_events"), F.sum("n").alias("events"))
     by_player = roster.groupBy("player_id").agg(F.countDistinct("run_id").alias("n")).agg(F.max("n").alias("top_player_runs"))
     runs = roster.agg(F.countDistinct("run_id").alias("runs"))
-    return by_run.join(F.broadcast(by_player), how="cross").join(F.broadcast(runs), how="cross")
+    one = by_run.join(F.broadcast(by_player), how="cross").join(F.broadcast(runs), how="cross")  # one row each
+    return one.withColumns({"top_run_share": ratio(F.col("top_run_events"), F.col("events"), 4), "top_player_share": ratio(F.col("top_player_runs"), F.col("runs"), 4)})
+
+
+def durations(runs: DataFrame, *by: str) -> DataFrame:
+    """Runs by columns: how many, their mean duration in whole seconds, least and highest level."""
+    g = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("ms"), F.count("duration_ms").alias("n"), F.min("keystone_level").alias("min_level"), F.max("keystone_level").alias("max_level"))
+    return g.select(*by, "runs", mean_seconds(F.col("ms"), F.col("n")).alias("mean_s"), "min_level", "max_level")
+
+
+def assigned_share(events: DataFrame) -> DataFrame:
+    """One row: events, those in a pull, those in none, and the assigned percentage (two places)."""
+    n = events.agg(F.count("*").alias("events"), F.count("pull_id").alias("assigned"))
+    return n.select("events", "assigned", (F.col("events") - F.col("assigned")).alias("unassigned"), ratio(100 * F.col("assigned"), F.col("events"), 2).alias("assigned_pct"))
+
+
+def stream_label(data_type: Column, hostility: Column, source: Column | None = None, target: Column | None = None, focus: Column | None = None) -> Column:
+    """``Type[@Host]``, with ``[source=..]`` and ``[target=..]`` where the stream is narrowed, or `` (focus)`` after a party's stream of one actor."""
+    label = F.concat(data_type, F.coalesce(F.concat(F.lit("@"), F.nullif(hostility, F.lit(""))), F.lit("")))
+    for name, actor in (("source", source), ("target", target)):
+        if actor is not None:
+            label = F.concat(label, F.coalesce(F.concat(F.lit(f"[{name}="), actor.cast("string"), F.lit("]")), F.lit("")))
+    return label if focus is None else F.concat(label, F.when(focus, " (focus)").otherwise(""))
 
 
 def packs(npcs: DataFrame, pulls: DataFrame, exact: bool, limit: int | None = 25) -> DataFrame:
-    """Packs by signature: occurrences, runs, mean duration as (sum, count); most frequent first."""
+    """Packs by signature: occurrences, runs and mean seconds (one place), and where ``pulls`` has them
+    whether any is a boss's and the first name; most frequent first."""
     from emberlog.functions.signatures import composition_signature, species_signature
 
     signed = composition_signature(npcs) if exact else species_signature(npcs)
     joined = pulls.join(signed, "pull_id").where("signature is not null and signature <> ''")
-    out = joined.groupBy("dungeon_key", "signature").agg(F.count("*").alias("occurrences"), F.countDistinct("run_id").alias("runs"), F.sum("duration_ms").alias("total_ms"))
+    out = joined.groupBy("dungeon_key", "signature").agg(F.count("*").alias("occurrences"), F.countDistinct("run_id").alias("runs"), F.sum("duration_ms").alias("ms"), F.count("duration_ms").alias("n"), *[F.max("is_boss").alias("boss")] * ("is_boss" in pulls.columns), *[F.min("name").alias("a_name")] * ("name" in pulls.columns))
+    out = out.withColumn("mean_s", mean_seconds(F.col("ms"), F.col("n"), 1)).drop("ms", "n")
     return out if limit is None else out.orderBy(F.desc("occurrences"), F.asc_nulls_first("dungeon_key"), "signature").limit(limit)
 
 

@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.numbers import ratio
+
 VERSION = "1"
 FIELDS = ["rel_ms", "type", "source_id", "source_instance", "target_id", "target_instance", "ability_game_id", "amount"]
 EVENT = "timeline long, seq long, rel_ms long, type string, source_id long, source_instance long, target_id long, target_instance long, ability_game_id long, amount long"
+#: Event types are an enumeration; more of them than this are not event types.
+MAX_TYPES = 1000
 CODECS = ("A", "B", "C", "D", "E", "G")
 
 
@@ -75,27 +79,57 @@ def type_codes(types: list[str]) -> dict[str, str]:
 
 
 class Dictionary:
-    """Symbols of one encoding: types, abilities and actors, with a hash that decoding checks."""
+    """Symbols of one encoding: types, abilities, actors by timeline, and players of all timelines."""
 
-    def __init__(self, types: dict[str, str], abilities: DataFrame, actors: DataFrame):
-        self.types, self.abilities, self.actors = types, abilities, actors
+    def __init__(self, types: dict[str, str], abilities: DataFrame, actors: DataFrame, players: DataFrame | None = None):
+        self.types, self.abilities, self.actors, self.players = types, abilities, actors, players
 
     @staticmethod
     def build(events: DataFrame, by_frequency: bool = False, players: DataFrame | None = None) -> Dictionary:
-        """Types are listed on the driver, being an enumeration; abilities and actors stay tables."""
-        types = [r["type"] for r in events.select("type").distinct().orderBy("type").limit(1000).collect()]
+        """Types are listed on the driver, being an enumeration; abilities and actors stay tables.
+        ``players``: (actor, symbol), which hold in every timeline and for any instance."""
+        types = [r["type"] for r in events.select("type").where("type is not null").distinct().limit(MAX_TYPES + 1).collect()]
+        if len(types) > MAX_TYPES:
+            raise ValueError(f"more than {MAX_TYPES} event types")
         a = (ability_ranks(events) if by_frequency else ability_symbols(events)).select("ability_game_id", "symbol")
         e = enemies(events, players).select("timeline", "actor", "instance", "symbol")
-        if players is not None:
-            lines = events.select("timeline").distinct()
-            e = e.unionByName(lines.join(F.broadcast(players.select("actor", "symbol")), how="cross").withColumn("instance", F.lit(None).cast("long")))
-        return Dictionary(type_codes(types), a, e)
+        return Dictionary(type_codes(types), a, e, None if players is None else players.select("actor", "symbol"))
 
     def hash(self) -> str:
         """Digest of the legend: tables contribute by order-free sums of row hashes."""
-        total = [df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("h")).first() for df in (self.abilities, self.actors)]
+        tables = [df for df in (self.abilities, self.actors, self.players) if df is not None]
+        total = [df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("h")).first() for df in tables]
         return hashlib.sha256(json.dumps([self.types, [list(t) for t in total]], sort_keys=True).encode()).hexdigest()[:12]
 
+    def legends(self, events: DataFrame) -> DataFrame:
+        """(timeline, legend, legend_json) for the timelines of ``events``: the symbols that its events use.
+
+        The text has a line for the scheme and one each for players (#P), enemies (#E),
+        abilities (#A) and types (#T), as far as there are any; symbols in their order.
+        """
+        own = lambda df, *by: df.groupBy("timeline").agg(F.array_sort(F.collect_list(F.struct(*by))))
+        number = F.regexp_extract("symbol", "[0-9]+$", 0).cast("long")
+        spelt = lambda *parts: F.concat(*parts).alias("text")
+        used = events.where("ability_game_id is not null").select("timeline", "ability_game_id").distinct()
+        abilities = used.join(self.abilities, "ability_game_id").select("timeline", number.alias("n"), "symbol", F.col("ability_game_id").cast("string").alias("name"))
+        whose = F.concat_ws(":", F.col("actor").cast("string"), F.col("instance").cast("string"))
+        actors = self.actors.select("timeline", number.alias("n"), "symbol", whose.alias("name"))
+        codes = events.sparkSession.createDataFrame([(i, c, t) for i, (t, c) in enumerate(sorted(self.types.items()))], "n long, symbol string, name string")
+        types = events.select("timeline", F.col("type").alias("name")).distinct().join(F.broadcast(codes), "name").select("timeline", "n", "symbol", "name")
+        out = events.select("timeline").distinct()
+        parts = [("#E", "enemies", actors), ("#A", "abilities", abilities), ("#T", "types", types)]
+        if self.players is not None:
+            acting = events.select("timeline", F.col("source_id").alias("actor")).unionAll(events.select("timeline", F.col("target_id").alias("actor"))).distinct()
+            players = acting.join(self.players, "actor").select("timeline", F.lit(0).cast("long").alias("n"), "symbol", F.col("actor").cast("string").alias("name"))
+            parts.insert(0, ("#P", "players", players))
+        for _, name, df in parts:
+            out = out.join(own(df, "n", "symbol", "name").toDF("timeline", name), "timeline", "left")
+        lines = [F.when(F.size(name) > 0, F.concat(F.lit(f"{mark} "), F.array_join(F.transform(name, lambda x, plain=mark == "#P": x["symbol"] if plain else spelt(x["symbol"], F.lit("="), x["name"])), " "))) for mark, name, _ in parts]
+        scheme = "group" if self.players is not None else "none"
+        entries = lambda name: F.map_from_entries(F.transform(F.coalesce(name, F.array().cast("array<struct<n:long,symbol:string,name:string>>")), lambda x: F.struct(x["symbol"], x["name"])))
+        whole = F.struct(F.lit(scheme).alias("player_scheme"), *[entries(F.col(name)).alias(name) for _, name, _ in parts])
+        return out.select("timeline", F.concat_ws("\n", F.lit(f"#v scheme={scheme}"), *lines).alias("legend"), F.to_json(whole).alias("legend_json"))
+
 
 def _symbols(events: DataFrame, d: Dictionary) -> DataFrame:
     ab = d.abilities.withColumnRenamed("symbol", "ability")
@@ -104,6 +138,9 @@ def _symbols(events: DataFrame, d: Dictionary) -> DataFrame:
         who = d.actors.select(F.col("timeline").alias("t2"), F.col("actor").alias("a2"), F.col("instance").alias("i2"), F.col("symbol").alias(side))
         match = (F.col("timeline") == F.col("t2")) & (F.col(f"{side}_id") == F.col("a2")) & F.col(f"{side}_instance").eqNullSafe(F.col("i2"))
         out = out.join(who, match, "left").drop("t2", "a2", "i2")
+        if d.players is not None:
+            named = d.players.select(F.col("actor").alias("a2"), F.col("symbol").alias("s2"))
+            out = out.join(named, F.col(f"{side}_id") == F.col("a2"), "left").withColumn(side, F.coalesce("s2", side)).drop("a2", "s2")
         out = out.withColumn(side, F.coalesce(side, F.lit("?" if side == "source" else "-")))
     code = F.create_map(*[F.lit(x) for kv in sorted(d.types.items()) for x in kv]) if d.types else None
     return out.withColumn("code", F.coalesce(code[F.col("type")], F.col("type")) if code is not None else F.col("type"))
@@ -143,7 +180,7 @@ def encode(events: DataFrame, codec: str, d: Dictionary | None = None) -> DataFr
         number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
         order = {t: i for i, t in enumerate(sorted(d.types))}
         code = F.create_map(*[F.lit(x) for kv in sorted(order.items()) for x in (kv[0], str(kv[1]))])[F.col("type")] if order else F.lit("0")
-        return s.select("timeline", "seq", F.concat_ws(" ", F.col("delta").cast("string"), code, *map(number, FIELDS[2:])).alias("line"))
+        return s.select("timeline", "seq", F.concat_ws(" ", F.col("delta").cast("string"), F.coalesce(code, F.lit("_")), *map(number, FIELDS[2:])).alias("line"))
     raise ValueError(f"unknown codec {codec}")
 
 
@@ -162,7 +199,7 @@ def decode(lines: DataFrame, codec: str, d: Dictionary | None = None, events_def
     p = lines.withColumn("p", F.split("line", " "))
     at = lambda i: F.get("p", F.lit(i))
     if codec == "E":
-        code = F.create_map(*[F.lit(x) for i, t in enumerate(sorted(d.types)) for x in (str(i), t)])
+        code = F.create_map(*[F.lit(x) for i, t in enumerate(sorted(d.types)) for x in (str(i), t)]) if d.types else F.create_map(F.lit("_"), F.lit(None).cast("string"))
         a = p.select("timeline", "seq", at(0).cast("long").alias("delta"), code[at(1)].alias("type"), *[F.nullif(at(i), F.lit("_")).alias(c) for i, c in enumerate(FIELDS) if i > 1])
         return longs(delta_decode(a))
     types = F.create_map(*[F.lit(x) for t, c in sorted(d.types.items()) for x in (c, t)])
@@ -172,6 +209,9 @@ def decode(lines: DataFrame, codec: str, d: Dictionary | None = None, events_def
     for side in ("source", "target"):
         who = d.actors.select("timeline", F.col("symbol").alias(side), F.col("actor").alias(f"{side}_id"), F.col("instance").alias(f"{side}_instance"))
         a = a.join(who, ["timeline", side], "left")
+        if d.players is not None:
+            named = d.players.select(F.col("symbol").alias(side), F.col("actor").alias("a2"))
+            a = a.join(named, side, "left").withColumn(f"{side}_id", F.coalesce(f"{side}_id", "a2")).drop("a2")
     if codec == "D":
         a = a.join(events_default, "timeline", "left")
         left_out = F.col("target").isNull()
@@ -201,6 +241,38 @@ def measure(lines: DataFrame, scales: tuple = (10, 100, 1000, None)) -> DataFram
 
 
 def reversible(events: DataFrame, decoded: DataFrame) -> bool:
+    return reads_back(events, decoded).where("not reversible").isEmpty()
+
+
+def reads_back(events: DataFrame, decoded: DataFrame) -> DataFrame:
+    """(timeline, reversible): whether decoding gives the timeline's events, all of them and no others."""
     columns = ["timeline", "seq", *FIELDS]
-    a, b = events.select(columns), decoded.select(columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    count = lambda df, by: df.select(*columns, F.lit(by).alias("by"))
+    both = count(events, 1).unionAll(count(decoded, -1)).groupBy(*columns).agg(F.sum("by").alias("left"))
+    return both.groupBy("timeline").agg((F.count_if(F.col("left") != 0) == 0).alias("reversible"))
+
+
+def measured(events: DataFrame, codec: str, d: Dictionary | None = None, scales: tuple = (10, 100, 1000, None)) -> DataFrame:
+    """:func:`measure` of a codec with its legend's bytes, whether it can be read back, and per-event figures.
+
+    A scale that a timeline doesn't reach is left out. The legend counts once, in front.
+    """
+    lines = encode(events, codec, d)
+    sizes = events.groupBy("timeline").agg(F.count("*").alias("whole"))
+    m = measure(lines, scales).join(sizes, "timeline").where((F.col("scale") == 0) | (F.col("lines") == F.col("scale"))).drop("whole")
+    back = reads_back(events, decode(lines, codec, d, default_targets(events) if codec == "D" else None))
+    m = m.join(back, "timeline")
+    if codec in ("A", "B"):
+        legend = F.lit(0).cast("long")
+    else:
+        m, legend = m.join(d.legends(events).select("timeline", F.octet_length("legend").cast("long").alias("own")), "timeline"), F.col("own")
+    m = m.withColumn("legend_bytes", legend)
+    total = F.col("bytes") + F.when(F.col("legend_bytes") > 0, F.col("legend_bytes") + 1).otherwise(0)
+    m = m.withColumn("total_bytes", total)
+    return m.select("timeline", F.lit(codec).alias("codec"), "scale", F.col("lines").alias("events"), "total_bytes", "legend_bytes", "tokens", ratio(F.col("total_bytes"), F.col("lines"), 2).alias("bytes_per_event"), ratio(F.col("tokens"), F.col("lines"), 3).alias("tokens_per_event"), "reversible")
+
+
+def against_a(measurements: DataFrame) -> DataFrame:
+    """Measurements with the ratio of their tokens to those of codec A at the same scale."""
+    a = measurements.where("codec = 'A'").select("timeline", "scale", F.col("tokens").alias("of_a"))
+    return measurements.join(a, ["timeline", "scale"], "left").withColumn("ratio_to_a", ratio(F.col("tokens"), F.col("of_a"), 3)).drop("of_a")

@@ -58,6 +58,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("abs_start_ms"),
         (F.floor("o_totalprice").cast("long") * 10).alias("duration_ms"),
         F.expr("case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 0 else 1 end").alias("is_canonical"),
+        F.expr("case when o_orderkey % 4 = 0 then null else array(9 + o_orderkey % 3, 10) end").alias("affixes"),
         F.expr("case o_orderstatus when 'F' then 'complete' when 'O' then 'partial-run' else 'metadata-only' end").alias("collection_status"),
     )
 
@@ -105,6 +106,7 @@ ru as (
     date_diff('millisecond', timestamp '1970-01-01 00:00:00', o_orderdate) as abs_start_ms,
     cast(floor(o_totalprice) as bigint) * 10 as duration_ms,
     case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 0 else 1 end as is_canonical,
+    case when o_orderkey % 4 = 0 then null else [9 + o_orderkey % 3, 10] end as affixes,
     case o_orderstatus when 'F' then 'complete' when 'O' then 'partial-run' else 'metadata-only' end as collection_status
   from orders
 ),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import diagnostics_by_kind
-from emberlog.operators import casts, costs, intervals, lookups, runs
+from emberlog.operators import casts, costs, intervals, lookups, runs, timelines
 
 #: Rows of a section that are shown.
 SHOWN = 20
@@ -29,10 +29,10 @@ def sections(tables: dict[str, DataFrame], pair_window_ms: int = 50) -> list[Sec
     c = e.where("type = 'cast' and hostility = 'Enemies' and ability is not null and source_id is not null")
     overlaps = intervals.overlap_pairs(p)
     several = casts.several_copies(casts.copy_timelines(c))
-    pairs = casts.pair_rates(casts.paired(c, pair_window_ms), c)
+    pairs = casts.pair_rates(casts.paired(c, pair_window_ms), c, limit=None)
     out = [
         Section("Runs by status", r.groupBy("collection_status").agg(F.count("*").alias("runs")), ["collection_status"]),
-        Section("Runs by bracket", r.groupBy("key_bracket").agg(F.count("*").alias("runs"), F.bround(F.avg("duration_ms") / 1000, 0).cast("long").alias("mean_s"), F.min("keystone_level").alias("min_level"), F.max("keystone_level").alias("max_level")), ["key_bracket"]),
+        Section("Runs by bracket", runs.durations(r, "key_bracket"), ["key_bracket"]),
         Section("Runs by epoch", r.groupBy("hotfix_epoch").agg(F.count("*").alias("runs")), ["hotfix_epoch"]),
         Section("Dates", costs.date_span(r)),
         Section("Duplicates", costs.dedupe_state(r)),
@@ -64,6 +64,30 @@ def sections(tables: dict[str, DataFrame], pair_window_ms: int = 50) -> list[Sec
     return [*out, Section("Known limitations", lookups.limitations(state), ["slot"])]
 
 
+def benchmark_sections(measurements: DataFrame) -> list[Section]:
+    """Codecs measured on timelines (:func:`timelines.measured`): cost by scale, ratios to codec A, and what can't be read back."""
+    m = timelines.against_a(measurements)
+    return [
+        Section("Cost by scale (estimated tokens)", m.groupBy("codec", "scale").agg(F.count("*").alias("timelines"), F.sum("tokens").alias("tokens"), F.sum("total_bytes").alias("bytes"), F.bool_and("reversible").alias("reversible")), ["codec", "scale"]),
+        Section("Ratio to codec A", m.where("scale = 0").groupBy("codec").agg(F.min("ratio_to_a").alias("least"), F.max("ratio_to_a").alias("most")), ["codec"]),
+        Section("Not reversible", m.where("not reversible").select("codec", "timeline", "scale"), ["codec", "timeline", "scale"]),
+    ]
+
+
+def stream_sections(measurements: DataFrame) -> list[Section]:
+    """What streams cost to probe: a stream that wasn't read to its end is a lower bound."""
+    told = F.when(F.col("exhausted"), "yes").otherwise("no, a lower bound")
+    return [Section("Streams", measurements.withColumn("whole", told).drop("exhausted"), ["-events", "label"])]
+
+
+def focus_sections(verdicts: DataFrame) -> list[Section]:
+    return [Section("Narrowed streams", verdicts, ["run_id"]), Section("Verdicts", verdicts.groupBy("verdict").agg(F.count("*").alias("streams")), ["-streams", "verdict"])]
+
+
+def recon_sections(zones: DataFrame, matches: DataFrame) -> list[Section]:
+    return [Section("Zones, newest first", zones, ["-id"]), Section("Registry matches", matches, ["state", "key"])]
+
+
 def collect(found: list[Section]) -> dict[str, list[dict]]:
     out = {}
     for s in found:

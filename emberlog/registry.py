@@ -32,6 +32,12 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+def rounded(part: str, whole: str, places: int = 0) -> str:
+    """SQL of ``part / whole``, rounded half up in whole numbers; null without a whole."""
+    part, whole = f"cast({part} as bigint)", f"cast({whole} as bigint)"
+    return f"case when {whole} > 0 then (({part} * {2 * 10**places} + {whole}) // ({whole} * 2)) / cast({10**places} as double) end"
+
+
 # --- intervals ---------------------------------------------------------------
 
 _ASSIGNED = """
@@ -145,9 +151,10 @@ def _(spark, sf):
 
 @query(
     "pair_abilities_rates",
-    _PAIRS + """, tot as (select type as ability, count(*) as n from ev group by 1)
-select ability_a, ability_b, matched_a, matched_b, a.n as casts_a, b.n as casts_b, matched_a >= 0.03 * a.n and matched_b >= 0.03 * b.n as inseparable
-from pr join tot a on a.ability = ability_a join tot b on b.ability = ability_b where matched_a >= 1 and matched_b >= 1""",
+    _PAIRS + f""", tot as (select type as ability, count(*) as n from ev group by 1),
+rt as (select ability_a, ability_b, matched_a, matched_b, a.n as casts_a, b.n as casts_b, {rounded("matched_a", "a.n", 3)} as rate_a, {rounded("matched_b", "b.n", 3)} as rate_b,
+  {rounded("greatest(a.n, b.n)", "least(a.n, b.n)", 2)} as cast_ratio from pr join tot a on a.ability = ability_a join tot b on b.ability = ability_b)
+select *, rate_a >= 0.03 and rate_b >= 0.03 as inseparable from rt order by matched_a desc, ability_a, ability_b limit 10""",
 )
 def _(spark, sf):
     c = _casts(B.events(spark, sf))
@@ -159,9 +166,16 @@ def _(spark, sf):
     return casts.copy_timelines(_casts(assigned(spark, sf)))
 
 
-@query("copy_several", _ASSIGNED + _COPIES + "select * from sc")
+@query(
+    "copy_several",
+    _ASSIGNED + _COPIES + """select sc.*, l.copies from sc join (
+  select pull_id, source_id, ability, string_agg(source_instance || ':' || casts || ':' || first_ms || ':' || last_ms, ',' order by source_instance) as copies from tl group by all
+) l using (pull_id, source_id, ability)""",
+)
 def _(spark, sf):
-    return casts.several_copies(casts.copy_timelines(_casts(assigned(spark, sf)))).drop("copies")
+    found = casts.several_copies(casts.copy_timelines(_casts(assigned(spark, sf))))
+    spelt = F.transform("copies", lambda c: F.concat_ws(":", *[c[x].cast("string") for x in ("source_instance", "casts", "first_ms", "last_ms")]))
+    return found.withColumn("copies", F.array_join(spelt, ","))
 
 
 @query(
@@ -208,11 +222,10 @@ def _(spark, sf):
 
 @query(
     "runs_by_bracket",
-    f"select {_BRACKET} as bracket, count(*) as runs, cast(sum(duration_ms) as bigint) as total_ms, min(keystone_level) as min_level, max(keystone_level) as max_level from ru group by 1",
+    f"select {_BRACKET} as bracket, count(*) as runs, {rounded('sum(duration_ms)', '1000 * count(duration_ms)')} as mean_s, min(keystone_level) as min_level, max(keystone_level) as max_level from ru group by 1",
 )
 def _(spark, sf):
-    r = B.runs(spark, sf).withColumn("bracket", T.bracket(F.col("keystone_level"), T.BRACKETS))
-    return r.groupBy("bracket").agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"), F.min("keystone_level").alias("min_level"), F.max("keystone_level").alias("max_level"))
+    return runs.durations(B.runs(spark, sf).withColumn("bracket", T.bracket(F.col("keystone_level"), T.BRACKETS)), "bracket")
 
 
 @query("runs_by_epoch", f"select {_EPOCH} as epoch, count(*) as runs from ru group by 1")
@@ -222,16 +235,16 @@ def _(spark, sf):
 
 @query(
     "runs_date_span",
-    "select strftime(epoch_ms(min(abs_start_ms)), '%Y-%m-%d') as first_day, strftime(epoch_ms(max(abs_start_ms)), '%Y-%m-%d') as last_day, max(abs_start_ms) - min(abs_start_ms) as span_ms from ru",
+    "select strftime(epoch_ms(min(abs_start_ms)), '%Y-%m-%d') as first_day, strftime(epoch_ms(max(abs_start_ms)), '%Y-%m-%d') as last_day, max(abs_start_ms) - min(abs_start_ms) as span_ms, " + rounded("max(abs_start_ms) - min(abs_start_ms)", "86400000", 1) + " as days from ru",
 )
 def _(spark, sf):
     return costs.date_span(B.runs(spark, sf))
 
 
-@query("runs_complete_by_dungeon", f"select dungeon_key, {_BRACKET} as bracket, count(*) as runs, cast(sum(duration_ms) as bigint) as total_ms from ru where collection_status = 'complete' and coalesce(is_canonical, 1) = 1 group by 1, 2")
+@query("runs_complete_by_dungeon", f"select dungeon_key, {_BRACKET} as bracket, count(*) as runs, {rounded('sum(duration_ms)', '1000 * count(duration_ms)')} as mean_s from ru where collection_status = 'complete' and coalesce(is_canonical, 1) = 1 group by 1, 2")
 def _(spark, sf):
     r = B.runs(spark, sf).where("collection_status = 'complete' and coalesce(is_canonical, 1) = 1")
-    return r.groupBy("dungeon_key", T.bracket(F.col("keystone_level"), T.BRACKETS).alias("bracket")).agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"))
+    return runs.durations(r.withColumn("bracket", T.bracket(F.col("keystone_level"), T.BRACKETS)), "dungeon_key", "bracket").drop("min_level", "max_level")
 
 
 @query("runs_dedupe_state", "select count(*) as runs, count(*) filter (is_canonical is null) as unclassified, case when count(*) = 0 then 'empty' when count(*) = count(*) filter (is_canonical is null) then 'never_run' when count(*) filter (is_canonical is null) > 0 then 'stale' else 'current' end as state from ru")
@@ -265,27 +278,34 @@ def _(spark, sf):
     return B.events(spark, sf).groupBy("data_type", "hostility").agg(F.count("*").alias("events"))
 
 
-@query("totals_assigned", _ASSIGNED + "select count(*) as events, count(pull_id) as assigned, count(*) - count(pull_id) as unassigned, 100 * count(pull_id) // count(*) as assigned_pct from eva")
+@query("totals_assigned", _ASSIGNED + f"select count(*) as events, count(pull_id) as assigned, count(*) - count(pull_id) as unassigned, {rounded('100 * count(pull_id)', 'count(*)', 2)} as assigned_pct from eva")
 def _(spark, sf):
-    n, a = F.count("*"), F.count("pull_id")
-    return assigned(spark, sf).agg(n.alias("events"), a.alias("assigned"), (n - a).alias("unassigned"), F.when(n > 0, F.floor(100 * a / n)).alias("assigned_pct"))
+    return runs.assigned_share(assigned(spark, sf))
 
 
-@query("cost_by_stream", "select data_type, count(*) as pages, cast(sum(event_count) as bigint) as events, count(distinct run_id) as runs from pg group by 1")
+@query("cost_by_stream", f"select data_type, count(*) as pages, cast(sum(event_count) as bigint) as events, count(distinct run_id) as runs, {rounded('count(*)', 'count(distinct run_id)', 1)} as pages_per_run from pg group by 1")
 def _(spark, sf):
     return costs.by_stream(B.pages(spark, sf))
 
 
-@query("cost_summary", "select count(*) as pages, cast(sum(event_count) as bigint) as events, count(distinct run_id) as runs, max(event_count) as largest_page from pg")
-def _(spark, sf):
-    return costs.summary(B.pages(spark, sf))
+_GAPS = """, gp as (
+  select run_id, count(*) as pages, cast(sum(case when gap between 0 and 43200000 then gap else 0 end) as bigint) as working_ms, count(*) filter (gap > 43200000) as pauses
+  from (select *, fetched_at_ms - lag(fetched_at_ms) over (partition by run_id order by fetched_at_ms) as gap from pg) group by 1 having count(*) > 1
+)
+"""
 
 
 @query(
-    "cost_session_gaps",
-    """select run_id, count(*) as pages, cast(sum(case when gap between 0 and 43200000 then gap else 0 end) as bigint) as working_ms, count(*) filter (gap > 43200000) as pauses
-from (select *, fetched_at_ms - lag(fetched_at_ms) over (partition by run_id order by fetched_at_ms) as gap from pg) group by 1 having count(*) > 1""",
+    "cost_summary",
+    _GAPS + f"""select pages, events, runs, largest_page, paged_runs, runs_with_pauses, {rounded("working_ms", "1000 * paged_runs", 1)} as seconds_per_run, {rounded("working_ms", "1000 * steps", 2)} as seconds_per_page, {rounded("pages", "paged_runs", 1)} as pages_per_run
+from (select count(*) as pages, cast(sum(event_count) as bigint) as events, count(distinct run_id) as runs, max(event_count) as largest_page from pg),
+  (select count(*) as paged_runs, count(*) filter (pauses > 0) as runs_with_pauses, cast(sum(working_ms) as bigint) as working_ms, cast(sum(pages - 1) as bigint) as steps from gp)""",
 )
+def _(spark, sf):
+    return costs.summary(B.pages(spark, sf), gap_ms=43_200_000)
+
+
+@query("cost_session_gaps", _GAPS + "select * from gp")
 def _(spark, sf):
     return costs.session_gaps(B.pages(spark, sf), gap_ms=43_200_000)
 
@@ -392,15 +412,22 @@ def _(spark, sf):
     return runs.independent_units("npc_instance", B.events(spark, sf), B.roster(spark, sf))
 
 
-@query(
-    "evidence_concentration",
-    """select (select max(n) from (select count(*) as n from ev group by run_id)) as top_run_events, (select count(*) from ev) as events,
-  (select max(n) from (select count(*) as n from ro group by player_id)) as top_player_runs, (select count(distinct run_id) from ro) as runs""",
-)
+def _concentration_sql(where: str) -> str:
+    return f""", one as (select (select max(n) from (select count(*) as n from ev where {where} group by run_id)) as top_run_events, (select count(*) from ev where {where}) as events,
+  (select max(n) from (select count(*) as n from ro group by player_id)) as top_player_runs, (select count(distinct run_id) from ro) as runs)
+select *, {rounded("top_run_events", "events", 4)} as top_run_share, {rounded("top_player_runs", "runs", 4)} as top_player_share from one"""
+
+
+@query("evidence_concentration", _concentration_sql("true"))
 def _(spark, sf):
     return runs.concentration(B.events(spark, sf), B.roster(spark, sf))
 
 
+@query("evidence_concentration_filtered", _concentration_sql("hostility = 'Enemies' and source_instance is null"))
+def _(spark, sf):
+    return runs.concentration(B.events(spark, sf), B.roster(spark, sf), {"hostility": "Enemies", "source_instance": None})
+
+
 _SPECIES = ", sig as (select pull_id, string_agg(npc_game_id, '|' order by npc_game_id) as signature from (select distinct pull_id, npc_game_id from np) group by 1)\n"
 _EXACT = """, sig as (
   select pull_id, string_agg(npc_game_id || 'x' || n, ' | ' order by npc_game_id) as signature, count(*) as species, cast(sum(n) as bigint) as total
@@ -410,7 +437,7 @@ _EXACT = """, sig as (
 
 
 def _run_pulls(spark, sf):
-    return B.runs(spark, sf).select("run_id", F.col("run_id").alias("pull_id"), "dungeon_key", "duration_ms")
+    return B.runs(spark, sf).select("run_id", F.col("run_id").alias("pull_id"), "dungeon_key", "duration_ms", F.expr("cast(run_id % 9 = 0 as int)").alias("is_boss"), F.concat(F.lit("pull "), F.col("run_id").cast("string")).alias("name"))
 
 
 @query("species_signatures", _SPECIES + "select * from sig")
@@ -423,7 +450,7 @@ def _(spark, sf):
     return composition_signature(B.pull_npcs(spark, sf))
 
 
-_PACK = "select dungeon_key, signature, count(*) as occurrences, count(distinct run_id) as runs, cast(sum(duration_ms) as bigint) as total_ms from sig join (select *, run_id as pull_id from ru) r using (pull_id) where signature <> '' group by 1, 2 order by occurrences desc, dungeon_key nulls first, signature limit 25"
+_PACK = "select dungeon_key, signature, count(*) as occurrences, count(distinct run_id) as runs, " + rounded("sum(duration_ms)", "1000 * count(duration_ms)", 1) + " as mean_s, max(is_boss) as boss, min(name) as a_name from sig join (select *, run_id as pull_id, cast(run_id % 9 = 0 as int) as is_boss, 'pull ' || run_id as name from ru) r using (pull_id) where signature <> '' group by 1, 2 order by occurrences desc, dungeon_key nulls first, signature limit 25"
 
 
 @query("packs_species", _SPECIES + _PACK)
@@ -446,20 +473,20 @@ def _(spark, sf):
 # the tables' starts are whole days, so two days is the tolerance here
 TOL = 2 * B.DAY_MS
 _CANDIDATES = f"""
-, fp as (select ru.*, coalesce(r.roster, []) as roster from ru left join (select run_id, list_sort(list(player_id)) as roster from ro group by 1) r using (run_id) where ru.run_id % 3 = 0),
+, fp as (select ru.*, coalesce(r.roster, []) as roster from ru left join (select run_id, list_sort(list(player_id)) as roster from ro group by 1) r using (run_id)),
 cand as (
-  select a.run_id as a_run_id, b.run_id as b_run_id, abs(a.abs_start_ms - b.abs_start_ms) as gap_ms, a.duration_ms as ad, b.duration_ms as bd, a.roster as ar, b.roster as br
+  select a.run_id as a_run_id, b.run_id as b_run_id, abs(a.abs_start_ms - b.abs_start_ms) as gap_ms, a.duration_ms as ad, b.duration_ms as bd, a.roster as ar, b.roster as br,
+    a.affixes as aa, b.affixes as ba, a.dungeon_key as dungeon, a.keystone_level as lvl
   from fp a join fp b on a.dungeon_key = b.dungeon_key and a.keystone_level is not distinct from b.keystone_level and a.run_id < b.run_id and a.report_code <> b.report_code
     and abs(a.abs_start_ms - b.abs_start_ms) <= {TOL}
 )
 """
-_SCORED = f"""
-, sc0 as (
-  select *, len(ar) > 0 and len(br) > 0 as known, case when len(ar) > 0 and len(br) > 0 then len(list_intersect(ar, br)) / least(len(ar), len(br)) else 0.0 end as overlap,
-    case when greatest(ad, bd) > 0 and abs(ad - bd) <= 0.1 * greatest(ad, bd) then 0.2 else 0.0 end as alike from cand
+_SCORED = f"""{_CANDIDATES}
+, sc as (
+  select *, len(ar) > 0 and len(br) > 0 as known, len(list_intersect(ar, br)) as shared, abs(ad - bd) as apart, abs(ad - bd) <= 0.1 * greatest(1, ad, bd) as alike, coalesce(len(aa) > 0 and aa = ba, false) as affixed from cand
 ), sco as (
-  select a_run_id, b_run_id, gap_ms, cast(floor(1000 * least(1.0, 0.2 + 0.3 * (1 - gap_ms / {TOL}) + alike + 0.3 * overlap) + 0.5) as bigint) as confidence_milli from sc0
-)
+  select *, round(0.2 + 0.3 * (1 - gap_ms / {TOL}) + case when alike then 0.2 else 0.0 end + 0.3 * case when known then shared / least(len(ar), len(br)) else 0.0 end + case when affixed then 0.1 else 0.0 end, 3) as points from sc
+), hit as (select *, least(1.0, points) as confidence from sco where (not known or shared >= 0.6 * least(len(ar), len(br))) and points >= 0.5)
 """
 
 
@@ -467,23 +494,19 @@ def _prints(spark, sf):
     return duplicates.fingerprints(B.runs(spark, sf), B.roster(spark, sf))
 
 
-@query("dedupe_candidates", _CANDIDATES.replace(" where ru.run_id % 3 = 0", "") + "select a_run_id, b_run_id, gap_ms from cand")
+@query("dedupe_candidates", _CANDIDATES + "select a_run_id, b_run_id, gap_ms from cand")
 def _(spark, sf):
     return duplicates.candidates(_prints(spark, sf), TOL).select("a_run_id", "b_run_id", F.abs(F.col("a_abs_start_ms") - F.col("b_abs_start_ms")).alias("gap_ms"))
 
 
-@query("roster_overlap", _CANDIDATES.replace(" where ru.run_id % 3 = 0", "") + "select a_run_id, b_run_id, len(list_intersect(ar, br)) as shared, least(len(ar), len(br)) as smaller from cand")
+@query("roster_overlap", _CANDIDATES + "select a_run_id, b_run_id, len(list_intersect(ar, br)) as shared, least(len(ar), len(br)) as smaller from cand")
 def _(spark, sf):
     c = duplicates.candidates(_prints(spark, sf), TOL)
     return c.select("a_run_id", "b_run_id", F.size(F.array_intersect("a_roster", "b_roster")).cast("long").alias("shared"), F.least(F.size("a_roster"), F.size("b_roster")).cast("long").alias("smaller"))
 
 
-_GROUPS = f"""{_CANDIDATES.replace(" where ru.run_id % 3 = 0", "")}
-, pairs as (
-  select a_run_id as a, b_run_id as b from (select *, len(list_intersect(ar, br)) / greatest(1, least(len(ar), len(br))) as o from cand) where
-    (len(ar) = 0 or len(br) = 0 or o >= 0.6)
-    and 0.2 + 0.3 * (1 - gap_ms / {TOL}) + case when greatest(ad, bd) > 0 and abs(ad - bd) <= 0.1 * greatest(ad, bd) then 0.2 else 0 end + 0.3 * case when len(ar) > 0 and len(br) > 0 then o else 0 end >= 0.4995
-), both_ways as (select a, b from pairs union all select b, a from pairs),
+_GROUPS = f"""{_SCORED}
+, pairs as (select a_run_id as a, b_run_id as b from hit), both_ways as (select a, b from pairs union all select b, a from pairs),
 reach as (select a as n, a as m from both_ways union select r.n, b.b from reach r join both_ways b on r.m = b.a),
 lab as (select n, min(m) as label from reach group by 1)
 """
@@ -493,6 +516,22 @@ def _pairs(spark, sf):
     return duplicates.scored(duplicates.candidates(_prints(spark, sf), TOL), TOL)
 
 
+@query("dedupe_scores", _SCORED + "select a_run_id, b_run_id, gap_ms, shared, affixed, cast(round(1000 * confidence) as bigint) as confidence_milli from hit")
+def _(spark, sf):
+    found = _pairs(spark, sf)
+    affixed = F.contains("reason", F.lit("equal affixes"))
+    return found.select("a_run_id", "b_run_id", "gap_ms", F.when(F.col("known"), F.col("shared")).otherwise(0).cast("long").alias("shared"), affixed.alias("affixed"), F.round(1000 * F.col("confidence")).cast("long").alias("confidence_milli"))
+
+
+@query(
+    "dedupe_diagnostics",
+    _SCORED + """select a_run_id as run_id, 'duplicate_candidate' as kind, 'info' as severity, 'probably the same as ' || b_run_id || ' (' || cast(confidence as decimal(4,3)) || '): dungeon ' || dungeon || ' at level ' || coalesce(cast(lvl as varchar), 'unknown')
+  || '; start gap ' || gap_ms || ' ms; durations ' || case when alike then 'alike: ' else 'differ: ' end || apart || ' ms; ' || case when known then 'shared players ' || shared else 'roster unknown' end || case when affixed then '; equal affixes' else '' end as detail from hit""",
+)
+def _(spark, sf):
+    return duplicates.diagnostics(_pairs(spark, sf))
+
+
 @query("dedupe_groups", _GROUPS + "select run_id, case when label is not null then 'dup-' || label end as duplicate_group_id, cast(case when label is null or label = run_id then 1 else 0 end as integer) as is_canonical from ru left join lab on n = run_id")
 def _(spark, sf):
     return duplicates.groups(B.runs(spark, sf), _pairs(spark, sf))
@@ -806,16 +845,13 @@ def _(spark, sf):
     return lookups.resolve_dungeons(r, _registry(spark))
 
 
-@query("focus_actor", "select run_id, max(player_id) filter (player_id % 3 = 0 or player_id % 3 = 1 and not h) as actor_id from (select *, false as h from (select run_id, min(player_id) as player_id from ro where player_id in (7, 11) group by 1)) group by 1 having count(*) < 0")
+@query("focus_actor", "select run_id, case when bool_or(player_id = 11) then 11 else 7 end::bigint as actor_id from ro where player_id in (7, 11) group by 1")
 def _(spark, sf):
     r = B.roster(spark, sf).select("run_id", F.col("player_id").alias("actor_id"))
     names = r.withColumn("name", F.concat(F.lit("p"), F.col("actor_id").cast("string")))
     return lookups.focus_actor(names, r, ["p11", "p7"])
 
 
-ORACLE_SQL["focus_actor"] = sql("select run_id, case when bool_or(player_id = 11) then 11 else 7 end::bigint as actor_id from ro where player_id in (7, 11) group by 1")
-
-
 @query(
     "known_limitations",
     _ASSIGNED + _OVERLAPS + """, st as (select (select count(*) from ru) as runs, (select count(*) from ru where is_canonical is null) as unclassified, (select count(*) from eva where pull_id is null) as unassigned, (select count(*) from ov) as n_over, (select count(*) from ev where hostility = 'Enemies' and source_instance is null) as no_instance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,25 @@ def session(app: str = "emberlog", **conf) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which ``spark.checkpoint.dir`` names. Only a session on one
+    machine may do without the setting; it gets a temporary folder."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
