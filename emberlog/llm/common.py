@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.session import shared_folder
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -25,22 +26,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
-        named = sc._jsc.sc().getCheckpointDir().get()
-    return named
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{scratch_dir(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}-{name}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
