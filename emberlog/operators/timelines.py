@@ -109,7 +109,6 @@ class Dictionary:
         """
         own = lambda df, *by: df.groupBy("timeline").agg(F.array_sort(F.collect_list(F.struct(*by))))
         number = F.regexp_extract("symbol", "[0-9]+$", 0).cast("long")
-        spelt = lambda *parts: F.concat(*parts).alias("text")
         used = events.where("ability_game_id is not null").select("timeline", "ability_game_id").distinct()
         abilities = used.join(self.abilities, "ability_game_id").select("timeline", number.alias("n"), "symbol", F.col("ability_game_id").cast("string").alias("name"))
         whose = F.concat_ws(":", F.col("actor").cast("string"), F.col("instance").cast("string"))
@@ -124,7 +123,8 @@ class Dictionary:
             parts.insert(0, ("#P", "players", players))
         for _, name, df in parts:
             out = out.join(own(df, "n", "symbol", "name").toDF("timeline", name), "timeline", "left")
-        lines = [F.when(F.size(name) > 0, F.concat(F.lit(f"{mark} "), F.array_join(F.transform(name, lambda x, plain=mark == "#P": x["symbol"] if plain else spelt(x["symbol"], F.lit("="), x["name"])), " "))) for mark, name, _ in parts]
+        spell = lambda mark: (lambda x: x["symbol"]) if mark == "#P" else (lambda x: F.concat(x["symbol"], F.lit("="), x["name"]))
+        lines = [F.when(F.size(name) > 0, F.concat(F.lit(f"{mark} "), F.array_join(F.transform(name, spell(mark)), " "))) for mark, name, _ in parts]
         scheme = "group" if self.players is not None else "none"
         entries = lambda name: F.map_from_entries(F.transform(F.coalesce(name, F.array().cast("array<struct<n:long,symbol:string,name:string>>")), lambda x: F.struct(x["symbol"], x["name"])))
         whole = F.struct(F.lit(scheme).alias("player_scheme"), *[entries(F.col(name)).alias(name) for _, name, _ in parts])

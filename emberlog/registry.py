@@ -870,3 +870,6 @@ def _(spark, sf):
 @query("rank_positions", "select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as rank from documents")
 def _(spark, sf):
     return B.table(spark, sf, "documents").select("source", "doc_id", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("rank"))
+
+
+from emberlog import registry_codecs, registry_ingest  # noqa: E402, F401  register their queries here
