@@ -19,14 +19,16 @@ MIN_CONFIDENCE, MIN_ROSTER_OVERLAP = 0.5, 0.6
 def fingerprints(runs: DataFrame, roster: DataFrame) -> DataFrame:
     """Runs with their sorted roster, an empty array without one, and their affixes (null: unknown)."""
     who = roster.groupBy("run_id").agg(F.array_sort(F.collect_set("player_id")).alias("roster"))
-    if "affixes" not in runs.columns:
-        runs = runs.withColumn("affixes", F.lit(None).cast("array<long>"))
-    return runs.join(who, "run_id", "left").withColumn("roster", F.coalesce("roster", F.array().cast(who.schema["roster"].dataType)))
+    return _affixed(runs).join(who, "run_id", "left").withColumn("roster", F.coalesce("roster", F.array().cast(who.schema["roster"].dataType)))
+
+
+def _affixed(runs: DataFrame) -> DataFrame:
+    return runs if "affixes" in runs.columns else runs.withColumn("affixes", F.lit(None).cast("array<long>"))
 
 
 def candidates(prints: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """Pairs a < b of different reports with equal dungeon (null never matches), equal level (null matches null) and close starts."""
-    p = prints.where("dungeon_key is not null").withColumn("bucket", F.floor(F.col("abs_start_ms") / (tolerance_ms + 1)))
+    p = _affixed(prints).where("dungeon_key is not null").withColumn("bucket", F.floor(F.col("abs_start_ms") / (tolerance_ms + 1)))
     # null levels match each other: the flag tells them from any number
     level = [F.col("keystone_level").isNull().alias("no_level"), F.coalesce("keystone_level", F.lit(0)).alias("level")]
     side = lambda s: p.select("dungeon_key", *level, *[F.col(c).alias(f"{s}_{c}") for c in ("run_id", "report_code", "abs_start_ms", "duration_ms", "roster", "affixes")], "bucket")

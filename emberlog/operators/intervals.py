@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN_MS = 3_600_000
+#: Ways that the events of one run and bin are split.
+SALTS = 4
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -23,13 +25,19 @@ def assign(events: DataFrame, pulls: DataFrame, bin_ms: int = BIN_MS) -> DataFra
 
     Of several pulls that contain an event the one with the greatest (start, end, id)
     takes it; an event in no pull keeps nulls. A pull that ends before it starts
-    contains nothing.
+    contains nothing. ``event_id`` is unique.
+
+    Events are dealt out once, by run, bin and a few salts (pulls go to all of these), and
+    the greatest pull is taken where they meet.
     """
     kept = [c for c in events.columns if c not in ("pull_id", "pull_rel_ms")]
-    p = pulls.where("rel_end_ms >= rel_start_ms").select("run_id", F.struct("rel_start_ms", "rel_end_ms", "pull_id").alias("p"), _bins(F.col("rel_start_ms"), F.col("rel_end_ms"), bin_ms).alias("bin"))
-    e = events.select(*kept).withColumn("bin", F.floor(F.col("rel_ms") / bin_ms))
-    hits = e.join(p, ["run_id", "bin"]).where(F.col("rel_ms").between(F.col("p.rel_start_ms"), F.col("p.rel_end_ms"))).groupBy("event_id").agg(F.max("p").alias("p"))
-    return e.drop("bin").join(hits, "event_id", "left").select(*kept, F.col("p.pull_id").alias("pull_id"), (F.col("rel_ms") - F.col("p.rel_start_ms")).alias("pull_rel_ms"))
+    spread = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    p = pulls.where("rel_end_ms >= rel_start_ms").select(F.col("run_id").alias("p_run"), F.struct("rel_start_ms", "rel_end_ms", "pull_id").alias("p"), _bins(F.col("rel_start_ms"), F.col("rel_end_ms"), bin_ms).alias("p_bin")).withColumn("p_salt", spread)
+    e = events.select(*kept).withColumns({"bin": F.floor(F.col("rel_ms") / bin_ms), "salt": F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")})
+    inside = (F.col("run_id") == F.col("p_run")) & (F.col("bin") == F.col("p_bin")) & (F.col("salt") == F.col("p_salt")) & F.col("rel_ms").between(F.col("p.rel_start_ms"), F.col("p.rel_end_ms"))
+    given = [c for c in kept if c not in ("event_id", "run_id")]
+    met = e.join(p, inside, "left").groupBy("run_id", "bin", "salt", "event_id").agg(*[F.first(c).alias(c) for c in given], F.max("p").alias("p"))
+    return met.select(*kept, F.col("p.pull_id").alias("pull_id"), (F.col("rel_ms") - F.col("p.rel_start_ms")).alias("pull_rel_ms"))
 
 
 def assignment_stats(assigned: DataFrame, pulls: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ offset is the number of pages read of each.
 from __future__ import annotations
 
 import json
-import os
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "stream string, page_index long, seq_in_page long, next_cursor_ms long, raw string"
@@ -21,10 +21,21 @@ class PaginationStall(RuntimeError):
     """A cursor that does not move on."""
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (``file://``, ``hdfs://``, ``s3://``, ... or a plain path) and the folder in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
+def streams(root: str) -> list[str]:
+    store, at = _store(root)
+    return sorted(f.base_name for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory)
+
+
 def read_page(root: str, stream: str, index: int) -> dict | None:
+    store, at = _store(root)
     try:
-        with open(f"{root}/{stream}/{index}.json", encoding="utf-8") as f:
-            return json.load(f)
+        with store.open_input_file(f"{at}/{stream}/{index}.json") as f:
+            return json.loads(f.readall())
     except FileNotFoundError:
         return None
 
@@ -55,7 +66,7 @@ class PageReader(DataSourceReader):
         self.root = root
 
     def partitions(self):
-        return [StreamPartition(s) for s in sorted(os.listdir(self.root))]
+        return [StreamPartition(s) for s in streams(self.root)]
 
     def read(self, partition):
         yield from follow(self.root, partition.stream)
@@ -72,7 +83,7 @@ class PageStreamReader(SimpleDataSourceStreamReader):
 
     def _between(self, start: dict, end: dict | None):
         rows, reached = [], dict(start["pages"])
-        for s in sorted(os.listdir(self.root)):
+        for s in streams(self.root):
             index = reached.get(s, 0)
             until = None if end is None else end["pages"].get(s, 0)
             while (until is None or index < until) and (page := read_page(self.root, s, index)) is not None:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import report_code
 
 
+#: Positions of a list that are numbered together.
+STRETCH = 100_000
+
+
 def parse_list(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     """(codes, rejects) of a list: one code or URL per line, first comma field, ``#`` comments.
 
@@ -21,9 +25,16 @@ def parse_list(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rank_codes(found: DataFrame, limit: int | None = None) -> DataFrame:
-    """(report_code, rank): by first position, each code once. Ranks are over one row per code."""
-    first = found.groupBy("report_code").agg(F.min("position").alias("position"))
-    ranked = first.select("report_code", (F.row_number().over(W.orderBy("position")) - 1).cast("long").alias("rank"))
+    """(report_code, rank): by first position, each code once.
+
+    Codes are numbered within stretches of positions, behind the codes of earlier
+    stretches, so the only window over everything has a row for each stretch.
+    """
+    first = found.groupBy("report_code").agg(F.min("position").alias("position")).withColumn("stretch", F.floor(F.col("position") / STRETCH))
+    before = F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    starts = first.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(W.partitionBy("stretch").orderBy("position"))
+    ranked = first.withColumn("own", own).join(starts, "stretch").select("report_code", (F.col("start") + F.col("own") - 1).alias("rank"))
     return ranked if limit is None else ranked.where(F.col("rank") < limit)
 
 
