@@ -320,3 +320,31 @@ def line_runs(rows, words=50, min_lines=2):
                 lost |= set(range(max(a, at + z - a) if j == i else a, z))
         out.append((i, text if not lost else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in lost), bool(lost)))
     return out
+
+
+def added_private_spans(text):
+    """The kinds that anchor expansion adds: every place is tried for a scheme or a cue, without an automaton."""
+    out = []
+    for m in re.finditer(r"[A-Za-z][A-Za-z0-9+.-]*(://[^\s<>\"'`{}|\\^\[\]]+)", text):
+        value = m[0].rstrip(".,;:!?)")
+        if len(value) > m.start(1) - m.start() + 3:
+            out.append(("url", m.start(), m.start() + len(value)))
+    low, free = text.translate(FOLD), {}
+    gap = r"(?:\x20?(?i:no|nr|num|number|code|id)\b\.?)?\x20*[:=#]?\x20*"
+    shape = {"iban": r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])", "account": r"([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9A-Za-z])", "ssn": r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"}
+    cues = {"iban": "iban", "ssn": "ssn", "social security": "ssn"} | dict.fromkeys(["account", "acct", "konto", "cuenta", "compte"], "account")
+    for end in range(1, len(text) + 1):
+        for cue, kind in cues.items():
+            if low[:end].endswith(cue) and (m := re.compile(gap + shape[kind]).match(text, end)) and m.start(1) >= free.get(kind, 0):
+                value = m[1]
+                if kind == "iban":
+                    words = value.split(" ")
+                    good = (" ".join(words[:n]) for n in range(len(words), 0, -1))
+                    ok = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+                    value = next((v for v in good if ok(v.replace(" ", ""))), "")
+                    if len(value.replace(" ", "")) < 15:
+                        continue
+                free[kind] = m.start(1) + len(value)
+                out.append((kind, m.start(1), free[kind]))
+    order = ("url", "iban", "account", "ssn")
+    return sorted(out, key=lambda s: (order.index(s[0]), s[1]))
