@@ -17,8 +17,8 @@ def corpus(spark, root: str) -> dict:
     t = {name: tables.scan(spark, root, table) for name, table in (("runs", "dungeon_runs"), ("pulls", "pulls"), ("coverage", "run_stream_coverage"), ("diagnostics", "ingest_diagnostics"))}
     t["events"] = tables.scan(spark, root, "events").withColumn("ability", F.col("ability_game_id"))
     t["pages"] = tables.scan(spark, root, "event_pages").withColumn("fetched_at_ms", (F.col("fetched_at") * 1000).cast("long"))
-    focus = F.when(F.col("source_id").isNotNull() | F.col("target_id").isNotNull(), " (focus)").otherwise("")
-    t["coverage"] = t["coverage"].withColumn("label", F.concat("data_type", F.coalesce(F.concat(F.lit("@"), "hostility"), F.lit("")), focus))
+    focus = F.col("source_id").isNotNull() | F.col("target_id").isNotNull()
+    t["coverage"] = t["coverage"].withColumn("label", runs.stream_label(F.col("data_type"), F.col("hostility"), focus=focus))
     return t
 
 
@@ -33,7 +33,7 @@ def validate(spark, a) -> None:
 
 def stats(spark, a) -> None:
     r = tables.scan(spark, a.root, "dungeon_runs", collection_status="complete")
-    r.groupBy("dungeon_key", "key_bracket").agg(F.count("*").alias("runs"), F.bround(F.avg("duration_ms") / 1000, 0).alias("mean_s")).orderBy("dungeon_key", "key_bracket").show(1000, False)
+    runs.durations(r, "dungeon_key", "key_bracket").orderBy("dungeon_key", "key_bracket").show(1000, False)
 
 
 def dedupe(spark, a) -> None:

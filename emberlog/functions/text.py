@@ -71,6 +71,11 @@ def class_and_spec(icon: Column, sub_type: Column) -> tuple[Column, Column]:
     return F.nullif(F.substring_index(icon, "-", 1), F.lit("")), F.nullif(sub_type, F.lit(""))
 
 
+def words(value: Column) -> Column:
+    """A camel-case name as lower-case words."""
+    return F.lower(F.regexp_replace(value, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " "))
+
+
 def compact_name(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -232,12 +233,13 @@ def token_estimate(text: Column) -> Column:
     return words + F.length(F.regexp_replace(text, "[\\p{L}\\p{N}\\s]", "")).cast("long")
 
 
-def measure(lines: DataFrame, scales: tuple = (10, 100, 1000, None)) -> DataFrame:
-    """Bytes, lines and estimated tokens of each timeline's first events, by scale (0 for all)."""
+def measure(lines: DataFrame, scales: tuple = (10, 100, 1000, None), tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """Bytes, lines and tokens of each timeline's first events, by scale (0 for all). Tokens are an
+    estimate unless ``tokens`` counts them (:func:`emberlog.functions.tokenizers.token_count`), line by line."""
     w = W.partitionBy("timeline").orderBy("seq")
     numbered = lines.withColumn("rn", F.row_number().over(w)).withColumn("scale", F.explode(F.array(*[F.lit(s or 0) for s in scales])))
     part = numbered.where("scale = 0 or rn <= scale")
-    return part.groupBy("timeline", "scale").agg(F.count("*").alias("lines"), (F.sum(F.octet_length("line")) + F.count("*") - 1).alias("bytes"), F.sum(token_estimate(F.col("line"))).alias("tokens"))
+    return part.groupBy("timeline", "scale").agg(F.count("*").alias("lines"), (F.sum(F.octet_length("line")) + F.count("*") - 1).alias("bytes"), F.sum(tokens(F.col("line"))).alias("tokens"))
 
 
 def reversible(events: DataFrame, decoded: DataFrame) -> bool:

@@ -21,18 +21,18 @@ class PaginationStall(RuntimeError):
     """A cursor that does not move on."""
 
 
-def _store(root: str) -> tuple[fs.FileSystem, str]:
+def open_store(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder (``file://``, ``hdfs://``, ``s3://``, ... or a plain path) and the folder in it."""
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
 
 def streams(root: str) -> list[str]:
-    store, at = _store(root)
+    store, at = open_store(root)
     return sorted(f.base_name for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory)
 
 
 def read_page(root: str, stream: str, index: int) -> dict | None:
-    store, at = _store(root)
+    store, at = open_store(root)
     try:
         with store.open_input_file(f"{at}/{stream}/{index}.json") as f:
             return json.loads(f.readall())

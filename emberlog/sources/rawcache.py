@@ -8,12 +8,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.sources.paged import open_store
+
 FORMAT = 1
 ENVELOPE = "cache_format_version int, kind string, report_code string, params string, query_version int, fetched_at double, provenance string, response string"
 
@@ -41,10 +42,11 @@ def put(root: str, kind: str, params: dict, response, report_code: str | None =
     if any(s and s in body for s in secrets):
         raise SecretInPayload(kind)
     path = path_for(root, kind, report_code, cache_key(kind, query_version, params))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with gzip.open(f"{path}.part", "wt", encoding="utf-8") as f:
-        f.write(body)
-    os.replace(f"{path}.part", path)
+    store, at = open_store(path)
+    store.create_dir(at.rpartition("/")[0])
+    with store.open_output_stream(f"{at}.part", compression=None) as f:
+        f.write(gzip.compress(body.encode()))
+    store.move(f"{at}.part", at)
     return path
 
 
