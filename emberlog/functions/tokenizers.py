@@ -1,4 +1,4 @@
-"""Real token counts beside the heuristic: a vocabulary file, read where the code runs."""
+"""Real token counts beside the heuristic: a vocabulary file, read from any store where the code runs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+from emberlog.sources.paged import open_store
+
 _HELD: dict[str, object] = {}
 
 
@@ -13,7 +15,9 @@ def _tokenizer(path: str):
     if path not in _HELD:
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
+        store, at = open_store(path)
+        with store.open_input_file(at) as f:
+            made = Tokenizer.from_str(f.readall().decode())
         made.no_truncation()
         made.no_padding()
         _HELD[path] = made

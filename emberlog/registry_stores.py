@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from emberlog.functions import connector, driver
 from emberlog.functions import text as T
+from emberlog.functions.tokenizers import token_count
 from emberlog.operators import costs, lookups, timelines
 from emberlog.plans import bindings as B
 from emberlog.plans import report
@@ -152,6 +155,35 @@ def _(spark, sf):
     return done.finish(2.5).select(*columns).unionAll(broken.frame().select(*columns))
 
 
+@query("provenance_stamp", "select '0.1.0' as software_version, 1::bigint as normalizer_version, 1::bigint as query_version, 5::bigint as schema_version, 1::bigint as identity_scheme_version")
+def _(spark, sf):
+    return jobs.Job(spark, 1.0).frame().select("software_version", "normalizer_version", "query_version", "schema_version", "identity_scheme_version")
+
+
+@query("config_hashed", "select substr(sha256('a.ymlx: 1b.ymly: 2'), 1, 16) as hash")
+def _(spark, sf):
+    with tempfile.TemporaryDirectory() as own:  # configuration lies with the driver
+        for name, text in (("b.yml", "y: 2"), ("a.yml", "x: 1")):
+            Path(own, name).write_text(text)
+        found = config.config_hash([f"{own}/b.yml", f"{own}/a.yml"])
+    return spark.createDataFrame([(found,)], "hash string")
+
+
+@query("turn_token_counts", "select conv_id, turn, len(regexp_extract_all(text, '[^ \t\n\r\v\f]+'))::bigint as tokens from conversations")
+def _(spark, sf):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    words = Tokenizer(WordLevel({"[U]": 0}, unk_token="[U]"))  # a vocabulary that counts words
+    words.pre_tokenizer = WhitespaceSplit()
+    path = folder(spark, "words.json")
+    store, at = paged.open_store(path)
+    with store.open_output_stream(at) as f:
+        f.write(words.to_str().encode())
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", token_count(F.col("text"), path).alias("tokens"))
+
+
 @query("report_truncated", _GAPS + "select run_id, pages, working_ms, pauses from gp order by working_ms desc, run_id limit 20")
 def _(spark, sf):
     section = report.Section("w", costs.session_gaps(B.pages(spark, sf), gap_ms=43_200_000), ["-working_ms", "run_id"])
