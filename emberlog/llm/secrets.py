@@ -31,7 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: The base rules' shortest credential; shorter runs are no candidates.
 MIN_CANDIDATE = 8
+#: Groups in which the examples of a kind are first picked.
+SALTS = 64
 #: Symbols spelt out at each end of a long credential.
 EDGE = 64
 #: Scores of runs that a worker remembers before it starts anew.
@@ -349,12 +351,11 @@ def learn(df: DataFrame, key_col: str, text_col: str = "text", sample_rows: int
         yield pa.RecordBatch.from_pylist([dict(zip(("kind", "h", "value"), row)) for row in flat], schema=pa.schema([("kind", pa.string()), ("h", pa.int64()), ("value", pa.string())]))
 
     found = sample.mapInArrow(marked, "kind string, h long, value string").distinct()
-    kept = found.withColumn("salt", F.pmod("h", F.lit(64)))
-    for by in (["kind", "salt"], ["kind"]):  # what one task sees is bounded whatever the number of tasks before
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "value"))
-        kept = kept.withColumn("place", place).where(F.col("place") <= examples_per_kind)
-    kept = kept.select("kind", "value")
-    return Grammar([(r["kind"], r["value"]) for r in kept.collect()])  # at most examples_per_kind of each of four kinds
+    # what a task or the driver sees is bounded whatever the number of tasks before: SALTS times the examples
+    place = F.row_number().over(Window.partitionBy("kind", "salt").orderBy("h", "value"))
+    kept = found.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("place", place).where(F.col("place") <= examples_per_kind)
+    rows = sorted((r["kind"], r["h"], r["value"]) for r in kept.select("kind", "h", "value").collect())
+    return Grammar([(kind, value) for kind, own in groupby(rows, key=lambda r: r[0]) for _, _, value in list(own)[:examples_per_kind]])
 
 
 def with_spans(df: DataFrame, grammar: Grammar | None, text_col: str = "text") -> DataFrame:
