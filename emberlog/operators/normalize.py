@@ -23,6 +23,7 @@ PROMOTED = {
 }
 #: Further event fields that are known and go to ``extra``.
 KNOWN_EXTRA = ["armor", "attackPower", "spellPower", "versatility", "avoidance", "absorb", "itemLevel", "classResources", "resourceActor", "facing", "fight", "fake"]
+_PARSED, _FIELDS = "parsed payload", "payload fields"
 _TEXT, _FLAG = {"type", "buffs"}, {"tick", "isAoE", "isBuff"}
 
 
@@ -36,7 +37,10 @@ def events(raw: DataFrame, json: str = "raw") -> DataFrame:
 
     A missing timestamp is 0; a missing or null type is ``unknown``.
     """
-    get = lambda key: F.get_json_object(json, f"$.{key}")
+    # the text is parsed once for all columns, and once for what is left over
+    known = ", ".join(f"`{key}` string" for key in (*PROMOTED, "timestamp"))
+    raw = raw.withColumns({_PARSED: F.from_json(json, known), _FIELDS: F.from_json(json, "map<string,string>")})
+    get = lambda key: F.col(_PARSED)[key]
     columns = {}
     for key, name in PROMOTED.items():
         if key in _FLAG:
@@ -45,12 +49,11 @@ def events(raw: DataFrame, json: str = "raw") -> DataFrame:
             columns[name] = get(key) if key in _TEXT else _whole(get(key))
     columns["type"] = F.coalesce(columns["type"], F.lit("unknown"))
     columns["rel_ms"] = F.coalesce(_whole(get("timestamp")), F.lit(0))
-    rest = F.filter(F.array_sort(F.json_object_keys(json)), lambda k: ~k.isin(*PROMOTED, "timestamp"))
+    rest = F.filter(F.array_sort(F.map_keys(_FIELDS)), lambda k: ~k.isin(*PROMOTED, "timestamp"))
     # values are taken verbatim: nested JSON stays as it came, text is quoted again
-    fields = F.from_json(json, "map<string,string>")
-    body = F.transform(rest, lambda k: F.concat(F.lit('"'), k, F.lit('":'), _verbatim(fields[k])))
+    body = F.transform(rest, lambda k: F.concat(F.lit('"'), k, F.lit('":'), _verbatim(F.col(_FIELDS)[k])))
     columns["extra"] = F.when(F.size(rest) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
-    return raw.withColumns(columns)
+    return raw.withColumns(columns).drop(_PARSED, _FIELDS)
 
 
 def _verbatim(value: Column) -> Column:
