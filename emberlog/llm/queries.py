@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat_quotes, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, token_counts
+from emberlog.llm import chat_quotes, conversations, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, row_patterns, secrets, sentence_pieces, token_counts
 from emberlog.llm.common import documents
 
 
@@ -75,6 +75,22 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(_count, secrets.BASE_KINDS), _base_digest(secrets.BASE_KINDS), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = row_patterns.match(spark.read.parquet(f"{sf_dir}/clicks.parquet"), goal_kind="click", bad_kind="error", gap_us=300_000_000)
+    return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2(F.col("labels").cast("binary"), 256).alias("labels_sha256"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.with_ids(documents(spark, sf_dir).select("doc_id", "text"), vocabulary="piece_bpe_32k.model")
+    decoded = sentence_pieces.with_digest(sentence_pieces.with_text(encoded.select("doc_id", "ids")))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(turns, absent_col="absent").drop("n_repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -86,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_secret_scans": op10_secret_scans,
+    "op11_row_patterns": op11_row_patterns,
+    "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,10 +142,28 @@ k as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by 1
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join k using (t)
 """
 
+_OP11 = r"""
+with c as (select distinct * from clicks where client_id is not null and ts is not null),
+o as (select client_id, click_id, ts, kind, cast(floor(100 * value + 0.5) as bigint) as cents, row_number() over w as i, lag(ts) over w as ts0, lag(cast(floor(100 * value + 0.5) as bigint)) over w as cents0
+  from c window w as (partition by client_id order by ts, click_id)),
+n as (select *, coalesce(ts - ts0 <= interval 5 minute, false) as near from o),
+l as (select *, case when near and kind is not null and kind <> 'error' and cents < cents0 then 'D' when near and kind is not null and kind <> 'error' and cents > cents0 then 'U' end as letter,
+  sum(cents) over (partition by client_id order by i) as total from n),
+runs as (select client_id, letter, min(i) as lo, max(i) as hi
+  from (select *, i - row_number() over (partition by client_id, letter order by i) as run from l where letter is not null) group by client_id, letter, run),
+falls as (select d.client_id, d.lo, d.hi, u.hi as top from runs d join runs u on u.client_id = d.client_id and u.lo = d.hi + 1 where d.letter = 'D' and u.letter = 'U'),
+starts as (select f.*, a.i as s, a.click_id as first_id, a.cents, a.total - a.cents as before_total from falls f join l a on a.client_id = f.client_id and a.i between f.lo - 1 and f.hi - 1),
+ends as (select s.client_id, s.s, max(p.i) as p from starts s join l p on p.client_id = s.client_id and p.i between s.hi + 2 and s.top + 1 where p.near and p.kind = 'click' and p.cents >= s.cents group by 1, 2)
+select e.client_id, row_number() over (partition by e.client_id order by e.s) as match_no, s.first_id, p.click_id as last_id, e.p - e.s + 1 as n_rows, cast(p.total - s.before_total as bigint) as sum_cents,
+  sha256('A' || repeat('D', s.hi - s.s) || repeat('U', e.p - s.hi - 1) || 'P') as labels_sha256
+from ends e join starts s on s.client_id = e.client_id and s.s = e.s join l p on p.client_id = e.client_id and p.i = e.p
+"""
+
 #: The others need a vocabulary, a model, positions of matches or Spark's line hashes, which SQL lacks;
 #: tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op2_ngram_join": _OP2,
     "op8_exact_dedup": _OP8,
+    "op11_row_patterns": _OP11,
 }

@@ -348,3 +348,85 @@ def added_private_spans(text):
                 out.append((kind, m.start(1), free[kind]))
     order = ("url", "iban", "account", "ssn")
     return sorted(out, key=lambda s: (order.index(s[0]), s[1]))
+
+
+def valleys(rows, gap_us=300_000_000):
+    """(key, match_no, first_id, last_id, n_rows, sum_cents, labels) of rows (id, micros, key, kind, value)."""
+    out, by_key = [], collections.defaultdict(list)
+    for i, us, key, kind, value in set(rows):
+        if key is not None and us is not None:
+            by_key[key].append((us, i, kind, None if value is None or not math.isfinite(value) else math.floor(100 * value + 0.5)))
+    for key, own in by_key.items():
+        own.sort(key=lambda r: (r[0], r[1]))
+        number = 0
+
+        def fits(letter, k, start):
+            (us0, _, _, c0), (us, _, kind, c) = own[k - 1], own[k]
+            if c is None or us - us0 > gap_us:
+                return False
+            if letter == "P":
+                return kind == "click" and c >= own[start][3]
+            return kind not in (None, "error") and c0 is not None and (c < c0 if letter == "D" else c > c0)
+
+        def longest(letter, k, start):
+            """Backtracking: letters D+ U+ P from row k on, as a string, or None."""
+            if k < len(own) and letter == "P":
+                return "P" if fits("P", k, start) else None
+            if k >= len(own) or not fits(letter, k, start):
+                return None
+            for then in (letter, "U" if letter == "D" else "P"):
+                if (rest := longest(then, k + 1, start)) is not None:
+                    return letter + rest
+            return None
+
+        for s in range(len(own)):
+            if own[s][3] is not None and (labels := longest("D", s + 1, s)) is not None:
+                number += 1
+                taken = own[s : s + len(labels) + 1]
+                out.append((key, number, taken[0][1], taken[-1][1], len(taken), sum(r[3] for r in taken), "A" + labels))
+    return sorted(out, key=str)
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, lines) of rows (turn, role, text) of one conversation."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        said = re.sub(r"[\x20\x09-\x0D]", "", text)
+        faults.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    legal = re.compile(r"(s?(ua)+)?")
+    best = {}
+
+    def go(i, initials, inserts):
+        """The least (cost, audit, lines) of the rows from i on behind these initials."""
+        tail = initials[-2:] if "s" not in initials[-1:] else "s"  # what the grammar remembers
+        if (i, tail, inserts) in best:
+            return best[i, tail, inserts]
+        ways = [(0, "", ())] if i == len(rows) and legal.fullmatch(initials) else []
+
+        def way(cost, letter, line, then):
+            # a beginning of a legal string is one that a few more turns complete
+            if any(legal.fullmatch(then[1] + more) for more in ("", "a", "ua")):
+                c, a, lines = go(*then)
+                ways.append((cost + c, letter + a, (*line, *lines)))
+
+        if inserts < 3:
+            for role in ("user", "assistant"):
+                way(3, "I", (role + ":",), (i, initials + role[0], inserts + 1))
+        if i < len(rows):
+            _, role, text = rows[i]
+            way(4, "D", (), (i + 1, initials, 0))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 * (faults[i] == "truncated")
+                way(more, "K", (f"{role}:{text}",), (i + 1, initials + role[:1], 0))
+                for other in ("user", "assistant"):
+                    way(3 + more, "R", (f"{other}:{text}",), (i + 1, initials + other[0], 0))
+        best[i, tail, inserts] = min(ways, key=lambda w: w[:2]) if ways else (math.inf, "", ())
+        return best[i, tail, inserts]
+
+    cost, audit, lines = go(0, "", 0)
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, list(lines)
