@@ -20,8 +20,9 @@ match are not reported a second time.
 
 A null text counts as empty. Offsets are code points, the end exclusive. Texts
 are read whole and no rows are shuffled. Repeated rows repeat their result, other
-columns pass through, except that ``spans`` is replaced. Without credentials to
-learn from, only the base rules report.
+columns pass through, except that ``spans`` is replaced; an empty table gives an empty
+one. Without credentials to learn from, only the base rules report. Spans that start
+together are listed by kind; of formats that begin together the longest accepted end counts.
 """
 
 from __future__ import annotations
@@ -101,18 +102,47 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], order(s[0])))
 
 
+class Run:
+    """A run of token characters with its classes, of which stretches are spelt as symbols. What a stretch
+    holds is looked up, so spelling one takes as long as its two ends, however long it is."""
+
+    def __init__(self, value: str, kinds: str | None = None):
+        self.value, self.kinds = value, classes(value) if kinds is None else kinds
+        self._where: dict[str, np.ndarray] | None = None
+
+    def _holds(self, c: str, a: int, z: int) -> bool:
+        if z - a <= 4 * EDGE:
+            return c in self.kinds[a:z]
+        if self._where is None:
+            raw = np.frombuffer(self.kinds.encode(), np.uint8)
+            self._where = {k: np.flatnonzero(raw == ord(k)) for k in "adlu+/_.=-"}
+        own = self._where[c]
+        at = int(np.searchsorted(own, a))
+        return at < len(own) and int(own[at]) < z
+
+    def head(self, a: int, z: int) -> int:
+        found = _HEAD.match(self.value, a, z)
+        return found.end() - a if found else 0
+
+    def symbols(self, a: int, z: int) -> str:
+        """value[a:z] as symbols: lower hex, other lower, upper, digit and the marks themselves.
+        A prefix up to a mark (``sk_``, ``ghp_``) and ``AKIA`` stay literal. Of a long credential both
+        ends are spelt out; which classes it has and the order of magnitude of its length stand between."""
+        skip = self.head(a, z)
+        b = a + skip
+        plain = not any(self._holds(c, b, z) for c in "lu+/_.=-")
+        spell = (lambda k: k.replace("a", "h").replace("d", "h")) if plain else (lambda k: k.replace("a", "l"))
+        if z - b > 2 * EDGE:
+            held = {"h"} if plain else {"l" if c == "a" else c for c in "adlu+/_.=-" if self._holds(c, b, z)}
+            marks = sum(1 << i for i, c in enumerate("hdlu+/_.=-") if c in held)
+            kinds = spell(self.kinds[b : b + EDGE]) + chr(0x1000 + marks) + chr(0x100 + (z - b).bit_length()) + spell(self.kinds[z - EDGE : z])
+        else:
+            kinds = spell(self.kinds[b:z])
+        return "".join("\x01" + c for c in self.value[a:b]) + kinds
+
+
 def symbols(value: str) -> str:
-    """A credential as symbols: lower hex, other lower, upper, digit and the marks themselves.
-    A prefix up to a mark (``sk_``, ``ghp_``) and ``AKIA`` stay literal. Of a long credential both
-    ends are spelt out; which classes it has and the order of magnitude of its length stand between."""
-    head = _HEAD.match(value)
-    skip = head.end() if head else 0
-    rest = classes(value[skip:])
-    kinds = rest.replace("a", "h").replace("d", "h") if not rest.strip("ad") else rest.replace("a", "l")
-    if len(kinds) > 2 * EDGE:
-        marks = sum(1 << i for i, c in enumerate("hdlu+/_.=-") if c in kinds)
-        kinds = kinds[:EDGE] + chr(0x1000 + marks) + chr(0x100 + len(kinds).bit_length()) + kinds[-EDGE:]
-    return "".join("\x01" + c for c in value[:skip]) + kinds
+    return Run(value).symbols(0, len(value))
 
 
 class Automaton:
@@ -221,6 +251,15 @@ class Automaton:
             total += step[1]
         return (total + self.stop[state]) / (len(s) + 1)
 
+    def reach(self, s: str, state: int = 0) -> tuple[int, int]:
+        """How many of the symbols the format can make from a state on, and the state behind them."""
+        for i, c in enumerate(s):
+            step = self.steps[state].get(c)
+            if step is None:
+                return i, state
+            state = step[0]
+        return len(s), state
+
 
 #: Kind of the ordinary runs among what is learned from.
 ORDINARY = "ordinary"
@@ -251,21 +290,53 @@ class Grammar:
         self.by_value: dict[str, tuple] = {}
 
     def accepts(self, value: str) -> bool:
-        s = symbols(value)
-        best = max((score for a, least in self.parts if (score := a.score(s)) >= least), default=-math.inf)
+        return self._accepts(Run(value), 0, len(value))
+
+    def _accepts(self, run: Run, a: int, z: int) -> bool:
+        s = run.symbols(a, z)
+        best = max((score for part, least in self.parts if (score := part.score(s)) >= least), default=-math.inf)
         return best > -math.inf and (self.background is None or best > self.background.score(s))
 
-    def _within(self, value: str) -> tuple[tuple[int, int], ...]:
-        """The accepted spans of a run."""
-        if self.accepts(value):
-            return ((0, len(value)),)
-        found = {m.span() for m in _PART.finditer(value) if m.end() - m.start() < len(value) and self.accepts(m[0])}
+    def _furthest(self, run: Run, at: int) -> int:
+        """How many characters from ``at`` on some format can make, at most; those behind the first EDGE aren't tried."""
+        skip = run.head(at, len(run.value))
+        literal = "".join("\x01" + c for c in run.value[at : at + skip])
+        rest = run.kinds[at + skip : at + skip + EDGE]
+        digits = rest[: len(rest) - len(rest.lstrip("ad"))]
+        spelt = (digits.replace("a", "h").replace("d", "h"), rest.replace("a", "l"))
+        most = 0
+        for part, _ in self.parts:
+            n, state = part.reach(literal)
+            if n == len(literal):
+                most = max(most, *(skip + part.reach(s, state)[0] for s in spelt))
+        return most
+
+    def _within(self, value: str, kinds: str) -> tuple[tuple[int, int], ...]:
+        """The accepted spans of a run. A start is left as soon as no format can go on, so the time
+        grows with the run and not with its square."""
+        run, n = Run(value, kinds), len(value)
+        if self._accepts(run, 0, n):
+            return ((0, n),)
+        found, taken = set(), bytearray(n)
+
+        def take(a: int, z: int) -> None:
+            found.add((a, z))
+            taken[a:z] = b"\x01" * (z - a)
+
+        for m in _PART.finditer(value):
+            a, z = m.span()
+            if z - a < n and self._accepts(run, a, z):
+                take(a, z)
         for head, lengths in sorted(self.heads.items()):
-            at = value.find(head)
+            longest_first, at = sorted(lengths, reverse=True), value.find(head)
             while at >= 0:
-                ends = [len(value), *(at + n for n in sorted(lengths, reverse=True) if at + n < len(value))]
-                if not any(a <= at < z for a, z in found) and (end := next((z for z in ends if z - at >= MIN_CANDIDATE and self.accepts(value[at:z])), None)):
-                    found.add((at, end))
+                if not taken[at] and n - at >= MIN_CANDIDATE:
+                    far = self._furthest(run, at)
+                    whole = far >= run.head(at, n) + EDGE  # ends behind the tried symbols are open
+                    for z in (n, *(at + k for k in longest_first if at + k < n)):
+                        if z - at >= MIN_CANDIDATE and (whole or z - at <= far) and self._accepts(run, at, z):
+                            take(at, z)
+                            break
                 at = value.find(head, at + 1)
         return tuple(sorted(found))
 
@@ -274,7 +345,7 @@ class Grammar:
         memo, key = (self.by_value, run) if _MAY_HAVE_HEAD.search(kinds) else (self.by_class, kinds)
         hit = memo.get(key)
         if hit is None:
-            hit = self._within(run)
+            hit = self._within(run, kinds)
             if len(key) <= 256:
                 if len(memo) >= REMEMBERED:
                     memo.clear()
@@ -326,13 +397,13 @@ def _smallest(best: dict[str, dict[int, str]], kind: str, value: str, most: int)
 
 def learn(df: DataFrame, key_col: str, text_col: str = "text", sample_rows: int = 20_000, examples_per_kind: int = 400) -> Grammar:
     """Learn from what the base rules mark in about ``sample_rows`` rows, chosen by a
-    hash of ``key_col``, and from the ordinary runs beside it: of each at most
+    hash of ``key_col`` and the text, and from the ordinary runs beside it: of each at most
     ``examples_per_kind`` distinct values, those with the smallest hash. One pass over the
     texts, of which every task sends back so many values at most."""
     small_batches(df.sparkSession)
     rows = df.count()  # known from the files
     share = min(1_000_000, -(-sample_rows * 1_000_000 // max(1, rows)))
-    sample = df.where(F.pmod(F.xxhash64(key_col), F.lit(1_000_000)) < share).select(text_or_empty(text_col).alias("text"))
+    sample = df.where(F.pmod(F.xxhash64(key_col, text_col), F.lit(1_000_000)) < share).select(text_or_empty(text_col).alias("text"))
 
     def marked(batches):
         best: dict[str, dict[int, str]] = {}

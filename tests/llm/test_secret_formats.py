@@ -1,6 +1,7 @@
 """Learned formats: the automaton against a plain one, candidates of any length, recall and false alarms."""
 
 import random
+import time
 import zlib
 
 import brute
@@ -75,3 +76,42 @@ def test_recall_and_false_alarms_on_documents(spark):
     texts = [t for i, t in docs if held_out(i)]
     alarms = [s for t in texts for s in secrets.spans(t, grammar) if s[0] == "format"]
     assert len(alarms) * 1000 <= len(texts)
+
+
+def _slow_within(grammar, value):
+    """Every head and every learned length, each scored on its own."""
+    if grammar.accepts(value):
+        return ((0, len(value)),)
+    found = {m.span() for m in secrets._PART.finditer(value) if m.end() - m.start() < len(value) and grammar.accepts(m[0])}
+    for head, lengths in sorted(grammar.heads.items()):
+        for at in range(len(value)):
+            if value.startswith(head, at) and not any(a <= at < z for a, z in found):
+                ends = [len(value), *(at + n for n in sorted(lengths, reverse=True) if at + n < len(value))]
+                end = next((z for z in ends if z - at >= secrets.MIN_CANDIDATE and grammar.accepts(value[at:z])), None)
+                found |= set() if end is None else {(at, end)}
+    return tuple(sorted(found))
+
+
+def test_runs_of_prefixes():
+    """As when every start is scored on its own; a long run of a learned prefix takes time in proportion."""
+    rng = random.Random(11)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = [lambda: "ghp_" + draw(letters + letters.upper() + digits, 36), lambda: "sk_" + draw(letters + digits, rng.choice([24, 200])), lambda: draw("abcdef" + digits, rng.choice([32, 64])), lambda: "AKIA" + draw(letters.upper() + digits, 16)]
+    grammar = secrets.Grammar([(str(i), make()) for i, make in enumerate(kinds) for _ in range(60)] + [(secrets.ORDINARY, draw("etaoinshr", rng.randint(8, 14))) for _ in range(100)])
+    hits = 0
+    for _ in range(400):
+        value = "".join(rng.choice(kinds)() if rng.random() < 0.5 else rng.choice(["ghp_", "sk_", "AKIA", "=", "/", "abc-", "0" * rng.randint(1, 300), draw("abXY01_-+/=.", rng.randint(1, 200))]) for _ in range(rng.randint(1, 6)))
+        if len(value) >= secrets.MIN_CANDIDATE:
+            got = grammar._within(value, secrets.classes(value))
+            hits += len(got)
+            assert got == _slow_within(grammar, value)
+    assert hits > 200
+
+    def took(n):
+        value = "ghp_" * (n // 4)
+        start = time.process_time()
+        grammar._within(value, secrets.classes(value))
+        return time.process_time() - start
+
+    assert took(1_600_000) < 40 * max(took(100_000), 0.05)  # sixteen times as long; squared it would be 256
