@@ -46,6 +46,8 @@ LONG = 256
 #: Bytes of text that are encoded together, and characters of a slice of a long one.
 GROUP_BYTES = 4 << 20
 SLICE_CHARS = 1 << 20
+#: Characters of text whose new words are merged together.
+FLUSH_CHARS = 4 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = np.int64(1 << 40)
 _SHIFT = 21
@@ -176,7 +178,9 @@ class PieceModel:
             kept[at + 1] = False
             sym, part, rank, made = sym[kept], part[kept], rank[kept], made[kept]
             new = at - np.arange(len(at))
-            again = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[new] = touched[np.maximum(new - 1, 0)] = True
+            again = np.flatnonzero(touched)
             beyond = np.minimum(again + 1, len(sym) - 1)
             fresh_rank, fresh_made = self.pairs(sym[again], sym[beyond])
             inside = (again + 1 < len(sym)) & (part[beyond] == part[again])
@@ -306,23 +310,36 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of texts, begin and end ids among them."""
-        counts, out = np.zeros(len(texts), np.int64), []
-        begin, end = np.array([self.model.begin], np.int32), np.array([self.model.end], np.int32)
+        counts, out = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        parts: list[tuple[int, np.ndarray]] = []  # text and numbers of its words
+        held = 0
+
+        def flush() -> None:
+            """Learn the new words of the parts together, then spell the parts."""
+            new, self.number.new = self.number.new, []
+            if new:
+                self._learn(len(self.number) - len(new), new)
+            if parts:
+                owner = np.repeat([k for k, _ in parts], [len(n) for _, n in parts])
+                numbers = np.concatenate([n for _, n in parts])
+                own = self.counts[numbers]
+                out.append(gather(self.ids, self.at[numbers], own))
+                counts[:] += np.bincount(owner, own, len(texts)).astype(np.int64)
+                parts.clear()
+            if len(self.number) > self.memo or self.chars > self.MEMO_CHARS:
+                self._reset()
+
         for k, text in enumerate(texts):
-            out.append(begin)
             for words in words_of(text):
-                if len(self.number) > self.memo or self.chars > self.MEMO_CHARS:
-                    self._reset()
-                known = len(self.number)
-                numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-                new, self.number.new = self.number.new, []
-                if new:
-                    self._learn(known, new)
-                ids = gather(self.ids, self.at[numbers], self.counts[numbers])
-                out.append(ids)
-                counts[k] += len(ids)
-            out.append(end)
-        return counts + 2, np.concatenate(out) if out else np.zeros(0, np.int32)
+                parts.append((k, np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))))
+                held += sum(map(len, words))
+                if held >= FLUSH_CHARS:
+                    flush()
+                    held = 0
+        flush()
+        ends = np.cumsum(counts)
+        edges = np.stack([ends - counts, ends], axis=1).ravel()  # each text's begin before its end
+        return counts + 2, np.insert(np.concatenate(out), edges, np.tile([self.model.begin, self.model.end], len(texts)))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
