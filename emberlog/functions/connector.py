@@ -1,147 +1,10 @@
-"""The offline half of a query API's client: what its schema allows, how a query is put
-together, what an answer means, and how often to ask. The caller brings the transport,
-a function that sends one request, so nothing here opens a connection.
-"""
+"""Answers of a query API and introspected schemas, as tables. Nothing here opens a connection."""
 
 from __future__ import annotations
 
-import json
-import re
-import time
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions import driver
-from emberlog.functions.privacy import blamed
-
-#: Fields that identify an object; where a type has any, only they are asked for.
-IDENTITY = ("id", "name", "slug", "compactName")
-#: Fields that servers withhold, or that only point to pictures.
-GATED = {"avatar", "banner", "battleTag", "icon", "image", "logo", "thumbnail", "url"}
-#: Kinds of types that need a selection of their own, and those that end one.
-COMPOSITE, LEAF = {"OBJECT", "INTERFACE", "UNION"}, {"SCALAR", "ENUM"}
-
-
-class QueryError(ValueError):
-    """A query that must not be sent."""
-
-
-def innermost(ref: dict | None) -> dict:
-    """The named type inside lists and non-nulls."""
-    while ref and ref.get("ofType"):
-        ref = ref["ofType"]
-    return ref or {}
-
-
-def spelled(ref: dict | None) -> str:
-    """A type as it is written: ``[Fight!]!``."""
-    if not ref:
-        return "?"
-    inner = spelled(ref["ofType"]) if ref.get("ofType") else ref.get("name") or "?"
-    return {"NON_NULL": f"{inner}!", "LIST": f"[{inner}]"}.get(ref.get("kind"), inner)
-
-
-@dataclass
-class Selection:
-    parts: list[str] = field(default_factory=list)
-    notes: list[str] = field(default_factory=list)
-    leaves: set[str] = field(default_factory=set)
-
-
-class Schema:
-    """Types as introspection tells them: name, kind, fields (name, args, type), enumValues."""
-
-    def __init__(self, types: Iterable[dict]):
-        self.types = {t["name"]: t for t in types}
-
-    def fields(self, name: str) -> dict[str, dict]:
-        return {f["name"]: f for f in (self.types.get(name) or {}).get("fields") or []}
-
-    def values(self, name: str) -> list[str]:
-        return [v["name"] for v in (self.types.get(name) or {}).get("enumValues") or []]
-
-    def present(self, name: str, wanted: list[str]) -> list[str]:
-        return [w for w in wanted if w in self.fields(name)]
-
-    def leaves(self, name: str, without: set[str] = frozenset()) -> list[str]:
-        """Fields of a type that can be asked for as they are: no arguments, nothing withheld; identity alone where there is any."""
-        own = [n for n, f in sorted(self.fields(name).items()) if n not in GATED | set(without) and not f.get("args") and innermost(f.get("type")).get("kind") in LEAF]
-        return [n for n in IDENTITY if n in own] or own
-
-    def select(self, name: str, wanted: list[str], without: set[str] = frozenset()) -> Selection:
-        """What to ask of a type; a composite field is opened one level deep. Notes name what was left out."""
-        out = Selection()
-        for w in wanted:
-            known = self.fields(name).get(w)
-            inner = innermost(known.get("type")) if known else {}
-            if known is None:
-                out.notes.append(f"{name}.{w} is not in the schema")
-            elif inner.get("kind") not in COMPOSITE:
-                out.parts.append(w)
-            elif own := self.leaves(inner.get("name"), without):
-                out.parts.append(f"{w} {{ {' '.join(own)} }}")
-                out.leaves |= set(own)
-            else:
-                out.notes.append(f"{name}.{w} has nothing that can be asked for")
-        return out
-
-
-_TOKEN = re.compile(r"__([A-Z][A-Z0-9_]*?)__")
-
-
-def fill(template: str, parts: dict[str, list[str] | str]) -> str:
-    """A query from a template: ``__NAME__`` outside comment lines becomes its parts, one a line at the
-    placeholder's indentation. Empty parts, unknown and unused names are refused."""
-    used: set[str] = set()
-
-    def put(line: str) -> str:
-        if line.lstrip().startswith("#"):
-            return line
-        indent = line[: len(line) - len(line.lstrip())]
-
-        def part(m: re.Match) -> str:
-            given = parts.get(m[1])
-            text = given if isinstance(given, str) else f"\n{indent}".join(given or [])
-            if not text.strip():
-                raise QueryError(f"nothing to put for {m[1]}")
-            used.add(m[1])
-            return text
-
-        return _TOKEN.sub(part, line)
-
-    made = "\n".join(map(put, template.splitlines()))
-    if unused := sorted(set(parts) - used):
-        raise QueryError(f"the template has no place for {', '.join(unused)}")
-    return made
-
-
-def ask_without(schema: Schema, name: str, wanted: list[str], send: Callable[[list[str]], object], attempts: int = 3) -> tuple[object, list[str], str | None]:
-    """(answer, dropped, error) of a query whose nested fields go where the server complains of them.
-
-    ``send`` takes the parts and raises ``QueryError`` for a server's complaint. Dropped fields are always told.
-    """
-    dropped: set[str] = set()
-    error = None
-    for _ in range(attempts):
-        selection = schema.select(name, wanted, dropped)
-        if not selection.parts:
-            return None, sorted(dropped), "nothing is left to ask for"
-        try:
-            return send(selection.parts), sorted(dropped), None
-        except QueryError as complaint:
-            error = str(complaint)
-            told = blamed(error, sorted(selection.leaves - dropped))
-            if not told:
-                break
-            dropped |= told
-    return None, sorted(dropped), error
-
-
-# --- answers -----------------------------------------------------------------
-
 
 def outcome(status: Column, body: Column) -> Column:
     """What an answer means: ``ok``, ``wait`` (asked too often), ``again`` (worth another try) or ``fatal``.
@@ -161,89 +24,6 @@ def outcome(status: Column, body: Column) -> Column:
     )
 
 
-def judged(status: int | None, body: str | None) -> tuple[str, dict | None]:
-    """:func:`outcome` of one answer, with its data."""
-    if status == 429:
-        return "wait", None
-    if status is None or status >= 500 or status == 401:
-        return "again", None
-    if status >= 400:
-        return "fatal", None
-    try:
-        read = json.loads(body)
-    except (TypeError, ValueError):
-        return "again", None
-    if not isinstance(read, dict) or read.get("errors") or read.get("data") is None:
-        return "fatal", None
-    return "ok", read["data"]
-
-
-class Token:
-    """An access token in memory, asked for anew before it ends, or when it was refused."""
-
-    def __init__(self, fetch: Callable[[], dict], early: float = 120.0, usual: float = 3600.0, clock=time.time):
-        self.fetch, self.early, self.usual, self.clock = fetch, early, usual, clock
-        self.value, self.ends = None, 0.0
-
-    def get(self, anew: bool = False) -> str:
-        if anew or self.value is None or self.clock() >= self.ends - self.early:
-            told = self.fetch()
-            lasts = told.get("expires_in")
-            good = isinstance(lasts, (int, float)) and not isinstance(lasts, bool) and lasts > 0
-            self.value, self.ends = told["access_token"], self.clock() + (lasts if good else self.usual)
-        return self.value
-
-
-class Client:
-    """Asks through ``send(token, query, variables) -> (status, headers, body)``, as often as it makes sense."""
-
-    def __init__(self, send, token: Token, guard: driver.Guard, tries: int = 5, sleep=time.sleep):
-        self.send, self.token, self.guard, self.tries, self.sleep = send, token, guard, tries, sleep
-
-    def ask(self, query: str, variables: dict | None = None) -> dict:
-        anew = False
-        for attempt in range(1, self.tries + 1):
-            self.guard.acquire(sleep=self.sleep)
-            status, headers, body = self.send(self.token.get(anew), query, variables or {})
-            what, data = judged(status, body)
-            if what == "ok":
-                return data
-            if what == "fatal":
-                raise QueryError(f"answer {status}: {(body or '')[:200]}")
-            anew = status == 401
-            asked = driver.retry_after((headers or {}).get("Retry-After")) if what == "wait" else None
-            if asked is not None:
-                self.guard.hold(min(asked, 3600.0))
-            elif attempt < self.tries:
-                self.sleep(driver.backoff(attempt))
-        raise QueryError(f"no answer after {self.tries} tries")
-
-
-@dataclass
-class Probe:
-    """What a stream's first pages cost. Not exhausted, it is a lower bound."""
-
-    label: str
-    events: int = 0
-    pages: int = 0
-    bytes: int = 0
-    exhausted: bool = False
-
-
-def probe(label: str, fetch: Callable[[object], tuple[list, object]], most_pages: int) -> Probe:
-    """Follow ``fetch(cursor) -> (events, next cursor)`` for at most ``most_pages`` pages."""
-    out, cursor = Probe(label), None
-    while out.pages < most_pages and not out.exhausted:
-        events, cursor = fetch(cursor)
-        out.pages += 1
-        out.events += len(events)
-        out.bytes += sum(len(json.dumps(e, separators=(",", ":"))) for e in events)
-        out.exhausted = cursor is None
-    return out
-
-
-# --- introspection as tables -------------------------------------------------
-
 _REF = "kind string, name string, ofType struct<{}>"
 _DEEP = "kind string, name string"
 for _ in range(6):

@@ -35,11 +35,15 @@ def _whole(text: Column) -> Column:
 def events(raw: DataFrame, json: str = "raw") -> DataFrame:
     """``raw`` with typed event columns, rel_ms and extra (the other keys as JSON, sorted, or null).
 
-    A missing timestamp is 0; a missing or null type is ``unknown``.
+    A missing timestamp is 0; a missing or null type is ``unknown``. ``extra`` is JSON whose values
+    have the types that they came with. A text that is no JSON object, or one with repeated keys,
+    is kept whole under ``unparsed``.
     """
     # the text is parsed once for all columns, and once for what is left over
     known = ", ".join(f"`{key}` string" for key in (*PROMOTED, "timestamp"))
-    raw = raw.withColumns({_PARSED: F.from_json(json, known), _FIELDS: F.from_json(json, "map<string,string>")})
+    body = F.try_parse_json(json)
+    whole = F.schema_of_variant(body).startswith("OBJECT")
+    raw = raw.withColumns({_PARSED: F.from_json(json, known), _FIELDS: F.when(whole, body.cast("map<string,variant>"))})
     get = lambda key: F.col(_PARSED)[key]
     columns = {}
     for key, name in PROMOTED.items():
@@ -49,19 +53,12 @@ def events(raw: DataFrame, json: str = "raw") -> DataFrame:
             columns[name] = get(key) if key in _TEXT else _whole(get(key))
     columns["type"] = F.coalesce(columns["type"], F.lit("unknown"))
     columns["rel_ms"] = F.coalesce(_whole(get("timestamp")), F.lit(0))
-    rest = F.filter(F.array_sort(F.map_keys(_FIELDS)), lambda k: ~k.isin(*PROMOTED, "timestamp"))
-    # values are taken verbatim: nested JSON stays as it came, text is quoted again
-    body = F.transform(rest, lambda k: F.concat(F.lit('"'), k, F.lit('":'), _verbatim(F.col(_FIELDS)[k])))
-    columns["extra"] = F.when(F.size(rest) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+    rest = F.map_filter(_FIELDS, lambda k, v: ~k.isin(*PROMOTED, "timestamp"))
+    unparsed = F.when(F.col(json).isNotNull(), F.to_json(F.create_map(F.lit("unparsed"), F.col(json))))
+    columns["extra"] = F.when(F.col(_FIELDS).isNull(), unparsed).when(F.size(rest) > 0, F.to_json(rest))
     return raw.withColumns(columns).drop(_PARSED, _FIELDS)
 
 
-def _verbatim(value: Column) -> Column:
-    plain = value.rlike("^(-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|\\{.*\\}|\\[.*\\])$")
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, "\\\\", "\\\\\\\\"), '"', '\\\\"'), F.lit('"'))
-    return F.when(value.isNull(), "null").when(plain, value).otherwise(quoted)
-
-
 def rebase(events: DataFrame, report_start: str = "report_start_ms", run_start: str = "run_start_ms", pull_start: str = "pull_start_ms") -> DataFrame:
     """Report-relative times as absolute, run- and pull-relative ones; null goes through."""
     return events.withColumns({"abs_ms": F.col(report_start) + F.col("rel_ms"), "run_rel_ms": F.col("rel_ms") - F.col(run_start), "pull_rel_ms": F.col("rel_ms") - F.col(pull_start)})

@@ -79,6 +79,15 @@ def type_codes(types: list[str]) -> dict[str, str]:
     return codes
 
 
+def _table_digest(df: DataFrame) -> list[str]:
+    """At most 256 digests that stand for all rows of a table, whatever their order."""
+    rows = df.select(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256).alias("d"))
+    for width in (4, 2):
+        rows = rows.groupBy(F.substring("d", 1, width).alias("g")).agg(F.array_sort(F.collect_list("d")).alias("own"))
+        rows = rows.select(F.concat("g", F.sha2(F.array_join("own", ""), 256)).alias("d"))
+    return sorted(r["d"] for r in rows.collect())
+
+
 class Dictionary:
     """Symbols of one encoding: types, abilities, actors by timeline, and players of all timelines."""
 
@@ -97,10 +106,10 @@ class Dictionary:
         return Dictionary(type_codes(types), a, e, None if players is None else players.select("actor", "symbol"))
 
     def hash(self) -> str:
-        """Digest of the legend: tables contribute by order-free sums of row hashes."""
+        """Digest of the legend: of each table the digests of its rows, sorted, joined in groups and those in
+        groups again, so that every row counts and none can cancel another, and no list grows with the table."""
         tables = [df for df in (self.abilities, self.actors, self.players) if df is not None]
-        total = [df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("h")).first() for df in tables]
-        return hashlib.sha256(json.dumps([self.types, [list(t) for t in total]], sort_keys=True).encode()).hexdigest()[:12]
+        return hashlib.sha256(json.dumps([self.types, *map(_table_digest, tables)], sort_keys=True).encode()).hexdigest()[:12]
 
     def legends(self, events: DataFrame) -> DataFrame:
         """(timeline, legend, legend_json) for the timelines of ``events``: the symbols that its events use.

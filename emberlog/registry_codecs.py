@@ -1,10 +1,10 @@
-"""Queries of the timeline codecs, their legends and measurements, and of the driver's rules."""
+"""Queries of the timeline codecs, their legends and measurements, and of settings."""
 
 from __future__ import annotations
 
-import random
-
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from emberlog.functions import driver
 from emberlog.functions.text import salt_fingerprint
@@ -86,43 +86,16 @@ def _(spark, sf):
     return timelines.reads_back(t, spoilt)
 
 
-def _rules() -> list[tuple[str, str, float | None]]:
-    """The connector's rules over their cases."""
-    steady = random.Random(0)
-    clock = [100.0]
-    guard = driver.Guard(reserve=200, clock=lambda: clock[0])
-    out = [("retry_after", str(h), driver.retry_after(h)) for h in ("5", "0", "-1", "soon", None)]
-    out += [("backoff_asked", str(w), driver.backoff(1, wait=w)) for w in (7.0, 9999.0)]
-    out += [("backoff_within", str(a), float(all(0.7 * min(60, 2 ** (a - 1)) <= driver.backoff(a, rng=steady) <= 1.3 * min(60, 2 ** (a - 1)) for _ in range(50)))) for a in (1, 4, 9)]
-    b = driver.Budget.parse({"limitPerHour": 3600, "pointsSpentThisHour": 3500, "pointsResetIn": 60})
-    out += [("budget", "remaining", b.remaining), ("budget", "wait for 50", b.wait_for(50)), ("budget", "wait for 200", b.wait_for(200)), ("budget", "unknown", float(driver.Budget.parse({}) is None))]
-    out += [("cost", "spent", driver.cost_between(b, driver.Budget(3600, 3510, 50))), ("cost", "reset", driver.cost_between(b, driver.Budget(3600, 5, 3600)))]
-    out.append(("guard", "unknown", guard.delay()))
-    guard.observe(b)
-    out.append(("guard", "reserve", guard.delay()))
-    clock[0] = 130.0
-    out.append(("guard", "later", guard.delay()))
-    guard.hold(500)
-    out.append(("guard", "held", guard.delay()))
-    return out
-
-
-@query(
-    "driver_rules",
-    """select * from (values ('retry_after', '5', 5.0::double), ('retry_after', '0', 0), ('retry_after', '-1', null), ('retry_after', 'soon', null), ('retry_after', 'None', null), ('backoff_asked', '7.0', 7), ('backoff_asked', '9999.0', 3600),
-  ('backoff_within', '1', 1), ('backoff_within', '4', 1), ('backoff_within', '9', 1), ('budget', 'remaining', 100), ('budget', 'wait for 50', 0), ('budget', 'wait for 200', 60), ('budget', 'unknown', 1), ('cost', 'spent', 10), ('cost', 'reset', null),
-  ('guard', 'unknown', 0), ('guard', 'reserve', 61), ('guard', 'later', 31), ('guard', 'held', 500)) t(rule, "case", value)""",
-)
-def _(spark, sf):
-    return spark.createDataFrame(_rules(), "rule string, case string, value double")
-
-
-@query("settings_read", """select c_custkey, 'v' || c_custkey as plain, c_name || ' # no comment' as quoted, case when c_custkey % 2 = 0 then '' end as empty from customer where c_custkey < 50""")
+@query("settings_read", """select c_custkey, 'v' || c_custkey as plain, c_name || ' # no comment' as quoted, case when c_custkey % 2 = 0 then '' end as empty from customer""")
 def _(spark, sf):
-    rows = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey < 50").select("c_custkey", "c_name").collect()  # settings are the driver's
-    read = lambda k, n: driver.parse_dotenv(f"# c\nexport PLAIN = v{k}  # comment\nQUOTED='{n} # no comment'\n" + ("EMPTY=\n" if k % 2 == 0 else "EMPTY\n"))
-    made = [(k, read(k, n)) for k, n in rows]
-    return spark.createDataFrame([(k, m["PLAIN"], m["QUOTED"], m.get("EMPTY")) for k, m in made], "c_custkey long, plain string, quoted string, empty string")
+    @arrow_udf("struct<plain:string,quoted:string,empty:string>")
+    def read(text: pa.Array) -> pa.Array:
+        made = [driver.parse_dotenv(t) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([m.get(k) for m in made], pa.string()) for k in ("PLAIN", "QUOTED", "EMPTY")], ["plain", "quoted", "empty"])
+
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("# c\nexport PLAIN = v"), k, F.lit("  # comment\nQUOTED='"), F.col("c_name"), F.lit(" # no comment'\n"), F.when(F.col("c_custkey") % 2 == 0, "EMPTY=\n").otherwise("EMPTY\n"))
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", read(text).alias("s")).select("c_custkey", "s.*")
 
 
 @query("salt_stamp", f"select substr(sha256('{SALT}'), 1, 12) as fingerprint, r_regionkey from region")

@@ -39,15 +39,22 @@ def _json(**fields):
 
 
 def _raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _json(timestamp="rel_ms", type="nullif(type, 'view')", sourceID="source_id", sourceInstance="source_instance", targetID="target_id", abilityGameID="ability_game_id", amount="amount", tick="case when ability_game_id % 3 = 0 then null else ability_game_id % 3 = 1 end", facing="ability_game_id % 7", armor="target_id")
-    return B.events(spark, sf).select("event_id", raw.alias("raw"))
+    """Payloads with unknown fields of each kind: numbers, texts that look like numbers and flags, flags, nested values with
+    control characters and nulls. Every fiftieth is cut off."""
+    raw = _json(timestamp="rel_ms", type="nullif(type, 'view')", sourceID="source_id", sourceInstance="source_instance", targetID="target_id", abilityGameID="ability_game_id", amount="amount", tick="case when ability_game_id % 3 = 0 then null else ability_game_id % 3 = 1 end", facing="ability_game_id % 7", armor="target_id", note="string(ability_game_id)", flagged="'true'", seen="ability_game_id % 2 = 0")
+    nested = F.regexp_replace(raw, "\\}$", F.lit(',"deep":{"b":[1,"2",null,{"c":1.5}],"a":"x\\\\n\\\\"y\\\\""}}'))
+    broken = F.concat(F.lit('{"broken": '), F.col("event_id").cast("string"))
+    return B.events(spark, sf).select("event_id", F.when(F.col("event_id") % 50 == 0, broken).otherwise(nested).alias("raw"))
 
 
 @query(
     "normalize_events",
-    """select event_id, rel_ms, case when type = 'view' then 'unknown' else type end as type, source_id, source_instance, target_id, ability_game_id, amount,
-  case when ability_game_id % 3 = 0 then null when ability_game_id % 3 = 1 then 1 else 0 end::bigint as is_tick, null::bigint as hit_type,
-  '{' || case when target_id is not null then '"armor":' || target_id || ',' else '' end || '"facing":' || (ability_game_id % 7) || '}' as extra from ev""",
+    """select event_id, case when event_id % 50 > 0 then rel_ms else 0 end as rel_ms, case when type = 'view' or event_id % 50 = 0 then 'unknown' else type end as type,
+  case when event_id % 50 > 0 then source_id end as source_id, case when event_id % 50 > 0 then source_instance end as source_instance, case when event_id % 50 > 0 then target_id end as target_id,
+  case when event_id % 50 > 0 then ability_game_id end as ability_game_id, case when event_id % 50 > 0 then amount end as amount,
+  case when ability_game_id % 3 = 0 or event_id % 50 = 0 then null when ability_game_id % 3 = 1 then 1 else 0 end::bigint as is_tick, null::bigint as hit_type,
+  case when event_id % 50 = 0 then '{"unparsed":"{\\"broken\\": ' || event_id || '"}' else '{' || case when target_id is not null then '"armor":' || target_id || ',' else '' end || '"deep":{"a":"x\\n\\"y\\"","b":[1,"2",null,{"c":1.5}]},"facing":' || (ability_game_id % 7)
+    || ',"flagged":"true","note":"' || ability_game_id || '","seen":' || (ability_game_id % 2 = 0) || '}' end as extra from ev""",
 )
 def _(spark, sf):
     return normalize.events(_raw_events(spark, sf)).select("event_id", "rel_ms", "type", "source_id", "source_instance", "target_id", "ability_game_id", "amount", "is_tick", "hit_type", "extra")
@@ -444,7 +451,7 @@ def _(spark, sf):
     return spark.read.schema(first.schema).parquet(path).select("run_id", "kind", "severity")
 
 
-@query("stream_page_commits", "select event_type as stream, (event_id // 5000)::bigint as page_index, count(*) as rows, count(distinct sha256(props)) as fingerprints from events group by 1, 2")
+@query("stream_page_commits", "select event_type as stream, (event_id // 5000)::bigint as page_index, count(*) as rows, count(distinct sha256(json(props)::varchar)) as fingerprints from events group by 1, 2")
 def _(spark, sf):
     path, checkpoint = _folder(spark, "pages"), _folder(spark, "pages-checkpoint")
     schema = B.table(spark, sf, "events").schema
@@ -452,5 +459,32 @@ def _(spark, sf):
         rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
         rows = rows.select(F.col("event_type").alias("stream"), F.floor(F.col("event_id") / 5000).alias("page_index"), (F.col("event_id") % 5000).alias("seq_in_page"), F.col("props").alias("raw"))
         page_stream.commit(rows, path, checkpoint).awaitTermination()
-    held = spark.read.schema("seq_in_page long, raw string, fingerprint string, stream string, page_index long").parquet(path)
-    return held.groupBy("stream", "page_index").agg(F.count("*").alias("rows"), F.countDistinct("fingerprint").alias("fingerprints"))
+    return page_stream.committed(spark, path).groupBy("stream", "page_index").agg(F.count("*").alias("rows"), F.countDistinct("fingerprint").alias("fingerprints"))
+
+
+def _sent_pages(spark: SparkSession, sf: str, size: int = 500) -> DataFrame:
+    """Events of each type in pages, sent as a source sends them: a page begins with all events at its cursor, so those
+    that the page before held come again; behind every page stands an empty one."""
+    w = W.partitionBy("type").orderBy("rel_ms", "event_id")
+    e = B.events(spark, sf).select("type", "rel_ms", "event_id", F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("page"))
+    last = e.groupBy("type", "page").agg(F.max("rel_ms").alias("cursor"))
+    again = e.join(last.withColumnsRenamed({"page": "of", "cursor": "at"}), "type").where("rel_ms = at and page <= of").select("type", "rel_ms", "event_id", (F.col("of") + 1).alias("page"), F.lit(0).alias("part"))
+    more = last.select("type", F.col("page")).alias("p").join(last.select("type", (F.col("page") - 1).alias("page")).alias("q"), ["type", "page"], "left_semi")  # pages with one behind
+    sent = e.withColumn("part", F.lit(1)).unionByName(again.join(more.select("type", (F.col("page") + 1).alias("page")), ["type", "page"], "left_semi"))
+    seq = F.row_number().over(W.partitionBy("type", "page").orderBy("part", "rel_ms", "event_id")).cast("long")
+    rows = sent.withColumn("seq_in_page", seq).join(last, ["type", "page"])
+    raw = F.to_json(F.struct("event_id"))
+    full = rows.select(F.col("type").alias("stream"), (F.col("page") * 2).alias("page_index"), "seq_in_page", F.lit(None).cast("long").alias("cursor_ms"), F.col("cursor").alias("next_cursor_ms"), "rel_ms", raw.alias("raw"))
+    none = F.lit(None).cast("long")
+    empty = last.select(F.col("type").alias("stream"), (F.col("page") * 2 + 1).alias("page_index"), none.alias("seq_in_page"), none.alias("cursor_ms"), F.col("cursor").alias("next_cursor_ms"), none.alias("rel_ms"), F.lit(None).cast("string").alias("raw"))
+    return full.unionByName(empty)
+
+
+@query("stream_boundaries", "select type as stream, rel_ms, '{\"event_id\":' || event_id || '}' as raw, null::varchar as note from ev")
+def _(spark, sf):
+    sent, kept, checkpoint = (_folder(spark, name) for name in ("sent", "boundaries", "boundaries-checkpoint"))
+    _sent_pages(spark, sf).repartition(6, "stream", "page_index").write.parquet(sent)  # pages come in any order
+    for _ in range(2):  # started again, it goes on from its state
+        pages = spark.readStream.schema(page_stream.ROW).option("maxFilesPerTrigger", 2).parquet(sent)
+        page_stream.write_available(page_stream.without_repeats(pages, gap_ms=86_400_000), kept, checkpoint).awaitTermination()
+    return spark.read.schema(page_stream.KEPT).parquet(kept).select("stream", "rel_ms", "raw", "note")

@@ -1,53 +1,18 @@
-"""Queries of stores, caches, configuration, jobs and the connector's offline half."""
+"""Queries of lists, cache keys, overlays, token counts, answers and introspected schemas."""
 
 from __future__ import annotations
 
-import json
-import logging
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
-from emberlog.functions import connector, driver
+from emberlog.functions import connector
 from emberlog.functions import text as T
 from emberlog.functions.tokenizers import token_count
-from emberlog.operators import costs, lookups, timelines
+from emberlog.operators import costs, lookups
 from emberlog.plans import bindings as B
 from emberlog.plans import report
-from emberlog.registry import _GAPS, _timeline, query
+from emberlog.registry import _GAPS, query
 from emberlog.registry_ingest import _folder as folder
-from emberlog.sources import config, jobs, paged, rawcache, reports, sinks, tables
-
-_REGIONS = [("AFRICA", 0), ("AMERICA", 1), ("ASIA", 2)]
-
-
-def _cache(spark) -> str:
-    """A small raw cache, as the driver writes it."""
-    root = folder(spark, "cache")
-    for name, i in _REGIONS:
-        for page in range(i + 1):
-            rawcache.put(root, "events", {"page": page}, {"name": name, "page": page}, name)
-    rawcache.put(root, "zones", {}, {"secret": "abcd"}, fetched_at=2.0)
-    return root
-
-
-@query("raw_cache_read", "select 'events' as kind, name as report_code, '{\"page\":' || p || '}' as params, '{\"name\":\"' || name || '\",\"page\":' || p || '}' as response from (values ('AFRICA', 0), ('AMERICA', 0), ('AMERICA', 1), ('ASIA', 0), ('ASIA', 1), ('ASIA', 2)) t(name, p) union all select 'zones', null, '{}', '{\"secret\":\"abcd\"}'")
-def _(spark, sf):
-    compact = lambda c: F.regexp_replace(F.regexp_replace(c, '": ', '":'), ', "', ',"').alias(c)
-    return rawcache.read(spark, _cache(spark)).select("kind", "report_code", compact("params"), compact("response"))
-
-
-@query("raw_cache_composition", "select * from (values ('events', 6::bigint), ('zones', 1)) t(kind, files)")
-def _(spark, sf):
-    return rawcache.stats(spark, _cache(spark)).select("kind", "files")
-
-
-@query("raw_cache_audit", "select 'zones' as kind, 1 as hits")
-def _(spark, sf):
-    found = rawcache.audit(spark, _cache(spark), ["abcd", "nowhere"])
-    return found.select(F.regexp_extract("path", "([^/]+)/[^/]+/[^/]+$", 1).alias("kind"), "hits")
-
+from emberlog.sources import config, paged, rawcache, reports
 
 @query("cache_keys", "select r_name, substr(sha256('{\"kind\":\"zones\",\"params\":{\"name\":\"' || r_name || '\"},\"query_version\":1}'), 1, 32) as key from region")
 def _(spark, sf):
@@ -55,26 +20,6 @@ def _(spark, sf):
     return spark.createDataFrame([(n, rawcache.cache_key("zones", 1, {"name": n})) for n in names], "r_name string, key string")
 
 
-@query("paged_events", "select name as stream, p::bigint as page_index, s::bigint as seq_in_page, case when p < n then 10 * (p + 1) end::bigint as next_cursor_ms, '{\"at\":' || (10 * p + s) || '}' as raw from (values ('AFRICA', 0), ('AMERICA', 1), ('ASIA', 2)) t(name, n), unnest(range(n + 1)) u(p), unnest(range(2)) v(s)")
-def _(spark, sf):
-    root = folder(spark, "event-pages")
-    store, at = paged.open_store(root)
-    for name, last in _REGIONS:
-        store.create_dir(f"{at}/{name}")
-        for page in range(last + 1):
-            with store.open_output_stream(f"{at}/{name}/{page}.json") as f:
-                f.write(json.dumps({"data": [{"at": 10 * page}, {"at": 10 * page + 1}], "nextPageTimestamp": 10 * (page + 1) if page < last else None}).encode())
-    spark.dataSource.register(paged.EventPages)
-    return spark.read.format("event_pages").load(root)
-
-
-@query("store_size", "select 11::bigint as bytes")
-def _(spark, sf):
-    path = folder(spark, "sized")
-    spark.createDataFrame([("x" * 10,)], "t string").coalesce(1).write.text(path)
-    return spark.createDataFrame([(tables.size_bytes(spark, path),)], "bytes long")
-
-
 @query("report_list", "select 'code' || lpad(n_nationkey::varchar, 8, '0') as report_code, row_number() over (order by n_nationkey) - 1 as rank from nation where n_nationkey % 5 > 0")
 def _(spark, sf):
     rows = B.table(spark, sf, "nation").orderBy("n_nationkey").collect()  # a list of 25 lines
@@ -82,53 +27,6 @@ def _(spark, sf):
     return reports.parse_list(spark, f"{text}\n{text}")[0]
 
 
-_CONFIG = {
-    "dungeons": [{"key": "a", "display_name": "Alpha", "aliases": ["Al"], "encounter_ids": [1, 2], "zone_id": 9}, {"key": "b"}],
-    "epochs": [{"name": "one", "start": "2024-01-01T00:00:00Z", "end": "2024-01-02"}, {"name": "two", "start": "2024-01-02T01:00:00+01:00"}, {"name": "rest"}],
-    "key_brackets": [{"key": "low", "min": 2, "max": 6}, {"key": "high", "min": 7}],
-    "event_profiles": {"p": {"event_types": ["Casts@Enemies", "Deaths"], "include_combatant_info": True}},
-    "sample_profiles": {"s": {"key_brackets": ["low"], "event_profile": "p"}, "bad": {"key_brackets": ["none"]}},
-}
-
-
-@query("config_dungeons", "select * from (values (0, 'a', 'Alpha', 'Al', '1,2', 9::bigint), (1, 'b', 'b', '', '', null)) t(position, key, display_name, aliases, encounter_ids, zone_id)")
-def _(spark, sf):
-    d = config.dungeons(spark, _CONFIG)
-    return d.withColumns({"aliases": F.array_join("aliases", ","), "encounter_ids": F.array_join(F.transform("encounter_ids", lambda x: x.cast("string")), ",")})
-
-
-@query("config_epochs", "select * from (values ('one', epoch_ms(timestamp '2024-01-01'), epoch_ms(timestamp '2024-01-02')), ('two', epoch_ms(timestamp '2024-01-02'), null)) t(name, start_ms, end_ms)")
-def _(spark, sf):
-    return spark.createDataFrame(config.epochs(_CONFIG), "name string, start_ms long, end_ms long")
-
-
-def _refused(f) -> bool:
-    try:
-        f()
-    except (KeyError, ValueError, RuntimeError):
-        return True
-    return False
-
-
-@query("refusals", "select * from (values ('known sample profile', false), ('unknown sample profile', true), ('profile of unknown bracket', true), ('unknown event type', true), ('first writer', false), ('same identity', false), ('other salt', true), ('same dictionary', false), ('other dictionary', true)) t(\"case\", refused)")
-def _(spark, sf):
-    e = _timeline(spark, sf)
-    d = timelines.Dictionary.build(e)
-    lines, kept = timelines.encode(e, "G", d), d.hash()
-    found = [
-        ("known sample profile", lambda: config.sample_profile(_CONFIG, "s")),
-        ("unknown sample profile", lambda: config.sample_profile(_CONFIG, "x")),
-        ("profile of unknown bracket", lambda: config.sample_profile(_CONFIG, "bad")),
-        ("unknown event type", lambda: config.profiles(spark, _CONFIG, {"Casts"})),
-        ("first writer", lambda: sinks.check_identity([], 1, "f")),
-        ("same identity", lambda: sinks.check_identity([(1, "f")], 1, "f")),
-        ("other salt", lambda: sinks.check_identity([(1, "f")], 1, "g")),
-        ("same dictionary", lambda: timelines.decode(lines, "G", d, expected=(timelines.VERSION, kept))),
-        ("other dictionary", lambda: timelines.decode(lines, "G", d, expected=(timelines.VERSION, "0" * 12))),
-    ]
-    return spark.createDataFrame([(name, _refused(f)) for name, f in found], "case string, refused boolean")
-
-
 @query("overlay_names", "select p_name as key from part group by 1 having count(*) = 1")
 def _(spark, sf):
     # the overlay is text for the configuration; its keys are the dungeons that one encounter bears
@@ -141,34 +39,6 @@ def _(spark, sf):
     return spark.createDataFrame([(x["key"],) for x in named], "key string")
 
 
-@query("job_rows", "select * from (values ('complete', 2.5::double, 2::bigint, 1::bigint, 1::bigint), ('interrupted', null, 0, 0, 0)) t(status, finished_at, reports_attempted, reports_completed, reports_failed)")
-def _(spark, sf):
-    done, broken = jobs.Job(spark, 1.0), jobs.Job(spark, 1.0)
-    done.report(True)
-    done.report(False)
-    try:
-        with broken:
-            raise RuntimeError("stopped")
-    except RuntimeError:
-        pass
-    columns = ("status", "finished_at", "reports_attempted", "reports_completed", "reports_failed")
-    return done.finish(2.5).select(*columns).unionAll(broken.frame().select(*columns))
-
-
-@query("provenance_stamp", "select '0.1.0' as software_version, 1::bigint as normalizer_version, 1::bigint as query_version, 5::bigint as schema_version, 1::bigint as identity_scheme_version")
-def _(spark, sf):
-    return jobs.Job(spark, 1.0).frame().select("software_version", "normalizer_version", "query_version", "schema_version", "identity_scheme_version")
-
-
-@query("config_hashed", "select substr(sha256('a.ymlx: 1b.ymly: 2'), 1, 16) as hash")
-def _(spark, sf):
-    with tempfile.TemporaryDirectory() as own:  # configuration lies with the driver
-        for name, text in (("b.yml", "y: 2"), ("a.yml", "x: 1")):
-            Path(own, name).write_text(text)
-        found = config.config_hash([f"{own}/b.yml", f"{own}/a.yml"])
-    return spark.createDataFrame([(found,)], "hash string")
-
-
 @query("turn_token_counts", "select conv_id, turn, len(regexp_extract_all(text, '[^ \t\n\r\v\f]+'))::bigint as tokens from conversations")
 def _(spark, sf):
     from tokenizers import Tokenizer
@@ -195,20 +65,6 @@ def _(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", T.words(F.concat(F.lower("p_brand"), F.lit("NameCount"))).alias("words"))
 
 
-@query("logs_redacted", "select * from (values ('key [REDACTED] of 5'), ('Bearer [REDACTED]'), ('plain')) t(line)")
-def _(spark, sf):
-    seen: list[str] = []
-    handler = logging.Handler()
-    handler.emit = lambda record: seen.append(logging.Formatter().format(record))
-    log = logging.Logger("emberlog.example")
-    log.addHandler(handler)
-    driver.Redactor(("hidden-key",)).install(log)
-    log.info("key %s of %d", "hidden-key", 5)
-    log.info("Bearer abcdefghijkl")
-    log.info("plain")
-    return spark.createDataFrame([(s,) for s in seen], "line string")
-
-
 # --- connector ---------------------------------------------------------------
 
 

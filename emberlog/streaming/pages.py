@@ -1,73 +1,182 @@
-"""Page files as a stream: exactly-once commits, boundary repeats and density windows."""
+"""Page files as a stream: exactly-once commits, boundary repeats as state, and density windows."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from emberlog.sources.sinks import replace_partitions
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: A page without events is one row without ``seq_in_page``, so that it arrives at all.
 ROW = "stream string, page_index long, seq_in_page long, cursor_ms long, next_cursor_ms long, rel_ms long, raw string"
-STATE = "next_page long, cursor_ms long, held string"
+KEPT = "stream string, page_index long, seq_in_page long, rel_ms long, raw string, note string"
+COMMITTED = "stream string, page_index long, seq_in_page long, raw string, fingerprint string, batch long"
+#: Files that a batch of commits writes at most.
+BUCKETS = 16
+#: How long a missing page is waited for while later ones are there.
+GAP_MS = 600_000
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ROW).json(path)
 
 
-def commit(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each page as a partition of its own: a batch that runs twice replaces its pages by themselves."""
+def fingerprint(raw: Column) -> Column:
+    """Digest of an event as canonical JSON, keys sorted at every level; text that is no JSON stands for itself."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(raw)), raw), 256)
+
+
+def commit(pages: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Write each batch into a few files, dealt out by page, and then a manifest of the pages in it.
+
+    A batch that runs again writes the same two folders anew. What has no manifest isn't
+    there for :func:`committed`, and of a page that was sent in several batches the last counts.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        replace_partitions(batch.withColumn("fingerprint", F.sha2("raw", 256)), path, ["stream", "page_index"])
+        rows = batch.select("stream", "page_index", "seq_in_page", "raw", fingerprint(F.col("raw")).alias("fingerprint"))
+        data = f"{path}/data/batch={number}"
+        rows.repartition(buckets, "stream", "page_index").write.mode("overwrite").parquet(data)
+        written = rows.sparkSession.read.schema(rows.schema).parquet(data)
+        written.groupBy("stream", "page_index").agg(F.count("seq_in_page").alias("events")).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _without_repeats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a stream, page by page in order, without what a boundary sent again.
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The committed pages (stream, page_index, events, batch), each as last sent; empty ones too."""
+    every = spark.read.schema("stream string, page_index long, events long, batch long").parquet(f"{path}/manifest")
+    return every.groupBy("stream", "page_index").agg(F.max_by("events", "batch").alias("events"), F.max("batch").alias("batch"))
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The events of the committed pages."""
+    rows = spark.read.schema(COMMITTED).parquet(f"{path}/data").where("seq_in_page is not null")
+    return rows.join(manifest(spark, path).select("stream", "page_index", "batch"), ["stream", "page_index", "batch"], "left_semi").select("stream", "page_index", "seq_in_page", "raw", "fingerprint")
 
-    State holds how many copies of each event were emitted at the last cursor: a row
-    at that time goes only while an emitted copy is left. Pages that come before
-    their turn wait in the state.
+
+class Boundaries(StatefulProcessor):
+    """Events of a stream, page by page in order, without what a boundary sent again.
+
+    State: a value with the next page, the cursor and the timer; a map of how many copies of each
+    event were emitted at the cursor (a row at that time goes only while an emitted copy is
+    left); and a map of pages that came before their turn, one entry each. If a page stays
+    away for ``gap_ms`` while later ones wait, a row with the note ``gap`` tells so and the
+    next page that is there goes on, so what waits doesn't grow for ever.
     """
-    rows = pd.concat(list(frames), ignore_index=True)
-    next_page, cursor, held = state.get if state.exists else (0, None, '{"copies": {}, "pages": {}}')
-    copies, waiting = (json.loads(held)[k] for k in ("copies", "pages"))
-    for index, page in rows.groupby("page_index"):
-        waiting[str(index)] = page.sort_values("seq_in_page").drop(columns="stream").astype(object).where(page.drop(columns="stream").notna(), None).to_dict("records")
-    out = []
-    while (page := waiting.pop(str(next_page), None)) is not None:
-        left, own = dict(copies), []
-        for r in page:
-            if cursor is not None and r["rel_ms"] == cursor and left.get(r["raw"], 0) > 0:
-                left[r["raw"]] -= 1
-            else:
-                own.append(r)
-        after = page[0]["next_cursor_ms"]
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next_page long, cursor_ms long, timer_ms long")
+        self.copies = handle.getMapState("copies", "raw string", "n long")
+        self.waiting = handle.getMapState("waiting", "page_index long", "page string")
+
+    def _page(self, rows: list) -> Iterator[tuple]:
+        """The new events of a page, in order; moves the cursor on. ``rows`` are (seq, rel_ms, raw, next_cursor_ms)."""
+        left: dict[str, int] = {}
+        kept = []
+        for seq, at, raw, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+            if self.cursor is not None and at == self.cursor and raw is not None:
+                if raw not in left:
+                    left[raw] = self.copies.getValue((raw,))[0] if self.copies.containsKey((raw,)) else 0
+                if left[raw] > 0:
+                    left[raw] -= 1
+                    continue
+            kept.append((seq, at, raw))
+        after = rows[0][3]
         if after is not None:
-            copies = {} if after != cursor else copies
-            for r in own:
-                if r["rel_ms"] == after:
-                    copies[r["raw"]] = copies.get(r["raw"], 0) + 1
-            cursor = int(after)
-        out += own
-        next_page += 1
-    state.update((next_page, cursor, json.dumps({"copies": copies, "pages": waiting}, default=int)))
-    made = pd.DataFrame(out, columns=["page_index", "seq_in_page", "rel_ms", "raw"])
-    made.insert(0, "stream", key[0])
-    yield made
-
-
-def without_repeats(pages: DataFrame) -> DataFrame:
-    """A stream of pages without the events that a page boundary sent twice, as multisets."""
-    return pages.groupBy("stream").applyInPandasWithState(_without_repeats, "stream string, page_index long, seq_in_page long, rel_ms long, raw string", STATE, "append", GroupStateTimeout.NoTimeout)
+            if after != self.cursor:
+                self.copies.clear()
+            for _, at, raw in kept:
+                if at == after and raw is not None:
+                    n = self.copies.getValue((raw,))[0] if self.copies.containsKey((raw,)) else 0
+                    self.copies.updateValue((raw,), (n + 1,))
+            self.cursor = after
+        yield from kept
+
+    def _going_on(self, key: str, pages: dict[int, list]) -> Iterator[Row]:
+        """Emits all pages whose turn it is, out of those given and those that wait."""
+        while True:
+            if self.next_page in pages:
+                rows = pages.pop(self.next_page)
+            elif self.waiting.exists() and self.waiting.containsKey((self.next_page,)):
+                rows = json.loads(self.waiting.getValue((self.next_page,))[0])
+                self.waiting.removeKey((self.next_page,))
+            else:
+                return
+            index, self.next_page = self.next_page, self.next_page + 1
+            for seq, at, raw in self._page(rows):
+                yield Row(stream=key, page_index=index, seq_in_page=seq, rel_ms=at, raw=raw, note=None)
+
+    def _open(self) -> int | None:
+        self.next_page, self.cursor, timer = self.place.get() if self.place.exists() else (0, None, None)
+        return timer
+
+    def _close(self, timer: int | None, moved: bool, now: int) -> None:
+        waits = self.waiting.exists() and next(iter(self.waiting.keys()), None) is not None
+        if timer is not None and (moved or not waits):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if waits and timer is None:
+            timer = now + self.gap_ms
+            self.handle.registerTimer(timer)
+        self.place.update((self.next_page, self.cursor, timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        timer = self._open()
+        pages: dict[int, list] = {}
+        for r in rows:
+            if r.page_index >= self.next_page:
+                pages.setdefault(r.page_index, []).append((r.seq_in_page, r.rel_ms, r.raw, r.next_cursor_ms))
+        before = self.next_page
+        yield from self._going_on(key[0], pages)
+        for index, page in pages.items():
+            self.waiting.updateValue((index,), (json.dumps(page),))
+        self._close(timer, self.next_page > before, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._open()
+        there = min((k[0] for k in self.waiting.keys()), default=None) if self.waiting.exists() else None
+        if there is not None:
+            yield Row(stream=key[0], page_index=self.next_page, seq_in_page=None, rel_ms=None, raw=None, note="gap")
+            self.next_page, self.cursor = there, None
+            self.copies.clear()
+            yield from self._going_on(key[0], {})
+        self._close(None, True, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def without_repeats(pages: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """A stream of pages (ROW) without the events that a page boundary sent twice, as multisets.
+
+    A page comes whole in one batch, as a file does; one that comes again is passed over. The
+    session's state store is set to one that keeps its state on disk.
+    """
+    pages.sparkSession.conf.set(_STORE, _ROCKS)
+    return pages.groupBy("stream").transformWithState(Boundaries(gap_ms), KEPT, "Append", "ProcessingTime")
+
+
+def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what there is to Parquet files and end. Timers would keep batches without data going for
+    ever, so those are left out here; a timer that is due fires with the next data."""
+    conf = rows.sparkSession.conf
+    before = conf.get(_IDLE)
+    conf.set(_IDLE, "false")
+    try:
+        return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(_IDLE, before)
 
 
 def density(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

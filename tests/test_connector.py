@@ -1,12 +1,10 @@
-"""The connector's offline half: selections, templates, answers, tokens, probes; stores and token counts."""
+"""Answers and introspected schemas as tables; token counts."""
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import connector as C
-from emberlog.functions import driver
 from emberlog.functions.tokenizers import token_count
 from emberlog.operators import timelines
 
@@ -22,103 +20,13 @@ TYPES = [
     {"name": "Fight", "kind": "OBJECT", "fields": []}, {"name": "Bare", "kind": "OBJECT", "fields": [{"name": "icon", "args": [], "type": NAMED("SCALAR", "String")}]},
     {"name": "Kind", "kind": "ENUM", "enumValues": [{"name": "Casts"}, {"name": "Deaths"}]},
 ]
-SCHEMA = C.Schema(TYPES)
-
-
-def test_types_are_unwrapped_and_spelled():
-    fights = SCHEMA.fields("Report")["fights"]["type"]
-    assert C.spelled(fights) == "[Fight]!" and C.innermost(fights)["name"] == "Fight" and C.spelled(None) == "?"
-    assert SCHEMA.values("Kind") == ["Casts", "Deaths"] and SCHEMA.values("none") == [] and SCHEMA.present("Report", ["code", "x", "owner"]) == ["code", "owner"]
-
-
-def test_selection_opens_objects_and_notes_what_is_missing():
-    assert SCHEMA.leaves("User") == ["id", "name"] and SCHEMA.leaves("User", {"id", "name"}) == ["rank"] and SCHEMA.leaves("State") == ["isArchived", "kind"]
-    s = SCHEMA.select("Report", ["code", "owner", "state", "bare", "gone"])
-    assert s.parts == ["code", "owner { id name }", "state { isArchived kind }"] and s.leaves == {"id", "name", "isArchived", "kind"}
-    assert s.notes == ["Report.bare has nothing that can be asked for", "Report.gone is not in the schema"]
-
-
-def test_templates():
-    text = "# __FIELDS__ go here\nquery {\n    report {\n      __FIELDS__\n    }\n}"
-    assert C.fill(text, {"FIELDS": ["code", "owner { id }"]}) == "# __FIELDS__ go here\nquery {\n    report {\n      code\n      owner { id }\n    }\n}"
-    assert "x y" in C.fill(text, {"FIELDS": "x y"})
-    for parts in ({}, {"FIELDS": []}, {"FIELDS": ["a"], "OTHER": ["b"]}):
-        with pytest.raises(C.QueryError):
-            C.fill(text, parts)
-
-
-def test_blamed_fields_go():
-    asked = []
-
-    def send(parts):
-        asked.append(parts)
-        if any("name" in p for p in parts):
-            raise C.QueryError("You may not view the name for this user.")
-        return {"ok": 1}
-
-    assert C.ask_without(SCHEMA, "Report", ["code", "owner"], send) == ({"ok": 1}, ["name"], None)
-    assert asked == [["code", "owner { id name }"], ["code", "owner { id }"]]
-
-    def never(parts):
-        raise C.QueryError("server is down")
-
-    assert C.ask_without(SCHEMA, "Report", ["code"], never) == (None, [], "server is down")
-    assert C.ask_without(SCHEMA, "Report", ["gone"], never)[2] == "nothing is left to ask for"
-
-
 CASES = [(200, '{"data": {"a": 1}}', "ok"), (200, '{"data": {"a": 1}, "errors": []}', "ok"), (200, '{"data": {"a": 1}, "errors": [{}]}', "fatal"), (200, '{"data": null}', "fatal"), (200, "<html>", "again"), (200, None, "again"), (429, "", "wait"), (500, "", "again"), (None, None, "again"), (401, "", "again"), (403, "", "fatal"), (404, "{}", "fatal")]
 
 
-def test_answers_are_judged_alike_in_columns_and_in_the_driver(spark):
+def test_answers_are_judged(spark):
     rows = [(i, s, b) for i, (s, b, _) in enumerate(CASES)]
     got = spark.createDataFrame(rows, "i int, status int, body string").select("i", C.outcome(F.col("status"), F.col("body")).alias("o")).orderBy("i").collect()
-    assert [r.o for r in got] == [w for *_, w in CASES] == [C.judged(s, b)[0] for s, b, _ in CASES]
-
-
-def client(answers, **kw):
-    now, told, slept = [0.0], [], []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    tokens = iter("abcdef")
-    token = C.Token(lambda: {"access_token": next(tokens), "expires_in": 1000}, clock=lambda: now[0])
-
-    def send(value, query, variables):
-        told.append(value)
-        return answers.pop(0)
-
-    return C.Client(send, token, driver.Guard(clock=lambda: now[0]), sleep=sleep, **kw), told, slept
-
-
-def test_client_tries_again_where_it_helps():
-    good = (200, {}, '{"data": {"a": 1}}')
-    c, told, slept = client([(503, {}, ""), (401, {}, ""), (429, {"Retry-After": "7"}, ""), good])
-    assert c.ask("q") == {"a": 1} and told == ["a", "a", "b", "b"] and slept[-1] == pytest.approx(7.0) and len(slept) == 3
-    c, told, _ = client([(403, {}, "no")])
-    with pytest.raises(C.QueryError, match="403"):
-        c.ask("q")
-    c, told, slept = client([(None, None, None)] * 3, tries=3)
-    with pytest.raises(C.QueryError, match="3 tries"):
-        c.ask("q")
-    assert len(told) == 3 and len(slept) == 2
-
-
-def test_token_is_renewed_early_and_survives_odd_answers():
-    now, n = [0.0], []
-    t = C.Token(lambda: n.append(1) or {"access_token": str(len(n)), "expires_in": "soon"}, clock=lambda: now[0])
-    assert t.get() == "1" and t.ends == 3600.0
-    now[0] = 3479.0
-    assert t.get() == "1"
-    now[0] = 3480.0
-    assert t.get() == "2" and t.get(anew=True) == "3"
-
-
-def test_probe_is_a_lower_bound_when_capped():
-    pages = {None: ([{"a": 1}] * 3, 10), 10: ([{"a": 2}], 20), 20: ([], None)}
-    assert C.probe("x", pages.get, 9) == C.Probe("x", 4, 3, 28, True)
-    assert C.probe("x", pages.get, 2) == C.Probe("x", 4, 2, 28, False)
+    assert [r.o for r in got] == [w for *_, w in CASES]
 
 
 def test_introspection_as_tables(spark):

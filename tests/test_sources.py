@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -114,7 +115,7 @@ def test_stream_drops_what_a_boundary_repeats(spark, tmp_path):
     # page 2 comes before page 1; page 1 sends the boundary again, and one more twin
     put("2.json", page_rows(2, [(9, "end"), (9, "last")], 9, None))
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    run = lambda: stream.without_repeats(stream.read(spark, str(source))).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    run = lambda: stream.write_available(stream.without_repeats(stream.read(spark, str(source))), out, check).awaitTermination()
     run()
     assert spark.read.parquet(out).count() == 4
     put("3.json", page_rows(1, [(5, "twin"), (5, "x"), (5, "twin"), (5, "twin"), (9, "end")], 5, 9))
@@ -123,13 +124,66 @@ def test_stream_drops_what_a_boundary_repeats(spark, tmp_path):
     assert got == [(1, "a"), (5, "twin"), (5, "twin"), (5, "x"), (5, "twin"), (9, "end"), (9, "last")]
 
 
+EMPTY = {"stream": "s", "seq_in_page": None, "cursor_ms": None, "next_cursor_ms": None, "rel_ms": None, "raw": None}
+
+
+def test_stream_goes_on_behind_an_empty_page(spark, tmp_path):
+    source = tmp_path / "pages"
+    source.mkdir()
+    put = lambda name, rows: (source / name).write_text("\n".join(map(json.dumps, rows)))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    run = lambda gap=10**9: stream.write_available(stream.without_repeats(stream.read(spark, str(source)), gap), out, check).awaitTermination()
+    put("0.json", page_rows(0, [(1, "a"), (5, "b")], None, 5))
+    put("2.json", page_rows(2, [(5, "b"), (6, "c"), (7, "d")], 5, 7))
+    put("3.json", page_rows(3, [(7, "d"), (8, "e"), (8, "f")], 7, None))
+    run()
+    assert [r.raw for r in spark.read.parquet(out).orderBy("rel_ms", "raw").collect()] == ["a", "b"]
+    put("1.json", [EMPTY | {"page_index": 1, "next_cursor_ms": 5}])
+    run()
+    assert [r.raw for r in spark.read.parquet(out).orderBy("rel_ms", "raw").collect()] == list("abcdef")
+    put("again.json", page_rows(2, [(5, "b"), (6, "c"), (7, "d")], 5, 7))  # a page that comes again is passed over
+    run()
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_stream_tells_of_a_page_that_stays_away(spark, tmp_path):
+    source = tmp_path / "pages"
+    source.mkdir()
+    put = lambda name, rows: (source / name).write_text("\n".join(map(json.dumps, rows)))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    run = lambda: stream.write_available(stream.without_repeats(stream.read(spark, str(source)), 1), out, check).awaitTermination()
+    put("0.json", page_rows(0, [(1, "a")], None, 1))
+    put("2.json", page_rows(2, [(6, "c")], 1, None))
+    run()
+    put("other.json", [EMPTY | {"stream": "t", "page_index": 0}])  # any data lets the timer of s fire
+    run()
+    got = [(r.page_index, r.raw, r.note) for r in spark.read.parquet(out).orderBy("page_index").collect()]
+    assert got == [(0, "a", None), (1, None, "gap"), (2, "c", None)]
+
+
 def test_stream_commit_and_windows(spark, tmp_path):
     source = tmp_path / "pages"
     source.mkdir()
     (source / "1.json").write_text("\n".join(map(json.dumps, page_rows(0, [(1, "a"), (2, "b")], None, None))))
     out = str(tmp_path / "out")
-    stream.commit(stream.read(spark, str(source)), out, str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    run = lambda: stream.commit(stream.read(spark, str(source)), out, str(tmp_path / "check"), buckets=2).awaitTermination()
+    run()
+    (source / "2.json").write_text("\n".join(map(json.dumps, [*page_rows(1, [(3, "c")], None, None), EMPTY | {"page_index": 2}])))
+    run()
+    # a page that is sent again takes the place of what it was
+    (source / "3.json").write_text("\n".join(map(json.dumps, page_rows(0, [(1, '{"b": 1, "a": [2, {"d": 1, "c": 2}]}')], None, None))))
+    run()
+    assert sorted((r.page_index, r.raw) for r in stream.committed(spark, out).collect()) == [(0, '{"b": 1, "a": [2, {"d": 1, "c": 2}]}'), (1, "c")]
+    assert sorted((r.page_index, r.events, r.batch) for r in stream.manifest(spark, out).collect()) == [(0, 1, 2), (1, 1, 1), (2, 0, 1)]
+    digest = {r.raw: r.fingerprint for r in stream.committed(spark, out).collect()}
+    assert digest['{"b": 1, "a": [2, {"d": 1, "c": 2}]}'] == hashlib.sha256(b'{"a":[2,{"c":2,"d":1}],"b":1}').hexdigest() and digest["c"] == hashlib.sha256(b"c").hexdigest()
+    files = [f for f in (tmp_path / "out" / "data").rglob("*.parquet")]
+    assert len(files) <= 3 * 2
+    # a batch whose manifest was never written isn't there, and written again it is there once
+    import shutil
+
+    shutil.rmtree(tmp_path / "out" / "manifest" / "batch=1")
+    assert stream.committed(spark, out).count() == 1
     e = spark.createDataFrame([(1, "2024-01-01 00:00:10", 3), (1, "2024-01-01 00:00:50", 4), (1, "2024-01-01 00:09:00", 5)], "run_id long, at string, amount long").withColumn("at", F.col("at").cast("timestamp"))
     assert sorted((r.events, r.amount) for r in stream.density(e).collect()) == [(1, 5), (2, 7)]
     assert sorted((r.last_at - r.first_at).seconds for r in stream.sessions(e).collect()) == [0, 40]
