@@ -11,7 +11,9 @@ separator in the index, whatever its length. All other words of all texts are in
 
 Windows reach the tasks in slices of at most ``MAX_WINDOWS`` pairs of a window and an
 item, or ``MAX_BYTES`` of words; a larger benchmark takes more passes one after
-another, each over the table that the last one wrote, with one broadcast at a time.
+another, each over the table that the last one wrote, with one broadcast at a time;
+a pass's table goes when the next one is written. Windows are cut and told apart in
+the benchmark's partitions.
 The spans of all passes are merged at the end.
 
 Words are the runs of ``[0-9a-z]`` and non-ASCII characters after A-Z became a-z.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import enter, materialize, small_batches, trim, utf8_view
+from emberlog.llm.common import drop_scratch, enter, materialize, small_batches, trim, utf8_view
 from emberlog.llm.fm_index import FMIndex
 
 #: Pairs of a window and an item, and bytes of words, that one pass searches for; they bound what is broadcast.
@@ -44,7 +46,8 @@ SHARD_SYMBOLS = 1_000_000
 SHARD_BYTES = 32 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = re.compile(WORD_PATTERN)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -86,16 +89,22 @@ class Windows:
         return self.vocabulary, patterns, lengths, [sorted(self.items[r]) for r in rows]
 
 
+def window_pairs(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Distinct (item, words) of the benchmark's windows, cut in its partitions."""
+    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = benchmark.select(F.col(id_col).cast("string").alias("item"), F.explode(F.array(F.regexp_extract_all(folded, F.lit(WORD_PATTERN), F.lit(0)))).alias("own")).where(F.size("own") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("own") - (width - 1)))
+    return cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("own", i, F.lit(width)))).alias("words")).distinct()
+
+
 def slices(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[tuple]:
-    """The benchmark's windows in slices of bounded size, read row by row."""
+    """The benchmark's windows in slices of bounded size; the driver sees one partition of them at a time."""
     held = Windows(width)
-    for item_id, text in benchmark.select(id_col, text_col).toLocalIterator():
-        own = words((text or "").encode())
-        for i in range(max(1, len(own) - width + 1) if own else 0):
-            if held.full():
-                yield held.close()
-                held = Windows(width)
-            held.add(item_id, own[i : i + width])
+    for item, own in window_pairs(benchmark, id_col, text_col, width).toLocalIterator():
+        if held.full():
+            yield held.close()
+            held = Windows(width)
+        held.add(item, [w.encode() for w in own])
     if held.items:
         yield held.close()
 
@@ -233,7 +242,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
     passes, windows = 0, None
     for following in slices(benchmark, id_col, item_text_col, width):
         if windows is not None:
-            df = materialize(_search_pass(df, windows, True), "searched")
+            before, df = df, materialize(_search_pass(df, windows, True), "searched")
+            if passes:
+                drop_scratch(before)  # the texts lie in one pass's table at a time
             passes += 1
         windows = following
     df = _search_pass(df, windows or Windows(width).close(), text_col in kept)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberlog.llm import tokens
-from emberlog.llm.common import enter, materialize, small_batches, trim
+from emberlog.llm.common import drop_scratch, enter, materialize, small_batches, trim
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -148,7 +148,7 @@ class Model:
         if not names:
             return Model([], np.zeros(0), lambda a, z: np.zeros((0, BUCKETS), np.float32))
         shares = spark.createDataFrame([(x, i, min(1_000_000, -(-sample_per_label * 1_000_000 // n))) for i, (x, n) in enumerate(sizes.items())], "label string, number int, share int")
-        sample = known.join(F.broadcast(shares), "label").where("draw < share").select("number", "text")
+        sample = known.join(shares, "label").where("draw < share").select("number", "text")
         sample = sample.repartition(max(1, sum(min(n, sample_per_label) for n in sizes.values()) // 500))
 
         def count(batches):
@@ -203,7 +203,9 @@ class Model:
         now = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given"), F.col(text_col).alias("text"), F.lit(None).cast("struct<label:string,top:double,rest:double>").alias("state"))
         for a in range(0, len(self.labels), TOGETHER):
             if a:
-                now = materialize(now, "language-pass")
+                before, now = now, materialize(now, "language-pass")
+                if a > TOGETHER:
+                    drop_scratch(before)
             now = self._pass(now, a, min(a + TOGETHER, len(self.labels)))
         label = F.col("state.label")
         score = F.when(label.isNotNull(), 1 / F.col("state.rest")).otherwise(0.0)

@@ -19,8 +19,8 @@ copies of a text go whatever its chunks and its length. ``n_removed`` counts the
 Equal hashes only nominate chunks and runs. The bytes decide: what is nominated is grouped
 by its whole text, and only equal texts count as repeated.
 
-Rows are told apart by id and text: rows that repeat both are one document and
-keep alike. A null text stays null, an empty one empty; a null id sorts last among
+Rows are told apart by id and text (its 128-bit digest): rows that repeat both, nulls
+among them, are one document and keep alike. A null text stays null, an empty one empty; a null id sorts last among
 occurrences. A text that loses nothing is returned byte for byte, whatever its
 line ends; one that loses every chunk becomes empty. Very long texts are arrays of
 lines in one row. All other columns pass through unchanged, whatever their names;
@@ -127,7 +127,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
     # the given columns are wrapped, so no name of theirs meets one of ours
     given = F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col]) if len(kept) > 1 else F.lit(None)
-    keyed = docs.select(given.alias("_given"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
+    keyed = docs.select(given.alias("_given"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_row"))
     cut = chunked(keyed, "_text", window, every, min_lines, run_words, whole)
     units = materialize(cut.select("_id", "_row", "_sizes", "_units"), "units")
 

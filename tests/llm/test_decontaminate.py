@@ -90,3 +90,21 @@ def test_very_long_text_and_columns_of_any_name(spark):
     rows = decontaminate.find(df, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_hit, list(r["items"])) for r in rows] == brute([long, None], [(7, item)])
     assert [(r.given, r._searched_text, r["a.b"], r.text) for r in rows] == [("a", "b", "e", long), ("a", "b", "e", None)]
+
+
+def test_many_passes_hold_one_table(spark, monkeypatch):
+    """Half a million windows in scale, by patched bounds: each pass's table goes when the next is written."""
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 40)
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{rng.randint(0, 60)}" for _ in range(60))) for i in range(12)]
+    docs = [" ".join([*(f"v{rng.randint(0, 60)}" for _ in range(20)), *items[rng.randrange(12)][1].split()[5:30]]) for _ in range(20)]
+    from pathlib import Path
+
+    from emberlog.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*-searched"))
+    assert found(spark, docs, items)[0] == brute(docs, items)
+    assert len(set(folder.glob("*-searched")) - before) == 1
+    pairs = decontaminate.window_pairs(spark.createDataFrame([*items, items[0]], "item_id long, text string"), "item_id", "text", 13)
+    assert pairs.count() == len({(i, tuple(t.split()[k : k + 13])) for i, t in items for k in range(48)}) > 10 * 40
