@@ -26,7 +26,7 @@ def select(runs: DataFrame, pulls: DataFrame, events: DataFrame, min_events: int
 
 def timelines(fixtures: DataFrame, events: DataFrame) -> DataFrame:
     """Events of the fixtures, with ``seq``, their place in (rel_ms, event_id) order, as (pull, seq, ...)."""
-    own = events.join(F.broadcast(fixtures.select("pull_id")), "pull_id", "left_semi")  # `limit` pulls
+    own = events.join(fixtures.select("pull_id"), "pull_id", "left_semi")
     at = F.struct("rel_ms", "event_id")
     return own.withColumn("seq", at).select("pull_id", "seq", "rel_ms", "event_id", *[c for c in own.columns if c not in ("pull_id", "rel_ms", "event_id", "seq")])
 

@@ -15,7 +15,7 @@ def resolve_dungeons(runs: DataFrame, dungeons: DataFrame) -> DataFrame:
     by_id = dungeons.select(F.explode("encounter_ids").alias("encounter_id"), F.struct("position", "key").alias("d")).groupBy("encounter_id").agg(F.min("d")["key"].alias("by_id"))
     names = F.array_union(F.array("key", "display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     by_name = dungeons.select(F.explode(names).alias("n"), F.struct("position", "key").alias("d")).groupBy(F.lower(F.trim("n")).alias("zone")).agg(F.min("d")["key"].alias("by_name"))
-    j = runs.join(F.broadcast(by_id), "encounter_id", "left").withColumn("zone", F.lower(F.trim("zone_name"))).join(F.broadcast(by_name), "zone", "left")
+    j = runs.join(by_id, "encounter_id", "left").withColumn("zone", F.lower(F.trim("zone_name"))).join(by_name, "zone", "left")
     return j.select("run_id", F.coalesce("by_id", "by_name").alias("dungeon_key"))
 
 
@@ -58,7 +58,7 @@ def focus_actor(actors: DataFrame, roster: DataFrame, candidates: list[str]) ->
     if not candidates:
         return roster.select("run_id", "actor_id").limit(0)
     rank = actors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(candidates)], "position int, name string")
-    hit = actors.join(F.broadcast(rank), "name").join(roster, ["run_id", "actor_id"])
+    hit = actors.join(rank, "name").join(roster, ["run_id", "actor_id"])
     return hit.groupBy("run_id").agg(F.min(F.struct("position", "actor_id"))["actor_id"].alias("actor_id"))
 
 

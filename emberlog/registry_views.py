@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import keyed
-from emberlog.operators import states, views
+from emberlog.operators import archetypes, builds, states, views
 from emberlog.plans import bindings as B
 from emberlog.registry import query
 
@@ -176,3 +176,74 @@ def _(spark, sf):
 @query("field_entropy", _RATES + 'select context, field, round(abs(sum(-(n / total) * log2(n / "of"))), 4) as bits from (select *, sum(n) over (partition by context, field) as total from rt) group by 1, 2')
 def _(spark, sf):
     return views.field_entropy(views.base_rates(B.events(spark, sf), ["type", "source_instance"], ["hostility", "target_id"]))
+
+
+# --- archetypes and builds ---------------------------------------------------
+
+
+def _packs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pulls = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pull_id"), F.expr("case when o_orderkey % 41 = 0 then null else o_orderpriority end").alias("dungeon_key"))
+    npcs = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull_id"), (F.col("l_partkey") % 60).alias("npc_game_id"), F.expr("case when l_linenumber % 4 = 0 then null else 1 + cast(l_quantity as bigint) % 3 end").alias("instance_count"))
+    return pulls, npcs
+
+
+_PACKS = """
+, ee as (select l_orderkey as pull_id, l_partkey % 60 as npc, cast(sum(case when l_linenumber % 4 = 0 then 1 else 1 + cast(l_quantity as bigint) % 3 end) as bigint) as n from lineitem group by 1, 2),
+ph as (select pull_id, list(struct_pack(npc_game_id := npc, n := n) order by npc) as sp, cast(sum(n) as bigint) as size from ee group by 1),
+pn as (select o_orderkey as pull_id, case when o_orderkey % 41 = 0 then null else o_orderpriority end as dungeon, sp, size,
+  sha256('{"dungeon_key":' || coalesce('"' || case when o_orderkey % 41 = 0 then null else o_orderpriority end || '"', 'null') || ',"species":[' || array_to_string(list_transform(sp, lambda x: '{"npc_game_id":' || x.npc_game_id || ',"n":' || x.n || '}'), ',') || ']}') as node
+  from orders join ph on pull_id = o_orderkey),
+nd as (select node, any_value(dungeon) as dungeon, any_value(sp) as sp, any_value(size) as size, count(*) as pulls from pn group by 1),
+nx as (select node, dungeon, size, unnest(sp) as x from nd),
+co as (select p.node as a, q.node as b, any_value(p.size) as sa, any_value(q.size) as sb, cast(sum(least(p.x.n, q.x.n)) as bigint) as shared from nx p join nx q on p.dungeon is not distinct from q.dungeon and p.x.npc_game_id = q.x.npc_game_id and p.node < q.node and 5 * least(p.size, q.size) >= 4 * greatest(p.size, q.size) group by 1, 2),
+lk as (select a, b, shared, sa + sb - shared as either from co where 5 * shared >= 4 * (sa + sb - shared))
+"""
+
+
+@query("pull_likenesses", _PACKS + "select a, b, shared, either from lk")
+def _(spark, sf):
+    return archetypes.similar(archetypes.compositions(*_packs(spark, sf))[1])
+
+
+@query(
+    "pull_archetypes",
+    _PACKS + """, bo as (select a, b, round(shared / either, 6) as s from lk union all select b, a, round(shared / either, 6) from lk),
+re as (select a, b from bo union select re.a, bo.b from re join bo on re.b = bo.a),
+lb as (select node, coalesce(least(node, min(b)), node) as label, any_value(sp) as sp, any_value(size) as size, any_value(pulls) as pulls from nd left join re on re.a = node group by node),
+ne as (select lb.*, pulls + coalesce((select round(sum(s * o.pulls), 4) from bo join nd o on o.node = bo.b where bo.a = lb.node), 0) as near from lb),
+md as (select label, arg_min(node, struct_pack(x := -near, y := node)) as archetype_id, cast(sum(pulls) as bigint) as members from ne group by 1),
+mt as (select ne.node, archetype_id, members, ne.sp, ne.size, c.sp as core, c.size as core_size,
+  cast(list_sum(list_transform(ne.sp, lambda x: least(x.n, coalesce(list_filter(c.sp, lambda y: y.npc_game_id = x.npc_game_id)[1].n, 0)))) as bigint) as shared
+  from ne join md using (label) join nd c on c.node = archetype_id)
+select pull_id, archetype_id, case when mt.node = archetype_id then 'exact' when list_transform(mt.sp, lambda x: x.npc_game_id) = list_transform(core, lambda x: x.npc_game_id) then 'species' else 'fuzzy' end as match_kind,
+  round(1 - shared / (mt.size + core_size - shared), 6) as distance, members from pn join mt on mt.node = pn.node""",
+)
+def _(spark, sf):
+    return archetypes.archetypes(*_packs(spark, sf))
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of two shapes: talents and items as numbers, or as objects; some places empty, some without stats."""
+    p = B.table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("long").alias("k"))
+    plain = F.expr("""concat('{"specID":', k % 40, ',"itemLevel":', 600 + k % 50, '.5,"talents":[', k % 3, ',', k % 2, '],"gear":[', array_join(transform(sequence(0, 13), i -> string(case when i > 11 then 900 + (k + i) % 3 else i % (1 + k % 4) end)), ','), ']}')""")
+    told = F.expr("""concat('{"specID":', k % 40, ',"talents":[{"id":', k % 2, ',"rank":1},{"id":', k % 3, '}],"gear":[', array_join(transform(sequence(0, 13), i -> concat('{"id":', case when i > 11 then 900 + (k + i) % 3 else i % (1 + k % 4) end, '}')), ','), '],"stats":{"haste":', k % 7 * 100 + 5, ',"crit":', k % 5 * 99, '}}')""")
+    return p.withColumn("raw", F.when(F.col("k") % 97 == 0, "none").when(F.col("k") % 2 == 0, plain).otherwise(told)).select("p_partkey", "raw")
+
+
+_CUT = "substr(sha256({}), 1, 16)"
+
+
+@query(
+    "build_dimensions",
+    f""", b as (select p_partkey, p_partkey::bigint as k from part),
+w as (select *, k % 97 <> 0 as told, list_transform(range(0, 14), lambda i: struct_pack(slot := case when i > 11 then 12 else i end, id := case when i > 11 then 900 + (k + i) % 3 else i % (1 + k % 4) end)) as items from b),
+h as (select *, list_sort(list_filter(items, lambda x: x.id <> 0)) as worn, least(900 + (k + 12) % 3, 900 + (k + 13) % 3) as lo, greatest(900 + (k + 12) % 3, 900 + (k + 13) % 3) as hi from w),
+d as (select *, {_CUT.format("least(k % 3, k % 2) || ':1,' || greatest(k % 3, k % 2) || ':1'")} as th,
+  {_CUT.format("'[' || array_to_string(list_transform(worn, lambda x: '{\"slot\":' || x.slot || ',\"id\":' || x.id || ',\"gems\":[]}'), ',') || ']'")} as eh, {_CUT.format("lo || ',' || hi")} as rh,
+  case when k % 2 = 1 then {_CUT.format("'[{\"stat\":\"crit\",\"bucket\":' || (k % 5 * 99 // 100) || '},{\"stat\":\"haste\",\"bucket\":' || (k % 7) || '}]'")} end as sh from h)
+select p_partkey, case when told then k % 40 end as spec_id, case when told and k % 2 = 0 then 600 + k % 50 + 0.5::double end as item_level, case when told then th end as talent_hash, case when told then eh end as equipment_hash,
+  case when told then lo end as trinket_low, case when told then hi end as trinket_high, case when told then rh end as trinket_hash, case when told then sh end as stat_hash,
+  case when told then {_CUT.format("th || '|' || eh || '|' || rh || '|' || coalesce(sh, '-')")} end as config_hash from d""",
+)
+def _(spark, sf):
+    return builds.builds(_snapshots(spark, sf)).drop("raw")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import keyed
-from emberlog.operators import intervals, normalize, states, views
+from emberlog.operators import archetypes, builds, intervals, normalize, states, views
 
 EVENT = "event_id long, run_id long, rel_ms long"
 PULL = "pull_id string, run_id long, rel_start_ms long, rel_end_ms long"
@@ -139,3 +139,50 @@ def test_rates_sum_to_one(spark):
     assert all(r.n == r.of and abs(r.rate - 1) < 1e-3 for r in totals)
     bits = {(r.context, r.field): r.bits for r in views.field_entropy(rates).collect()}
     assert all(bits[c, "same"] == 0 for c in ("actor", "type", "actor,type")) and bits["type", "hit"] > 1
+
+
+def test_archetypes_as_brute_force(spark):
+    rng = random.Random(9)
+    pulls = [(i, rng.choice(["a", "a", None])) for i in range(160)] + [(900, "a")]
+    npcs = [(i, s, rng.choice([1, 1, 2, 3, None, 0])) for i, _ in pulls[:-1] for s in rng.sample(range(6), rng.randint(1, 5))] + [(1, None, 3)]
+    p, n = spark.createDataFrame(pulls, "pull_id long, dungeon_key string"), spark.createDataFrame(npcs, "pull_id long, npc_game_id long, instance_count long")
+    held = {}
+    for i, s, k in npcs:
+        if s is not None and (k is None or k > 0):
+            held.setdefault(i, {})[s] = held.get(i, {}).get(s, 0) + (1 if k is None else k)
+    comps = {(dict(pulls)[i], tuple(sorted(c.items()))) for i, c in held.items()}
+
+    def alike(x, y):
+        both = sum(min(k, dict(y[1]).get(s, 0)) for s, k in x[1])
+        return x[0] == y[0] and 5 * both >= 4 * (sum(k for _, k in x[1]) + sum(k for _, k in y[1]) - both)
+
+    want = sum(alike(x, y) for x in comps for y in comps if str(x) < str(y))
+    of, nodes = archetypes.compositions(p, n)
+    assert nodes.count() == len(comps) and archetypes.similar(nodes).count() == want > 5
+    got = {r.pull_id: r for r in archetypes.archetypes(p, n).collect()}
+    assert set(got) == set(held) and all((r.distance == 0) == (r.match_kind == "exact") for r in got.values())
+    groups = {}
+    for r in got.values():
+        groups.setdefault(r.archetype_id, []).append(r)
+    assert all(r.members == len(own) and any(x.match_kind == "exact" for x in own) for own in groups.values() for r in own)
+    key = lambda i: (dict(pulls)[i], tuple(sorted(held[i].items())))
+    assert all(got[i].archetype_id == got[j].archetype_id for i in held for j in held if alike(key(i), key(j)))
+    assert archetypes.archetypes(p.limit(0), n).count() == 0
+
+
+def test_builds_of_any_shape(spark):
+    gear = [0] * 12 + [7, 5]
+    rows = [
+        {"talents": [3, 1], "gear": gear, "stats": {"haste": 120, "crit": 99.5}, "itemLevel": 600, "specID": 65},
+        {"talents": [{"id": 1}, {"id": 3, "rank": 1}], "gear": [{"id": x} for x in [0] * 12 + [5, 7]], "stats": {"crit": 0, "haste": 199}, "itemLevel": 684.5},
+        {"talents": [{"id": 1, "rank": 2}, 3], "gear": [9, *gear[1:]], "extra": {"x": 1}},
+        {"talents": "none", "gear": [], "stats": {}},
+    ]
+    raw = [json.dumps(r) for r in rows] + ["{", None]
+    got = [r for r in builds.builds(spark.createDataFrame(list(enumerate(raw)), "i long, raw string")).orderBy("i").collect()]
+    assert got[0].talent_hash == got[1].talent_hash != got[2].talent_hash
+    assert got[0].equipment_hash == got[1].equipment_hash != got[2].equipment_hash
+    assert got[0].stat_hash == got[1].stat_hash and got[0].config_hash == got[1].config_hash and got[2].stat_hash is None
+    assert {(r.trinket_low, r.trinket_high) for r in got[:3]} == {(5, 7)} and len({r.trinket_hash for r in got[:3]}) == 1
+    assert [r.item_level for r in got[:2]] == [600.0, 684.5] and [r.spec_id for r in got[:2]] == [65, None]
+    assert all(x is None for r in got[3:] for x in (r.talent_hash, r.equipment_hash, r.trinket_hash, r.stat_hash, r.config_hash))
