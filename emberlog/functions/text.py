@@ -95,6 +95,23 @@ def seconds(value: Column) -> Column:
     return F.when(value > 1e11, value / 1000).otherwise(value)
 
 
+_ISO = "^([0-9]{4})(-?)([0-9]{2})\\2([0-9]{2})(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\\.([0-9]{1,9}))?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
+def iso_millis(text: Column) -> Column:
+    """An ISO-8601 date or instant in milliseconds; without a zone it is UTC. Digits behind the
+    milliseconds are cut off. Null for other text and for days and times that don't exist."""
+    part = lambda i: F.nullif(F.regexp_extract(text, _ISO, i), F.lit(""))
+    number = lambda i: F.coalesce(part(i).cast("long"), F.lit(0))
+    day = F.concat_ws("-", part(1), part(3), part(4)).try_cast("date")
+    zone = F.regexp_replace(F.coalesce(part(9), F.lit("Z")), ":", "")
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    away = F.when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("long") * 60 + F.substring(zone, 4, 2).try_cast("long")))
+    milli = F.rpad(F.substring(F.coalesce(part(8), F.lit("0")), 1, 3), 3, "0").cast("long")
+    real = (number(5) < 24) & (number(6) < 60) & (number(7) < 60) & (F.abs(away) < 24 * 60)
+    return F.when(text.rlike(_ISO) & real, (F.unix_date(day).cast("long") * 86_400 + number(5) * 3600 + (number(6) - away) * 60 + number(7)) * 1000 + milli)
+
+
 def canonical_json(map_column: Column) -> Column:
     """A map of text as JSON with sorted keys; an empty one is null."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(map_column)))

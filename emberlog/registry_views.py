@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions import keyed
+from emberlog.functions import keyed, text
 from emberlog.operators import archetypes, builds, states, views
 from emberlog.plans import bindings as B
 from emberlog.registry import query
@@ -178,6 +178,17 @@ def _(spark, sf):
     return views.field_entropy(views.base_rates(B.events(spark, sf), ["type", "source_instance"], ["hostility", "target_id"]))
 
 
+@query(
+    "iso_instants",
+    r""", t as (select stamp_id, raw, regexp_extract(raw, '^([0-9]{4})-?([0-9]{2})-?([0-9]{2})([T ]([0-9]{2}):([0-9]{2}):([0-9]{2}))?(Z|[+-][0-9]{2}:?[0-9]{2})?$', ['y', 'm', 'd', 'hms', 'h', 'mi', 's', 'z']) as g from stamps)
+select stamp_id, case when raw is not null and g.y <> '' and (raw like '____-__-__%' or raw not like '%-%') then
+  epoch_ms(try_cast(g.y || '-' || g.m || '-' || g.d || ' ' || case when g.hms <> '' then g.h || ':' || g.mi || ':' || g.s else '00:00:00' end as timestamp))
+  - case when g.z in ('', 'Z') then 0 else (case g.z[1] when '-' then -1 else 1 end) * (g.z[2:3]::bigint * 60 + g.z[-2:]::bigint) * 60000 end end as at_ms from t""",
+)
+def _(spark, sf):
+    return B.table(spark, sf, "stamps").select("stamp_id", text.iso_millis(F.col("raw")).alias("at_ms"))
+
+
 # --- archetypes and builds ---------------------------------------------------
 
 

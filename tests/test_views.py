@@ -3,11 +3,12 @@
 import hmac
 import json
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions import keyed
+from emberlog.functions import keyed, text
 from emberlog.operators import archetypes, builds, intervals, normalize, states, views
 
 EVENT = "event_id long, run_id long, rel_ms long"
@@ -186,3 +187,14 @@ def test_builds_of_any_shape(spark):
     assert {(r.trinket_low, r.trinket_high) for r in got[:3]} == {(5, 7)} and len({r.trinket_hash for r in got[:3]}) == 1
     assert [r.item_level for r in got[:2]] == [600.0, 684.5] and [r.spec_id for r in got[:2]] == [65, None]
     assert all(x is None for r in got[3:] for x in (r.talent_hash, r.equipment_hash, r.trinket_hash, r.stat_hash, r.config_hash))
+
+
+def test_iso_instants(spark):
+    good = ["2024-01-02T03:04:05Z", "2024-01-02", "20240102", "2024-02-29 23:59:59.987654", "2024-01-02T03:04", "1969-12-31T23:59:59.5+05:30", "2024-01-02T03:04:05-0800"]
+    bad = ["", None, "2024-13-01", "2023-02-29", "2024-01-02T25:00:00", "2024-01-02 ", "01/02/2024", "1704104923", "2024-0102", "2024-01-02T03:04:60", "2024-01", "2024-01-02T03:04:05 PM"]
+    want = []
+    for g in good:
+        at = datetime.fromisoformat(g)
+        want.append(int(((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1) // 1000))
+    df = spark.createDataFrame(list(enumerate(good + bad)), "i int, t string")
+    assert [r.at for r in df.select("i", text.iso_millis(F.col("t")).alias("at")).orderBy("i").collect()] == want + [None] * len(bad)
