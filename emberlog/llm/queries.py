@@ -159,6 +159,46 @@ select e.client_id, row_number() over (partition by e.client_id order by e.s) as
 from ends e join starts s on s.client_id = e.client_id and s.s = e.s join l p on p.client_id = e.client_id and p.i = e.p
 """
 
+_CRC = "xor(list_reduce([4294967295::ubigint] || list_transform(range(1, length({0}) + 1), lambda k: ascii({0}[k])::ubigint), lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda k: 0::ubigint), lambda d, k: xor(d >> 1, (d & 1) * 3988292384::ubigint))), 4294967295::ubigint)"
+
+#: States: 0 nothing yet, 1 system, 2 user, 3 assistant. b: costs before a row without inserts, v: with them, t: behind it.
+_OP13 = rf"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+kinds as (select *, {_CRC.format("name")} % 20 as kind from raw),
+after as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(case when kind = 0 then []::int[] when kind = 3 then [0, 1] else [0] end) as copy from kinds),
+placed as (select *, regexp_replace(text, '[ 	-]+$', '') as said, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+  row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from after),
+f as (select *, left(role, 1) as ini, case when said = '' then 'blank' when nth > 1 then 'duplicate' when right(said, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from placed),
+g as (select *, fault in ('blank', 'duplicate') as goes, case when fault = 'truncated' then 3 else 0 end as x from f),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from f group by 1),
+back as (
+  select conv_id, n + 1 as i, 0 as v0, 6 as v1, 3 as v2, 0 as v3, 0 as t0, 0 as t1, 0 as t2, 0 as t3 from n
+  union all
+  select conv_id, i, least(o0, 3 + o2), least(o1, 3 + o2), least(o2, 3 + o3), least(o3, 3 + o2), t0, t1, t2, t3 from (
+    select *, least(b0, 3 + b2) as o0, least(b1, 3 + b2) as o1, least(b2, 3 + b3) as o2, least(b3, 3 + b2) as o3 from (
+      select g.conv_id, g.i, v0 as t0, v1 as t1, v2 as t2, v3 as t3,
+        least(4 + v0, case when goes then 99999 else 3 + x + v2 end, case when goes then 99999 when ini = 's' then x + v1 when ini = 'u' then x + v2 else 99999 end) as b0,
+        least(4 + v1, case when goes then 99999 else 3 + x + v2 end, case when not goes and ini = 'u' then x + v2 else 99999 end) as b1,
+        least(4 + v2, case when goes then 99999 else 3 + x + v3 end, case when not goes and ini = 'a' then x + v3 else 99999 end) as b2,
+        least(4 + v3, case when goes then 99999 else 3 + x + v2 end, case when not goes and ini = 'u' then x + v2 else 99999 end) as b3
+      from back join g on g.conv_id is not distinct from back.conv_id and g.i = back.i - 1))),
+choice as (select b.conv_id, b.i, q, g.i is null as over, role, text, x, [2, 2, 3, 2][q + 1] as made,
+    case when not goes then case when ini = 's' and q = 0 then 1 when ini = 'u' and q <> 2 then 2 when ini = 'a' and q = 2 then 3 end end as kept, [v0, v1, v2, v3] as v, [t0, t1, t2, t3] as t
+  from back b cross join (values (0), (1), (2), (3)) s(q) left join g on g.conv_id is not distinct from b.conv_id and g.i = b.i),
+edit as (select *, case when over then case when q in (1, 2) then 'I' end when 4 + t[q + 1] = v[q + 1] then 'D' when 3 + v[made + 1] = v[q + 1] then 'I' when kept is not null and x + t[kept + 1] = v[q + 1] then 'K' else 'R' end as e from choice),
+walk as (
+  select conv_id, 1::bigint as i, 0 as q, 0 as cost, '' as audit, null::varchar as lines from n
+  union all
+  select w.conv_id, case when e = 'I' then w.i else w.i + 1 end, case e when 'D' then w.q when 'K' then kept else made end, cost + case e when 'D' then 4 when 'I' then 3 when 'K' then x else 3 + x end, audit || e,
+    case when e = 'D' then lines else coalesce(lines || chr(10), '') || case e when 'K' then role when 'I' then case made when 3 then 'assistant' else 'user' end else case made when 3 then 'assistant' else 'user' end end || ':' || case when e = 'I' then '' else text end end
+  from walk w join edit on edit.conv_id is not distinct from w.conv_id and edit.i = w.i and edit.q = w.q where e is not null)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join walk w on w.conv_id is not distinct from c.conv_id and w.i = n.n + 1 and w.q in (0, 3)
+"""
+
 #: The others need a vocabulary, a model, positions of matches or Spark's line hashes, which SQL lacks;
 #: tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -166,4 +206,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": _OP2,
     "op8_exact_dedup": _OP8,
     "op11_row_patterns": _OP11,
+    "op13_conversation_repair": _OP13,
 }
