@@ -14,7 +14,8 @@ and rows that repeat in every column are told apart.
 
 Null and empty texts give one piece that holds the end id alone. Repeated rows
 are separate documents. An empty table gives an empty result. Very long
-texts give many pieces. Other columns are not read.
+texts give many pieces. Pieces of one length are alike to the packing; which of them goes
+where is settled by their rank. Other columns are not read.
 """
 
 from __future__ import annotations

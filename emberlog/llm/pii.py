@@ -13,6 +13,8 @@ behind a cue word) and ssn (3-2-4 digits behind a cue word).
 A null text counts as empty and has no spans. Offsets are code points, the end
 exclusive. Very long texts are read whole. There is no shuffle; repeated rows
 repeat their result, other columns pass through, except that ``spans`` is replaced.
+Spans of unlike kinds may overlap and all are listed; of one kind the leftmost stays. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -109,3 +109,12 @@ def test_small_clusters_of_one_template(spark, monkeypatch):
 def test_a_column_that_the_result_has(spark):
     df = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 5, 6, 7)], "doc_id long, text string, component_id int, node int, key int")
     assert sorted(map(tuple, ngram_join.join(df).collect())) == [(1, 2, 1), (2, 2, 1)]
+
+
+def test_very_long_texts_as_brute_force(spark):
+    """Texts of tens of thousands of words, near copies and halves among them."""
+    rng = random.Random(31)
+    words = [f"w{rng.randint(0, 20_000)}" for _ in range(40_000)]
+    copies = near_copies(rng, words, 3, 400)
+    rows = [(1, " ".join(words)), *enumerate(copies, 2), (7, " ".join(words[:20_000])), (8, " ".join(words[:38_500])), (9, " ".join(words[:30_000])), (10, "w1 w2"), (11, None)]
+    assert result(spark, rows) == brute(rows)

@@ -44,3 +44,16 @@ def test_result_columns_that_the_input_has(spark):
     assert r.spans == [] and r.found == "old"
     r = token_counts.with_token_counts(df, limit=1).first()
     assert r.n_bytes == 6 and r.n_tokens > 1 and r.over_limit and r.spans == "old"
+
+
+def test_very_long_texts(spark):
+    """Spans at both ends of megabytes that hold anchors without spans, in linear time."""
+    filler = "a@b +1 :// 12 34567 @ iban x 1.2.3 " * 60_000
+    text = f"me@example.org {filler} +49 30 1234567 é {'9' * 300_000} {'x' * 300_000}@example.org"
+    got = pii.spans(text)
+    assert ("email", 0, 14) in got and got == sorted(got, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+    assert [s for s in got if s[0] == "email"][-1][2] == len(text)
+    at = text.index("+49")
+    assert ("phone", at, at + 14) in got
+    row = pii.with_spans(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(s.kind, s.start, s.end) for s in row[0].spans] == got and row[1].spans == []
