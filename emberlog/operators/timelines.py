@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +22,6 @@ from emberlog.functions.numbers import ratio
 VERSION = "1"
 FIELDS = ["rel_ms", "type", "source_id", "source_instance", "target_id", "target_instance", "ability_game_id", "amount"]
 EVENT = "timeline long, seq long, rel_ms long, type string, source_id long, source_instance long, target_id long, target_instance long, ability_game_id long, amount long"
-#: Event types are an enumeration; more of them than this are not event types.
-MAX_TYPES = 1000
 CODECS = ("A", "B", "C", "D", "E", "G")
 
 
@@ -67,18 +66,28 @@ def enemies(events: DataFrame, players: DataFrame | None = None) -> DataFrame:
     return first.select("timeline", "actor", "instance", rank.cast("long").alias("appearance"), F.concat(F.lit("E"), rank.cast("string")).alias("symbol"))
 
 
-def type_codes(types: list[str]) -> dict[str, str]:
-    """One letter per type: its first free letter in upper case, then lower case, then X0 ... X9, then the type."""
+def type_codes(types: Iterable[str]) -> dict[str, str]:
+    """One letter per type: its first free letter in upper case, then lower case, then X0 ... X9, then the type
+    (with ~ behind it while another has that for a code). ``types`` come in order. Types that are their own
+    code and no code of another's kind aren't listed, so the result is bounded by the alphabet."""
     codes: dict[str, str] = {}
     used: set[str] = set()
-    for name in sorted(types):
+    for name in types:
         letters = [c for c in name if c.isalpha()]
-        options = [*(c.upper() for c in letters), *(c.lower() for c in letters), *(f"X{i}" for i in range(10)), name]
-        codes[name] = next(o for o in options if o not in used)
-        used.add(codes[name])
+        options = chain((c.upper() for c in letters), (c.lower() for c in letters), (f"X{i}" for i in range(10)), (name + "~" * i for i in count()))
+        code = next(o for o in options if o not in used)
+        if code != name or len(name) <= 2:
+            codes[name] = code
+            used.add(code)
     return codes
 
 
+def type_numbers(events: DataFrame) -> DataFrame:
+    """(type, number): event types in order, from 0. Numbers run over one row per type."""
+    t = events.where("type is not null").select("type").distinct()
+    return t.withColumn("number", (F.row_number().over(W.orderBy("type")) - 1).cast("long"))
+
+
 def _table_digest(df: DataFrame) -> list[str]:
     """At most 256 digests that stand for all rows of a table, whatever their order."""
     rows = df.select(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256).alias("d"))
@@ -91,24 +100,31 @@ def _table_digest(df: DataFrame) -> list[str]:
 class Dictionary:
     """Symbols of one encoding: types, abilities, actors by timeline, and players of all timelines."""
 
-    def __init__(self, types: dict[str, str], abilities: DataFrame, actors: DataFrame, players: DataFrame | None = None):
-        self.types, self.abilities, self.actors, self.players = types, abilities, actors, players
+    def __init__(self, types: dict[str, str], numbers: DataFrame, abilities: DataFrame, actors: DataFrame, players: DataFrame | None = None):
+        self.types, self.numbers, self.abilities, self.actors, self.players = types, numbers, abilities, actors, players
 
     @staticmethod
     def build(events: DataFrame, by_frequency: bool = False, players: DataFrame | None = None) -> Dictionary:
-        """Types are listed on the driver, being an enumeration; abilities and actors stay tables.
-        ``players``: (actor, symbol), which hold in every timeline and for any instance."""
-        types = [r["type"] for r in events.select("type").where("type is not null").distinct().limit(MAX_TYPES + 1).collect()]
-        if len(types) > MAX_TYPES:
-            raise ValueError(f"more than {MAX_TYPES} event types")
+        """Types, abilities and actors are tables. The driver reads the distinct types in order, a part at a time,
+        to deal out the letters, and keeps only those that get one. ``players``: (actor, symbol), which hold in every
+        timeline and for any instance."""
+        numbers = type_numbers(events)
+        codes = type_codes(r["type"] for r in numbers.orderBy("number").toLocalIterator())
         a = (ability_ranks(events) if by_frequency else ability_symbols(events)).select("ability_game_id", "symbol")
         e = enemies(events, players).select("timeline", "actor", "instance", "symbol")
-        return Dictionary(type_codes(types), a, e, None if players is None else players.select("actor", "symbol"))
+        return Dictionary(codes, numbers, a, e, None if players is None else players.select("actor", "symbol"))
+
+    def code(self, name: Column) -> Column:
+        """The code of a type; those without a letter stand for themselves."""
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(self.types.items()) for x in kv])[name], name) if self.types else name
+
+    def type_of(self, code: Column) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for t, c in sorted(self.types.items()) for x in (c, t)])[code], code) if self.types else code
 
     def hash(self) -> str:
         """Digest of the legend: of each table the digests of its rows, sorted, joined in groups and those in
         groups again, so that every row counts and none can cancel another, and no list grows with the table."""
-        tables = [df for df in (self.abilities, self.actors, self.players) if df is not None]
+        tables = [df for df in (self.numbers, self.abilities, self.actors, self.players) if df is not None]
         return hashlib.sha256(json.dumps([self.types, *map(_table_digest, tables)], sort_keys=True).encode()).hexdigest()[:12]
 
     def legends(self, events: DataFrame) -> DataFrame:
@@ -123,8 +139,8 @@ class Dictionary:
         abilities = used.join(self.abilities, "ability_game_id").select("timeline", number.alias("n"), "symbol", F.col("ability_game_id").cast("string").alias("name"))
         whose = F.concat_ws(":", F.col("actor").cast("string"), F.col("instance").cast("string"))
         actors = self.actors.select("timeline", number.alias("n"), "symbol", whose.alias("name"))
-        codes = events.sparkSession.createDataFrame([(i, c, t) for i, (t, c) in enumerate(sorted(self.types.items()))], "n long, symbol string, name string")
-        types = events.select("timeline", F.col("type").alias("name")).distinct().join(F.broadcast(codes), "name").select("timeline", "n", "symbol", "name")
+        named = events.where("type is not null").select("timeline", F.col("type").alias("name")).distinct()
+        types = named.withColumn("n", F.row_number().over(W.partitionBy("timeline").orderBy("name")).cast("long")).select("timeline", "n", self.code(F.col("name")).alias("symbol"), "name")
         out = events.select("timeline").distinct()
         parts = [("#E", "enemies", actors), ("#A", "abilities", abilities), ("#T", "types", types)]
         if self.players is not None:
@@ -152,8 +168,7 @@ def _symbols(events: DataFrame, d: Dictionary) -> DataFrame:
             named = d.players.select(F.col("actor").alias("a2"), F.col("symbol").alias("s2"))
             out = out.join(named, F.col(f"{side}_id") == F.col("a2"), "left").withColumn(side, F.coalesce("s2", side)).drop("a2", "s2")
         out = out.withColumn(side, F.coalesce(side, F.lit("?" if side == "source" else "-")))
-    code = F.create_map(*[F.lit(x) for kv in sorted(d.types.items()) for x in kv]) if d.types else None
-    return out.withColumn("code", F.coalesce(code[F.col("type")], F.col("type")) if code is not None else F.col("type"))
+    return out.withColumn("code", d.code(F.col("type")))
 
 
 def default_targets(events: DataFrame) -> DataFrame:
@@ -188,9 +203,8 @@ def encode(events: DataFrame, codec: str, d: Dictionary | None = None) -> DataFr
         return s.select("timeline", "seq", F.concat(F.lit("+"), F.col("delta").cast("string"), F.lit(" "), "source", F.lit(" "), "code", F.lit(" "), pair, F.lit(" "), amount).alias("line"))
     if codec == "E":
         number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-        order = {t: i for i, t in enumerate(sorted(d.types))}
-        code = F.create_map(*[F.lit(x) for kv in sorted(order.items()) for x in (kv[0], str(kv[1]))])[F.col("type")] if order else F.lit("0")
-        return s.select("timeline", "seq", F.concat_ws(" ", F.col("delta").cast("string"), F.coalesce(code, F.lit("_")), *map(number, FIELDS[2:])).alias("line"))
+        s = s.join(d.numbers.withColumnRenamed("number", "type number"), "type", "left")
+        return s.select("timeline", "seq", F.concat_ws(" ", F.col("delta").cast("string"), number("type number"), *map(number, FIELDS[2:])).alias("line"))
     raise ValueError(f"unknown codec {codec}")
 
 
@@ -209,12 +223,10 @@ def decode(lines: DataFrame, codec: str, d: Dictionary | None = None, events_def
     p = lines.withColumn("p", F.split("line", " "))
     at = lambda i: F.get("p", F.lit(i))
     if codec == "E":
-        code = F.create_map(*[F.lit(x) for i, t in enumerate(sorted(d.types)) for x in (str(i), t)]) if d.types else F.create_map(F.lit("_"), F.lit(None).cast("string"))
-        a = p.select("timeline", "seq", at(0).cast("long").alias("delta"), code[at(1)].alias("type"), *[F.nullif(at(i), F.lit("_")).alias(c) for i, c in enumerate(FIELDS) if i > 1])
-        return longs(delta_decode(a))
-    types = F.create_map(*[F.lit(x) for t, c in sorted(d.types.items()) for x in (c, t)])
+        a = p.select("timeline", "seq", at(0).cast("long").alias("delta"), F.nullif(at(1), F.lit("_")).cast("long").alias("number"), *[F.nullif(at(i), F.lit("_")).alias(c) for i, c in enumerate(FIELDS) if i > 1])
+        return longs(delta_decode(a.join(d.numbers, "number", "left")))
     pair = F.split(at(3), ">")
-    a = p.select("timeline", "seq", F.regexp_replace(at(0), "^\\+", "").cast("long").alias("delta"), at(1).alias("source"), F.coalesce(types[at(2)], at(2)).alias("type"), F.get(pair, F.lit(0)).alias("ability"), F.get(pair, F.lit(1)).alias("target"), F.nullif(at(4), F.lit("-")).cast("long").alias("amount"))
+    a = p.select("timeline", "seq", F.regexp_replace(at(0), "^\\+", "").cast("long").alias("delta"), at(1).alias("source"), d.type_of(at(2)).alias("type"), F.get(pair, F.lit(0)).alias("ability"), F.get(pair, F.lit(1)).alias("target"), F.nullif(at(4), F.lit("-")).cast("long").alias("amount"))
     a = a.join(d.abilities.withColumnRenamed("symbol", "ability"), "ability", "left")
     for side in ("source", "target"):
         who = d.actors.select("timeline", F.col("symbol").alias(side), F.col("actor").alias(f"{side}_id"), F.col("instance").alias(f"{side}_instance"))
