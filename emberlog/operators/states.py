@@ -59,3 +59,18 @@ def outcomes(moments: DataFrame, happened: DataFrame, by: list[str], key: str, h
     zero = F.get("at", F.lit(0))
     one = met.select(*by, F.col("key"), "from_ms", "end_ms", zero.alias("zero"), F.explode(F.slice("at", 2, len(horizons))).alias("x"))
     return one.select(*by, F.col("key").alias(key), F.col("x.horizon_ms").alias("horizon_ms"), (F.col("x.until_ms") - F.col("from_ms")).alias("actual_ms"), (F.coalesce(F.col("from_ms") + F.col("x.horizon_ms") > F.col("end_ms"), F.lit(False))).alias("truncated"), *[(F.col(f"x.{n}") - F.col(f"zero.{n}")).alias(n) for n in names])
+
+
+def around(moments: DataFrame, happened: DataFrame, by: list[str], key: str, windows: list[int], components: dict[str, str], stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """One row per moment and window: (``by``, key, window_ms, the components), sums over what happened at most
+    ``window_ms`` before or after the moment, both ends and the moment itself included. As in :func:`outcomes`
+    each is the difference of two running sums. A moment without a time has no row."""
+    names = list(components)
+    edges = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("window_ms"), F.lit(side).alias("side")) for w in windows for side in (0, 1)]))
+    m = moments.where("rel_ms is not null").select(*by, F.col(key).alias("key"), "rel_ms", edges.alias("edge"))
+    at = F.when(F.col("edge.side") == 0, F.col("rel_ms") - F.col("edge.window_ms") - 1).otherwise(F.col("rel_ms") + F.col("edge.window_ms"))
+    probes = m.select(*by, at.alias("rel_ms"), F.lit(1).alias("kind"), "key", "edge.window_ms", "edge.side", *[F.lit(0).cast("long").alias(n) for n in names])
+    facts = happened.where("rel_ms is not null").select(*by, "rel_ms", F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(n) for n, c in components.items()])
+    summed = running(facts.unionByName(probes, allowMissingColumns=True), by, ["rel_ms", "kind"], {n: F.col(n) for n in names}, stretch_ms).where("kind = 1")
+    signed = lambda n: F.sum(F.when(F.col("side") == 1, F.col(n)).otherwise(-F.col(n)))
+    return summed.groupBy(*by, "key", "window_ms").agg(*[signed(n).alias(n) for n in names]).withColumnRenamed("key", key)

@@ -52,6 +52,17 @@ def _(spark, sf):
     return states.outcomes(_moments(spark, sf), happened, ["run_id"], "event_id", [HOUR, DAY, 7 * DAY], {"deaths": "died", "damage": "hurt"}, "end_ms", STRETCH)
 
 
+@query(
+    "state_windows",
+    f""", mo as (select run_id, event_id, rel_ms from ev where type = 'error')
+select mo.run_id, event_id, w as window_ms, (select count(*) from ev x where x.run_id = mo.run_id and x.type = 'signup' and abs(x.rel_ms - mo.rel_ms) <= w) as deaths,
+  (select count(*) from ev x where x.run_id = mo.run_id and x.type = 'click' and abs(x.rel_ms - mo.rel_ms) <= w) as casts from mo, (values ({HOUR}::bigint), ({3 * HOUR}), ({5 * HOUR})) t(w)""",
+)
+def _(spark, sf):
+    happened = B.events(spark, sf).select("run_id", "rel_ms", F.expr("int(type = 'signup')").alias("died"), F.expr("int(type = 'click')").alias("cast"))
+    return states.around(_moments(spark, sf), happened, ["run_id"], "event_id", [HOUR, 3 * HOUR, 5 * HOUR], {"deaths": "died", "casts": "cast"}, STRETCH)
+
+
 # --- casts -------------------------------------------------------------------
 
 CAST = ["run_id", "source_instance", "ability"]

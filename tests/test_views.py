@@ -90,6 +90,15 @@ def test_outcomes_as_brute_force(spark):
             assert (r.damage, r.deaths, r.actual_ms, r.truncated) == (sum(x[2] for x in inside), sum(x[3] or 0 for x in inside), until - t, end is not None and t + h > end)
 
 
+def test_windows_around_moments(spark):
+    rng = random.Random(16)
+    facts = [(rng.choice([1, 2]), rng.randint(0, 300), rng.randint(-5, 9)) for _ in range(200)]
+    moments = [(rng.choice([1, 2, 3]), rng.randint(0, 300), i) for i in range(60)] + [(1, None, 99)]
+    f, m = spark.createDataFrame(facts, "run_id long, rel_ms long, hurt long"), spark.createDataFrame(moments, "run_id long, rel_ms long, id long")
+    got = {(r.id, r.window_ms): r.damage for r in states.around(m, f, ["run_id"], "id", [0, 3, 50], {"damage": "hurt"}, stretch_ms=20).collect()}
+    assert got == {(i, w): sum(x[2] for x in facts if x[0] == run and abs(x[1] - t) <= w) for run, t, i in moments if t is not None for w in (0, 3, 50)}
+
+
 def test_each_event_is_in_one_link(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([1, 2]), rng.choice([None, 1]), rng.randint(0, 60), rng.choice("sie")) for i in range(300)]
