@@ -205,12 +205,12 @@ def _(spark, sf):
 
 def _packs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pulls = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pull_id"), F.expr("case when o_orderkey % 41 = 0 then null else o_orderpriority end").alias("dungeon_key"))
-    npcs = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull_id"), (F.col("l_partkey") % 60).alias("npc_game_id"), F.expr("case when l_linenumber % 4 = 0 then null else 1 + cast(l_quantity as bigint) % 3 end").alias("instance_count"))
+    npcs = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull_id"), (F.col("l_partkey") % 200).alias("npc_game_id"), F.expr("case when l_linenumber % 4 = 0 then null else 1 + cast(l_quantity as bigint) % 3 end").alias("instance_count"))
     return pulls, npcs
 
 
 _PACKS = """
-, ee as (select l_orderkey as pull_id, l_partkey % 60 as npc, cast(sum(case when l_linenumber % 4 = 0 then 1 else 1 + cast(l_quantity as bigint) % 3 end) as bigint) as n from lineitem group by 1, 2),
+, ee as (select l_orderkey as pull_id, l_partkey % 200 as npc, cast(sum(case when l_linenumber % 4 = 0 then 1 else 1 + cast(l_quantity as bigint) % 3 end) as bigint) as n from lineitem group by 1, 2),
 ph as (select pull_id, list(struct_pack(npc_game_id := npc, n := n) order by npc) as sp, cast(sum(n) as bigint) as size from ee group by 1),
 pn as (select o_orderkey as pull_id, case when o_orderkey % 41 = 0 then null else o_orderpriority end as dungeon, sp, size,
   sha256('{"dungeon_key":' || coalesce('"' || case when o_orderkey % 41 = 0 then null else o_orderpriority end || '"', 'null') || ',"species":[' || array_to_string(list_transform(sp, lambda x: '{"npc_game_id":' || x.npc_game_id || ',"n":' || x.n || '}'), ',') || ']}') as node
