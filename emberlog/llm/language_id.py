@@ -31,6 +31,8 @@ from emberlog.llm.common import drop_scratch, enter, materialize, small_batches,
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
+#: Labels up to which the table of their shares, a short row each, is sent to every task.
+BROADCAST_LABELS = 10_000
 #: Labels of which a broadcast matrix holds the columns (256 KB each).
 TOGETHER = 64
 UNKNOWN = "und"
@@ -148,7 +150,7 @@ class Model:
         if not names:
             return Model([], np.zeros(0), lambda a, z: np.zeros((0, BUCKETS), np.float32))
         shares = spark.createDataFrame([(x, i, min(1_000_000, -(-sample_per_label * 1_000_000 // n))) for i, (x, n) in enumerate(sizes.items())], "label string, number int, share int")
-        sample = known.join(shares, "label").where("draw < share").select("number", "text")
+        sample = known.join(F.broadcast(shares) if len(names) <= BROADCAST_LABELS else shares, "label").where("draw < share").select("number", "text")
         sample = sample.repartition(max(1, sum(min(n, sample_per_label) for n in sizes.values()) // 500))
 
         def count(batches):
