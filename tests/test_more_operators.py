@@ -207,3 +207,30 @@ def test_guard_waits_or_gives_up():
     g.acquire(sleep=slept.append)
     now[0] = 40.0
     assert g.delay() == 1.0 and slept == [31.0]
+
+
+def test_logs_are_redacted():
+    import logging
+
+    seen = []
+    handler = logging.Handler()
+    handler.emit = lambda record: seen.append(logging.Formatter().format(record))
+    log = logging.Logger("emberlog.example")
+    log.addHandler(handler)
+    driver.Redactor(("hidden-key",)).install(log)
+    log.info("key %s of %d", "hidden-key", 5)
+    log.info("Bearer abcdefghijkl")
+    log.info("plain")
+    assert seen == ["key [REDACTED] of 5", "Bearer [REDACTED]", "plain"]
+
+
+def test_guard_waits_for_the_reserve_and_for_what_it_was_told():
+    clock = [100.0]
+    guard = driver.Guard(reserve=200, clock=lambda: clock[0])
+    assert guard.delay() == 0
+    guard.observe(driver.Budget.parse({"limitPerHour": 3600, "pointsSpentThisHour": 3500, "pointsResetIn": 60}))
+    assert guard.delay() == 61
+    clock[0] = 130.0
+    assert guard.delay() == 31
+    guard.hold(500)
+    assert guard.delay() == 500
