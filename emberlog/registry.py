@@ -872,4 +872,4 @@ def _(spark, sf):
     return B.table(spark, sf, "documents").select("source", "doc_id", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("rank"))
 
 
-from emberlog import registry_codecs, registry_ingest, registry_stores, registry_views  # noqa: E402, F401  register their queries here
+from emberlog import registry_codecs, registry_ingest, registry_models, registry_stores, registry_views  # noqa: E402, F401  register their queries here
