@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.session import shared_folder
+from emberlog.session import drop_scratch, materialize, scratch_path, shared_folder  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +25,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 _BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
@@ -46,24 +36,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(batch, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files
-    that outlive any executor, and later readers see one fixed set of rows."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` whose readers have all run."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 _HELD: dict[str, object] = {}
 
 

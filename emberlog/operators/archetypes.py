@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.operators.duplicates import connected
-from emberlog.session import use_checkpoints
+from emberlog.session import materialize
 
 NUM, DEN = 4, 5
 _ENTRY = "array<struct<npc_game_id:long,n:long>>"
@@ -73,9 +73,8 @@ def archetypes(pulls: DataFrame, npcs: DataFrame, num: int = NUM, den: int = DEN
     whether the pull is it (exact), has its species in other numbers (species) or is merely near (fuzzy), and how
     far from it (1 less the share of weight in common, six places). Of equal medoids the smallest id counts."""
     of, nodes = compositions(pulls, npcs)
-    use_checkpoints(nodes.sparkSession)
-    nodes = nodes.checkpoint()
-    links = similar(nodes, num, den).checkpoint()
+    nodes = materialize(nodes, "nodes")
+    links = materialize(similar(nodes, num, den), "likenesses")
     label = connected(links.select("a", "b"))
     likeness = F.round(F.col("shared") / F.col("either"), 6)
     both = links.select("a", "b", likeness.alias("s")).unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), likeness.alias("s")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.session import use_checkpoints
+from emberlog.session import drop_scratch, materialize
 
 TOLERANCE_MS = 5 * 60 * 1000
 MIN_CONFIDENCE, MIN_ROSTER_OVERLAP = 0.5, 0.6
@@ -81,19 +81,26 @@ def groups(runs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(member, label) by label propagation with pointer jumping; the label is the smallest member.
+    """(member, label) by hooking and pointer jumping; the label is the smallest member.
 
-    Lineage is cut by a checkpoint in the shared folder each round.
+    In a round a member takes the smallest label next to it, the member that is its label takes
+    the smallest one next to any that bear it, and each then takes its label's own label, so
+    a long chain needs about as many rounds as its length has binary digits. Lineage is cut by a
+    table in the shared folder each round.
     """
-    use_checkpoints(links.sparkSession)
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "member").checkpoint()
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = materialize(links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way")).select("way.*").distinct(), "links")
+    label = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "member"), "labels")
     while True:
         near = both.join(label.select(F.col("member").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = label.join(near.withColumnRenamed("a", "member"), "member").select("member", F.least("label", "near").alias("step"))
+        seen = label.join(near.withColumnRenamed("a", "member"), "member").select("member", F.col("label").alias("was"), F.least("label", "near").alias("own"))
+        hook = seen.groupBy("was").agg(F.min("own").alias("hook")).withColumnRenamed("was", "member")
+        step = seen.join(hook, "member", "left").select("member", "was", F.least("own", "hook").alias("step"))
         # a label's own label may be smaller by now
         hop = step.select(F.col("member").alias("step"), F.col("step").alias("further"))
-        after = step.join(hop, "step").select("member", F.least("step", "further").alias("label")).checkpoint()
-        if after.join(label.withColumnRenamed("label", "old"), "member").where("label <> old").isEmpty():
-            return after
-        label = after
+        after = materialize(step.join(hop, "step").select("member", F.least("step", "further").alias("label"), "was"), "labels")
+        drop_scratch(label)
+        label = after.select("member", "label")
+        if after.where("label <> was").isEmpty():
+            drop_scratch(both)
+            return label

@@ -251,3 +251,12 @@ def test_focus_actor_takes_the_first_candidate(spark):
     roster = a.select("run_id", "actor_id")
     assert {tuple(r) for r in lookups.focus_actor(a, roster, ["n1", "n2"]).collect()} == {("r", 2), ("q", 3)}
     assert lookups.focus_actor(a, roster, []).count() == 0
+
+
+def test_connected_over_many_rounds(spark):
+    """Size estimates that every round multiplied took all of the driver's heap after a dozen rounds."""
+    n, m = 3000, 10007
+    links = spark.range(n).select((F.col("id") * 7919 % m).alias("a"), ((F.col("id") + 1) * 7919 % m).alias("b"))
+    label = duplicates.connected(links)
+    assert int(str(label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**63
+    assert label.agg(F.count("*"), F.min("label"), F.max("label")).first() == (n + 1, 0, 0)
