@@ -41,31 +41,57 @@ def shared(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda total, x: total + F.least(x["n"], F.coalesce(F.try_element_at(other, x["npc_game_id"]), F.lit(0))))
 
 
+#: Species that two compositions meet by: the first ones they share.
+_MEET = 3
+
+
+def _keys(slack: Column) -> Column:
+    """Which species a composition may share first with one that it is alike to: every choice of ``_MEET``, in order of
+    rarity, that passes over no more weight than ``slack`` before its last, and every smaller one that leaves out no more."""
+    size, ordered = F.col("size"), F.col("ordered")
+
+    def longer(paths: Column) -> Column:
+        after = lambda p: F.filter(ordered, lambda x: (x["left"] < p["left"]) & (size - x["left"] - p["held"] <= slack))
+        one = lambda p: F.transform(after(p), lambda x: F.struct(F.concat(p["names"], F.array(x["npc_game_id"])).alias("names"), (p["held"] + x["n"]).alias("held"), x["left"].alias("left")))
+        return F.flatten(F.transform(paths, one))
+
+    zero = F.lit(0).cast("long")
+    paths = [F.array(F.struct(F.array().cast("array<long>").alias("names"), zero.alias("held"), (size + 1).alias("left")))]
+    for _ in range(_MEET):
+        paths.append(longer(paths[-1]))
+    whole = F.filter(F.flatten(F.array(*paths[1:-1])), lambda p: size - p["held"] <= slack)
+    return F.transform(F.concat(whole, paths[-1]), lambda p: p["names"])
+
+
 def similar(nodes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b, shared, either) of the compositions a < b that are alike, each pair once."""
     spread = nodes.select("node", "dungeon_key", "size", F.explode("species").alias("x")).select("node", "dungeon_key", "size", "x.npc_game_id", "x.n")
     rarity = spread.groupBy("npc_game_id").agg(F.count("*").alias("seen"))
-    ordered = W.partitionBy("node").orderBy(F.col("seen").desc(), F.col("npc_game_id").desc())
-    left = F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))  # of this species and those behind it
-    entry = spread.join(rarity, "npc_game_id").withColumn("left", left).where(den * F.col("left") >= num * F.col("size"))
-    key = F.struct("seen", "npc_game_id")
-    prefix = entry.groupBy("node").agg(F.array_sort(F.collect_list(key)).alias("prefix"))
-    # sizes that can be alike lie in the same band of sizes or the next
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    post = entry.select("node", "dungeon_key", "npc_game_id", "size", "left", band.alias("band"))
-    one = post.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
-    near = (F.col("a_dungeon_key").eqNullSafe(F.col("b_dungeon_key"))) & (F.col("a_npc_game_id") == F.col("b_npc_game_id")) & (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node"))
-    # behind the first species in common lies all that the two share
-    enough = (num + den) * F.least("a_left", "b_left") >= num * (F.col("a_size") + F.col("b_size"))
-    fits = (den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size")) & enough
-    met = side(one, "a").join(side(post, "b"), near).where(fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_npc_game_id").alias("npc"), "a_size", "b_size")
-    full = nodes.select("node", "species").join(prefix, "node")
-    met = met.join(side(full, "x"), F.col("a") == F.col("x_node")).join(side(full, "y"), F.col("b") == F.col("y_node"))
-    first = F.array_min(F.array_intersect("x_prefix", "y_prefix"))["npc_game_id"]
-    both = shared(F.col("x_species"), F.col("y_species"))
-    found = met.where(first == F.col("npc")).withColumn("shared", both).withColumn("either", F.col("a_size") + F.col("b_size") - F.col("shared"))
-    return found.where(den * F.col("shared") >= num * F.col("either")).select("a", "b", "shared", "either")
+    entry = F.struct("seen", "npc_game_id", "n")
+    held = spread.join(rarity, "npc_game_id").groupBy("node").agg(F.first("dungeon_key").alias("dungeon_key"), F.first("size").alias("size"), F.array_sort(F.collect_list(entry)).alias("species"))
+    names, counts = F.col("species")["npc_game_id"], F.col("species")["n"]
+    # weight of each species and those behind it, in order of rarity
+    left = lambda i: F.aggregate(F.slice(counts, i + 1, F.size(counts)), F.lit(0).cast("long"), lambda t, n: t + n)
+    ordered = F.transform("species", lambda x, i: F.struct(x["npc_game_id"].alias("npc_game_id"), x["n"].alias("n"), left(i).alias("left")))
+    slack = F.floor((den - num) * F.col("size") / den)
+    keyed = held.withColumn("ordered", ordered).select(F.unhex("node").alias("node"), "dungeon_key", "size", names.alias("names"), counts.alias("counts"), _keys(slack).alias("keys"))
+    # sizes that can be alike have as many binary digits, but for those around a power of two
+    digits = lambda n: F.length(F.bin(n))
+    meeting = lambda dungeon, key, size: F.xxhash64(dungeon.isNull(), dungeon, F.size(key), key, digits(size))
+    bands = F.sequence(digits(F.ceil(num * F.col("size") / den)), digits(F.col("size")))
+    found = lambda key, band: F.xxhash64(F.col("dungeon_key").isNull(), F.col("dungeon_key"), F.size(key), key, band)
+    own = F.transform("keys", lambda key: found(key, digits(F.col("size"))))
+    near = F.flatten(F.transform("keys", lambda key: F.transform(bands, lambda band: found(key, band))))
+    side = lambda s, at: keyed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "dungeon_key", "size", "names", "counts")], F.explode(F.array_distinct(at)).alias("at"))
+    fits = (F.col("x_size") < F.col("y_size")) | (F.col("x_size") == F.col("y_size")) & (F.col("x_node") < F.col("y_node"))
+    fits = fits & (den * F.col("x_size") >= num * F.col("y_size")) & F.col("x_dungeon_key").eqNullSafe(F.col("y_dungeon_key"))
+    met = side("x", own).join(side("y", near), "at").where(fits)
+    # of all the places where two may meet, only that of the species they do share first counts
+    common = F.slice(F.filter("x_names", lambda npc: F.array_contains("y_names", npc)), 1, _MEET)
+    both = F.aggregate(F.arrays_zip(F.col("x_names").alias("npc"), F.col("x_counts").alias("n")), F.lit(0).cast("long"), lambda t, x: t + F.least(x["n"], F.coalesce(F.get("y_counts", F.array_position("y_names", x["npc"]).cast("int") - 1), F.lit(0))))
+    alike = met.where(F.col("at") == meeting(F.col("x_dungeon_key"), common, F.col("x_size"))).withColumn("shared", both).withColumn("either", F.col("x_size") + F.col("y_size") - F.col("shared"))
+    name = lambda pick: F.lower(F.hex(pick("x_node", "y_node")))
+    return alike.where(den * F.col("shared") >= num * F.col("either")).select(name(F.least).alias("a"), name(F.greatest).alias("b"), "shared", "either")
 
 
 def archetypes(pulls: DataFrame, npcs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -1,6 +1,7 @@
 """Interval bins, lossless extras, states, outcomes, casts and keyed names in their edge cases."""
 
 import hmac
+import itertools
 import json
 import random
 from datetime import datetime, timedelta, timezone
@@ -207,3 +208,18 @@ def test_iso_instants(spark):
         want.append(int(((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1) // 1000))
     df = spark.createDataFrame(list(enumerate(good + bad)), "i int, t string")
     assert [r.at for r in df.select("i", text.iso_millis(F.col("t")).alias("at")).orderBy("i").collect()] == want + [None] * len(bad)
+
+
+def test_likenesses_dont_shuffle_what_shares_one_species(spark):
+    """Compositions that have a species in common but aren't alike used to be shuffled as pairs, twice."""
+    sets = [{x: n, y: 2, z: 2} for x, y, z in itertools.combinations(range(22), 3) for n in (2, 3)]
+    rows = [(f"{i:064x}", "d", sorted(s.items()), sum(s.values()), 1) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node string, dungeon_key string, species array<struct<npc_game_id:long,n:long>>, size long, pulls long")
+    of = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    settled = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    settled()
+    before = of()
+    got = {(r.a, r.b, r.shared, r.either) for r in archetypes.similar(nodes).collect()}
+    settled()
+    assert got == {(f"{i:064x}", f"{i + 1:064x}", 6, 7) for i in range(0, len(sets), 2)}
+    assert of() - before < 3_000_000
