@@ -6,16 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A text has a character for each byte in this charset.
+_BYTES = "ISO-8859-1"
+#: Stands for a zero byte, since translate() deletes what it should turn into one.
+_ZERO = "\u0100"
+
+
 def hmac_sha256(key: Column, message: Column) -> Column:
     """HMAC-SHA256 in hexadecimal out of built-in functions: null if key or message is. A key of more than
-    a block of 64 bytes stands for its digest; the pads are the key's bytes, one by one, against a fixed byte."""
+    a block of 64 bytes stands for its digest; the pads are the key's bytes, translated at once by a table of all bytes."""
     key, message = key.cast("binary"), message.cast("binary")
     short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
-    digits = F.rpad(F.hex(short), 128, "0")
+    block = F.rpad(F.decode(short, _BYTES), 64, "\0")
 
     def padded(byte: int) -> Column:
-        one = lambda i: F.lpad(F.hex(F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(byte)).cast("long")), 2, "0")
-        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), one), ""))
+        turned = F.translate(block, "".join(map(chr, range(256))), "".join(chr(i ^ byte) if i != byte else _ZERO for i in range(256)))
+        return F.encode(F.replace(turned, F.lit(_ZERO), F.lit("\0")), _BYTES)
 
     inner = F.unhex(F.sha2(F.concat(padded(0x36), message), 256))
     return F.when(key.isNotNull() & message.isNotNull(), F.sha2(F.concat(padded(0x5C), inner), 256))

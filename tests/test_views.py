@@ -142,6 +142,14 @@ def test_keyed_names_are_hmac(spark, size):
     assert df.select(keyed.hmac_sha256(F.lit(None), F.col("m"))).first()[0] is None
 
 
+def test_keyed_names_are_made_without_a_step_for_each_byte(spark):
+    """Every byte as a key, those that a pad turns into zero too; a lambda run for each byte took minutes over a million names."""
+    keys = [bytes(range(i, i + 64)) for i in range(0, 256, 64)] + [b"\x36" * 64, b"\x5c" * 64, "\u0100\u0136".encode()]
+    df = spark.createDataFrame([(bytearray(k),) for k in keys], "k binary").select(keyed.hmac_sha256(F.col("k"), F.lit("m")))
+    assert [r[0] for r in df.collect()] == [hmac.new(k, b"m", "sha256").hexdigest() for k in keys]
+    assert "lambda" not in df._jdf.queryExecution().toString()
+
+
 def test_rates_sum_to_one(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(rng.choice([1, 2, None]), rng.choice("ab"), rng.choice([None, "x", "y"]), 5) for _ in range(100)], "actor long, type string, hit string, same long")
