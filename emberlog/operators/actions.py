@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.duplicates import connected
+from emberlog.session import materialize
 
 #: The part that an event type plays in an action, most telling first.
 ROLES = {
@@ -59,6 +60,7 @@ def mapping(abilities: DataFrame, pairs: DataFrame, manual: DataFrame | None = N
         own = manual.where("ability is not null").groupBy("ability").agg(F.min("action_id").alias("manual_id"))
         for side in ("ability_a", "ability_b"):
             claims = claims.join(own.select(F.col("ability").alias(side)), side, "left_anti")
+    claims = materialize(claims, "claims")  # few rows, read more than once, out of a large join
     label = connected(claims.select(F.col("ability_a").alias("a"), F.col("ability_b").alias("b")))
     evidence = claims.join(label.select(F.col("member").alias("ability_a"), "label"), "ability_a").groupBy("label").agg(
         F.count("*").alias("claims"), F.min(F.least("rate_a", "rate_b")).alias("least_rate"), F.min(F.least("matched_a", "matched_b")).alias("matched")

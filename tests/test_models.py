@@ -155,3 +155,17 @@ def test_a_hot_partition_lies_in_many_files(spark, tmp_path):
 def test_an_empty_projection(spark, tmp_path):
     projection.build(table(spark).limit(0), str(tmp_path), ["k"], ["n"])
     assert projection.read(spark, str(tmp_path)).count() == 0 and projection.drifted(spark, str(tmp_path)).count() == 0
+
+
+def test_mapping_makes_its_pairs_once(spark):
+    """The pairs come out of a large join, which every use of the claims ran again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(rate):
+        made.add(1)
+        return rate
+
+    pairs = spark.createDataFrame([(1, 2, 9, 8, 1.0, 1.0, 1.0), (2, 3, 9, 8, 1.0, 1.0, 1.0)], PAIR).withColumn("rate_a", counted.asNondeterministic()("rate_a"))
+    assert actions.mapping(spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "ability long"), pairs).count() == 4
+    assert made.value == 2
