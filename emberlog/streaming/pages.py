@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -61,38 +62,49 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(manifest(spark, path).select("stream", "page_index", "batch"), ["stream", "page_index", "batch"], "left_semi").select("stream", "page_index", "seq_in_page", "raw", "fingerprint")
 
 
+#: Rows of a batch that the processor holds in memory; beyond them pages go to the state.
+HELD_ROWS = 20_000
+#: What the processor is given and returns, as JSON, since a frame of pandas has no null numbers.
+_SENT, _TOLD = ("seq_in_page", "rel_ms", "raw", "next_cursor_ms"), "seq_in_page long, rel_ms long, raw string, note string"
+_FRAME = "stream string, page_index long, row string"
+
+
 class Boundaries(StatefulProcessor):
     """Events of a stream, page by page in order, without what a boundary sent again.
 
-    State: a value with the next page, the cursor and the timer; a map of how many copies of each
-    event were emitted at the cursor (a row at that time goes only while an emitted copy is
-    left); and a map of pages that came before their turn, one entry each. If a page stays
-    away for ``gap_ms`` while later ones wait, a row with the note ``gap`` tells so and the
+    State: a value with the next page, the cursor, the timer and the number of batches so far; a map of
+    how many copies of each event were emitted at the cursor (a row at that time goes only while an
+    emitted copy is left); and pages that came before their turn, in parts, with the number of
+    each page's parts and the batch that it came in. A batch of more than ``held_rows`` rows of a stream
+    goes through these too, so that a worker holds so many rows, a page and a frame at most. If a page
+    stays away for ``gap_ms`` while later ones wait, a row with the note ``gap`` tells so and the
     next page that is there goes on, so what waits doesn't grow for ever.
     """
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+    def __init__(self, gap_ms: int, held_rows: int = HELD_ROWS):
+        self.gap_ms, self.held_rows = gap_ms, held_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next_page long, cursor_ms long, timer_ms long")
+        self.place = handle.getValueState("place", "next_page long, cursor_ms long, timer_ms long, batches long")
         self.copies = handle.getMapState("copies", "raw string", "n long")
-        self.waiting = handle.getMapState("waiting", "page_index long", "page string")
+        self.parts = handle.getMapState("parts", "page_index long", "n long, batch long")
+        self.waiting = handle.getMapState("waiting", "page_index long, part long", "page string")
 
-    def _page(self, rows: list) -> Iterator[tuple]:
-        """The new events of a page, in order; moves the cursor on. ``rows`` are (seq, rel_ms, raw, next_cursor_ms)."""
+    def _page(self, rows: list[dict]) -> list[tuple]:
+        """The new events of a page, in order; moves the cursor on."""
         left: dict[str, int] = {}
         kept = []
-        for seq, at, raw, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for r in sorted((r for r in rows if r.get("seq_in_page") is not None), key=lambda r: r["seq_in_page"]):
+            at, raw = r.get("rel_ms"), r.get("raw")
             if self.cursor is not None and at == self.cursor and raw is not None:
                 if raw not in left:
                     left[raw] = self.copies.getValue((raw,))[0] if self.copies.containsKey((raw,)) else 0
                 if left[raw] > 0:
                     left[raw] -= 1
                     continue
-            kept.append((seq, at, raw))
-        after = rows[0][3]
+            kept.append((r["seq_in_page"], at, raw))
+        after = rows[0].get("next_cursor_ms")
         if after is not None:
             if after != self.cursor:
                 self.copies.clear()
@@ -101,53 +113,80 @@ class Boundaries(StatefulProcessor):
                     n = self.copies.getValue((raw,))[0] if self.copies.containsKey((raw,)) else 0
                     self.copies.updateValue((raw,), (n + 1,))
             self.cursor = after
-        yield from kept
-
-    def _going_on(self, key: str, pages: dict[int, list]) -> Iterator[Row]:
-        """Emits all pages whose turn it is, out of those given and those that wait."""
-        while True:
-            if self.next_page in pages:
-                rows = pages.pop(self.next_page)
-            elif self.waiting.exists() and self.waiting.containsKey((self.next_page,)):
-                rows = json.loads(self.waiting.getValue((self.next_page,))[0])
-                self.waiting.removeKey((self.next_page,))
-            else:
-                return
+        return kept
+
+    def _wait(self, pages: dict[int, list[str]]) -> None:
+        """Put pages, or parts of them, into the state; one that waits since an earlier batch is there whole."""
+        for index, rows in pages.items():
+            n, batch = self.parts.getValue((index,)) if self.parts.containsKey((index,)) else (0, self.batches)
+            if batch == self.batches:
+                self.waiting.updateValue((index, n), (json.dumps(rows),))
+                self.parts.updateValue((index,), (n + 1, batch))
+
+    def _next(self, pages: dict[int, list[str]]) -> list[str] | None:
+        """The rows of the page whose turn it is, out of those given or those that wait."""
+        given = pages.pop(self.next_page, None)
+        if not self.parts.containsKey((self.next_page,)):
+            return given
+        rows: list[str] = []
+        for part in range(self.parts.getValue((self.next_page,))[0]):
+            rows += json.loads(self.waiting.getValue((self.next_page, part))[0])
+            self.waiting.removeKey((self.next_page, part))
+        self.parts.removeKey((self.next_page,))
+        return rows
+
+    def _going_on(self, key: str, pages: dict[int, list[str]]) -> Iterator[pd.DataFrame]:
+        """Emits all pages whose turn it is."""
+        while (rows := self._next(pages)) is not None:
             index, self.next_page = self.next_page, self.next_page + 1
-            for seq, at, raw in self._page(rows):
-                yield Row(stream=key, page_index=index, seq_in_page=seq, rel_ms=at, raw=raw, note=None)
+            if kept := self._page([json.loads(r) for r in rows]):
+                yield self._frame(key, index, kept)
+
+    def _frame(self, key: str, index: int, rows: list[tuple], note: str | None = None) -> pd.DataFrame:
+        told = [json.dumps({"seq_in_page": seq, "rel_ms": at, "raw": raw, "note": note}) for seq, at, raw in rows]
+        return pd.DataFrame({"stream": key, "page_index": index, "row": told})
 
     def _open(self) -> int | None:
-        self.next_page, self.cursor, timer = self.place.get() if self.place.exists() else (0, None, None)
+        self.next_page, self.cursor, timer, self.batches = self.place.get() if self.place.exists() else (0, None, None, 0)
         return timer
 
     def _close(self, timer: int | None, moved: bool, now: int) -> None:
-        waits = self.waiting.exists() and next(iter(self.waiting.keys()), None) is not None
+        waits = next(iter(self.parts.keys()), None) is not None if self.parts.exists() else False
         if timer is not None and (moved or not waits):
             self.handle.deleteTimer(timer)
             timer = None
         if waits and timer is None:
             timer = now + self.gap_ms
             self.handle.registerTimer(timer)
-        self.place.update((self.next_page, self.cursor, timer))
+        self.place.update((self.next_page, self.cursor, timer, self.batches))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         timer = self._open()
-        pages: dict[int, list] = {}
-        for r in rows:
-            if r.page_index >= self.next_page:
-                pages.setdefault(r.page_index, []).append((r.seq_in_page, r.rel_ms, r.raw, r.next_cursor_ms))
+        self.batches += 1
+        pages: dict[int, list[str]] = {}
+        held, spilled = 0, False
+        for frame in rows:
+            for index, row in zip(frame["page_index"].tolist(), frame["row"]):
+                if index < self.next_page:
+                    continue
+                pages.setdefault(index, []).append(row)
+                held += 1
+                if held >= self.held_rows:
+                    self._wait(pages)
+                    pages, held, spilled = {}, 0, True
+        if spilled:
+            self._wait(pages)
+            pages = {}
         before = self.next_page
         yield from self._going_on(key[0], pages)
-        for index, page in pages.items():
-            self.waiting.updateValue((index,), (json.dumps(page),))
+        self._wait(pages)
         self._close(timer, self.next_page > before, timerValues.getCurrentProcessingTimeInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._open()
-        there = min((k[0] for k in self.waiting.keys()), default=None) if self.waiting.exists() else None
+        there = min((k[0] for k in self.parts.keys()), default=None) if self.parts.exists() else None
         if there is not None:
-            yield Row(stream=key[0], page_index=self.next_page, seq_in_page=None, rel_ms=None, raw=None, note="gap")
+            yield self._frame(key[0], self.next_page, [(None, None, None)], "gap")
             self.next_page, self.cursor = there, None
             self.copies.clear()
             yield from self._going_on(key[0], {})
@@ -157,14 +196,16 @@ class Boundaries(StatefulProcessor):
         pass
 
 
-def without_repeats(pages: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+def without_repeats(pages: DataFrame, gap_ms: int = GAP_MS, held_rows: int = HELD_ROWS) -> DataFrame:
     """A stream of pages (ROW) without the events that a page boundary sent twice, as multisets.
 
     A page comes whole in one batch, as a file does; one that comes again is passed over. The
     session's state store is set to one that keeps its state on disk.
     """
     pages.sparkSession.conf.set(_STORE, _ROCKS)
-    return pages.groupBy("stream").transformWithState(Boundaries(gap_ms), KEPT, "Append", "ProcessingTime")
+    sent = pages.select("stream", "page_index", F.to_json(F.struct(*_SENT)).alias("row"))
+    told = sent.groupBy("stream").transformWithStateInPandas(Boundaries(gap_ms, held_rows), _FRAME, "Append", "ProcessingTime")
+    return told.withColumn("row", F.from_json("row", _TOLD)).select("stream", "page_index", "row.*")
 
 
 def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,8 @@
 import hashlib
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +189,58 @@ def test_stream_commit_and_windows(spark, tmp_path):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:10", 3), (1, "2024-01-01 00:00:50", 4), (1, "2024-01-01 00:09:00", 5)], "run_id long, at string, amount long").withColumn("at", F.col("at").cast("timestamp"))
     assert sorted((r.events, r.amount) for r in stream.density(e).collect()) == [(1, 5), (2, 7)]
     assert sorted((r.last_at - r.first_at).seconds for r in stream.sessions(e).collect()) == [0, 40]
+
+
+class Kept:
+    """A state variable of the processor that stays in this process; texts that it holds count as on disk."""
+
+    def __init__(self):
+        self.value, self.held = None, {}
+
+    exists = lambda self: self.value is not None or bool(self.held)
+    get = lambda self: self.value
+    containsKey = lambda self, key: key in self.held
+    getValue = lambda self, key: self.held[key]
+    removeKey = lambda self, key: self.held.pop(key)
+    keys = lambda self: iter(self.held)
+    clear = lambda self: self.held.clear()
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+
+class Handle:
+    getValueState = getMapState = lambda self, *_: Kept()
+    registerTimer = deleteTimer = lambda self, _: None
+
+
+class Now:
+    getCurrentProcessingTimeInMs = lambda self: 0
+
+
+@pytest.mark.parametrize("held_rows", [1, 7, 10**6])
+def test_processor_emits_page_by_page(held_rows):
+    """A worker used to hold all that a batch had of a stream, given and emitted; now pages are emitted one
+    at a time, and rows beyond ``held_rows`` wait in the state, wherever a page's rows lie in the batch."""
+    p = stream.Boundaries(10**9, held_rows)
+    p.init(Handle())
+    sent = [(page, json.dumps({"seq_in_page": i, "rel_ms": page * 10 + i, "raw": f"{page}:{i}", "next_cursor_ms": page * 10 + 4})) for page in range(12) for i in range(5)]
+    sent += [(page + 1, json.dumps({"seq_in_page": -1, "rel_ms": page * 10 + 4, "raw": f"{page}:4", "next_cursor_ms": page * 10 + 14})) for page in range(11)]
+    late = [x for x in sent if x[0] == 3]
+    random.Random(held_rows).shuffle(sent)
+    most = []
+
+    def frames():
+        for i in range(0, len(sent), 4):
+            yield pd.DataFrame([x for x in sent[i : i + 4] if x[0] != 3], columns=["page_index", "row"])
+            most.append(len(p.waiting.held))
+
+    got = list(p.handleInputRows(("s",), frames(), Now()))
+    assert [f.page_index.unique().tolist() for f in got] == [[0], [1], [2]] and (max(most) > 0) == (held_rows < 100)
+    again = pd.DataFrame([*late, *[x for x in sent if x[0] == 5]], columns=["page_index", "row"])  # page 5 waits already
+    got += list(p.handleInputRows(("s",), iter([again]), Now()))
+    assert [json.loads(r)["raw"] for f in got for r in f.row] == [f"{page}:{i}" for page in range(12) for i in range(5)]
+    assert not p.parts.held and not p.waiting.held
