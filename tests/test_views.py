@@ -6,6 +6,8 @@ import json
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,33 @@ def test_likenesses_dont_shuffle_what_shares_one_species(spark):
     settled()
     assert got == {(f"{i:064x}", f"{i + 1:064x}", 6, 7) for i in range(0, len(sets), 2)}
     assert of() - before < 3_000_000
+
+
+def test_likenesses_of_any_size_as_brute_force(spark):
+    """A composition used to be dealt out to every place that its own size allowed, whichever size the other one had."""
+    rng = random.Random(3)
+    sets = []
+    for i in range(400):
+        scale = rng.choice([1, 1, 3, 40])
+        base = {s: rng.randint(1, scale) for s in rng.sample(range(30), rng.randint(1, 9))} if i % 4 == 0 else dict(sets[-1][1])
+        if i % 4:
+            for s in rng.sample(sorted(base), rng.randint(0, 1)) + rng.sample(range(30), 1):
+                base[s] = max(0, base.get(s, 0) + rng.choice([-1, 1, 1, -2, 2])) or 1
+        sets.append((rng.choice(["d", "d", None]) if i % 4 == 0 else sets[-1][0], base))
+    comps = sorted({(str(d), tuple(sorted(c.items()))) for d, c in sets})
+    rows = [(f"{i:064x}", None if d == "None" else d, list(c), sum(n for _, n in c), 1) for i, (d, c) in enumerate(comps)]
+    nodes = spark.createDataFrame(rows, "node string, dungeon_key string, species array<struct<npc_game_id:long,n:long>>, size long, pulls long")
+    for num, den in ((4, 5), (1, 2)):
+        want = set()
+        for i, x in enumerate(rows):
+            for y in rows[i + 1 :]:
+                both = sum(min(n, dict(y[2]).get(s, 0)) for s, n in x[2])
+                if x[1] == y[1] and den * both >= num * (x[3] + y[3] - both):
+                    want.add((x[0], y[0], both, x[3] + y[3] - both))
+        got = [tuple(r) for r in archetypes.similar(nodes, num, den).collect()]
+        assert len(got) == len(set(got)) > 100 and set(got) == want
+    dealt = archetypes._dealt
+    light = [r for r in rows if r[3] <= 8]
+    batch = pa.RecordBatch.from_pydict({"node": [r[0].encode() for r in light], "dungeon_key": [r[1] for r in light], "dungeon": [0] * len(light), "species": [[{"npc_game_id": s, "n": n} for s, n in r[2]] for r in light], "size": [r[3] for r in light]})
+    # up to a weight of eight the smaller of two lies in the larger one whole: it has one place
+    assert sum(len(b) for b in dealt(False, np.zeros(archetypes._SLOTS, np.int64), 4, 5)([batch])) == len(light)
