@@ -202,12 +202,17 @@ def archetypes(pulls: DataFrame, npcs: DataFrame, num: int = NUM, den: int = DEN
     label = connected(links.select("a", "b"))
     likeness = F.round(F.col("shared") / F.col("either"), 6)
     both = links.select("a", "b", likeness.alias("s")).unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), likeness.alias("s")))
-    weight = both.join(nodes.select(F.col("node").alias("b"), F.col("pulls").alias("m")), "b").groupBy("a").agg(F.round(F.sum(F.col("s") * F.col("m")), 4).alias("near"))
-    placed = nodes.join(label.withColumnRenamed("member", "node"), "node", "left").join(weight.withColumnRenamed("a", "node"), "node", "left")
-    placed = placed.select("node", "species", "size", "pulls", F.coalesce("label", "node").alias("label"), (F.coalesce("near", F.lit(0.0)) + F.col("pulls")).alias("near"))
+    weight = both.join(nodes.select(F.col("node").alias("b"), F.col("pulls").alias("m")).hint("merge"), "b").groupBy("a").agg(F.round(F.sum(F.col("s") * F.col("m")), 4).alias("near"))
+    named = label.withColumnRenamed("member", "node")
+    # what is like no other composition is its own archetype
+    alone = nodes.join(named, "node", "left_anti").select("node", F.col("node").alias("archetype_id"), F.lit("exact").alias("match_kind"), F.lit(0.0).alias("distance"), F.col("pulls").alias("members"))
+    placed = nodes.hint("merge").join(named, "node").join(weight.withColumnRenamed("a", "node"), "node").select("node", "species", "size", "pulls", "label", (F.col("near") + F.col("pulls")).alias("near"))
+    placed = materialize(placed, "placed")
     best = placed.groupBy("label").agg(F.min(F.struct(-F.col("near"), "node")).alias("top"), F.sum("pulls").alias("members"))
-    medoid = best.select("label", F.col("top.node").alias("archetype_id"), "members").join(nodes.select(F.col("node").alias("archetype_id"), F.col("species").alias("core"), F.col("size").alias("core_size")), "archetype_id")
-    met = placed.join(medoid, "label").withColumn("both", shared(F.col("species"), F.col("core")))
+    medoid = best.select("label", F.col("top.node").alias("archetype_id"), "members").join(placed.select(F.col("node").alias("archetype_id"), F.col("species").alias("core"), F.col("size").alias("core_size")), "archetype_id")
+    core = F.col("node") == F.col("archetype_id")
+    met = placed.join(medoid, "label").withColumn("both", F.when(core, F.col("size")).otherwise(shared(F.col("species"), F.col("core"))))
     distance = F.round(1 - F.col("both") / (F.col("size") + F.col("core_size") - F.col("both")), 6)
-    kind = F.when(F.col("node") == F.col("archetype_id"), "exact").when(F.col("species")["npc_game_id"] == F.col("core")["npc_game_id"], "species").otherwise("fuzzy")
-    return of.join(met.select("node", "archetype_id", kind.alias("match_kind"), distance.alias("distance"), "members"), "node").drop("node")
+    kind = F.when(core, "exact").when(F.col("species")["npc_game_id"] == F.col("core")["npc_game_id"], "species").otherwise("fuzzy")
+    met = met.select("node", "archetype_id", kind.alias("match_kind"), distance.alias("distance"), "members").unionAll(alone)
+    return of.join(met, "node").drop("node")

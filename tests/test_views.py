@@ -235,6 +235,14 @@ def test_likenesses_dont_shuffle_what_shares_one_species(spark):
     assert of() - before < 3_000_000
 
 
+def test_archetypes_read_the_species_once(spark):
+    """The species of all pulls used to be gathered again where pulls meet their archetypes."""
+    p, n = spark.createDataFrame([(1, "a")], "pull_id long, dungeon_key string"), spark.createDataFrame([(1, 5, 2)], "pull_id long, npc_game_id long, instance_count long")
+    found = archetypes.archetypes(p, n)
+    assert "instance_count" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.pull_id, r.match_kind, r.distance, r.members) for r in found.collect()] == [(1, "exact", 0.0, 1)]
+
+
 def test_likenesses_of_any_size_as_brute_force(spark):
     """A composition used to be dealt out to every place that its own size allowed, whichever size the other one had."""
     rng = random.Random(3)
