@@ -512,8 +512,8 @@ lab as (select n, min(m) as label from reach group by 1)
 """
 
 
-def _pairs(spark, sf):
-    return duplicates.scored(duplicates.candidates(_prints(spark, sf), TOL), TOL)
+def _pairs(spark, sf, spanning=False):
+    return duplicates.scored(duplicates.candidates(_prints(spark, sf), TOL, spanning), TOL)
 
 
 @query("dedupe_scores", _SCORED + "select a_run_id, b_run_id, gap_ms, shared, affixed, cast(round(1000 * confidence) as bigint) as confidence_milli from hit")
@@ -534,7 +534,7 @@ def _(spark, sf):
 
 @query("dedupe_groups", _GROUPS + "select run_id, case when label is not null then 'dup-' || label end as duplicate_group_id, cast(case when label is null or label = run_id then 1 else 0 end as integer) as is_canonical from ru left join lab on n = run_id")
 def _(spark, sf):
-    return duplicates.groups(B.runs(spark, sf), _pairs(spark, sf))
+    return duplicates.groups(B.runs(spark, sf), _pairs(spark, sf, spanning=True))
 
 
 @query("dedupe_group_sizes", _GROUPS + "select 'dup-' || label as duplicate_group_id, count(*) as members from lab group by 1 having count(*) > 1")

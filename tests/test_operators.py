@@ -260,3 +260,43 @@ def test_connected_over_many_rounds(spark):
     label = duplicates.connected(links)
     assert int(str(label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**63
     assert label.agg(F.count("*"), F.min("label"), F.max("label")).first() == (n + 1, 0, 0)
+
+
+def test_connected_in_rounds_as_in_one_task(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1300)] + [(7000, 7000)]
+    for kind in ("long", "int", "string"):
+        links = frame(spark, [tuple(map(str, p)) for p in pairs] if kind == "string" else pairs, f"a {kind}, b {kind}")
+        rounds, one = ({r.member: r.label for r in duplicates.connected(links, together).collect()} for together in (0, 10_000))
+        own = [tuple(r) for r in links.collect()]
+        label, before = {x: x for p in own for x in p}, None
+        while before != label:
+            before = dict(label)
+            for a, b in own:
+                label[a] = label[b] = min(label[a], label[b])
+        assert rounds == one == label
+
+
+def test_pairs_that_span_connect_what_all_do(spark):
+    """All pairs of the runs of one start are listed no more where a few connect them."""
+    rng = random.Random(5)
+    t = duplicates.TOLERANCE_MS
+    rows = []
+    for i in range(700):
+        who = rng.choice([[], [], rng.sample("abcdefghijkl", rng.randint(1, 5)), ["a", "b", "c"]]) if i % 7 else []
+        start = rng.choice([rng.randrange(150 * t), rng.randrange(150) * t, rng.randrange(600) * t // 4 + rng.choice([0, 1, -1])])
+        rows.append((f"{i:03}", rng.choice(["r1", "r1", "r2", "r3", f"s{i}", None]), rng.choice(["d", "e", "e", None]), rng.choice([None, 0, 2]), start, rng.choice([None, 0, 1, 900, 990, 1000, 1100, 1111, 1112, rng.randrange(5000)]), rng.choice([None, [], [9], [10], [9, 10]]), who))
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        df = frame(spark, rows, "run_id string, report_code string, dungeon_key string, keystone_level long, abs_start_ms long, duration_ms long, affixes array<long>, who array<string>")
+        prints = duplicates.fingerprints(df.drop("who"), df.select("run_id", F.explode("who").alias("player_id")))
+        every, spanning = (duplicates.scored(duplicates.candidates(prints, spanning=s)) for s in (False, True))
+        want, got = (sorted(map(tuple, duplicates.groups(df, pairs).select("run_id", "duplicate_group_id").collect())) for pairs in (every, spanning))
+        assert got == want and len({g for _, g in want}) > 20
+        of = lambda pairs: {(r.a_run_id, r.b_run_id, r.confidence, r.reason) for r in pairs.collect()}
+        assert of(spanning) <= of(every)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = frame(spark, [(i, f"r{i}", "d", 5, 0, None, None, ["p"] if i % 3 else []) for i in range(300)], "run_id long, report_code string, dungeon_key string, keystone_level long, abs_start_ms long, duration_ms long, affixes array<long>, who array<string>")
+    prints = duplicates.fingerprints(one.drop("who"), one.select("run_id", F.explode("who").alias("player_id")))
+    assert duplicates.candidates(prints, spanning=True).count() < 10 * 300 < duplicates.candidates(prints).count()
+    assert {r.duplicate_group_id for r in duplicates.groups(one, duplicates.scored(duplicates.candidates(prints, spanning=True))).collect()} == {"dup-0"}
