@@ -539,7 +539,7 @@ def _(spark, sf):
 
 @query("dedupe_group_sizes", _GROUPS + "select 'dup-' || label as duplicate_group_id, count(*) as members from lab group by 1 having count(*) > 1")
 def _(spark, sf):
-    g = duplicates.groups(B.runs(spark, sf), _pairs(spark, sf)).where("duplicate_group_id is not null")
+    g = duplicates.groups(B.runs(spark, sf), _pairs(spark, sf, spanning=True)).where("duplicate_group_id is not null")
     return g.groupBy("duplicate_group_id").agg(F.count("*").alias("members")).where("members > 1")
 
 
